@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gradeframe.plans import summaries  # noqa: F401
+from gradeframe.plans import exams, summaries, upkeep  # noqa: F401
 from gradeframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

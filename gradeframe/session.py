@@ -29,6 +29,7 @@ def get_spark(app: str = "gradeframe", cpus: int | str = "*", shuffle_partitions
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
