@@ -11,9 +11,15 @@ from gradeframe.functions.labels import letter_at
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits; the maximum is subtracted first."""
     values = F.transform(logits, lambda x: x.cast("double"))
-    shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    # one-element arrays bind the maximum and the total, so each is computed once per row
+    shifted = F.transform(
+        F.array(F.struct(values.alias("v"), F.array_max(values).alias("m"))),
+        lambda s: F.transform(s["v"], lambda x: F.exp(x - s["m"])),
+    )[0]
+    return F.transform(
+        F.array(F.struct(shifted.alias("e"), F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x).alias("t"))),
+        lambda s: F.transform(s["e"], lambda x: x / s["t"]),
+    )[0]
 
 
 def argmax_index(scores: Column) -> Column:

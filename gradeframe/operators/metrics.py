@@ -324,7 +324,8 @@ def accuracy_ci(by_split: DataFrame, z: float = K.CONFIDENCE_Z) -> DataFrame:
 # --- predictors that return probabilities ----------------------------------------------
 
 
-def _selected(df: DataFrame) -> DataFrame:
+def with_selection(df: DataFrame) -> DataFrame:
+    """Add predicted index, letter and confidence from the option probabilities."""
     if "predicted_index" in df.columns:
         return df
     best = argmax_option(F.col("probs"))
@@ -342,7 +343,7 @@ def calibration(df: DataFrame, by: Sequence[str] = (), clamp: bool = False) -> D
     if clamp:
         low = F.least(low, F.lit(90))
     return (
-        _selected(df).where(F.col("gold") >= 0)
+        with_selection(df).where(F.col("gold") >= 0)
         .withColumn("bucket", F.format_string("%d-%d%%", low, low + 10))
         .groupBy(*by, "bucket")
         .agg(
@@ -356,7 +357,7 @@ def calibration(df: DataFrame, by: Sequence[str] = (), clamp: bool = False) -> D
 def encoder_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy over labelled rows and mean confidence over all rows."""
     labelled = F.coalesce(F.col("gold") >= 0, F.lit(False))
-    out = _selected(df).groupBy(*by).agg(
+    out = with_selection(df).groupBy(*by).agg(
         F.count_if(labelled).alias("total"),
         F.count_if(labelled & (F.col("predicted_index") == F.col("gold"))).alias("correct"),
         F.coalesce(exact_mean(F.col("confidence"), 9), F.lit(0.0)).alias("avg_confidence"),
@@ -367,7 +368,7 @@ def encoder_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def encoder_by_subject(df: DataFrame, subject: str = "subject_name") -> DataFrame:
     """Labelled rows per subject: correct, total, accuracy."""
     return (
-        _selected(df).where(F.col("gold") >= 0)
+        with_selection(df).where(F.col("gold") >= 0)
         .groupBy(F.coalesce(F.col(subject), F.lit(K.UNKNOWN_SUBJECT)).alias(subject))
         .agg(
             F.count_if(F.col("predicted_index") == F.col("gold")).alias("correct"),
@@ -383,7 +384,7 @@ def compare_predictors(encoder: DataFrame, generative: DataFrame) -> DataFrame:
     ``encoder`` has predicted_index (or probs) and gold, ``generative`` has predictions and cop.
     Both are tagged, united and reduced by one aggregate.
     """
-    enc = _selected(encoder).where(F.col("gold") >= 0).select(
+    enc = with_selection(encoder).where(F.col("gold") >= 0).select(
         F.lit("encoder").alias("__p"), (F.col("predicted_index") == F.col("gold")).alias("__ok")
     )
     gen = generative.select(

@@ -47,16 +47,16 @@ RESULT = "query_id bigint, vec_id bigint, score double"
 
 
 def _best(ids: np.ndarray, matrix: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, places: int) -> pd.DataFrame:
-    """The k best of one matrix of vectors for each query."""
+    """The k best of one matrix of vectors for each query; equal scores go to the smaller id."""
     scores = np.rint((queries @ matrix.T) * 10.0**places) / 10.0**places
     by_id = np.argsort(ids, kind="stable")
     ids, scores = ids[by_id], scores[:, by_id]
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({
-        "query_id": np.repeat(query_ids, top.shape[1]),
-        "vec_id": ids[top].ravel(),
-        "score": np.take_along_axis(scores, top, axis=1).ravel(),
-    })
+    k = min(k, len(ids))
+    limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
+    above, equal = scores > limit, scores == limit
+    room = k - above.sum(axis=1, keepdims=True)
+    row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+    return pd.DataFrame({"query_id": query_ids[row], "vec_id": ids[column], "score": scores[row, column]})
 
 
 def _scan_block(head: pd.DataFrame, vectors: DataFrame, k: int, places: int) -> DataFrame:

@@ -82,9 +82,9 @@ def c6(spark, sf):
     return V.model_outputs(spark, sf).select("doc_id", X.extract_explanation(F.col("raw_output")).alias("explanation"))
 
 
-@query("C7_normalize_text", "select doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') as norm from documents where lang = 'en'")
+@query("C7_normalize_text", "select doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') as norm from documents")
 def c7(spark, sf):
-    docs = V.table(spark, sf, "documents").where("lang = 'en'")
+    docs = V.table(spark, sf, "documents")
     return docs.select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
 

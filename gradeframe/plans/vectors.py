@@ -32,7 +32,7 @@ SELECTOR = """sel0 as (select concat(l_orderkey, '-', l_linenumber) as id, l_ord
 @query("H9_argmax_option", f"with {SELECTOR} select id, l_partkey, probs, predicted_index, predicted_letter, confidence from selector"
        .replace("id, l_partkey, probs,", "id, array_to_string(list_transform(probs, lambda p: cast(p * 16 as int)), '|') as sixteenths,"))
 def h9(spark, sf):
-    return M._selected(V.selector_output(spark, sf)).select(
+    return M.with_selection(V.selector_output(spark, sf)).select(
         "id", F.array_join(F.transform("probs", lambda p: (p * 16).cast("int").cast("string")), "|").alias("sixteenths"),
         "predicted_index", "predicted_letter", "confidence",
     )
@@ -90,13 +90,13 @@ HYBRID = f"""{SELECTOR}, gated as (select *, confidence < 0.7::double as needs_e
 
 @query("N1_gate", f"with {HYBRID} select needs_ensemble, count(*) as n, min(confidence) as low, max(confidence) as high from gated group by 1")
 def n1(spark, sf):
-    return N.gate(M._selected(V.selector_output(spark, sf))).groupBy("needs_ensemble").agg(
+    return N.gate(M.with_selection(V.selector_output(spark, sf))).groupBy("needs_ensemble").agg(
         F.count(F.lit(1)).alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high")
     )
 
 
 def _hybrid(spark, sf):
-    return N.hybrid_answer(M._selected(V.selector_output(spark, sf))).withColumn(
+    return N.hybrid_answer(M.with_selection(V.selector_output(spark, sf))).withColumn(
         "gold_answer", F.when(F.col("gold") >= 0, V.letter(F.col("gold")))
     )
 
