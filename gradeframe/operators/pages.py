@@ -21,6 +21,15 @@ ANY_CHOICE = r"^[A-D]\."
 VERDICT = r"(?U)^(Correct|Incorrect)\.\s*"
 
 
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once.
+
+    Projections of array expressions are merged by the optimizer, which copies an expression to
+    every place that uses it. A one-row generator keeps the step apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 # --- array helpers ------------------------------------------------------------------------
 
 
@@ -71,9 +80,18 @@ def _any(tests: Sequence[Column]) -> Column:
     return out
 
 
+def _one_of(texts: Sequence[str]) -> str:
+    """Pattern that matches any of the texts literally."""
+    return "|".join(rf"\Q{x}\E" for x in texts)
+
+
+BOILERPLATE = _one_of(K.BOILERPLATE_FRAGMENTS) + "|" + K.NEXT_QUESTION
+HEADER = f"^(?:{_one_of(K.HEADER_MARKERS)})"
+FOOTER = _one_of(K.FOOTER_MARKERS)
+
+
 def is_boilerplate(line: Column) -> Column:
-    raw = strip(remove(line, K.IMAGE_MARKER))
-    return _any([F.contains(raw, F.lit(x)) for x in K.BOILERPLATE_FRAGMENTS]) | raw.rlike(K.NEXT_QUESTION)
+    return strip(remove(line, K.IMAGE_MARKER)).rlike(BOILERPLATE)
 
 
 def drop_boilerplate(lines: Column) -> Column:
@@ -82,10 +100,10 @@ def drop_boilerplate(lines: Column) -> Column:
 
 def trim_page(lines: Column) -> Column:
     """Lines behind the leading header lines and before the first footer line."""
-    heads = F.transform(lines, lambda x: _any([F.startswith(x, F.lit(m)) for m in K.HEADER_MARKERS]))
+    heads = F.transform(lines, lambda x: x.rlike(HEADER))
     begin = F.array_position(heads, False).cast("int")
     body = F.when(begin > 0, F.slice(lines, begin, F.size(lines))).otherwise(F.slice(lines, 1, 0))
-    feet = F.transform(body, lambda x: _any([F.contains(x, F.lit(m)) for m in K.FOOTER_MARKERS]))
+    feet = F.transform(body, lambda x: x.rlike(FOOTER))
     end = F.array_position(feet, True).cast("int")
     return F.when(end > 0, F.slice(body, F.lit(1), end - 1)).otherwise(body)
 
@@ -126,38 +144,45 @@ def _opens(letter: str) -> Callable[[Column], Column]:
 def parse_choices(opened: Column) -> Column:
     """Map from letter to text from the output of ``choice_lines``; the last duplicate wins."""
     texts = [last(F.filter(opened, _opens(x)))["text"] for x in K.LABELS]
-    return F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(x) for x in K.LABELS]), F.array(*texts)), lambda k, v: v.isNotNull()
-    )
+    return _letter_map(F.array(*texts))
+
+
+def _asks(line: Column) -> Column:
+    return strip(line).rlike(r"[?:]\z")
+
+
+def passage_before(pre: Column, asks: Column) -> Column:
+    """Everything before the question line; all lines when there is none."""
+    return F.when(
+        asks.isNotNull(), strip(F.array_join(F.slice(pre, F.lit(1), asks - 1), "\n"))
+    ).otherwise(F.array_join(pre, "\n"))
 
 
 def split_passage(before: Column) -> Column:
     """Struct (passage, question): the last line ending in ? or : and everything before it."""
     pre = F.split(strip(F.array_join(before, "\n")), "\n")
-    asks = positions(pre, lambda x: strip(x).rlike(r"[?:]\z"))
-    at_line = last(asks)
+    asks = last(positions(pre, _asks))
     return F.struct(
-        F.when(at_line.isNotNull(), strip(F.array_join(F.slice(pre, F.lit(1), at_line - 1), "\n")))
-        .otherwise(F.array_join(pre, "\n")).alias("passage"),
-        F.coalesce(strip(at(pre, at_line)), F.lit("")).alias("question"),
+        passage_before(pre, asks).alias("passage"), F.coalesce(strip(at(pre, asks)), F.lit("")).alias("question")
     )
 
 
 def parse_pages(df: DataFrame, lines: str = "lines") -> DataFrame:
     """Passage, question, choices and answer of pages in the first layout."""
     rest = [c for c in df.columns if c != lines]
-    step = df.withColumn("__text", F.array_join(trim_page(F.col(lines)), "\n"))
-    step = step.withColumn("__lines", F.split(before_solution(F.col("__text")), "\n"))
-    step = step.withColumn("__opened", choice_lines(F.col("__lines")))
-    step = step.withColumn("__start", first(positions(F.col("__opened"), lambda c: c["letter"].isNotNull())))
+    step = staged(df, __text=F.array_join(trim_page(F.col(lines)), "\n"))
+    step = staged(step, __lines=F.split(before_solution(F.col("__text")), "\n"))
+    step = staged(step, __opened=choice_lines(F.col("__lines")))
+    step = staged(step, __start=first(positions(F.col("__opened"), lambda c: c["letter"].isNotNull())))
     before = F.when(
         F.col("__start").isNotNull(), F.slice(F.col("__lines"), F.lit(1), F.col("__start") - 1)
     ).otherwise(F.col("__lines"))
-    step = step.withColumn("__split", split_passage(before))
+    step = staged(step, __pre=F.split(strip(F.array_join(before, "\n")), "\n"))
+    step = staged(step, __asks=last(positions(F.col("__pre"), _asks)))
     return step.select(
         *rest,
-        F.col("__split.passage").alias("passage"),
-        F.col("__split.question").alias("question"),
+        passage_before(F.col("__pre"), F.col("__asks")).alias("passage"),
+        F.coalesce(strip(at(F.col("__pre"), F.col("__asks"))), F.lit("")).alias("question"),
         parse_choices(F.col("__opened")).alias("choices"),
         F.upper(matched(F.col("__text"), K.PAGE_ANSWER_IS)).alias("answer"),
     )
@@ -198,20 +223,24 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     """
     rest = [c for c in df.columns if c != lines]
     L, R = F.col("__l"), F.col("__r")
-    step = df.withColumn("__l", F.filter(F.transform(
+    step = staged(df, __l=F.filter(F.transform(
         F.col(lines), lambda x: strip(F.replace(x, F.lit("\xa0"), F.lit(" ")))), lambda x: x != ""))
-    step = step.withColumn("__r", F.transform(L, strip_images)).withColumn("__m", find_markers(R))
-    m = {f: F.col(f"__m.{f}") for f in [*_LAST_MARKERS, "solution", "verdict"]}
+    step = staged(step, __r=F.transform(L, strip_images))
+    names = [*_LAST_MARKERS, "solution", "verdict"]
+    step = staged(step, __m=find_markers(R))
+    step = staged(step, **{f"__m_{f}": F.col(f"__m.{f}") for f in names})
+    m = {f: F.col(f"__m_{f}") for f in names}
     size = F.size(L)
-    step = step.withColumn("__head_end", F.least(m["question"], m["separator"])).withColumn(
-        "__head", F.slice(R, F.lit(1), F.col("__head_end") - 1)
-    )
+    step = staged(step, __head=F.slice(R, F.lit(1), F.least(m["question"], m["separator"]) - 1))
     numbered = F.transform(F.col("__head"), lambda x, i: F.struct(x.alias("t"), (i + 1).alias("p")))
     titles = F.filter(numbered, lambda c: ~(
         is_boilerplate(c["t"]) | c["t"].isin(*K.NAVIGATION_WORDS) | F.startswith(c["t"], F.lit("Time Spent:"))
         | c["t"].rlike(r"^\d+/\d+$")
     ))
-    step = step.withColumn("__titles", titles)
+    step = staged(
+        step, __titles=titles, __letters=positions(R, _letter_line),
+        __opens=first(positions(F.col("__head"), lambda x: x.rlike(r"(?U)^Passage\s+\d+"))),
+    )
     title = F.when(F.get("__titles", F.lit(0))["p"] <= 4, F.get("__titles", F.lit(0))["t"])
     section = F.when(title.isNotNull() & (F.get("__titles", F.lit(1))["p"] <= 7), F.get("__titles", F.lit(1))["t"])
     diagnostic = first(F.filter(
@@ -219,23 +248,21 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     ))
     is_diagnostic = F.startswith(F.col(folder), F.lit("CARS_d"))
 
-    opens = first(positions(F.col("__head"), lambda x: x.rlike(r"(?U)^Passage\s+\d+")))
+    opens = F.col("__opens")
     passage_end = F.when(m["separator"] > opens + 1, m["separator"]).otherwise(m["question"])
     passage = F.filter(lines_between(L, opens + 1, passage_end), lambda t: ~(
         (strip_images(t) == "_") | is_boilerplate(strip_images(t))
         | strip_images(t).rlike(r"^Adapted from" + K.NO_WORD_AFTER) | F.startswith(strip_images(t), F.lit("Material used in this"))
     ))
 
-    step = step.withColumn("__letters", positions(R, _letter_line))
-    stem_end = first(F.filter("__letters", lambda p: p > m["question"]))
-    step = step.withColumn("__stem_end", stem_end)
+    step = staged(step, __stem_end=first(F.filter("__letters", _behind(m["question"]))))
     stem = F.filter(
         lines_between(L, m["question"] + 1, F.col("__stem_end")), lambda t: strip_images(t) != "_"
     )
-    step = step.withColumn("__blocks", F.filter(
+    step = staged(step, __blocks=F.filter(
         "__letters", lambda p: (p >= F.col("__stem_end")) & (p < m["solution"])
     ))
-    step = step.withColumn("choices", _block_choices(L, R, F.col("__blocks"), m["solution"]))
+    step = _with_block_choices(step, L, R, m["solution"])
 
     stop = F.coalesce(m["verdict"], m["your_answer"], size + 1)
     spoken = F.transform(lines_between(R, m["solution"], stop), lambda x: F.when(
@@ -251,7 +278,8 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
         return F.when(value.rlike("^[A-D]$"), value)
 
     confidence = at(R, m["confidence"] + 1)
-    tail = F.when(m["skills"].isNotNull(), F.slice(R, m["skills"] + 1, F.greatest(size - m["skills"], F.lit(0))))
+    step = staged(step, __tail=F.when(m["skills"].isNotNull(), F.slice(R, m["skills"] + 1, F.greatest(size - m["skills"], F.lit(0)))))
+    tail = F.col("__tail")
     stops = positions(tail, lambda x: is_boilerplate(x) | x.rlike(r"(?i)^next question")
                       | x.rlike(r"(?iU)^[A-D]\s+selected$"))
     tags = F.transform(
@@ -259,40 +287,53 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     )
     skills = F.filter(tags, lambda x: x != "")
 
-    out = step.select(
-        *rest, F.col("__r").alias("raw_lines"), F.col("__m").alias("markers"),
-        title.alias("source_title"),
-        F.when(is_diagnostic, F.coalesce(section, diagnostic)).otherwise(section).alias("section"),
-        F.substring_index(last(F.filter("__head", lambda x: x.rlike(r"^\d+/\d+$"))), "/", 1).alias("question_id"),
-        F.coalesce(passage, F.array().cast("array<string>")).alias("passage_parts"),
-        F.array_join(stem, " ").alias("question"),
-        "choices",
-        F.coalesce(parts, F.array().cast("array<string>")).alias("solution_parts"),
-        F.coalesce(answer_from_solution(at(R, m["solution"])), letter_after(m["correct_answer"])).alias("correct_answer"),
-        letter_after(m["your_answer"]).alias("user_answer"),
-        F.when(~F.startswith(confidence, F.lit("Content")) & (confidence != "Not Selected"), confidence).alias("confidence"),
-        F.coalesce(skills, F.array().cast("array<string>")).alias("content_skills"),
-        F.flatten(F.transform(L, image_list)).alias("images"),
-        F.when(m["question"].isNull() | m["solution"].isNull(), F.lit("missing marker"))
+    empty = F.array().cast("array<string>")
+    fields = {
+        "raw_lines": R,
+        "markers": F.col("__m"),
+        "source_title": title,
+        "section": F.when(is_diagnostic, F.coalesce(section, diagnostic)).otherwise(section),
+        "question_id": F.substring_index(last(F.filter("__head", lambda x: x.rlike(r"^\d+/\d+$"))), "/", 1),
+        "passage_parts": F.coalesce(passage, empty),
+        "question": F.array_join(stem, " "),
+        "solution_parts": F.coalesce(parts, empty),
+        "correct_answer": F.coalesce(answer_from_solution(at(R, m["solution"])), letter_after(m["correct_answer"])),
+        "user_answer": letter_after(m["your_answer"]),
+        "confidence": F.when(
+            ~F.startswith(confidence, F.lit("Content")) & (confidence != "Not Selected"), confidence
+        ),
+        "content_skills": F.coalesce(skills, empty),
+        "images": F.flatten(F.transform(L, image_list)),
+        "skipped": F.when(m["question"].isNull() | m["solution"].isNull(), F.lit("missing marker"))
         .when(F.col("__stem_end").isNull(), F.lit("no answer choices"))
-        .when(F.size("choices") == 0, F.lit("no choices extracted")).alias("skipped"),
-    )
-    return out.withColumn("subject_code", subject_code(F.col("content_skills"), F.col(folder)))
+        .when(F.size("choices") == 0, F.lit("no choices extracted")),
+    }
+    out = staged(step, **fields).select(*rest, "choices", *fields)
+    return staged(out, subject_code=subject_code(F.col("content_skills"), F.col(folder)))
 
 
-def _block_choices(lines: Column, raw: Column, blocks: Column, end: Column) -> Column:
+def _with_block_choices(df: DataFrame, lines: Column, raw: Column, end: Column) -> DataFrame:
     """Choices opened by a letter alone: the letter's own image and the lines up to the next."""
-    texts = []
+    blocks = F.col("__blocks")
+    step = staged(df, **{f"__at_{x}": last(F.filter(blocks, _line_is(raw, f"^{x}$"))) for x in K.LABELS})
+    texts = {}
     for x in K.LABELS:
-        opened = last(F.filter(blocks, _line_is(raw, f"^{x}$")))
+        opened = F.col(f"__at_{x}")
         closed = F.coalesce(first(F.filter(blocks, _behind(opened))), end)
         own = strip(F.substring(at(lines, opened), 2, 1_000_000))
         body = F.filter(lines_between(lines, opened + 1, closed), lambda t: strip_images(t) != "Answer choice eliminated")
-        joined = strip(F.concat_ws(" ", F.nullif(own, F.lit("")), F.array_join(body, " ")))
-        texts.append(F.when(opened.isNotNull(), F.when(joined == "", F.lit(K.IMAGE_CHOICE)).otherwise(joined)))
-    return F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(x) for x in K.LABELS]), F.array(*texts)), lambda k, v: v.isNotNull()
-    )
+        texts[f"__text_{x}"] = strip(F.concat_ws(" ", F.nullif(own, F.lit("")), F.array_join(body, " ")))
+    step = staged(step, **texts)
+    found = F.array(*[
+        F.when(F.col(f"__at_{x}").isNotNull(), F.coalesce(F.nullif(f"__text_{x}", F.lit("")), F.lit(K.IMAGE_CHOICE)))
+        for x in K.LABELS
+    ])
+    return staged(step, choices=_letter_map(found))
+
+
+def _letter_map(values: Column) -> Column:
+    """Map from letter to text for the letters that have one."""
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(x) for x in K.LABELS]), values), lambda k, v: v.isNotNull())
 
 
 def subject_code(skills: Column, folder: Column) -> Column:
@@ -315,28 +356,51 @@ def without_verdict(c: Column) -> Column:
     return remove(c, VERDICT)
 
 
-def _rationales() -> dict[str, Column]:
-    """Text of the explicit option block of each letter, cleaned, null when there is none."""
-    R, m = F.col("raw_lines"), "markers"
-    stop = F.coalesce(F.col(f"{m}.verdict"), F.size(R) + 1)
-    start = F.col(f"{m}.option_rationale") + 1
-    heads = F.filter(
-        positions(R, lambda x: x.rlike(r"(?U)^Option\s+[A-D]:")), lambda p: (p >= start) & (p < stop)
+def _with_rationales(df: DataFrame) -> DataFrame:
+    """Add the cleaned text of the explicit option block per letter, null when there is none."""
+    R = F.col("raw_lines")
+    step = staged(
+        df, __stop=F.coalesce(F.col("markers.verdict"), F.size(R) + 1),
+        __begin=F.col("markers.option_rationale") + 1,
     )
-    out = {}
+    step = staged(step, __heads=F.filter(
+        positions(R, lambda x: x.rlike(r"(?U)^Option\s+[A-D]:")),
+        lambda p: (p >= F.col("__begin")) & (p < F.col("__stop")),
+    ))
+    heads = F.col("__heads")
+    step = staged(step, **{f"__on_{x}": last(F.filter(heads, _line_is(R, rf"(?U)^Option\s+{x}:"))) for x in K.LABELS})
+    texts = {}
     for x in K.LABELS:
-        opened = last(F.filter(heads, _line_is(R, rf"(?U)^Option\s+{x}:")))
-        closed = F.coalesce(first(F.filter(heads, _behind(opened))), stop)
+        opened = F.col(f"__on_{x}")
+        closed = F.coalesce(first(F.filter(heads, _behind(opened))), F.col("__stop"))
         own = F.nullif(F.regexp_extract(at(R, opened), r"(?dU)^Option\s+[A-D]:\s*(.*)", 1), F.lit(""))
-        body = F.array_join(lines_between(R, opened + 1, closed), " ")
-        text = without_verdict(strip(F.concat_ws(" ", own, F.nullif(body, F.lit("")))))
-        choice = strip(remove(F.coalesce(F.try_element_at(F.col("choices"), F.lit(x)), F.lit("")), K.IMAGE_MARKER))
-        rest = strip(F.substr(text, F.length(choice) + 1))
-        rest = F.when(F.startswith(rest, F.lit(".")), strip(F.substr(rest, F.lit(2)))).otherwise(rest)
-        text = strip(without_verdict(F.when((choice != "") & F.startswith(text, choice), rest).otherwise(text)))
-        verdict = F.when(F.col("correct_answer") == x, "Correct.").otherwise("Incorrect.")
-        out[x] = F.when(opened.isNotNull(), F.concat_ws(" ", verdict, F.nullif(text, F.lit(""))))
-    return out
+        body = F.nullif(F.array_join(lines_between(R, opened + 1, closed), " "), F.lit(""))
+        texts[f"__raw_{x}"] = without_verdict(strip(F.concat_ws(" ", own, body)))
+        texts[f"__choice_{x}"] = strip(
+            remove(F.coalesce(F.try_element_at(F.col("choices"), F.lit(x)), F.lit("")), K.IMAGE_MARKER)
+        )
+    step = staged(step, **texts)
+    # the block often repeats the choice in front of the reason
+    step = staged(step, **{
+        f"__rest_{x}": F.when(
+            (F.col(f"__choice_{x}") != "") & F.startswith(f"__raw_{x}", F.col(f"__choice_{x}")),
+            remove(strip(F.substr(F.col(f"__raw_{x}"), F.length(f"__choice_{x}") + 1)), r"(?U)^\.\s*"),
+        ).otherwise(F.col(f"__raw_{x}"))
+        for x in K.LABELS
+    })
+    verdict = {x: F.when(F.col("correct_answer") == x, "Correct.").otherwise("Incorrect.") for x in K.LABELS}
+    return staged(step, **{
+        f"__opt_{x}": F.when(
+            F.col(f"__on_{x}").isNotNull(),
+            F.concat_ws(" ", verdict[x], F.nullif(strip(without_verdict(F.col(f"__rest_{x}"))), F.lit(""))),
+        )
+        for x in K.LABELS
+    })
+
+
+def _names(letter: str) -> str:
+    """Pattern of a sentence that names a choice."""
+    return rf"(?iU)\({letter}\)|(?:choice|option|answer)\s+{letter}" + K.NO_WORD_AFTER
 
 
 def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
@@ -346,63 +410,62 @@ def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
     match (or exceed by one), else sentences that name a wrong choice go to it and the others to
     the right one. A choice left without text gets a default.
     """
-    letters = F.array_sort(F.map_keys("choices"))
     parts, n = F.col("solution_parts"), F.size("choices")
-    step = df.withColumns({f"__opt_{x}": c for x, c in _rationales().items()})
-    explicit = F.startswith(F.col(folder), F.lit("CARS_d")) & F.col("markers.option_rationale").isNotNull() & (
-        F.coalesce(*[F.col(f"__opt_{x}") for x in K.LABELS]).isNotNull()
-    )
-    offset = F.when(F.size(parts) == n, 0).when(F.size(parts) == n + 1, 1)
-    step = step.withColumn("__explicit", explicit).withColumn("__offset", offset).withColumn("__letters", letters)
-    step = step.withColumn(
-        "__sentences", F.split(F.array_join(parts, " "), r"(?U)(?<=[.!?])\s+")
+    step = _with_rationales(df)
+    step = staged(
+        step,
+        __explicit=F.startswith(F.col(folder), F.lit("CARS_d")) & F.col("__begin").isNotNull()
+        & F.coalesce(*[F.col(f"__opt_{x}") for x in K.LABELS]).isNotNull(),
+        __offset=F.when(F.size(parts) == n, 0).when(F.size(parts) == n + 1, 1),
+        __letters=F.array_sort(F.map_keys("choices")),
+        __sentences=F.split(F.array_join(parts, " "), r"(?U)(?<=[.!?])\s+"),
     )
-
-    def names(x):
-        return rf"(?iU)\({x}\)|(?:choice|option|answer)\s+{x}" + K.NO_WORD_AFTER
-
-    # which sentences name each choice that is present and wrong
-    wrong = {x: F.array_contains("__letters", x) & ~F.coalesce(F.col("correct_answer") == x, F.lit(False)) for x in K.LABELS}
-    step = step.withColumns({
-        f"__wrong_{x}": F.when(w, F.filter("__sentences", _matches(names(x)))) for x, w in wrong.items()
+    step = staged(step, **{
+        f"__is_wrong_{x}": F.array_contains("__letters", x) & ~F.coalesce(F.col("correct_answer") == x, F.lit(False))
+        for x in K.LABELS
     })
 
-    def taken(s):
-        return _any([F.coalesce(w, F.lit(False)) & s.rlike(names(x)) for x, w in wrong.items()])
+    def names_wrong(s):
+        return _any([F.col(f"__is_wrong_{x}") & s.rlike(_names(x)) for x in K.LABELS])
 
     kept = F.filter(
-        F.transform(F.filter("__sentences", lambda s: ~taken(s)), strip),
+        F.transform(F.filter("__sentences", lambda s: ~names_wrong(s)), strip),
         lambda s: (s != "")
         & ~s.rlike(r"(?iU)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer")
         & ~s.rlike(r"(?iU)^(Choice|Option)\s+[A-D]\s+is\s+(the\s+)?(best|correct)"),
     )
-    step = step.withColumn("__kept", F.array_join(kept, " "))
-
-    values = []
+    step = staged(
+        step, __kept=F.array_join(kept, " "),
+        **{
+            f"__wrong_{x}": F.when(
+                F.col(f"__is_wrong_{x}"), F.array_join(F.filter("__sentences", _matches(_names(x))), " ")
+            )
+            for x in K.LABELS
+        },
+    )
+    values = {}
     for x in K.LABELS:
         index = F.array_position("__letters", x).cast("int")
-        present = index > 0
-        dealt = F.when(present, without_verdict(strip(F.get(parts, index - 1 + F.col("__offset")))))
-        named = F.when(
-            F.size(f"__wrong_{x}") > 0, ellipsize(without_verdict(F.array_join(f"__wrong_{x}", " ")), 400)
-        )
+        dealt = F.when(index > 0, without_verdict(strip(F.get(parts, index - 1 + F.col("__offset")))))
+        named = F.when(F.col(f"__wrong_{x}") != "", ellipsize(without_verdict(F.col(f"__wrong_{x}")), 400))
         right = F.when(
             (F.col("correct_answer") == x) & (F.col("__kept") != ""),
             F.concat(F.lit("Correct. "), ellipsize(F.col("__kept"), 500)),
         )
-        text = (
+        values[f"__value_{x}"] = (
             F.when(F.col("__explicit"), F.col(f"__opt_{x}"))
             .when(F.col("__offset").isNotNull(), dealt)
             .otherwise(F.coalesce(right, named))
         )
+    step = staged(step, **values)
+    final = []
+    for x in K.LABELS:
+        present, text = F.array_contains("__letters", x), F.col(f"__value_{x}")
         default = F.when(F.col("correct_answer") == x, "Correct. See explanation below.").otherwise(
             "Incorrect based on the information provided."
         )
-        values.append(F.coalesce(F.when(~present | (text != ""), text), F.when(present, default)))
-    elimination = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(x) for x in K.LABELS]), F.array(*values)), lambda k, v: v.isNotNull()
-    )
-    return step.select(*df.columns, elimination.alias("elimination"))
+        final.append(F.when(present, F.coalesce(F.nullif(text, F.lit("")), default)).otherwise(text))
+    return staged(step, elimination=_letter_map(F.array(*final))).select(*df.columns, "elimination")
 
 
 def concept(df: DataFrame) -> DataFrame:
@@ -411,50 +474,56 @@ def concept(df: DataFrame) -> DataFrame:
     for code, name in K.SUBJECT_CODE_NAMES.items():
         code_name = F.when(F.col("subject_code") == code, name).otherwise(code_name)
     full = F.array_join("solution_parts", " ")
-    sentence = F.coalesce(
+    step = staged(df, __name=code_name, __sentence=F.coalesce(
         matched(full, r"(?dU)^(This is an?\s+.+?question\s+that\s+.+?\.)"), matched(full, r"(?dU)^(This question\s+.+?\.)")
+    ), __stem=strip(remove(F.col("question"), K.IMAGE_MARKER)))
+    cleaned = remove(
+        F.col("__sentence"), r"(?U)^This is an?\s+\w+\s+question\s+that\s+falls under the content category\s*"
     )
-    cleaned = remove(sentence, r"(?U)^This is an?\s+\w+\s+question\s+that\s+falls under the content category\s*")
     cleaned = blank_to_null(F.regexp_replace(cleaned, r'(?dU)^"(.+?)"\.?\s*', "$1. "))
-    stem = ellipsize_words(strip(remove(F.col("question"), K.IMAGE_MARKER)), 120)
-    return df.withColumn("concept", F.coalesce(
-        F.concat(code_name, F.lit(" — "), cleaned),
-        F.when(F.col("question") != "", F.concat(code_name, F.lit(" — reasoning about: "), stem)),
-        F.concat(code_name, F.lit(" concept application.")),
-    ))
+    stem = F.when(F.col("question") != "", ellipsize_words(F.col("__stem"), 120))
+    return staged(step, concept=F.coalesce(
+        F.concat("__name", F.lit(" \u2014 "), cleaned),
+        F.concat("__name", F.lit(" \u2014 reasoning about: "), stem),
+        F.concat("__name", F.lit(" concept application.")),
+    )).select(*df.columns, "concept")
 
 
 def why(df: DataFrame, folder: str = "folder") -> DataFrame:
     """The explanation behind the answer, freed of stock phrases."""
     parts = F.col("solution_parts")
-    everything = strip(F.array_join(parts, " "))
-    starts = positions(parts, lambda x: x.rlike(r"(?dU)^This is a\s+.+\s+question\s+because"))
-    options = positions(parts, lambda x: x.rlike(r"(?U)^Option\s+[A-D]:"))
-    step = df.withColumn("__starts", starts).withColumn("__options", options)
+    reason = without_verdict(F.try_element_at(F.col("elimination"), F.col("correct_answer")))
+    step = staged(
+        df,
+        __everything=strip(F.array_join(parts, " ")),
+        __starts=positions(parts, lambda x: x.rlike(r"(?dU)^This is a\s+.+\s+question\s+because")),
+        __options=positions(parts, lambda x: x.rlike(r"(?U)^Option\s+[A-D]:")),
+        __reason=F.nullif(reason, F.lit("")),
+    )
+
+    def latest(where, i):
+        return F.coalesce(F.array_max(F.filter(where, lambda p: p <= i + 1)), F.lit(0))
+
+    # a part belongs to the rationale when its last start is behind the last option block
     rationale = F.filter(
-        F.transform(parts, lambda x, i: F.when(
-            F.coalesce(F.array_max(F.filter("__starts", lambda p: p <= i + 1)), F.lit(0))
-            > F.coalesce(F.array_max(F.filter("__options", lambda p: p <= i + 1)), F.lit(0)), x)),
+        F.transform(parts, lambda x, i: F.when(latest("__starts", i) > latest("__options", i), x)),
         lambda x: x.isNotNull(),
     )
-    reason = without_verdict(F.try_element_at(F.col("elimination"), F.col("correct_answer")))
-    diagnostic = blank_to_null(F.concat_ws(
-        " ", F.when(F.size(rationale) > 0, F.array_join(rationale, " ")), F.nullif(reason, F.lit(""))
-    ))
+    step = staged(step, __rationale=F.when(F.size("__starts") > 0, F.array_join(rationale, " ")))
+    diagnostic = blank_to_null(F.concat_ws(" ", "__rationale", "__reason"))
     full = F.when(
-        F.startswith(F.col(folder), F.lit("CARS_d")), F.coalesce(diagnostic, everything)
-    ).otherwise(everything)
+        F.startswith(F.col(folder), F.lit("CARS_d")), F.coalesce(diagnostic, F.col("__everything"))
+    ).otherwise(F.col("__everything"))
     for pattern in (
         r'(?U)^This is an?\s+\w+\s+question\s+that\s+falls under\s+the\s+content\s+category\s*"[^"]*"\.\s*',
         r"(?U)^The answer to this question is [A-D] because\s+",
         r"(?dU)\s*It is a [\w\s]+question because it requires.*$",
     ):
         full = remove(full, pattern)
-    step = step.withColumn(
-        "__full", strip(remove(strip(full), r"(?U)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer\.?\s*$"))
-    )
-    text = F.coalesce(F.nullif("__full", F.lit("")), F.nullif(reason, F.lit("")), F.lit("See elimination reasoning above."))
-    return step.withColumn("why", ellipsize(text, 1500)).drop("__starts", "__options", "__full")
+    conclusion = r"(?U)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer\.?\s*$"
+    step = staged(step, __full=F.nullif(strip(remove(strip(full), conclusion)), F.lit("")))
+    text = F.coalesce("__full", "__reason", F.lit("See elimination reasoning above."))
+    return staged(step, why=ellipsize(text, 1500)).select(*df.columns, "why")
 
 
 def image_note() -> Column:
@@ -478,7 +547,7 @@ def parse_records(df: DataFrame, lines: str = "lines", folder: str = "folder") -
     from gradeframe.operators.chat import parsed_messages, validate_records
 
     fields = extract_fields(df, lines, folder)
-    full = why(concept(eliminate(fields, folder)), folder).withColumn("image_note", image_note())
+    full = staged(why(concept(eliminate(fields, folder)), folder), image_note=image_note())
     return validate_records(parsed_messages(full)).drop("raw_lines", "markers")
 
 
