@@ -53,8 +53,15 @@ PASSAGE = "array_to_string(body, chr(10))"
 CHOICE_C = "case when doc_id % 4 = 0 then '[image]' else concat('c', n_chars) end"
 
 
-@query("D2_D5_parse_pages", f"""with {DOC} select doc_id, source as folder, {PASSAGE} as passage, concat('Which one fits ', source, '?') as question,
-  concat('lang ', lang) as a, source as b, {CHOICE_C} as c, 'none of them' as d, case when doc_id % 5 <> 0 then pick end as answer from doc""")
+# prose may open a line with a letter and a dot; such a line starts the choices
+SPLIT = f"""{DOC}, opened as (select *, list_position(list_transform(body, lambda x: regexp_matches(x, '^[A-D]\\.([\\s\\x0b\\x85\\pZ]*$|[\\s\\x0b\\x85\\pZ]*[^\\s\\x0b\\x85\\pZ].+)')), true) as n from doc),
+  pre as (select *, case when n > 0 then body[1:n - 1] else list_append(body, concat('Which one fits ', source, '?')) end as before from opened),
+  asked as (select *, list_max(list_filter(list_transform(before, lambda x, i: case when regexp_matches(x, '[?:]$') then i end), lambda i: i is not null)) as q from pre),
+  page as (select *, array_to_string(case when q is null then before else before[1:q - 1] end, chr(10)) as passage, coalesce(before[q], '') as question from asked)"""
+
+
+@query("D2_D5_parse_pages", f"""with {SPLIT} select doc_id, source as folder, passage, question,
+  concat('lang ', lang) as a, source as b, {CHOICE_C} as c, 'none of them' as d, case when doc_id % 5 <> 0 then pick end as answer from page""")
 def d2(spark, sf):
     parsed = D.parse_pages(exam_pages(spark, sf))
     return parsed.select(
@@ -98,8 +105,8 @@ def d5(spark, sf):
     return _doc(spark, sf).withColumn("s", split).select("doc_id", F.col("s.passage").alias("passage"), F.col("s.question").alias("question"))
 
 
-@query("D12_quality_report", """select source as folder, count(*) as samples, count(*) filter (where doc_id % 5 = 0) as missing_answers,
-  cast(0 as bigint) as missing_questions, cast(0 as bigint) as incomplete_choices, count(*) filter (where doc_id % 4 = 0) as with_images from documents group by 1""")
+@query("D12_quality_report", f"""with {SPLIT} select source as folder, count(*) as samples, count(*) filter (where doc_id % 5 = 0) as missing_answers,
+  count(*) filter (where question = '') as missing_questions, cast(0 as bigint) as incomplete_choices, count(*) filter (where doc_id % 4 = 0) as with_images from page group by 1""")
 def d12(spark, sf):
     parsed = D.parse_pages(exam_pages(spark, sf))
     images = F.filter(F.map_values("choices"), lambda x: x == K.IMAGE_CHOICE)
