@@ -26,9 +26,13 @@ def letter(n: Column) -> Column:
     return F.substring(F.lit("ABCD"), (n % 4).cast("int") + 1, 1)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prediction per line item: split from the order, model from the supplier."""
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+def predictions(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """One prediction per line item: split from the order, model from the supplier.
+
+    The line items may come as a stream.
+    """
+    li = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    part = table(spark, sf_dir, "part")
     order, line, key, supp = (F.col(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "suppkey"))
     model = (supp % 5).cast("string")
     no_usage = supp % 5 == 4  # this back end reports no token counts
@@ -100,7 +104,7 @@ def submission_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_answers(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Graded question events: one per line item, with the answers of three models."""
     key, line, order = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_orderkey")
     def answer(name, shift, ok):
@@ -112,7 +116,8 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         answer("beta", 1, (key + line) % 3 == 0),
         answer("", 2, F.lit(True)),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    return li.select(
         F.concat(F.lit("s"), order).alias("submission_id"),
         F.concat(F.lit("q"), key).alias("question_id"),
         F.concat(F.lit("because "), key.cast("string")).alias("explanation"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeframe.constants import PREDICTION_KEYS
@@ -15,36 +16,32 @@ from gradeframe.operators.maintenance import newest
 from gradeframe.session import work_dir
 
 
-def append_predictions(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
-                       recency: Sequence[str] = ("run_seq",)) -> StreamingQuery:
-    """Append micro-batches to the prediction log, each reduced to its newest row per key.
+def append_predictions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append micro-batches of predictions to a log partitioned by split and model.
 
-    The log is partitioned by split and model and the file sink commits each batch once, so a
-    restart neither loses nor repeats rows. ``current_predictions`` reads the upserted table.
+    The file sink commits each batch once, so a restart neither loses nor repeats rows. The
+    upserted table is what ``current_predictions`` reads.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = newest(batch, keys, recency).withColumn("batch_id", F.lit(batch_id))
-        # replacing the batch's own folder makes a replayed batch idempotent
-        rows.write.mode("overwrite").partitionBy("eval_split_name", "model_key").parquet(f"{path}/batch={batch_id}")
-
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        stream.writeStream.outputMode("append").partitionBy("eval_split_name", "model_key")
+        .format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def current_predictions(spark: SparkSession, path: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
-                        recency: Sequence[str] = ("run_seq",)) -> DataFrame:
-    """Newest row per key over all committed batches."""
-    return newest(spark.read.option("basePath", path).parquet(path).drop("batch", "batch_id"), keys, recency)
+def current_predictions(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = tuple(PREDICTION_KEYS),
+    recency: Sequence[str] = ("run_seq",),
+) -> DataFrame:
+    """Newest row per key over all committed batches; filters on split and model prune folders."""
+    return newest(spark.read.schema(schema).parquet(path), keys, recency)
 
 
-def compact_predictions(spark: SparkSession, path: str, out: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
-                        recency: Sequence[str] = ("run_seq",)) -> None:
-    """Rewrite the log as one upserted table, partitioned by split and model."""
-    current_predictions(spark, path, keys, recency).write.mode("overwrite").partitionBy(
-        "eval_split_name", "model_key"
-    ).parquet(out)
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
+                  recency: Sequence[str] = ("run_seq",)) -> DataFrame:
+    """Append everything available and return the upserted table."""
+    append_predictions(stream, path, checkpoint).awaitTermination()
+    return current_predictions(stream.sparkSession, path, stream.schema, keys, recency)
 
 
 def dedup_events(stream: DataFrame, keys: Sequence[str], ts: str = "event_time", delay: str = "30 minutes") -> DataFrame:
@@ -88,7 +85,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(path)
-    rows = spark.read.schema(stream.schema.add("batch", "int")).option("basePath", path).parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", path).parquet(path)
     if mode == "complete":
         last = rows.agg(F.max("batch").alias("batch"))
         return rows.join(F.broadcast(last), "batch").drop("batch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from gradeframe.constants import PIPELINE_TIMEOUT
 OUTPUT = (
     "submission_id string, status string, expected int, graded int, scores string, finished_at timestamp"
 )
-STATE = "expected int, started bigint, last bigint, questions array<string>, tallies string, done boolean"
+STATE = "expected int, started bigint, answers string, done boolean"
 
 
 def _millis(text: str) -> int:
@@ -38,47 +39,36 @@ def lifecycle_events(submissions: DataFrame, graded: DataFrame) -> DataFrame:
 def track_submissions(events: DataFrame, timeout: str = PIPELINE_TIMEOUT, delay: str = "10 minutes") -> DataFrame:
     """One row per submission when every expected question is graded or the time is up.
 
-    State holds the graded question ids and the tallies per model of one submission, so repeated
-    events change nothing and a restart continues from the checkpoint. The timer runs on event
-    time; a graded event behind the deadline does not count.
+    State holds the earliest event of each graded question of one submission, so repeated events
+    change nothing and a restart continues from the checkpoint. The timer runs on event time; a
+    graded event behind the deadline does not count.
     """
-    limit = _millis(timeout)
+    limit = _millis(timeout) * 1000  # event times are kept in microseconds
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        if state.exists:
-            expected, started, last, questions, tallies, done = state.get
-            questions, tallies = set(questions), json.loads(tallies)
-        else:
-            expected, started, last, questions, tallies, done = -1, -1, -1, set(), {}, False
+        expected, started, answers, done = state.get if state.exists else (-1, -1, "{}", False)
+        first = json.loads(answers)  # question id -> [time, model answers]
+        if not state.hasTimedOut:
+            for row in (r for batch in batches for r in batch.itertuples(index=False)):
+                at = row.event_time.value // 1000
+                if pd.isna(row.question_id):
+                    expected, started = int(row.expected), at
+                elif row.question_id not in first or at < first[row.question_id][0]:
+                    first[row.question_id] = [at, row.answers]
+        counted = sorted((at, q, a) for q, (at, a) in first.items() if started < 0 or at <= started + limit)
         if state.hasTimedOut:
             if not done:
-                yield _result(key[0], "TIMED_OUT", expected, questions, tallies, started + limit)
+                yield _result(key[0], "TIMED_OUT", expected, counted, started + limit)
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("event_time", kind="stable")
-        for row in rows.itertuples(index=False):
-            at = int(row.event_time.value // 1_000_000)
-            if row.question_id is None or pd.isna(row.question_id):
-                expected, started = int(row.expected), at
-                continue
-            if done or row.question_id in questions or (started >= 0 and at > started + limit):
-                continue
-            questions.add(row.question_id)
-            last = max(last, at)
-            for m in json.loads(row.answers) if row.answers else []:
-                if m.get("model"):
-                    tally = tallies.setdefault(m["model"], [0, 0])
-                    tally[1] += 1
-                    tally[0] += bool(m.get("is_correct"))
-        if not done and 0 <= expected <= len(questions):
+        if not done and started >= 0 and len(counted) >= expected:
+            counted = counted[:expected]
+            yield _result(key[0], "COMPLETE", expected, counted, counted[-1][0] if counted else started)
             done = True
-            yield _result(key[0], "COMPLETE", expected, questions, tallies, max(last, started))
-        state.update((expected, started, last, sorted(questions), json.dumps(tallies), done))
+        state.update((expected, started, json.dumps(first), done))
         if started >= 0:
-            deadline = max(started + limit, state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(deadline)
+            # a finished submission stays until its deadline, so repeated events are recognised
+            state.setTimeoutTimestamp(max((started + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("event_time", delay)
@@ -87,16 +77,22 @@ def track_submissions(events: DataFrame, timeout: str = PIPELINE_TIMEOUT, delay:
     )
 
 
-def _result(submission_id, status, expected, questions, tallies, at) -> pd.DataFrame:
-    import json
-
+def _result(submission_id: str, status: str, expected: int, counted: list, at: int) -> pd.DataFrame:
+    """One output row with the scoreboard of the counted questions."""
+    tallies: dict[str, list[int]] = {}
+    for _, _, answers in counted:
+        for m in json.loads(answers) if answers else []:
+            if m.get("model"):
+                tally = tallies.setdefault(m["model"], [0, 0])
+                tally[0] += bool(m.get("is_correct"))
+                tally[1] += 1
     board = [
-        {"model": m, "correct": c, "total": t, "accuracy_pct": int(round(100 * c / t))}
-        for m, (c, t) in sorted(tallies.items(), key=lambda x: (-x[1][0] / x[1][1], x[0]))
+        {"model": m, "correct": c, "total": t, "accuracy_pct": round(100 * c / t)} for m, (c, t) in tallies.items()
     ]
+    board.sort(key=lambda x: (-x["accuracy_pct"], x["model"]))
     return pd.DataFrame({
-        "submission_id": [submission_id], "status": [status], "expected": [expected], "graded": [len(questions)],
-        "scores": [json.dumps(board)], "finished_at": [pd.Timestamp(at, unit="ms")],
+        "submission_id": [submission_id], "status": [status], "expected": [expected], "graded": [len(counted)],
+        "scores": [json.dumps(board)], "finished_at": [pd.Timestamp(at, unit="us")],
     })
 
 
