@@ -64,6 +64,7 @@ FIGURE_REFERENCES = [
     NO_WORD_BEFORE + r"(?U)(Table\s+\d+)",
     NO_WORD_BEFORE + r"(?U)((?:Graph|Diagram|Chart)\s+\d+)",
 ]
+IMAGE_OPENING = "[Image: "
 IMAGE_MARKER = r"\[Image: [^\]]+\]"
 IMAGE_PATH = r"\[Image: ([^\]]+)\]"
 SPACED_IMAGE_MARKER = r"(?U)\s*\[Image: [^\]]+\]"

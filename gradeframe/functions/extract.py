@@ -99,7 +99,8 @@ def figure_refs(c: Column) -> Column:
 
 
 def strip_images(c: Column) -> Column:
-    return strip(remove(c, K.SPACED_IMAGE_MARKER))
+    """Text without image markers; the pattern runs only where a marker is."""
+    return strip(F.when(F.contains(c, F.lit(K.IMAGE_OPENING)), remove(c, K.SPACED_IMAGE_MARKER)).otherwise(c))
 
 
 def image_list(c: Column) -> Column:

@@ -80,30 +80,37 @@ def _any(tests: Sequence[Column]) -> Column:
     return out
 
 
-def _one_of(texts: Sequence[str]) -> str:
-    """Pattern that matches any of the texts literally."""
-    return "|".join(rf"\Q{x}\E" for x in texts)
+def _contains_any(text: Column, fragments: Sequence[str]) -> Column:
+    return _any([F.contains(text, F.lit(x)) for x in fragments])
 
 
-BOILERPLATE = _one_of(K.BOILERPLATE_FRAGMENTS) + "|" + K.NEXT_QUESTION
-HEADER = f"^(?:{_one_of(K.HEADER_MARKERS)})"
-FOOTER = _one_of(K.FOOTER_MARKERS)
+def without_markers(line: Column) -> Column:
+    return strip(F.when(F.contains(line, F.lit(K.IMAGE_OPENING)), remove(line, K.IMAGE_MARKER)).otherwise(line))
 
 
-def is_boilerplate(line: Column) -> Column:
-    return strip(remove(line, K.IMAGE_MARKER)).rlike(BOILERPLATE)
+def is_boilerplate(raw: Column) -> Column:
+    """Test on a line without image markers."""
+    return _contains_any(raw, K.BOILERPLATE_FRAGMENTS) | (
+        (F.lower(F.substring(raw, 1, 13)) == "next question") & raw.rlike(K.NEXT_QUESTION)
+    )
+
+
+def keep_where(lines: Column, raw: Column, test: Callable[[Column], Column]) -> Column:
+    """Lines whose counterpart in ``raw`` passes a test."""
+    kept = F.filter(F.arrays_zip(lines.alias("line"), raw.alias("raw")), lambda p: test(p["raw"]))
+    return F.transform(kept, lambda p: p["line"])
 
 
 def drop_boilerplate(lines: Column) -> Column:
-    return F.filter(lines, lambda x: ~is_boilerplate(x))
+    return keep_where(lines, F.transform(lines, without_markers), lambda r: ~is_boilerplate(r))
 
 
 def trim_page(lines: Column) -> Column:
     """Lines behind the leading header lines and before the first footer line."""
-    heads = F.transform(lines, lambda x: x.rlike(HEADER))
+    heads = F.transform(lines, lambda x: _any([F.startswith(x, F.lit(m)) for m in K.HEADER_MARKERS]))
     begin = F.array_position(heads, False).cast("int")
     body = F.when(begin > 0, F.slice(lines, begin, F.size(lines))).otherwise(F.slice(lines, 1, 0))
-    feet = F.transform(body, lambda x: x.rlike(FOOTER))
+    feet = F.transform(body, lambda x: _contains_any(x, K.FOOTER_MARKERS))
     end = F.array_position(feet, True).cast("int")
     return F.when(end > 0, F.slice(body, F.lit(1), end - 1)).otherwise(body)
 
@@ -127,8 +134,9 @@ def choice_lines(lines: Column) -> Column:
 
     def judge(p):
         line, after = p["line"], p["next"]
-        bare, inline = line.rlike(BARE_CHOICE), line.rlike(INLINE_CHOICE)
-        taken = F.when(after.isNotNull() & ~after.rlike(ANY_CHOICE), after).otherwise(F.lit(K.IMAGE_CHOICE))
+        dotted = F.substring(line, 2, 1) == "."
+        bare, inline = dotted & line.rlike(BARE_CHOICE), dotted & line.rlike(INLINE_CHOICE)
+        taken = F.when(after.isNotNull() & ~F.substring(after, 1, 2).rlike(ANY_CHOICE), after).otherwise(F.lit(K.IMAGE_CHOICE))
         return F.struct(
             F.when(bare | inline, F.substring(line, 1, 1)).alias("letter"),
             F.when(bare, taken).when(inline, strip(F.regexp_extract(line, INLINE_CHOICE, 2))).alias("text"),
@@ -148,7 +156,7 @@ def parse_choices(opened: Column) -> Column:
 
 
 def _asks(line: Column) -> Column:
-    return strip(line).rlike(r"[?:]\z")
+    return F.substring(strip(line), -1, 1).isin("?", ":")
 
 
 def passage_before(pre: Column, asks: Column) -> Column:
@@ -239,7 +247,7 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     ))
     step = staged(
         step, __titles=titles, __letters=positions(R, _letter_line),
-        __opens=first(positions(F.col("__head"), lambda x: x.rlike(r"(?U)^Passage\s+\d+"))),
+        __opens=first(positions(F.col("__head"), lambda x: F.startswith(x, F.lit("Passage")) & x.rlike(r"(?U)^Passage\s+\d+"))),
     )
     title = F.when(F.get("__titles", F.lit(0))["p"] <= 4, F.get("__titles", F.lit(0))["t"])
     section = F.when(title.isNotNull() & (F.get("__titles", F.lit(1))["p"] <= 7), F.get("__titles", F.lit(1))["t"])
@@ -250,10 +258,13 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
 
     opens = F.col("__opens")
     passage_end = F.when(m["separator"] > opens + 1, m["separator"]).otherwise(m["question"])
-    passage = F.filter(lines_between(L, opens + 1, passage_end), lambda t: ~(
-        (strip_images(t) == "_") | is_boilerplate(strip_images(t))
-        | strip_images(t).rlike(r"^Adapted from" + K.NO_WORD_AFTER) | F.startswith(strip_images(t), F.lit("Material used in this"))
-    ))
+    passage = keep_where(
+        lines_between(L, opens + 1, passage_end), lines_between(R, opens + 1, passage_end),
+        lambda r: ~(
+            (r == "_") | is_boilerplate(r) | F.startswith(r, F.lit("Material used in this"))
+            | (F.startswith(r, F.lit("Adapted from")) & r.rlike(r"^Adapted from" + K.NO_WORD_AFTER))
+        ),
+    )
 
     step = staged(step, __stem_end=first(F.filter("__letters", _behind(m["question"]))))
     stem = F.filter(
@@ -303,7 +314,7 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
             ~F.startswith(confidence, F.lit("Content")) & (confidence != "Not Selected"), confidence
         ),
         "content_skills": F.coalesce(skills, empty),
-        "images": F.flatten(F.transform(L, image_list)),
+        "images": F.flatten(F.transform(F.filter(L, lambda x: F.contains(x, F.lit(K.IMAGE_OPENING))), image_list)),
         "skipped": F.when(m["question"].isNull() | m["solution"].isNull(), F.lit("missing marker"))
         .when(F.col("__stem_end").isNull(), F.lit("no answer choices"))
         .when(F.size("choices") == 0, F.lit("no choices extracted")),
@@ -364,7 +375,7 @@ def _with_rationales(df: DataFrame) -> DataFrame:
         __begin=F.col("markers.option_rationale") + 1,
     )
     step = staged(step, __heads=F.filter(
-        positions(R, lambda x: x.rlike(r"(?U)^Option\s+[A-D]:")),
+        positions(R, lambda x: F.startswith(x, F.lit("Option")) & x.rlike(r"(?U)^Option\s+[A-D]:")),
         lambda p: (p >= F.col("__begin")) & (p < F.col("__stop")),
     ))
     heads = F.col("__heads")

@@ -30,14 +30,6 @@ def bucket_of(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("int")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on the keys in which null equals null."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys that may be null, keeping the left copy of the keys."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -47,6 +39,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], quantiles: dict[str, tuple[str, float]]
 ) -> DataFrame:

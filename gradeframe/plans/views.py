@@ -18,8 +18,22 @@ MODELS = [f"model_{i}" for i in range(5)]
 MODEL_NAMES = [f"org{i}/Model {i} {'LoRA' if i % 2 else 'Q4_K_M'}" for i in range(5)]
 
 
+KEYS = {"lineitem": ["l_orderkey", "l_linenumber"], "documents": ["doc_id"], "pages": ["page_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal a table to all cores when its files hold fewer row groups than there are cores.
+
+    The given tables are single row groups, which one task must read. A large table has many
+    more scan tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def letter(n: Column) -> Column:

@@ -59,11 +59,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def bounded_local(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     """Turn a small result into a local table whose exact size the optimizer knows.
 
-    At most ``max_rows + 1`` rows reach the driver. Below the bound the join that follows is
-    planned as a broadcast; above it the distributed table is returned unchanged and Spark
-    joins by shuffle, so the result is whole either way.
+    At most ``max_rows + 1`` rows reach the driver. Below the bound they come back as a local
+    relation, which the optimizer broadcasts when its size is under the broadcast threshold;
+    above it the distributed table is returned unchanged and Spark joins by shuffle, so the
+    result is whole either way.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
