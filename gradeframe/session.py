@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -44,11 +45,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="gradeframe-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@functools.cache
+def _local_root() -> str:
+    """Work folder of a local session without the setting."""
+    return tempfile.mkdtemp(prefix="gradeframe-")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder and reading it back."""
     path = work_dir(df.sparkSession, name)
