@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeframe import constants as K
 from gradeframe.functions.numeric import round_even
 from gradeframe.operators.quantiles import join_on
+from gradeframe.session import bounded_local
 
 # Up to this rank Spark limits each group before the shuffle; beyond it a hot group would be
 # sorted by one task, so the histogram path below takes over.
@@ -49,7 +50,8 @@ def stratified_cap(
             F.max_by(F.lit(n) - (F.col("__end") - F.col("__c")), "__b").alias("__room"),
         )
     )
-    joined = join_on(sliced, cuts, by, "inner").where(F.col("__b") <= F.col("__cut"))
+    # one row per stratum: broadcast by its known size, so a hot stratum is never shuffled
+    joined = join_on(sliced, bounded_local(cuts), by, "inner").where(F.col("__b") <= F.col("__cut"))
     below = joined.where(F.col("__b") < F.col("__cut"))
     order = Window.partitionBy(*by).orderBy("__h", *ids)
     at_cut = (
@@ -66,7 +68,12 @@ def shuffled(df: DataFrame, seed: int = 42, id_columns: Sequence[str] = ("id",))
 
 
 def cap(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows by an explicit order, overall or per group."""
+    """The first ``n`` rows by an explicit order, overall or per group.
+
+    Overall it is a distributed top-n. Per group Spark limits each task's rows before the
+    shuffle up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); raise that setting
+    with a larger ``n``. For random caps of any size use ``stratified_cap``.
+    """
     if not by:
         return df.orderBy(*order).limit(n)
     ranked = Window.partitionBy(*by).orderBy(*order)

@@ -17,7 +17,8 @@ from gradeframe.functions.options import argmax_index
 
 SCORE_PLACES = 6
 BLOCK_ROWS = 2048  # queries per block: 2048 x 1024 doubles are 16 MB
-CHUNK_ROWS = 65536  # vectors per chunk
+CHUNK_ROWS = 16384  # vectors per chunk
+SLICE_ROWS = 256  # queries per product: with 16384 vectors one score matrix is 32 MB
 
 
 def retrieve_topk(
@@ -47,16 +48,21 @@ RESULT = "query_id bigint, vec_id bigint, score double"
 
 
 def _best(ids: np.ndarray, matrix: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, places: int) -> pd.DataFrame:
-    """The k best of one matrix of vectors for each query; equal scores go to the smaller id."""
-    scores = np.rint((queries @ matrix.T) * 10.0**places) / 10.0**places
+    """The k best vectors of one batch for each query; equal scores go to the smaller id."""
     by_id = np.argsort(ids, kind="stable")
-    ids, scores = ids[by_id], scores[:, by_id]
+    ids, matrix = ids[by_id], matrix[by_id]
     k = min(k, len(ids))
-    limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
-    above, equal = scores > limit, scores == limit
-    room = k - above.sum(axis=1, keepdims=True)
-    row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
-    return pd.DataFrame({"query_id": query_ids[row], "vec_id": ids[column], "score": scores[row, column]})
+    parts = []
+    for start in range(0, len(query_ids), SLICE_ROWS):
+        scores = np.rint((queries[start:start + SLICE_ROWS] @ matrix.T) * 10.0**places) / 10.0**places
+        limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        above, equal = scores > limit, scores == limit
+        room = k - above.sum(axis=1, keepdims=True)
+        row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+        parts.append(pd.DataFrame({
+            "query_id": query_ids[start:start + SLICE_ROWS][row], "vec_id": ids[column], "score": scores[row, column],
+        }))
+    return pd.concat(parts, ignore_index=True)
 
 
 def _scan_block(head: pd.DataFrame, vectors: DataFrame, k: int, places: int) -> DataFrame:
