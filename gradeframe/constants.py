@@ -107,6 +107,62 @@ SUBJECT_CODE_NAMES = {
 }
 DEFAULT_CODE_NAME = "MCAT"
 
+# --- fixed values: patterns and markers of exam pages -----------------------------------
+BARE_CHOICE = r"(?U)^([A-D])\.\s*$"
+INLINE_CHOICE = r"(?dU)^([A-D])\.\s*(\S.+)"
+ANY_CHOICE = r"^[A-D]\."
+PAGE_MARKERS = {
+    "question": "Question",
+    "separator": "_",
+    "your_answer": "Your Answer:",
+    "correct_answer": "Correct Answer:",
+    "confidence": "Confidence Level:",
+    "skills": "Content & Skills",
+    "option_rationale": "Option Rationale:",
+    "item_rationale": "Item Rationale:",
+}
+SOLUTION_STARTS = ["Solution:", "The solution is"]
+SOLUTION_PREFIXES = [r"(?U)^Solution:\s*The correct answer is\s+[A-D]\.\s*", r"(?U)^The solution is\s+[A-D]:\s*"]
+VERDICT_LINES = ["Correct", "Incorrect"]
+VERDICT = r"(?U)^(Correct|Incorrect)\.\s*"
+TIME_SPENT = "Time Spent:"
+QUESTION_NUMBER = r"^\d+/\d+$"
+PASSAGE_HEAD = r"(?U)^Passage\s+\d+"
+ADAPTED_FROM = "Adapted from"
+MATERIAL_USED = "Material used in this"
+ELIMINATED_LINE = "Answer choice eliminated"
+NOT_SELECTED = "Not Selected"
+SKILL_PREFIX = r"(?U)^Skill:\s*"
+SKILLS_END = [r"(?i)^next question", r"(?iU)^[A-D]\s+selected$"]
+OPTION_HEAD = r"(?U)^Option\s+[A-D]:"
+OPTION_TEXT = r"(?dU)^Option\s+[A-D]:\s*(.*)"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
+STOCK_SENTENCES = [
+    r"(?iU)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer",
+    r"(?iU)^(Choice|Option)\s+[A-D]\s+is\s+(the\s+)?(best|correct)",
+]
+DEFAULT_RIGHT = "Correct. See explanation below."
+DEFAULT_WRONG = "Incorrect based on the information provided."
+CONCEPT_SENTENCES = [r"(?dU)^(This is an?\s+.+?question\s+that\s+.+?\.)", r"(?dU)^(This question\s+.+?\.)"]
+CONCEPT_PREFIX = r"(?U)^This is an?\s+\w+\s+question\s+that\s+falls under the content category\s*"
+QUOTED_CONCEPT = r'(?dU)^"(.+?)"\.?\s*'
+RATIONALE_START = r"(?dU)^This is a\s+.+\s+question\s+because"
+WHY_STOCK = [
+    r'(?U)^This is an?\s+\w+\s+question\s+that\s+falls under\s+the\s+content\s+category\s*"[^"]*"\.\s*',
+    r"(?U)^The answer to this question is [A-D] because\s+",
+    r"(?dU)\s*It is a [\w\s]+question because it requires.*$",
+]
+WHY_CONCLUSION = r"(?U)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer\.?\s*$"
+DEFAULT_WHY = "See elimination reasoning above."
+
+# --- fixed values: bands and labels of reports ------------------------------------------
+SCORE_BANDS = [(70, "Excellent!"), (50, "Good effort")]
+LOWEST_BAND = "Keep studying"
+PRECISION_RULES = [("LoRA", "BF16"), ("Q4_K_M", "Q4_K_M")]
+DEFAULT_PRECISION = "q4_0"
+HARDWARE_RULES = [("DGX8", "DGX8 GB10")]
+DEFAULT_HARDWARE = "MacBook Pro (MPS/CPU)"
+
 # --- fixed values: prompt texts ---------------------------------------------------------
 TUTOR_SYSTEM = (
     "You are a helpful tutor for pre-med students preparing for the MCAT. "
@@ -125,7 +181,48 @@ RESPONSE_FORMAT = (
     "Explanation: ...\nAnswer: <one of A, B, C, D>"
 )
 IMAGE_LINE = "Image Description: [not used in Stage 1]\n"
-ONE_LETTER_ONLY = "Return only one capital letter: A, B, C, or D."
+EVAL_PROMPT = (
+    "Question: {question}\n{image_line}Options:\nA. {a}\nB. {b}\nC. {c}\nD. {d}\n\n" + RESPONSE_FORMAT
+)
+TRAINING_ANSWER = "Explanation: {explanation}\nAnswer: {letter}"
+DEFAULT_EXPLANATION = "The correct answer is {letter} based on medical knowledge."
+PASSAGE_BODY = (
+    "Passage:\n{passage}\n\nQuestion:\n{question}\n\nChoices:\nA. {a}\nB. {b}\nC. {c}\nD. {d}\n"
+)
+PASSAGE_PROMPT = PASSAGE_BODY + "\nReturn only one capital letter: A, B, C, or D.\n"
+COT_PROMPT = "/no_think\n{instructions}\n\n" + PASSAGE_BODY
+TUNED_PASSAGE = "Passage: {passage}\n\n"
+TUNED_PROMPT = "{passage_part}Question: {question}\nOptions: A. {a} B. {b} C. {c} D. {d}\n" + RESPONSE_FORMAT
+CROSS_TEXT = "Question: {question} Options: A. {a} B. {b} C. {c} D. {d}"
+CROSS_CONTEXT = "Context: {context} "
+QUESTION_BLOCK = "Question: {question}\nA. {a}\nB. {b}\nC. {c}\nD. {d}\n\n"
+EXPLAIN_RIGHT = QUESTION_BLOCK + (
+    "The correct answer is {right}. Please explain in 2-3 sentences why this is the right answer, "
+    "focusing on the key medical concept."
+)
+EXPLAIN_WRONG = QUESTION_BLOCK + (
+    "The correct answer is {right} (the student answered {given}). Please explain in 2-3 sentences why "
+    "{right} is correct and why {given} is incorrect, focusing on the key medical concept."
+)
+ANSWER_PROMPT = QUESTION_BLOCK + "Respond with only a single letter: A, B, C, or D.\nAnswer:"
+INDENTED_OPTIONS = "Question: {question}\n\nOptions:\n  A. {a}\n  B. {b}\n  C. {c}\n  D. {d}\n"
+INDEPENDENT_PROMPT = (
+    "You are a medical expert. Answer this multiple-choice question.\n"
+    "Think step by step, then provide your answer.\n\n" + INDENTED_OPTIONS + "{context_part}\n"
+    "Think step by step. Then respond in the format:\n"
+    "Explanation: <your reasoning>\nAnswer: <one of A, B, C, D>"
+)
+INDEPENDENT_CONTEXT = "\nContext:\n{context}\n"
+EDUCATOR_PROMPT = (
+    "You are a medical educator. Explain briefly why the chosen answer is correct.\n"
+    "Be factual and concise (under 200 words). Do not change the labeled answer.\n\n" + INDENTED_OPTIONS +
+    "\nSelected answer: {letter}\n{context_part}\n"
+    "Provide a short explanation referencing the key medical concept."
+)
+EDUCATOR_CONTEXT = "\nSupporting context (may be incomplete):\n{context}\n"
+PARSED_PASSAGE = "Passage:\n{passage}\n\n"
+PARSED_USER = "{passage_part}Question:\n{question}\n\nChoices:\n{choices}"
+PARSED_ASSISTANT = "Concept:\n{concept}\n\nElimination:\n{elimination}\n\nAnswer:\n{answer}\n\nWhy:\n{why}"
 SUBJECT_SYSTEM_PROMPTS = {
     "CARS": (
         "You are an expert MCAT tutor specializing in Critical Analysis and Reasoning Skills (CARS). "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeframe import constants as K
 from gradeframe.constants import LABELS, SUBJECT_COLUMNS
 from gradeframe.functions.numeric import round_even
 from gradeframe.functions.text import blank_to_null, strip
@@ -54,7 +55,15 @@ def tokens_per_sec(tokens: Column, latency: Column) -> Column:
 
 
 def score_band(c: Column) -> Column:
-    return F.when(c >= 70, "Excellent!").when(c >= 50, "Good effort").otherwise("Keep studying")
+    return _first_rule([(c >= low, name) for low, name in K.SCORE_BANDS], K.LOWEST_BAND)
+
+
+def _first_rule(rules: list[tuple[Column, str]], default: str) -> Column:
+    """Value of the first rule that holds."""
+    out = F.lit(default)
+    for condition, value in reversed(rules):
+        out = F.when(condition, value).otherwise(out)
+    return out
 
 
 def infer_subject(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -66,8 +75,8 @@ def infer_subject(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def precision_label(model: Column) -> Column:
-    return F.when(model.contains("LoRA"), "BF16").when(model.contains("Q4_K_M"), "Q4_K_M").otherwise("q4_0")
+    return _first_rule([(model.contains(x), v) for x, v in K.PRECISION_RULES], K.DEFAULT_PRECISION)
 
 
 def hardware_label(category: Column) -> Column:
-    return F.when(category.contains("DGX8"), "DGX8 GB10").otherwise("MacBook Pro (MPS/CPU)")
+    return _first_rule([(category.contains(x), v) for x, v in K.HARDWARE_RULES], K.DEFAULT_HARDWARE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def remove(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, pattern, "")
 
 
+def render(template: str, **values: Column) -> Column:
+    """A template with named places filled by columns; a null counts as empty text."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
 def ellipsize(c: Column, limit: int) -> Column:
     """Cut to ``limit`` characters, the last three being dots."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe import constants as K
 from gradeframe.functions.labels import cop_to_letter
-from gradeframe.functions.text import blank_to_null, strip
+from gradeframe.functions.text import blank_to_null, render, strip
 
 OPTION_COLUMNS = ("opa", "opb", "opc", "opd")
 BANK_OPTION_COLUMNS = ("option_a", "option_b", "option_c", "option_d")
@@ -19,37 +20,36 @@ def _text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def _join(*parts) -> Column:
-    """Concatenate texts (str) and columns; a null column counts as empty text."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+def _options(columns: Sequence[str]) -> dict[str, Column]:
+    return dict(zip("abcd", [F.col(c) for c in columns]))
 
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def _choice(letter: str) -> Column:
-    return F.coalesce(F.try_element_at(F.col("choices"), F.lit(letter)), F.lit(""))
+def _choices() -> dict[str, Column]:
+    """Texts of a choices map; an absent letter is empty."""
+    return {x.lower(): F.try_element_at(F.col("choices"), F.lit(x)) for x in K.LABELS}
 
 
-def _lettered(columns: Sequence[str], indent: str = "") -> Column:
-    """One line per option column."""
-    return F.concat_ws("\n", *[_join(f"{indent}{x}. ", F.col(c)) for x, c in zip(K.LABELS, columns)])
+def _when_present(template: str, value: Column) -> Column:
+    """The template around a text, or nothing when the text is null."""
+    (name,) = [n for _, n, _, _ in Formatter().parse(template) if n]
+    return F.when(value.isNotNull(), render(template, **{name: value}))
 
 
 def eval_prompt(image_line: bool = False) -> Column:
     """Evaluation prompt over the four option columns."""
-    return _join(
-        "Question: ", F.col("question"), "\n", K.IMAGE_LINE if image_line else "", "Options:\n",
-        _lettered(OPTION_COLUMNS), "\n\n", K.RESPONSE_FORMAT,
-    )
+    line = F.lit(K.IMAGE_LINE if image_line else "")
+    return render(K.EVAL_PROMPT, question=F.col("question"), image_line=line, **_options(OPTION_COLUMNS))
 
 
 def training_answer() -> Column:
     """Expected reply: the explanation, or a default sentence, and the answer letter."""
     letter = cop_to_letter(F.col("cop"))
-    default = _join("The correct answer is ", letter, " based on medical knowledge.")
-    return _join("Explanation: ", F.coalesce(blank_to_null(F.col("exp")), default), "\nAnswer: ", letter)
+    explanation = F.coalesce(blank_to_null(F.col("exp")), render(K.DEFAULT_EXPLANATION, letter=letter))
+    return render(K.TRAINING_ANSWER, explanation=explanation, letter=letter)
 
 
 def to_chat(df: DataFrame) -> DataFrame:
@@ -68,19 +68,15 @@ def to_chat(df: DataFrame) -> DataFrame:
 
 def passage_prompt() -> Column:
     """Direct-answer prompt over a passage and a choices map."""
-    return _join(
-        "Passage:\n", strip(_text("passage")), "\n\nQuestion:\n", strip(_text("question")), "\n\nChoices:\n",
-        F.concat_ws("\n", *[_join(f"{x}. ", _choice(x)) for x in K.LABELS]),
-        f"\n\n{K.ONE_LETTER_ONLY}\n",
-    )
+    return render(K.PASSAGE_PROMPT, passage=strip(F.col("passage")), question=strip(F.col("question")), **_choices())
 
 
 def _by_subject(texts: dict[str, str], default: str) -> Column:
     subject = F.upper(_text("subject_category"))
-    out = F.when(F.lit(False), F.lit(default))
+    out = F.lit(default)
     for code, text in texts.items():
-        out = out.when(subject == code, F.lit(text))
-    return out.otherwise(F.lit(default))
+        out = F.when(subject == code, F.lit(text)).otherwise(out)
+    return out
 
 
 def cot_messages(
@@ -88,25 +84,18 @@ def cot_messages(
 ) -> Column:
     """Step-by-step messages whose texts depend on the subject, with a default for the rest."""
     system = _by_subject(systems or K.SUBJECT_SYSTEM_PROMPTS, K.DEFAULT_SYSTEM_PROMPT)
-    instruction = _by_subject(instructions or K.SUBJECT_INSTRUCTIONS, K.DEFAULT_INSTRUCTIONS)
-    user = _join(
-        "/no_think\n", instruction, "\n\nPassage:\n", strip(_text("passage")), "\n\nQuestion:\n",
-        strip(_text("question")), "\n\nChoices:\n",
-        F.concat_ws("\n", *[_join(f"{x}. ", _choice(x)) for x in K.LABELS]), "\n",
+    user = render(
+        K.COT_PROMPT, instructions=_by_subject(instructions or K.SUBJECT_INSTRUCTIONS, K.DEFAULT_INSTRUCTIONS),
+        passage=strip(F.col("passage")), question=strip(F.col("question")), **_choices(),
     )
     return F.array(message("system", system), message("user", user))
 
 
 def tuned_messages() -> Column:
     """Messages in the fine-tuning format; a blank passage is left out."""
-    passage = blank_to_null(F.col("passage"))
-    options = F.concat_ws(" ", *[_join(f"{x}. ", _choice(x)) for x in K.LABELS])
-    user = F.concat_ws(
-        "\n",
-        F.when(passage.isNotNull(), F.concat(F.lit("Passage: "), passage, F.lit("\n"))),
-        _join("Question: ", strip(_text("question"))),
-        F.concat(F.lit("Options: "), options),
-        F.lit(K.RESPONSE_FORMAT),
+    user = render(
+        K.TUNED_PROMPT, passage_part=_when_present(K.TUNED_PASSAGE, blank_to_null(F.col("passage"))),
+        question=strip(F.col("question")), **_choices(),
     )
     return F.array(message("system", F.lit(K.TUNED_SYSTEM)), message("user", user))
 
@@ -126,92 +115,64 @@ def option_pairs(df: DataFrame, options: Sequence[str] = OPTION_COLUMNS, context
 
 def cross_text(options: Sequence[str] = OPTION_COLUMNS, context: str | None = "exp") -> Column:
     """Question and all options in one text, led by the context when there is one."""
-    lettered = F.concat_ws(" ", *[_join(f"{x}. ", F.col(c)) for x, c in zip(K.LABELS, options)])
-    text = _join("Question: ", F.col("question"), " Options: ", lettered)
+    text = render(K.CROSS_TEXT, question=F.col("question"), **_options(options))
     if context is None:
         return text
-    given = F.col(context)
-    return F.when(blank_to_null(given).isNotNull(), F.concat(F.lit("Context: "), given, F.lit(" "), text)).otherwise(text)
+    given = F.when(blank_to_null(F.col(context)).isNotNull(), F.col(context))
+    return F.concat(F.coalesce(_when_present(K.CROSS_CONTEXT, given), F.lit("")), text)
 
 
 def explain_prompt() -> Column:
     """Why the right answer is right and, where it differs, the given one wrong."""
-    head = _join("Question: ", F.col("question"), "\n", _lettered(BANK_OPTION_COLUMNS), "\n\n")
-    right, given = F.col("correct_answer"), F.col("student_answer")
-    good = _join(
-        head, "The correct answer is ", right, ". Please explain in 2-3 sentences why this is the right answer, "
-        "focusing on the key medical concept.",
-    )
-    bad = _join(
-        head, "The correct answer is ", right, " (the student answered ", given,
-        "). Please explain in 2-3 sentences why ", right, " is correct and why ", given,
-        " is incorrect, focusing on the key medical concept.",
-    )
-    return F.when(F.coalesce(F.col("is_correct"), F.lit(False)), good).otherwise(bad)
+    values = {
+        "question": F.col("question"), "right": F.col("correct_answer"), "given": F.col("student_answer"),
+        **_options(BANK_OPTION_COLUMNS),
+    }
+    good = F.coalesce(F.col("is_correct"), F.lit(False))
+    return F.when(good, render(K.EXPLAIN_RIGHT, **values)).otherwise(render(K.EXPLAIN_WRONG, **values))
 
 
 def answer_prompt() -> Column:
-    return _join(
-        "Question: ", F.col("question"), "\n", _lettered(BANK_OPTION_COLUMNS),
-        "\n\nRespond with only a single letter: A, B, C, or D.\nAnswer:",
-    )
+    return render(K.ANSWER_PROMPT, question=F.col("question"), **_options(BANK_OPTION_COLUMNS))
 
 
 def independent_prompt(context: str = "exp") -> Column:
     """Reason without a pre-selected answer; a blank context is left out."""
-    given = blank_to_null(F.col(context))
-    return F.concat_ws(
-        "\n",
-        F.lit("You are a medical expert. Answer this multiple-choice question."),
-        F.lit("Think step by step, then provide your answer."),
-        F.lit(""),
-        _join("Question: ", F.col("question")),
-        F.lit(""),
-        F.lit("Options:"),
-        _lettered(OPTION_COLUMNS, "  "),
-        F.when(given.isNotNull(), F.concat(F.lit("\nContext:\n"), given)),
-        F.lit(""),
-        F.lit("Think step by step. Then respond in the format:"),
-        F.lit("Explanation: <your reasoning>"),
-        F.lit("Answer: <one of A, B, C, D>"),
-    )
+    part = _when_present(K.INDEPENDENT_CONTEXT, blank_to_null(F.col(context)))
+    return render(K.INDEPENDENT_PROMPT, question=F.col("question"), context_part=part, **_options(OPTION_COLUMNS))
 
 
 def educator_prompt(context: str = "exp") -> Column:
     """Explain a selected answer, with the context when there is one."""
-    given = blank_to_null(F.col(context))
-    return F.concat_ws(
-        "\n",
-        F.lit("You are a medical educator. Explain briefly why the chosen answer is correct."),
-        F.lit("Be factual and concise (under 200 words). Do not change the labeled answer."),
-        F.lit(""),
-        _join("Question: ", F.col("question")),
-        F.lit(""),
-        F.lit("Options:"),
-        _lettered(OPTION_COLUMNS, "  "),
-        F.lit(""),
-        _join("Selected answer: ", F.col("predicted_letter")),
-        F.when(given.isNotNull(), F.concat(F.lit("\nSupporting context (may be incomplete):\n"), given)),
-        F.lit(""),
-        F.lit("Provide a short explanation referencing the key medical concept."),
+    part = _when_present(K.EDUCATOR_CONTEXT, blank_to_null(F.col(context)))
+    return render(
+        K.EDUCATOR_PROMPT, question=F.col("question"), letter=F.col("predicted_letter"), context_part=part,
+        **_options(OPTION_COLUMNS),
     )
 
 
+def _by_letter(texts: str) -> Column:
+    """One line per letter of a map, letters in order."""
+    lines = F.transform(
+        F.array_sort(F.map_keys(texts)), lambda x: F.concat(x, F.lit(". "), F.try_element_at(F.col(texts), x))
+    )
+    return F.array_join(lines, "\n")
+
+
 def parsed_user_message() -> Column:
     """User message from parsed parts: passage (when present), question, choices by letter."""
-    letters = F.array_sort(F.map_keys("choices"))
-    lines = F.transform(letters, lambda x: F.concat(x, F.lit(". "), F.try_element_at(F.col("choices"), x)))
-    passage = F.when(F.size("passage_parts") > 0, F.concat(F.lit("Passage:\n"), F.array_join("passage_parts", "\n"), F.lit("\n")))
-    return F.concat_ws("\n", passage, F.lit("Question:"), _text("question"), F.lit(""), F.lit("Choices:"), F.array_join(lines, "\n"))
+    passage = F.when(F.size("passage_parts") > 0, F.array_join("passage_parts", "\n"))
+    return render(
+        K.PARSED_USER, passage_part=_when_present(K.PARSED_PASSAGE, passage), question=F.col("question"),
+        choices=_by_letter("choices"),
+    )
 
 
 def parsed_assistant_message() -> Column:
     """Concept, elimination by letter, answer and reason."""
-    letters = F.array_sort(F.map_keys("elimination"))
-    lines = F.transform(letters, lambda x: F.concat(x, F.lit(". "), F.try_element_at(F.col("elimination"), x)))
-    return F.concat_ws(
-        "\n", F.lit("Concept:"), F.col("concept"), F.lit(""), F.lit("Elimination:"), F.array_join(lines, "\n"),
-        F.lit(""), F.lit("Answer:"), F.coalesce("correct_answer", F.lit("Unknown")), F.lit(""), F.lit("Why:"), F.col("why"),
+    return render(
+        K.PARSED_ASSISTANT, concept=F.col("concept"), elimination=_by_letter("elimination"),
+        answer=F.coalesce("correct_answer", F.lit("Unknown")), why=F.col("why"),
     )
 
 

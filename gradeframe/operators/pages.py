@@ -7,6 +7,7 @@ independently on the executors. Positions are 1-based as in Spark's arrays.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,6 @@ from gradeframe import constants as K
 from gradeframe.functions.extract import answer_from_solution, figure_refs, image_list, strip_images
 from gradeframe.functions.text import blank_to_null, ellipsize, ellipsize_words, matched, remove, strip
 
-BARE_CHOICE = r"(?U)^([A-D])\.\s*$"
-INLINE_CHOICE = r"(?dU)^([A-D])\.\s*(\S.+)"
-ANY_CHOICE = r"^[A-D]\."
-VERDICT = r"(?U)^(Correct|Incorrect)\.\s*"
-
-
 def staged(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once.
 
@@ -135,11 +130,11 @@ def choice_lines(lines: Column) -> Column:
     def judge(p):
         line, after = p["line"], p["next"]
         dotted = F.substring(line, 2, 1) == "."
-        bare, inline = dotted & line.rlike(BARE_CHOICE), dotted & line.rlike(INLINE_CHOICE)
-        taken = F.when(after.isNotNull() & ~F.substring(after, 1, 2).rlike(ANY_CHOICE), after).otherwise(F.lit(K.IMAGE_CHOICE))
+        bare, inline = dotted & line.rlike(K.BARE_CHOICE), dotted & line.rlike(K.INLINE_CHOICE)
+        taken = F.when(after.isNotNull() & ~F.substring(after, 1, 2).rlike(K.ANY_CHOICE), after).otherwise(F.lit(K.IMAGE_CHOICE))
         return F.struct(
             F.when(bare | inline, F.substring(line, 1, 1)).alias("letter"),
-            F.when(bare, taken).when(inline, strip(F.regexp_extract(line, INLINE_CHOICE, 2))).alias("text"),
+            F.when(bare, taken).when(inline, strip(F.regexp_extract(line, K.INLINE_CHOICE, 2))).alias("text"),
         )
 
     return F.transform(F.when(F.size(lines) > 0, pairs), judge)
@@ -198,23 +193,16 @@ def parse_pages(df: DataFrame, lines: str = "lines") -> DataFrame:
 
 # --- second layout: marker lines ----------------------------------------------------------
 
-_LAST_MARKERS = {
-    "question": "Question", "separator": "_", "your_answer": "Your Answer:", "correct_answer": "Correct Answer:",
-    "confidence": "Confidence Level:", "skills": "Content & Skills", "option_rationale": "Option Rationale:",
-    "item_rationale": "Item Rationale:",
-}
-
-
 def _is_solution(x: Column) -> Column:
-    return F.startswith(x, F.lit("Solution:")) | F.startswith(x, F.lit("The solution is"))
+    return _any([F.startswith(x, F.lit(t)) for t in K.SOLUTION_STARTS])
 
 
 def find_markers(raw: Column) -> Column:
     """Struct of marker positions over lines without image markers; null where absent."""
     solutions = positions(raw, _is_solution)
-    verdicts = positions(raw, lambda x: x.isin("Correct", "Incorrect"))
+    verdicts = positions(raw, lambda x: x.isin(*K.VERDICT_LINES))
     return F.struct(
-        *[last(positions(raw, lambda x, t=text: x == t)).alias(name) for name, text in _LAST_MARKERS.items()],
+        *[last(positions(raw, lambda x, t=text: x == t)).alias(name) for name, text in K.PAGE_MARKERS.items()],
         last(solutions).alias("solution"),
         first(F.filter(verdicts, lambda p: p > first(solutions))).alias("verdict"),
     )
@@ -234,7 +222,7 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     step = staged(df, __l=F.filter(F.transform(
         F.col(lines), lambda x: strip(F.replace(x, F.lit("\xa0"), F.lit(" ")))), lambda x: x != ""))
     step = staged(step, __r=F.transform(L, strip_images))
-    names = [*_LAST_MARKERS, "solution", "verdict"]
+    names = [*K.PAGE_MARKERS, "solution", "verdict"]
     step = staged(step, __m=find_markers(R))
     step = staged(step, **{f"__m_{f}": F.col(f"__m.{f}") for f in names})
     m = {f: F.col(f"__m_{f}") for f in names}
@@ -242,12 +230,12 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     step = staged(step, __head=F.slice(R, F.lit(1), F.least(m["question"], m["separator"]) - 1))
     numbered = F.transform(F.col("__head"), lambda x, i: F.struct(x.alias("t"), (i + 1).alias("p")))
     titles = F.filter(numbered, lambda c: ~(
-        is_boilerplate(c["t"]) | c["t"].isin(*K.NAVIGATION_WORDS) | F.startswith(c["t"], F.lit("Time Spent:"))
-        | c["t"].rlike(r"^\d+/\d+$")
+        is_boilerplate(c["t"]) | c["t"].isin(*K.NAVIGATION_WORDS) | F.startswith(c["t"], F.lit(K.TIME_SPENT))
+        | c["t"].rlike(K.QUESTION_NUMBER)
     ))
     step = staged(
         step, __titles=titles, __letters=positions(R, _letter_line),
-        __opens=first(positions(F.col("__head"), lambda x: F.startswith(x, F.lit("Passage")) & x.rlike(r"(?U)^Passage\s+\d+"))),
+        __opens=first(positions(F.col("__head"), lambda x: F.startswith(x, F.lit("Passage")) & x.rlike(K.PASSAGE_HEAD))),
     )
     title = F.when(F.get("__titles", F.lit(0))["p"] <= 4, F.get("__titles", F.lit(0))["t"])
     section = F.when(title.isNotNull() & (F.get("__titles", F.lit(1))["p"] <= 7), F.get("__titles", F.lit(1))["t"])
@@ -261,8 +249,8 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     passage = keep_where(
         lines_between(L, opens + 1, passage_end), lines_between(R, opens + 1, passage_end),
         lambda r: ~(
-            (r == "_") | is_boilerplate(r) | F.startswith(r, F.lit("Material used in this"))
-            | (F.startswith(r, F.lit("Adapted from")) & r.rlike(r"^Adapted from" + K.NO_WORD_AFTER))
+            (r == "_") | is_boilerplate(r) | F.startswith(r, F.lit(K.MATERIAL_USED))
+            | (F.startswith(r, F.lit(K.ADAPTED_FROM)) & r.rlike("^" + K.ADAPTED_FROM + K.NO_WORD_AFTER))
         ),
     )
 
@@ -278,10 +266,8 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     stop = F.coalesce(m["verdict"], m["your_answer"], size + 1)
     spoken = F.transform(lines_between(R, m["solution"], stop), lambda x: F.when(
         _is_solution(x),
-        blank_to_null(remove(
-            remove(x, r"(?U)^Solution:\s*The correct answer is\s+[A-D]\.\s*"), r"(?U)^The solution is\s+[A-D]:\s*"
-        )),
-    ).when(~x.isin("Item Rationale:", "Option Rationale:"), x))
+        blank_to_null(reduce(remove, K.SOLUTION_PREFIXES, x)),
+    ).when(~x.isin(K.PAGE_MARKERS["item_rationale"], K.PAGE_MARKERS["option_rationale"]), x))
     parts = F.filter(spoken, lambda x: x.isNotNull())
 
     def letter_after(marker):
@@ -291,10 +277,9 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
     confidence = at(R, m["confidence"] + 1)
     step = staged(step, __tail=F.when(m["skills"].isNotNull(), F.slice(R, m["skills"] + 1, F.greatest(size - m["skills"], F.lit(0)))))
     tail = F.col("__tail")
-    stops = positions(tail, lambda x: is_boilerplate(x) | x.rlike(r"(?i)^next question")
-                      | x.rlike(r"(?iU)^[A-D]\s+selected$"))
+    stops = positions(tail, lambda x: is_boilerplate(x) | _any([x.rlike(p) for p in K.SKILLS_END]))
     tags = F.transform(
-        F.slice(tail, F.lit(1), F.coalesce(first(stops) - 1, F.size(tail))), lambda x: strip(remove(x, r"(?U)^Skill:\s*"))
+        F.slice(tail, F.lit(1), F.coalesce(first(stops) - 1, F.size(tail))), lambda x: strip(remove(x, K.SKILL_PREFIX))
     )
     skills = F.filter(tags, lambda x: x != "")
 
@@ -304,14 +289,14 @@ def extract_fields(df: DataFrame, lines: str = "lines", folder: str = "folder")
         "markers": F.col("__m"),
         "source_title": title,
         "section": F.when(is_diagnostic, F.coalesce(section, diagnostic)).otherwise(section),
-        "question_id": F.substring_index(last(F.filter("__head", lambda x: x.rlike(r"^\d+/\d+$"))), "/", 1),
+        "question_id": F.substring_index(last(F.filter("__head", lambda x: x.rlike(K.QUESTION_NUMBER))), "/", 1),
         "passage_parts": F.coalesce(passage, empty),
         "question": F.array_join(stem, " "),
         "solution_parts": F.coalesce(parts, empty),
         "correct_answer": F.coalesce(answer_from_solution(at(R, m["solution"])), letter_after(m["correct_answer"])),
         "user_answer": letter_after(m["your_answer"]),
         "confidence": F.when(
-            ~F.startswith(confidence, F.lit("Content")) & (confidence != "Not Selected"), confidence
+            ~F.startswith(confidence, F.lit("Content")) & (confidence != K.NOT_SELECTED), confidence
         ),
         "content_skills": F.coalesce(skills, empty),
         "images": F.flatten(F.transform(F.filter(L, lambda x: F.contains(x, F.lit(K.IMAGE_OPENING))), image_list)),
@@ -332,7 +317,7 @@ def _with_block_choices(df: DataFrame, lines: Column, raw: Column, end: Column)
         opened = F.col(f"__at_{x}")
         closed = F.coalesce(first(F.filter(blocks, _behind(opened))), end)
         own = strip(F.substring(at(lines, opened), 2, 1_000_000))
-        body = F.filter(lines_between(lines, opened + 1, closed), lambda t: strip_images(t) != "Answer choice eliminated")
+        body = F.filter(lines_between(lines, opened + 1, closed), lambda t: strip_images(t) != K.ELIMINATED_LINE)
         texts[f"__text_{x}"] = strip(F.concat_ws(" ", F.nullif(own, F.lit("")), F.array_join(body, " ")))
     step = staged(step, **texts)
     found = F.array(*[
@@ -364,7 +349,7 @@ def _matches(pattern: str) -> Callable[[Column], Column]:
 
 
 def without_verdict(c: Column) -> Column:
-    return remove(c, VERDICT)
+    return remove(c, K.VERDICT)
 
 
 def _with_rationales(df: DataFrame) -> DataFrame:
@@ -375,7 +360,7 @@ def _with_rationales(df: DataFrame) -> DataFrame:
         __begin=F.col("markers.option_rationale") + 1,
     )
     step = staged(step, __heads=F.filter(
-        positions(R, lambda x: F.startswith(x, F.lit("Option")) & x.rlike(r"(?U)^Option\s+[A-D]:")),
+        positions(R, lambda x: F.startswith(x, F.lit("Option")) & x.rlike(K.OPTION_HEAD)),
         lambda p: (p >= F.col("__begin")) & (p < F.col("__stop")),
     ))
     heads = F.col("__heads")
@@ -384,7 +369,7 @@ def _with_rationales(df: DataFrame) -> DataFrame:
     for x in K.LABELS:
         opened = F.col(f"__on_{x}")
         closed = F.coalesce(first(F.filter(heads, _behind(opened))), F.col("__stop"))
-        own = F.nullif(F.regexp_extract(at(R, opened), r"(?dU)^Option\s+[A-D]:\s*(.*)", 1), F.lit(""))
+        own = F.nullif(F.regexp_extract(at(R, opened), K.OPTION_TEXT, 1), F.lit(""))
         body = F.nullif(F.array_join(lines_between(R, opened + 1, closed), " "), F.lit(""))
         texts[f"__raw_{x}"] = without_verdict(strip(F.concat_ws(" ", own, body)))
         texts[f"__choice_{x}"] = strip(
@@ -429,7 +414,7 @@ def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
         & F.coalesce(*[F.col(f"__opt_{x}") for x in K.LABELS]).isNotNull(),
         __offset=F.when(F.size(parts) == n, 0).when(F.size(parts) == n + 1, 1),
         __letters=F.array_sort(F.map_keys("choices")),
-        __sentences=F.split(F.array_join(parts, " "), r"(?U)(?<=[.!?])\s+"),
+        __sentences=F.split(F.array_join(parts, " "), K.SENTENCE_END),
     )
     step = staged(step, **{
         f"__is_wrong_{x}": F.array_contains("__letters", x) & ~F.coalesce(F.col("correct_answer") == x, F.lit(False))
@@ -441,9 +426,7 @@ def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
 
     kept = F.filter(
         F.transform(F.filter("__sentences", lambda s: ~names_wrong(s)), strip),
-        lambda s: (s != "")
-        & ~s.rlike(r"(?iU)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer")
-        & ~s.rlike(r"(?iU)^(Choice|Option)\s+[A-D]\s+is\s+(the\s+)?(best|correct)"),
+        lambda s: (s != "") & ~_any([s.rlike(p) for p in K.STOCK_SENTENCES]),
     )
     step = staged(
         step, __kept=F.array_join(kept, " "),
@@ -472,8 +455,8 @@ def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
     final = []
     for x in K.LABELS:
         present, text = F.array_contains("__letters", x), F.col(f"__value_{x}")
-        default = F.when(F.col("correct_answer") == x, "Correct. See explanation below.").otherwise(
-            "Incorrect based on the information provided."
+        default = F.when(F.col("correct_answer") == x, K.DEFAULT_RIGHT).otherwise(
+            K.DEFAULT_WRONG
         )
         final.append(F.when(present, F.coalesce(F.nullif(text, F.lit("")), default)).otherwise(text))
     return staged(step, elimination=_letter_map(F.array(*final))).select(*df.columns, "elimination")
@@ -485,13 +468,12 @@ def concept(df: DataFrame) -> DataFrame:
     for code, name in K.SUBJECT_CODE_NAMES.items():
         code_name = F.when(F.col("subject_code") == code, name).otherwise(code_name)
     full = F.array_join("solution_parts", " ")
-    step = staged(df, __name=code_name, __sentence=F.coalesce(
-        matched(full, r"(?dU)^(This is an?\s+.+?question\s+that\s+.+?\.)"), matched(full, r"(?dU)^(This question\s+.+?\.)")
-    ), __stem=strip(remove(F.col("question"), K.IMAGE_MARKER)))
-    cleaned = remove(
-        F.col("__sentence"), r"(?U)^This is an?\s+\w+\s+question\s+that\s+falls under the content category\s*"
+    step = staged(
+        df, __name=code_name, __sentence=F.coalesce(*[matched(full, p) for p in K.CONCEPT_SENTENCES]),
+        __stem=strip(remove(F.col("question"), K.IMAGE_MARKER)),
     )
-    cleaned = blank_to_null(F.regexp_replace(cleaned, r'(?dU)^"(.+?)"\.?\s*', "$1. "))
+    cleaned = remove(F.col("__sentence"), K.CONCEPT_PREFIX)
+    cleaned = blank_to_null(F.regexp_replace(cleaned, K.QUOTED_CONCEPT, "$1. "))
     stem = F.when(F.col("question") != "", ellipsize_words(F.col("__stem"), 120))
     return staged(step, concept=F.coalesce(
         F.concat("__name", F.lit(" \u2014 "), cleaned),
@@ -507,8 +489,8 @@ def why(df: DataFrame, folder: str = "folder") -> DataFrame:
     step = staged(
         df,
         __everything=strip(F.array_join(parts, " ")),
-        __starts=positions(parts, lambda x: x.rlike(r"(?dU)^This is a\s+.+\s+question\s+because")),
-        __options=positions(parts, lambda x: x.rlike(r"(?U)^Option\s+[A-D]:")),
+        __starts=positions(parts, lambda x: x.rlike(K.RATIONALE_START)),
+        __options=positions(parts, lambda x: x.rlike(K.OPTION_HEAD)),
         __reason=F.nullif(reason, F.lit("")),
     )
 
@@ -525,15 +507,9 @@ def why(df: DataFrame, folder: str = "folder") -> DataFrame:
     full = F.when(
         F.startswith(F.col(folder), F.lit("CARS_d")), F.coalesce(diagnostic, F.col("__everything"))
     ).otherwise(F.col("__everything"))
-    for pattern in (
-        r'(?U)^This is an?\s+\w+\s+question\s+that\s+falls under\s+the\s+content\s+category\s*"[^"]*"\.\s*',
-        r"(?U)^The answer to this question is [A-D] because\s+",
-        r"(?dU)\s*It is a [\w\s]+question because it requires.*$",
-    ):
-        full = remove(full, pattern)
-    conclusion = r"(?U)^Thus,?\s+[A-D]\s+is\s+(the\s+)?(best|correct)\s+answer\.?\s*$"
-    step = staged(step, __full=F.nullif(strip(remove(strip(full), conclusion)), F.lit("")))
-    text = F.coalesce("__full", "__reason", F.lit("See elimination reasoning above."))
+    full = reduce(remove, K.WHY_STOCK, full)
+    step = staged(step, __full=F.nullif(strip(remove(strip(full), K.WHY_CONCLUSION)), F.lit("")))
+    text = F.coalesce("__full", "__reason", F.lit(K.DEFAULT_WHY))
     return staged(step, why=ellipsize(text, 1500)).select(*df.columns, "why")
 
 

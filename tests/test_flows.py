@@ -5,7 +5,6 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from gradeframe import schemas
 from gradeframe.operators import maintenance as U
@@ -186,4 +185,4 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 35
-    assert F is not None and len(entry.queries()) == len(entry.oracle_sql()) + 1
+    assert len(entry.queries()) == len(entry.oracle_sql()) + 1
