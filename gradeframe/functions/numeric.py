@@ -24,10 +24,16 @@ def round_even(c: Column, places: int = 0) -> Column:
 
 
 def exact_sum(c: Column, places: int = SUM_PLACES) -> Column:
-    """Sum of a double column, exact at ``places`` decimals whatever the row order."""
+    """Sum of a double column, exact at ``places`` decimals whatever the row order.
+
+    The scaled integers are summed as high and low parts, so neither sum overflows where a
+    single 64-bit sum would, and both stay primitive until the end.
+    """
     scale = F.lit(float(10**places))
-    units = F.rint(c * scale).cast("bigint").cast("decimal(20,0)")
-    return F.sum(units).cast("double") / scale
+    units = F.rint(c * scale).cast("bigint")
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(20,0)")
+    return (high * F.lit(1 << 20).cast("decimal(7,0)") + low).cast("double") / scale
 
 
 def exact_mean(c: Column, places: int = SUM_PLACES) -> Column:

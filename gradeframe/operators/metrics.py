@@ -46,20 +46,18 @@ def _macro_counts() -> list[Column]:
 
 def _with_macro(counts: DataFrame) -> DataFrame:
     """Per-label precision, recall and F1 from the counts, then the plain mean of four labels."""
-    p, r, f = {}, {}, {}
-    for x in K.LABELS:
-        tp, fp, fn = (F.col(f"__{k}_{x}") for k in ("tp", "fp", "fn"))
-        p[x], r[x] = share(tp, tp + fp), share(tp, tp + fn)
-        counts = counts.withColumn(f"__p_{x}", p[x]).withColumn(f"__r_{x}", r[x])
-    for x in K.LABELS:
-        px, rx = F.col(f"__p_{x}"), F.col(f"__r_{x}")
-        f[x] = share(2 * px * rx, px + rx)
-        counts = counts.withColumn(f"__f_{x}", f[x])
-    n = float(len(K.LABELS))
-    for letter, name in (("p", "macro_precision"), ("r", "macro_recall"), ("f", "macro_f1")):
-        total = reduce(add, [F.col(f"__{letter}_{x}") for x in K.LABELS])
-        counts = counts.withColumn(name, total / F.lit(n))
-    return counts.drop(*[c for c in counts.columns if c.startswith("__")])
+    c = {f"{k}_{x}": F.col(f"__{k}_{x}") for k in ("tp", "fp", "fn") for x in K.LABELS}
+    counts = counts.withColumns({
+        f"__{name}_{x}": share(c[f"tp_{x}"], c[f"tp_{x}"] + c[f"{other}_{x}"])
+        for x in K.LABELS for name, other in (("p", "fp"), ("r", "fn"))
+    })
+    precision, recall = ([F.col(f"__{k}_{x}") for x in K.LABELS] for k in "pr")
+    f1 = [share(2 * p * r, p + r) for p, r in zip(precision, recall)]
+    out = counts.withColumns({
+        f"macro_{name}": reduce(add, values) / F.lit(float(len(K.LABELS)))
+        for name, values in (("precision", precision), ("recall", recall), ("f1", f1))
+    })
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def macro_metrics(df: DataFrame, by: Sequence[str] = (), places: int | None = None) -> DataFrame:
