@@ -11,8 +11,9 @@ from gradeframe.operators import metrics as M
 from gradeframe.plans import oracle_views as O
 from gradeframe.plans import views as V
 from gradeframe.plans.registry import query
-from gradeframe.plans.summaries import WITH
+from gradeframe.plans.summaries import RUNS, WITH, _run_rows
 from gradeframe.plans.texts import ITEMS, _items
+from gradeframe.plans.upkeep import STATES
 from gradeframe.plans.vectors import SELECTOR
 from gradeframe.session import work_dir
 from gradeframe.sources import readers as R
@@ -124,3 +125,43 @@ def e1_file(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.length(question)).alias("chars"),
         F.sum(F.size("messages")).cast("bigint").alias("messages"),
     )
+
+
+@query("A4_read_exam_samples", """select concat(p_brand, ' ', p_type) as id, cast(count(*) as varchar) as question, p_type as a,
+  case when p_brand < 'Brand#2' then 'given' else 'split_x' end as eval_split_name, p_brand as subject_category from part group by all""")
+def a4(spark, sf):
+    path = work_dir(spark, "samples")
+    samples = V.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat_ws(" ", "p_brand", "p_type").alias("folder"), F.concat_ws(" ", "p_brand", "p_type").alias("id"),
+        F.col("n").cast("string").alias("question"), F.create_map(F.lit("A"), "p_type").alias("choices"),
+        F.when(F.col("p_brand") < "Brand#2", "given").otherwise("").alias("test_set"),
+        F.concat(F.lit(" "), "p_brand", F.lit(" ")).alias("section"),
+    )
+    # one document per file
+    samples.write.partitionBy("folder").json(path)
+    back = R.read_exam_samples(spark, path, "split_x", recursive=True)
+    return back.select("id", "question", F.col("choices")["A"].alias("a"), "eval_split_name", "subject_category")
+
+
+@query("A6_read_run_metrics", f"""{RUNS}, w as (select run, count(*) as n_subjects from s group by 1)
+  select concat('run=', run) as run, overall_accuracy, total_samples, correct, n_subjects from runs join w using (run)""")
+def a6(spark, sf):
+    path = work_dir(spark, "runs")
+    M.run_metrics(_run_rows(spark, sf)).write.partitionBy("run").json(path)
+    back = R.read_run_metrics(spark, path, "*.json")
+    return back.select(
+        "run", "overall_accuracy", "total_samples", "correct",
+        F.size("per_subject_accuracy").cast("bigint").alias("n_subjects"),
+    )
+
+
+@query("A7_read_trainer_state", f"""{STATES}, c as (select l_suppkey % 10 as r, l_linenumber * 100 as step, count(*) as n from lineitem group by 1, 2)
+  select concat('run=', r) as run, 'step=checkpoint-700' as checkpoint, cast(700 as bigint) as global_step, n as max_steps from c where step = 700""")
+def a7(spark, sf):
+    path = work_dir(spark, "checkpoints")
+    step = (F.col("l_linenumber") * 100).cast("bigint")
+    states = V.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("run"), step.alias("global_step")).agg(
+        F.count(F.lit(1)).alias("max_steps")
+    )
+    states.withColumn("step", F.concat(F.lit("checkpoint-"), "global_step")).write.partitionBy("run", "step").json(path)
+    return R.read_trainer_state(spark, path, pattern="*.json").select("run", "checkpoint", "global_step", "max_steps")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gradeframe.functions import options as P
@@ -112,6 +114,20 @@ def n3(spark, sf):
     return N.gate_report(_hybrid(spark, sf))
 
 
+def _scorer(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stand-in for a user's model: the arg max of each row of an Arrow batch."""
+    probs = np.stack(batch["probs"].to_numpy()) if len(batch) else np.zeros((0, 4))
+    return pd.DataFrame({
+        "id": batch["id"], "predicted_index": probs.argmax(axis=1).astype("int32"), "confidence": probs.max(axis=1, initial=0.0),
+    })
+
+
+@query("O1_predict_batches", f"with {SELECTOR} select id, predicted_index, confidence from selector")
+def o1(spark, sf):
+    rows = V.selector_output(spark, sf).select("id", "probs")
+    return R.predict_batches(rows, _scorer, "id string, predicted_index int, confidence double")
+
+
 # --- retrieval: every vector asks for its nearest passages ---------------------------------
 
 TOPK = """e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),

@@ -58,10 +58,13 @@ def parse_items(raw: DataFrame, schema: T.StructType = S.MCQ_ITEM, column: str =
     return raw.select(F.from_json(column, schema).alias("__i")).select("__i.*")
 
 
-def read_exam_samples(spark: SparkSession, path: str, split: str) -> DataFrame:
+def read_exam_samples(spark: SparkSession, path: str, split: str, recursive: bool = False) -> DataFrame:
     """A folder with one JSON document per file; file name, split and subject are attached."""
     def load():
-        return spark.read.schema(S.EXAM_SAMPLE).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+        return (
+            spark.read.schema(S.EXAM_SAMPLE).option("multiLine", "true").option("pathGlobFilter", "*.json")
+            .option("recursiveFileLookup", str(recursive).lower()).json(path)
+        )
 
     docs = read_or_empty(spark, S.EXAM_SAMPLE, load)
     source = F.col("_metadata.file_name") if "_metadata" in _hidden(docs) else F.lit(None).cast("string")
@@ -107,12 +110,12 @@ def _read_by_header(spark: SparkSession, path: str) -> DataFrame:
     ])
 
 
-def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
+def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*_metrics.json") -> DataFrame:
     """One metrics document per run folder: the file named after the folder, else the first other."""
     def load():
         return (
             spark.read.schema(S.RUN_METRICS).option("multiLine", "true").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*_metrics.json").json(root)
+            .option("pathGlobFilter", pattern).json(root)
             .select("*", F.col("_metadata.file_path").alias("__path"))
         )
 
@@ -129,7 +132,9 @@ def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("run", *[f.name for f in S.RUN_METRICS.fields])
 
 
-def read_trainer_state(spark: SparkSession, root: str, numeric_order: bool = True) -> DataFrame:
+def read_trainer_state(
+    spark: SparkSession, root: str, numeric_order: bool = True, pattern: str = "trainer_state.json"
+) -> DataFrame:
     """The state of the last checkpoint per run below ``root/<run>/checkpoint-N/``.
 
     ``numeric_order=False`` orders checkpoint names as text, which puts 200 behind 1000.
@@ -137,7 +142,7 @@ def read_trainer_state(spark: SparkSession, root: str, numeric_order: bool = Tru
     def load():
         return (
             spark.read.schema(S.TRAINER_STATE).option("multiLine", "true").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "trainer_state.json").json(root)
+            .option("pathGlobFilter", pattern).json(root)
             .select("*", F.col("_metadata.file_path").alias("__path"))
         )
 

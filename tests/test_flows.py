@@ -147,6 +147,17 @@ def test_submission_lifecycle_over_batches_and_restarts(spark, tmp_path):
     assert board == [{"model": "x", "correct": 1, "total": 2, "accuracy_pct": 50}]
 
 
+def test_lifecycle_events_unite_both_streams(spark):
+    subs = spark.createDataFrame([("a", 1, at(0))], "submission_id string, total_questions bigint, submitted_at timestamp")
+    graded = spark.createDataFrame(
+        [("a", "q", [("m", True)], at(1))],
+        "submission_id string, question_id string, model_answers array<struct<model:string,is_correct:boolean>>, event_time timestamp",
+    )
+    rows = ML.lifecycle_events(subs, graded).orderBy("event_time").collect()
+    assert [(r.expected, r.question_id) for r in rows] == [(1, None), (None, "q")]
+    assert json.loads(rows[1].answers) == [{"model": "m", "is_correct": True}]
+
+
 def test_status_in_batch(spark):
     subs = spark.createDataFrame([("a", 1, at(0)), ("b", 2, at(0))], "submission_id string, total_questions int, submitted_at timestamp")
     graded = spark.createDataFrame([("a", "q", at(29)), ("b", "q", at(1)), ("b", "r", at(31))], "submission_id string, question_id string, event_time timestamp")
