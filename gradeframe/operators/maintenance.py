@@ -27,6 +27,31 @@ def upsert(
     return newest(existing.unionByName(new, allowMissingColumns=True), keys, recency)
 
 
+def merge_batch(
+    existing: DataFrame, batch: DataFrame, keys: Sequence[str] = tuple(PREDICTION_KEYS),
+    recency: Sequence[str] = ("run_seq",),
+) -> DataFrame:
+    """Upsert a batch into a table that already has one row per key.
+
+    The wide rows of the table are not shuffled when the batch's keys fit a broadcast: they are
+    only tested against the newest batch row of their key. Equal recency goes to the batch.
+    """
+    winners = newest(batch, keys, recency)
+    marks = winners.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(*recency).alias("__newest"), F.lit(True).alias("__hit")
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    stays = F.col("__hit").isNull() | (F.struct(*recency) > F.col("__newest"))
+    kept = existing.join(marks, same, "left").where(stays).select(*existing.columns)
+    newer = existing.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in recency]).join(marks, same).where(
+        F.struct(*[F.col(f"__old_{c}") for c in recency]) > F.col("__newest")
+    ).select(*[F.col(f"__k_{k}") for k in keys])
+    entering = winners.join(newer, same, "left_anti")
+    return kept.unionByName(entering, allowMissingColumns=True)
+
+
 def pending_questions(
     samples: DataFrame, predictions: DataFrame, on: Sequence[str] = ("question_id",)
 ) -> DataFrame:

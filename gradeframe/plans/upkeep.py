@@ -12,6 +12,8 @@ from gradeframe.operators import ranking as H
 from gradeframe.plans import oracle_views as O
 from gradeframe.plans import views as V
 from gradeframe.plans.registry import query
+from gradeframe.session import work_dir
+from gradeframe.sources.writers import upsert_table
 from gradeframe.plans.summaries import RUNS, SUMMARY_BY_SPLIT, WITH, _run_rows
 
 NEWEST = """newest as (select * exclude (rn) from (
@@ -24,12 +26,34 @@ KEPT_COLUMNS = [c.strip() for c in KEPT.split(",")]
 
 @query("H2_upsert", f"{WITH}, {NEWEST} select {KEPT} from newest")
 def h2(spark, sf):
-    rows = V.predictions(spark, sf)
-    old = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")
+    rows, old = _old(spark, sf)
     merged = U.upsert(rows.where(old), rows.where(~old), recency=V.RECENCY)
     return merged.select(*KEPT_COLUMNS)
 
 
+def _old(spark, sf):
+    rows = V.predictions(spark, sf)
+    old = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")
+    return rows, old
+
+
+@query("H2_merge_batch", f"{WITH}, {NEWEST} select {KEPT} from newest")
+def h2_merge(spark, sf):
+    rows, old = _old(spark, sf)
+    # the batch holds older rows too, so both sides can win
+    table = U.newest(rows.where(~old), recency=V.RECENCY)
+    return U.merge_batch(table, rows.where(old), recency=V.RECENCY).select(*KEPT_COLUMNS)
+
+
+@query("H2_upsert_table", f"{WITH}, {NEWEST} select {KEPT} from newest")
+def h2_table(spark, sf):
+    rows, old = _old(spark, sf)
+    path = work_dir(spark, "prediction-table")
+    for batch in (rows.where(old), rows.where(~old)):
+        upsert_table(batch, path, recency=V.RECENCY)
+    return spark.read.schema(rows.schema).parquet(path).select(*KEPT_COLUMNS)
+
+
 @query("F4_pending_questions", f"""{WITH}, done as (select question_id from predictions where l_shipdate < timestamp '1998-01-01')
   select distinct question_id from predictions where question_id not in (select question_id from done)""")
 def f4(spark, sf):

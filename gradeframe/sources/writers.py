@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe import constants as K
+from gradeframe.operators.maintenance import merge_batch
+from gradeframe.session import bounded_local, materialise
+from gradeframe.sources.readers import read_or_empty
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,6 +38,24 @@ def write_predictions(df: DataFrame, path: str) -> None:
     )
 
 
+def upsert_table(
+    batch: DataFrame, path: str, keys: Sequence[str] = tuple(K.PREDICTION_KEYS), recency: Sequence[str] = ("run_seq",)
+) -> None:
+    """Upsert a batch into a partitioned prediction table on disk.
+
+    Only the (split, model) partitions that the batch touches are read, merged and replaced. The
+    merged rows are written to the shared folder first, because a table cannot be overwritten
+    while it is read.
+    """
+    spark = batch.sparkSession
+    parts = ["eval_split_name", "model_key"]
+    touched = bounded_local(batch.select(*[F.col(c).alias(f"__t_{c}") for c in parts]).distinct())
+    same = F.col(parts[0]).eqNullSafe(F.col(f"__t_{parts[0]}")) & F.col(parts[1]).eqNullSafe(F.col(f"__t_{parts[1]}"))
+    table = read_or_empty(spark, batch.schema, lambda: spark.read.schema(batch.schema).parquet(path))
+    existing = table.join(touched, same, "left_semi")
+    write_predictions(materialise(merge_batch(existing, batch, keys, recency), "merged"), path)
+
+
 def export_questions(df: DataFrame, columns: Sequence[str] = tuple(K.QUESTION_EXPORT_COLUMNS)) -> DataFrame:
     """The fixed export columns, absent ones empty, others left out."""
     return df.select(*[

@@ -94,6 +94,26 @@ def test_upsert_is_idempotent_and_ignores_order(spark):
     assert "WindowGroupLimit" in physical(once)
 
 
+def test_merge_batch_keeps_the_newer_row_and_broadcasts_the_batch(spark):
+    old = spark.createDataFrame([("t", "s", "m", "q1", 5, "old"), ("t", "s", "m", "q2", 1, "keep"), (None, "s", "m", "q3", 1, "null")], PRED)
+    new = spark.createDataFrame([("t", "s", "m", "q1", 4, "late"), ("t", "s", "m", "q2", 1, "equal"), (None, "s", "m", "q3", 2, "new"), ("t", "s", "m", "q4", 0, "in")], PRED)
+    out = sorted((r.question_id, r.v) for r in U.merge_batch(old, new).collect())
+    assert out == [("q1", "old"), ("q2", "equal"), ("q3", "new"), ("q4", "in")]
+    assert "SortMergeJoin" not in physical(U.merge_batch(old, new))
+
+
+def test_upsert_table_replaces_only_touched_partitions(spark, tmp_path):
+    from gradeframe.sources.writers import upsert_table
+
+    path = str(tmp_path / "t")
+    upsert_table(spark.createDataFrame([("t", "s1", "m", "q1", 1, "a"), ("t", "s2", "m", "q1", 1, "b")], PRED), path)
+    before = {p.name for p in (tmp_path / "t" / "eval_split_name=s2").rglob("*.parquet")}
+    upsert_table(spark.createDataFrame([("t", "s1", "m", "q1", 2, "c"), ("t", "s1", "m", "q2", 1, "d")], PRED), path)
+    assert {p.name for p in (tmp_path / "t" / "eval_split_name=s2").rglob("*.parquet")} == before
+    rows = spark.read.schema(PRED).parquet(path).collect()
+    assert sorted((r.eval_split_name, r.question_id, r.v) for r in rows) == [("s1", "q1", "c"), ("s1", "q2", "d"), ("s2", "q1", "b")]
+
+
 def test_pending_and_done_partition_the_samples(spark):
     samples = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "question_id string")
     done = spark.createDataFrame([("q1",), ("q1",), (None,)], "question_id string")
