@@ -73,18 +73,23 @@ def _rounded(df: DataFrame, places: int, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: round_even(F.col(c), places) for c in columns})
 
 
-def _with_quantiles(df, summary, by, quantiles, approx):
-    found = (approx_quantiles if approx else exact_quantiles)(df, by, quantiles)
-    return join_on(summary, found, by, "left")
+def _with_quantiles(
+    df: DataFrame, summary: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]], method: str
+) -> DataFrame:
+    """Join quantiles to a summary: "exact", "approx" (one pass, bounded sketches) or "none" (null)."""
+    if method == "none":
+        return summary.withColumns({name: F.lit(None).cast("double") for name in wanted})
+    compute = {"exact": exact_quantiles, "approx": approx_quantiles}[method]
+    return join_on(summary, compute(df, by, wanted), by, "left")
 
 
 def summary_by_split(
-    df: DataFrame, by: Sequence[str] = tuple(SPLIT_KEYS), approx: bool = False, sort: bool = True
+    df: DataFrame, by: Sequence[str] = tuple(SPLIT_KEYS), quantiles: str = "exact", sort: bool = True
 ) -> DataFrame:
     """Accuracy, invalid rate, latency, token and macro metrics per split and model.
 
     Null keys form groups. Token and throughput columns are null for a group without any.
-    ``approx`` replaces the exact median and p90 by bounded sketches.
+    ``quantiles`` is "exact", "approx" (bounded sketches in one pass) or "none" (null columns).
     """
     by = list(by)
     base = df.groupBy(*by).agg(
@@ -106,7 +111,7 @@ def summary_by_split(
             "p90_latency_s": ("latency_s", 0.9),
             "median_tokens_per_sec": ("tokens_per_sec", 0.5),
         },
-        approx,
+        quantiles,
     )
     summary = _rounded(summary, 4, [
         "accuracy", "macro_precision", "macro_recall", "macro_f1", "invalid_prediction_rate",
@@ -248,7 +253,7 @@ def subject_accuracy(
 
 
 def performance_summary(
-    df: DataFrame, by: Sequence[str] = (), specs: DataFrame | None = None, approx: bool = False
+    df: DataFrame, by: Sequence[str] = (), specs: DataFrame | None = None, quantiles: str = "exact"
 ) -> DataFrame:
     """Accuracy, latency, tokens, throughput and finish reasons per model (and split)."""
     keyed = df.where(_all_present([*by, "model_key"]))
@@ -273,7 +278,7 @@ def performance_summary(
             "p90_latency_s": ("latency_s", 0.9),
             "median_tokens_per_sec": ("tokens_per_sec", 0.5),
         },
-        approx,
+        quantiles,
     )
     places = {
         "accuracy": 4, "mean_latency_s": 2, "median_latency_s": 2, "p90_latency_s": 2, "total_time_min": 1,
@@ -406,7 +411,7 @@ def compare_predictors(encoder: DataFrame, generative: DataFrame) -> DataFrame:
     )
 
 
-def speed_summary(parts: dict[str, DataFrame], training: DataFrame | None = None, approx: bool = False) -> DataFrame:
+def speed_summary(parts: dict[str, DataFrame], training: DataFrame | None = None, quantiles: str = "exact") -> DataFrame:
     """Latency and throughput per category and model; optional training rows are united below.
 
     ``training`` has model, hardware, precision, steps, runtime_s, samples_per_s, steps_per_s,
@@ -429,7 +434,7 @@ def speed_summary(parts: dict[str, DataFrame], training: DataFrame | None = None
     )
     out = _with_quantiles(
         tagged, base, keys,
-        {"median_latency_s": ("latency_s", 0.5), "p90_latency_s": ("latency_s", 0.9)}, approx,
+        {"median_latency_s": ("latency_s", 0.5), "p90_latency_s": ("latency_s", 0.9)}, quantiles,
     )
     out = out.select(
         *keys,

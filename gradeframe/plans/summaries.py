@@ -208,7 +208,7 @@ def f9(spark, sf):
   select eval_split_name, model_key, accuracy, n_questions, invalid_prediction_rate as parse_failure_rate,
     {O.r('1.96 * sqrt(accuracy * (1 - accuracy) / n_questions)', 4)} as ci_half_width from by_split""")
 def g18(spark, sf):
-    by_split = M.summary_by_split(V.predictions(spark, sf), approx=True, sort=False)
+    by_split = M.summary_by_split(V.predictions(spark, sf), quantiles="none", sort=False)
     return M.accuracy_ci(by_split).select(
         "eval_split_name", "model_key", "accuracy", "n_questions", "parse_failure_rate", "ci_half_width"
     )
@@ -250,7 +250,7 @@ def _pivot(alias, value):
   select eval_split_name, """ + _pivot("", "coalesce(max(accuracy) filter (where model_display_name = '{m}'), 0)")
   + " from s group by 1")
 def l1(spark, sf):
-    by_split = M.summary_by_split(V.predictions(spark, sf), approx=True, sort=False)
+    by_split = M.summary_by_split(V.predictions(spark, sf), quantiles="none", sort=False)
     return C.pivot_split_model(by_split, V.MODEL_NAMES)
 
 

@@ -183,7 +183,7 @@ LEADER = f"""{WITH}, {SUMMARY_BY_SPLIT}, agg as (
     cast(floor(mean_accuracy / (best * 1.05::double) * 100 + 0.5::double) as int) as bar_width,
     cast(floor(mean_accuracy * 100 + 0.5::double) as int) as bar_pct from agg, b""")
 def h4(spark, sf):
-    agg = M.summary_aggregated(M.summary_by_split(V.predictions(spark, sf), approx=True, sort=False))
+    agg = M.summary_aggregated(M.summary_by_split(V.predictions(spark, sf), quantiles="none", sort=False))
     rows = agg.select("model_display_name", "mean_accuracy", "mean_macro_f1")
     return H.leaderboard(rows, "mean_macro_f1", "mean_accuracy")
 
@@ -295,7 +295,7 @@ def g22(spark, sf):
   union all select run, 'development split', 'run', {O.r('acc * 100.0::double', 2)}, null, null, n from runs""")
 def j1(spark, sf):
     preds = V.predictions(spark, sf)
-    agg = M.summary_aggregated(M.summary_by_split(preds, approx=True, sort=False))
+    agg = M.summary_aggregated(M.summary_by_split(preds, quantiles="none", sort=False))
     rows = preds.select(
         F.col("model_key").alias("run"), F.col("subject_category").alias("subject_name"),
         F.col("gold_answer").alias("ground_truth"), F.col("pred_answer").alias("predicted"),

@@ -34,8 +34,8 @@ def _is_array_file(spark: SparkSession, path: str) -> bool:
 def read_mcq(spark: SparkSession, path: str, schema: T.StructType = S.MCQ_ITEM) -> DataFrame:
     """Question items from CSV with a header, JSON lines, or a JSON array.
 
-    CSV and JSON lines are split across tasks. An array is one document per file, so a data set
-    of that form is spread over files, one task each.
+    JSON lines are split across tasks. A CSV with line breaks inside quotes and a JSON array are
+    read one task per file, so large sets of these forms come as many files.
     """
     if path.rstrip("/").endswith(".csv"):
         return (

@@ -162,3 +162,10 @@ def test_run_metrics_document(spark):
     out = M.run_metrics(df).first()
     assert out.overall_accuracy == pytest.approx(2 / 3) and out.macro_averaged_accuracy == 0.75
     assert out.per_subject_accuracy["X & Y"].n == 2 and out.confusion_matrix["B"]["None"] == 1
+
+
+def test_quantile_methods(spark):
+    df = spark.createDataFrame(rows(SIX), SCHEMA)
+    approx = M.summary_by_split(df, quantiles="approx").first()
+    assert approx.p90_latency_s == 4.0 and approx.median_latency_s in (1.0, 2.0)
+    assert M.summary_by_split(df, quantiles="none").first().median_latency_s is None
