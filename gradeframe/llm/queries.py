@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import packing
+from gradeframe.llm import packing, token_files
 from gradeframe.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@_query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return token_files.read(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
