@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import packing, token_files
+from gradeframe.llm import fingerprints, packing, token_files, viterbi
 from gradeframe.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _query(fn: Query) -> Query:
@@ -30,6 +31,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+@_query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 @_query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
