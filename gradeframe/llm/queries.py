@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, fingerprints, langid, packing, token_files, viterbi
+from gradeframe.llm import decontaminate, fingerprints, langid, packing, quality, token_files, viterbi, warc
 from gradeframe.llm.shared import held_out
 from gradeframe.plans.registry import Query
 
@@ -32,6 +32,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, ranking).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    files = warc.write(warc.record_types(pages), warc.train_dictionary(pages))
+    return warc.read(files, with_payload=False).drop("url")
+
+
 @_query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
