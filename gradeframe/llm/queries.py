@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, fingerprints, langid, packing, quality, token_files, viterbi, warc
+from gradeframe.llm import decontaminate, fingerprints, langid, near_dedup, packing, quality, token_files, viterbi, warc
 from gradeframe.llm.shared import held_out
 from gradeframe.plans.registry import Query
 
@@ -51,6 +51,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("digest")
+
+
 @_query
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
