@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, fingerprints, langid, near_dedup, packing, quality, token_files, viterbi, warc
+from gradeframe.llm import decontaminate, fingerprints, langid, near_dedup, packing, quality, secret_scan, token_files, viterbi, warc
 from gradeframe.llm.shared import held_out
 from gradeframe.plans.registry import Query
 
@@ -22,6 +22,36 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+def _sql_secrets() -> str:
+    """The spans of every rule from the matches and the pieces between them, whole texts."""
+    rules = ", ".join(
+        f"({n}, '{r.kind}', '{r.regex.replace(chr(39), chr(39) * 2)}', {r.least}, {r.group})" for n, r in enumerate(secret_scan.RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (no = {n}) AS n_{r.kind}" for n, r in enumerate(secret_scan.BASE_RULES))
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    base = len(secret_scan.BASE_RULES)
+    return f"""
+WITH rules(no, kind, re, least, grp) AS (VALUES {rules}),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, no, kind, least, string_split_regex(t, re) AS p, regexp_extract_all(t, re, 0) AS f,
+         CASE grp WHEN 2 THEN regexp_extract_all(t, re, 2) ELSE regexp_extract_all(t, re, 0) END AS g
+  FROM d, rules WHERE no <> 2 AND regexp_matches(t, re)
+  UNION ALL
+  SELECT doc_id, no, kind, least, string_split_regex(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}', 0), regexp_extract_all(t, '[0-9a-f]{{24,}}', 0)
+  FROM d, rules WHERE no = 2 AND regexp_matches(t, '[0-9a-f]{{24,}}')),
+e AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, no, kind, length(f[i]) AS n, length(g[i]) >= least AS ok,
+         list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a FROM e),
+h AS (
+  SELECT doc_id, {counts},
+         string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, no) AS spans,
+         string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, no) FILTER (no < {base}) AS base
+  FROM s WHERE ok GROUP BY doc_id)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN h USING (doc_id)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +69,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranking).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+@_query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_secret_scan"] = _sql_secrets()
+
+
 @_query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
