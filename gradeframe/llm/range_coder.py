@@ -20,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK_IDS = 4096
-SLOTS = 1 << 10  # entries of a block's table of each order
+BLOCK_IDS = 2048
+SLOT_BITS = 9
+SLOTS = 1 << SLOT_BITS  # entries of a block's table of each order
 UNIT = 16  # bits of the mixture's probabilities
 ONE = 1 << UNIT
 STEP = 4  # a weight moves by 1/16 of its distance
@@ -80,8 +81,8 @@ class Model:
     def predict(self, n: int) -> None:
         """Predictions of the first ``n`` lanes, and the ends of their shares of the unit."""
         a, b = self.last[0][:n], self.last[1][:n]
-        self.at1 = self.base[:n] + ((a * np.uint32(2654435761)) >> np.uint32(22))
-        self.at2 = self.base[:n] + ((a * np.uint32(2246822519) + b * np.uint32(3266489917)) >> np.uint32(22))
+        self.at1 = self.base[:n] + ((a * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS))
+        self.at2 = self.base[:n] + ((a * np.uint32(2246822519) + b * np.uint32(3266489917)) >> np.uint32(32 - SLOT_BITS))
         self.entry2, self.entry1 = self.tables[1].take(self.at2), self.tables[0].take(self.at1)
         self.id2, self.id1 = self.entry2 & ID_MASK, self.entry1 & ID_MASK
         self.at_w = self.base16[:n] + (((self.entry2 >> np.uint32(24)) << np.uint32(2)) | (self.entry1 >> np.uint32(24)))

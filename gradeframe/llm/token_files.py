@@ -32,7 +32,7 @@ from gradeframe.session import materialise, work_dir
 MAGIC = b"GFTOKEN1"
 HEADER = "<IQIBIIII"  # documents, ids, blocks, order-0 bits, bytes of the four sections
 HEADER_BYTES = struct.calcsize(HEADER)
-SEGMENT_IDS = 4 << 20  # ids coded side by side; a segment ends with the document that reaches it
+SEGMENT_IDS = 8 << 20  # ids coded side by side; a segment ends with the document that reaches it
 
 FILES = "part long, uri string, n_docs long, n_ids long, n_bytes long"
 _FILES = pa.schema([("part", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
