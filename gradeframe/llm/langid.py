@@ -21,6 +21,8 @@ CALIBRATION_DOCS = 2_000  # learning rows on which rejection and score are calib
 REJECT_Z = 8.0
 LEAST_SPREAD = 1.0  # nats by which the cost of a single symbol varies at least
 UNDETERMINED = "und"
+SLICE = 1 << 20  # bytes of text turned into n-grams at once; each takes about 60 bytes of memory
+TASK_GRAMS = 1 << 20  # n-grams that a task counts before it hands its counts on
 _16 = np.uint64(16)
 
 
@@ -195,13 +197,33 @@ def _gram_counts(train: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches):
-            langs = np.array(rows.column("lang").to_pylist(), object)
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def merged() -> int:
+            for lang, parts in held.items():
+                distinct, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                held[lang] = [(distinct, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64))]
+            return sum(len(k) for ((k, _),) in held.values())
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            for lang, ((keys, n),) in held.items():
+                yield record_batch(schema, lang=[lang] * len(keys), gram=keys.view(np.int64), n=n)
+            held.clear()
+
+        for rows in text_slices(batches, SLICE):
+            names = rows.column("lang").to_pylist()
+            langs = {lang: n for n, lang in enumerate(dict.fromkeys(names))}
             keys, owner = grams(texts_of(rows))
-            of_key = langs[owner]
-            for lang in dict.fromkeys(langs.tolist()):
-                found, n = np.unique(keys[of_key == lang], return_counts=True)
-                yield record_batch(schema, lang=[lang] * len(found), gram=found.view(np.int64), n=n)
+            of_key = np.array([langs[x] for x in names], np.int16)[owner]
+            for lang, n in langs.items():
+                held.setdefault(lang, []).append(np.unique(keys[of_key == n], return_counts=True))
+                size += len(held[lang][-1][0])
+            if size > 2 * TASK_GRAMS and (size := merged()) > TASK_GRAMS:
+                yield from listed()
+                size = 0
+        merged()
+        yield from listed()
 
     return train.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -226,7 +248,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model = build(languages, language, kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy().astype(np.float64))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, SLICE):
             h, n = entropies(model, texts_of(rows))
             yield pa.record_batch({"lang": rows.column("lang"), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
@@ -287,7 +309,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, SLICE):
             lang, score, cost, rejected = _decide(model, texts_of(rows))
             yield record_batch(_PREDICTED, doc_id=rows.column("doc_id"), lang_pred=lang, score=score, cross_entropy=cost, rejected=rejected)
 
@@ -298,7 +320,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """The documents that are not rejected, with all their columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, column=text_col):
+        for rows in text_slices(batches, SLICE, text_col):
             yield rows.filter(pa.array(~_decide(model, texts_of(rows, text_col))[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of text that a task turns into Python objects at once. A single longer text is a slice alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
