@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -134,8 +133,13 @@ def likeness(a: np.ndarray, has_a: np.ndarray, b: np.ndarray, has_b: np.ndarray)
 
 
 def shown(prints: np.ndarray, has: np.ndarray) -> list[str]:
-    """Fingerprints as base64 text; empty for texts without shingles."""
-    return [base64.b64encode(p.tobytes()).decode() if h else "" for p, h in zip(prints, has, strict=True)]
+    """Fingerprints as hexadecimal text; empty for texts without shingles."""
+    return [p.hex() for p in packed(prints, has)]
+
+
+def packed(prints: np.ndarray, has: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes; none for texts without shingles."""
+    return [p.tobytes() if h else b"" for p, h in zip(prints, has, strict=True)]
 
 
 def edited(text: str, following: str) -> str:
@@ -146,9 +150,9 @@ def edited(text: str, following: str) -> str:
 
 _ROWS = pa.schema([
     ("part", pa.int64()), ("role", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-    ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string()),
+    ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string()),
 ])
-_DDL = "part long, role string, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+_DDL = "part long, role string, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
 RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -160,7 +164,7 @@ def _results(part: int, ids: list[int | None], texts: list[str], following: list
     return record_batch(
         _ROWS, part=[part] * n, role=["done"] * n, doc_id=ids, n_chars=[len(t) for t in texts],
         edited_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in changed],
-        fingerprint=shown(own, has), edited_fingerprint=shown(theirs, they_have),
+        fingerprint=packed(own, has), edited_fingerprint=packed(theirs, they_have),
         near_edited=likeness(own, has, theirs, they_have), near_next=likeness(own, has, *next_prints), text=[None] * n,
     )
 
@@ -209,4 +213,5 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = rows.filter(F.col("role") == "first").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     last = rows.filter(F.col("role") == "last").select("part", "doc_id", "text")
     closed = last.join(after, "part").join(first, "next_part").select("doc_id", "text", "following").mapInArrow(close, _DDL)
-    return rows.filter(F.col("role") == "done").select(RESULT).unionByName(closed.select(RESULT))
+    both = rows.filter(F.col("role") == "done").select(RESULT).unionByName(closed.select(RESULT))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
