@@ -19,7 +19,9 @@ from gradeframe.session import materialise
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 3  # a pair of similarity 0.8 shares a band with probability 0.9999
 SAMPLES = BANDS * ROWS
-LEAST_AGREEING = 21  # of the samples; a pair of similarity 0.8 has 31, and as few with probability 0.0002
+LEAST_AGREEING = 21  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.0001
+# Texts that their leaders did not link are dealt anew, to finer buckets and by a closer estimate.
+FINE_BANDS, FINE_ROWS, FINE_AGREEING = 40, 6, 25
 DF_BITS = 18  # document frequencies are kept by this many bits of a shingle's hash
 IDF_SHARE = 0.25  # how much more the rarest shingle weighs than one of all documents
 CHUNK_MEMBERS = 256  # documents that one task compares with the same partner in a row
@@ -160,36 +162,62 @@ def _agreeing(a: str, b: str) -> F.Column:
 
 
 def _bands(texts: DataFrame) -> DataFrame:
-    """(band, v, signature): the samples of each band of each text with words."""
-    parts = F.array(*[F.struct(F.lit(n).alias("band"), F.substring("signature", 4 * ROWS * n + 1, 4 * ROWS).alias("key")) for n in range(BANDS)])
-    return texts.filter("signature IS NOT NULL").select("v", "signature", F.explode(parts).alias("b")).select("b.band", "b.key", "v", "signature")
+    """(bucket, v): a hash of each band's samples, of each text with words."""
+    buckets = F.array(*[F.xxhash64(F.lit(n), F.substring("signature", 4 * ROWS * n + 1, 4 * ROWS)) for n in range(BANDS)])
+    return texts.filter("signature IS NOT NULL").select("v", F.explode(buckets).alias("bucket"))
 
 
-def _leader_pairs(bands: DataFrame) -> DataFrame:
-    """Each text with the one that a hash chooses as leader of its bucket, another one for each band."""
-    chosen = (
-        bands.withColumn("by", F.xxhash64("v", "band")).groupBy("band", "key")
-        .agg(F.min(F.struct("by", "v", "signature")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("band", "key", F.col("first.v").alias("u"), F.col("first.signature").alias("u_signature"))
+def _shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, v, n) of the buckets that hold n texts, more than one; and first id and signature of those texts.
+
+    Most buckets hold one text. They are counted by their hash alone, before anything wider moves.
+    """
+    counts = _bands(texts).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bands = materialise(_bands(texts).join(materialise(counts, "buckets"), "bucket"), "bands")
+    return bands, materialise(texts.join(bands.select("v").distinct(), "v"), "needed")
+
+
+def _with_agreement(pairs: DataFrame, needed: DataFrame, least: int) -> DataFrame:
+    """(v, u, agreeing) of the pairs with enough equal samples."""
+    pairs = pairs.join(needed.select("v", "signature"), "v").join(needed.select(F.col("v").alias("u"), F.col("signature").alias("u_signature")), "u")
+    return pairs.select("v", "u", _agreeing("signature", "u_signature").alias("agreeing")).filter(F.col("agreeing") >= least)
+
+
+def _leader_pairs(bands: DataFrame, needed: DataFrame) -> DataFrame:
+    """Each text with the leaders of its buckets: the text in the fullest buckets over all bands
+    (of equals, the one with the most copies), and one by chance.
+
+    The text that a group of copies was made from shares more buckets than the copies share among
+    themselves, so it leads the group even if the copies differ too much from each other.
+    """
+    centre = bands.groupBy("v").agg(F.sum("n").alias("centre"))
+    chance = F.xxhash64("v", "bucket")
+    rows = bands.join(centre.join(needed.select("v", "copies"), "v"), "v").select(
+        "bucket", F.struct(-F.col("centre"), -F.col("copies"), chance, "v").alias("a"), F.struct(chance, "v").alias("b")
     )
-    pairs = bands.join(chosen, ["band", "key"]).filter("v != u").withColumn("agreeing", _agreeing("signature", "u_signature"))
-    return pairs.filter(F.col("agreeing") >= LEAST_AGREEING).select("v", "u", "agreeing").distinct()
+    chosen = rows.groupBy("bucket").agg(F.min("a")["v"].alias("a"), F.min("b")["v"].alias("b"))
+    pairs = bands.join(chosen, "bucket").select("v", F.explode(F.array("a", "b")).alias("u")).filter("v != u").distinct()
+    return _with_agreement(pairs, needed, LEAST_AGREEING)
 
 
-def _cross_pairs(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are not linked yet and agree in enough samples.
+def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of texts that share a bucket but are in different groups so far.
 
-    Only buckets that still hold texts of several groups are looked at, and a pair leaves the join
-    only if its samples agree, so that texts that merely share a passage give none.
+    Only texts of buckets that still hold several groups take part. They are dealt to ``FINE_BANDS``
+    buckets of ``FINE_ROWS`` samples, in which unlike texts rarely meet, however many share a passage
+    or stem from the same text. A pair of similarity 0.8 meets in one with a probability above 0.99.
     """
-    rows = bands.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    open_ = rows.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("band", "key")
-    rows = rows.join(open_, ["band", "key"])
-    other = rows.select("band", "key", F.col("v").alias("u"), F.col("label").alias("u_label"), F.col("signature").alias("u_signature"))
-    agreeing = _agreeing("signature", "u_signature")
-    # The condition is part of the join, so other pairs are never rows.
-    pairs = rows.join(other, (rows["band"] == other["band"]) & (rows["key"] == other["key"]) & (F.col("v") < F.col("u")) & (F.col("label") != F.col("u_label")) & (agreeing >= LEAST_AGREEING))
-    return pairs.select("v", "u", agreeing.alias("agreeing")).distinct()
+    rows = bands.select("bucket", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("bucket")
+    some = rows.join(open_, "bucket", "left_semi").select("v", "label").distinct().join(needed.select("v", "signature"), "v")
+    rng = np.random.default_rng(11)
+    keys = F.array(*[
+        F.xxhash64(F.lit(n), *[F.substring("signature", 4 * int(k) + 1, 4) for k in rng.choice(SAMPLES, FINE_ROWS, replace=False)]) for n in range(FINE_BANDS)
+    ])
+    fine = materialise(some.select("v", "label", F.explode(keys).alias("bucket")), "fine-bands")
+    other = fine.select(F.col("bucket").alias("same"), F.col("v").alias("u"), F.col("label").alias("u_label"))
+    pairs = fine.join(other, (F.col("bucket") == F.col("same")) & (F.col("v") < F.col("u")) & (F.col("label") != F.col("u_label"))).select("v", "u").distinct()
+    return _with_agreement(pairs, needed, FINE_AGREEING)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -242,10 +270,11 @@ def components(edges: DataFrame) -> DataFrame:
 def _link(candidates: DataFrame, tested: DataFrame | None, labels: DataFrame, texts: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
     """Verify candidate pairs until each is tested or joins texts that are linked already.
 
-    In every round each text is compared with the partner in another group that it agrees with most,
-    so a text moves once a round, and after the first round few pairs are left.
+    At first each text is compared with the partner that it agrees with most; most of the other pairs
+    then join texts of one group, and the rest is compared in a second round.
     """
     spark = candidates.sparkSession
+    first = True
     while True:
         groups = labels.select("v", "label")
         left = candidates.join(groups, "v", "left").withColumn("a", F.coalesce("label", "v")).drop("label")
@@ -253,8 +282,8 @@ def _link(candidates: DataFrame, tested: DataFrame | None, labels: DataFrame, te
         left = left.filter("a != b")
         if tested is not None:
             left = left.join(tested.select("v", "u"), ["v", "u"], "left_anti")
-        best = left.groupBy("v").agg(F.max(F.struct("agreeing", "u")).alias("best")).select("v", "best.u")
-        best = materialise(best, "pairs")
+        best = left.groupBy("v").agg(F.max(F.struct("agreeing", "u")).alias("best")).select("v", "best.u") if first else left.select("v", "u")
+        best, first = materialise(best, "pairs"), False
         if best.isEmpty():
             return (tested if tested is not None else spark.createDataFrame([], "v string, u string, similarity double")), labels
         found = materialise(_verified(best, texts, weights), "verified")
@@ -285,17 +314,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     signed = materialise(rows.mapInArrow(sign, "doc_id long, digest string, signature binary"), "signatures")
     # Null ids come last, so that a text with any id is found by it again.
     distinct = materialise(
-        signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("v")).agg(F.min("doc_id").alias("first"), F.max("signature").alias("signature")), "distinct-texts"
+        signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("v")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("signature").alias("signature")),
+        "distinct-texts",
     )
-    bands = materialise(_bands(distinct), "bands")
-    candidates = materialise(_leader_pairs(bands), "candidates")
-    nothing = rows.sparkSession.createDataFrame([], "v string, label string")
-    if candidates.isEmpty():
-        labels = nothing
-    else:
-        texts = _texts_of_pairs(rows, distinct, bands)
-        tested, labels = _link(candidates, None, nothing, texts, weights)
-        rest = materialise(_cross_pairs(bands, labels), "candidates")
+    bands, needed = _shared(distinct)
+    candidates = materialise(_leader_pairs(bands, needed), "candidates")
+    labels = rows.sparkSession.createDataFrame([], "v string, label string")
+    if not candidates.isEmpty():
+        texts = _texts_of_pairs(rows, needed)
+        tested, labels = _link(candidates, None, labels, texts, weights)
+        rest = materialise(_cross_pairs(bands, needed, labels), "candidates")
         tested, labels = _link(rest, tested, labels, texts, weights)
     named = distinct.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     first = named.groupBy("label").agg(F.min("first").alias("group_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "v")).alias("keep"))
@@ -305,12 +333,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return joined.select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), kept.alias("kept"))
 
 
-def _texts_of_pairs(rows: DataFrame, distinct: DataFrame, bands: DataFrame) -> DataFrame:
+def _texts_of_pairs(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """(v, text) of every text that shares a bucket with another, once."""
-    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
-    needed = materialise(bands.join(shared, ["band", "key"], "left_semi").select("v").distinct().join(distinct.select("v", "first"), "v"), "needed")
-    texts = rows.filter("text IS NOT NULL").withColumn("v", F.md5("text")).join(needed, "v").filter(F.col("doc_id").eqNullSafe(F.col("first")))
-    return materialise(texts.select("v", "text").dropDuplicates(["v"]), "texts")
+    texts = rows.filter("text IS NOT NULL").withColumn("v", F.md5("text")).join(needed.select("v", "first"), "v")
+    return materialise(texts.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text").dropDuplicates(["v"]), "texts")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
