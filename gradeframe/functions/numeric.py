@@ -1,9 +1,8 @@
-"""Rounding and order-independent sums.
+"""Rounding, sums and means.
 
 Spark's ``round`` is half-up. Results here are half-even on the scaled double, which is what
-array libraries do and what any engine with a half-even integer rounding reproduces.
-Sums of fractional columns go through scaled integers: integer addition does not depend on
-the order in which partitions arrive, so a recomputed task cannot change a last digit.
+array libraries do and what any engine with a half-even integer rounding reproduces. Sums and
+means are those of doubles, without the noise beyond nine decimals; NaN counts as missing.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SUM_PLACES = 6
+# A sum of doubles depends on the order of its terms beyond this; it must not decide a decimal tie.
+NOISE_PLACES = 9
 
 
 def round_even(c: Column, places: int = 0) -> Column:
@@ -23,21 +23,20 @@ def round_even(c: Column, places: int = 0) -> Column:
     return F.rint(c * scale) / scale
 
 
-def exact_sum(c: Column, places: int = SUM_PLACES) -> Column:
-    """Sum of a double column, exact at ``places`` decimals whatever the row order.
+def known(c: Column) -> Column:
+    """The value as a double, null if it is NaN."""
+    c = c.cast("double")
+    return F.when(~F.isnan(c), c)
 
-    The scaled integers are summed as high and low parts, so neither sum overflows where a
-    single 64-bit sum would, and both stay primitive until the end.
-    """
-    scale = F.lit(float(10**places))
-    units = F.rint(c * scale).cast("bigint")
-    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(20,0)")
-    return (high * F.lit(1 << 20).cast("decimal(7,0)") + low).cast("double") / scale
+
+def total(c: Column) -> Column:
+    """Sum of the known values, without noise; null without any."""
+    return round_even(F.sum(known(c)), NOISE_PLACES)
 
 
-def exact_mean(c: Column, places: int = SUM_PLACES) -> Column:
-    return F.try_divide(exact_sum(c, places), F.count(c))
+def mean(c: Column) -> Column:
+    """Mean of the known values, without noise; null without any."""
+    return round_even(F.avg(known(c)), NOISE_PLACES)
 
 
 def int_mean(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import constants as K
 from gradeframe.functions.labels import is_valid_letter
-from gradeframe.functions.numeric import exact_mean, rate, round_even
+from gradeframe.functions.numeric import mean, rate, round_even
 from gradeframe.operators.quantiles import exact_quantiles, join_on
 from gradeframe.session import bounded_local
 
@@ -53,7 +53,7 @@ def pivot_split_model(by_split: DataFrame, models: Sequence[str]) -> DataFrame:
     return (
         by_split.groupBy("eval_split_name")
         .pivot("model_display_name", list(models))
-        .agg(exact_mean(F.col("accuracy")))
+        .agg(mean(F.col("accuracy")))
         .na.fill(0.0)
         .orderBy("eval_split_name")
     )
@@ -110,7 +110,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ("model_display_nam
         # the whisker never ends inside the box
         F.min(F.when(F.col("__v") >= F.col("__low"), F.col("__v"))).alias("__w0"),
         F.max(F.when(F.col("__v") <= F.col("__high"), F.col("__v"))).alias("__w1"),
-        exact_mean(F.col("__v")).alias("mean"),
+        mean(F.col("__v")).alias("mean"),
         F.count(F.lit(1)).alias("n"),
     )
     return stats.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import constants as K
 from gradeframe.functions import labels as L
-from gradeframe.functions.numeric import exact_mean, exact_sum, int_mean, rate, round_even, share
+from gradeframe.functions.numeric import int_mean, mean, rate, round_even, share, total
 from gradeframe.functions.options import argmax_option
 from gradeframe.operators.quantiles import approx_quantiles, exact_quantiles, join_on
 
@@ -97,11 +97,11 @@ def summary_by_split(
         F.count_if(F.col("correct")).alias("n_correct"),
         rate(F.col("correct")).alias("accuracy"),
         rate(~L.is_valid_letter(F.col("pred_answer"))).alias("invalid_prediction_rate"),
-        exact_mean(F.col("latency_s")).alias("mean_latency_s"),
+        mean(F.col("latency_s")).alias("mean_latency_s"),
         int_mean(F.col("prompt_tokens")).alias("mean_prompt_tokens"),
         int_mean(F.col("completion_tokens")).alias("mean_completion_tokens"),
         int_mean(F.col("total_tokens")).alias("mean_total_tokens"),
-        exact_mean(F.col("tokens_per_sec")).alias("mean_tokens_per_sec"),
+        round_even(mean(F.col("tokens_per_sec")), 6).alias("mean_tokens_per_sec"),
         *_macro_counts(),
     )
     summary = _with_quantiles(
@@ -149,7 +149,7 @@ def summary_aggregated(by_split: DataFrame, by: Sequence[str] = tuple(MODEL_KEYS
         F.count_distinct("eval_split_name").alias("n_test_sets"),
         F.sum("n_questions").alias("total_questions"),
         F.coalesce(F.stddev_samp("accuracy"), F.lit(0.0)).alias("std_accuracy"),
-        *[exact_mean(F.col(c)).alias(name) for name, c in means.items()],
+        *[mean(F.col(c)).alias(name) for name, c in means.items()],
     )
     out = _rounded(out, 4, ["std_accuracy", *means])
     return out.orderBy(
@@ -174,7 +174,7 @@ def summary_by_subject(df: DataFrame, by: Sequence[str] = tuple(SPLIT_KEYS)) ->
         known.groupBy(*by, "subject_category").agg(
             F.count(F.lit(1)).alias("n_questions"),
             rate(F.col("correct")).alias("accuracy"),
-            exact_mean(F.col("latency_s")).alias("mean_latency_s"),
+            mean(F.col("latency_s")).alias("mean_latency_s"),
             *_macro_counts(),
         )
     )
@@ -191,7 +191,7 @@ def subject_rollup(by_subject: DataFrame, weighted: bool = False) -> DataFrame:
             .agg(round_even(rate(F.col("correct")), 4).alias("accuracy"), F.count("correct").alias("n"))
         )
     return by_subject.groupBy("model_display_name", "subject_category").agg(
-        round_even(exact_mean(F.col("accuracy")), 4).alias("accuracy"), F.sum("n_questions").alias("n")
+        round_even(mean(F.col("accuracy")), 4).alias("accuracy"), F.sum("n_questions").alias("n")
     )
 
 
@@ -212,7 +212,7 @@ def run_metrics(df: DataFrame, run: str = "run", subject: str = "subject_name")
     grouped = cells.groupBy(run).agg(
         F.sum("__n").alias("total_samples"),
         F.sum("__c").alias("correct"),
-        exact_mean(accuracy, 12).alias("macro_averaged_accuracy"),
+        round_even(mean(accuracy), 12).alias("macro_averaged_accuracy"),
         # one entry per subject of a run, after aggregation: the document form needs the map
         F.map_from_entries(
             F.collect_list(
@@ -261,13 +261,13 @@ def performance_summary(
     base = keyed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_questions"),
         rate(F.col("correct")).alias("accuracy"),
-        exact_mean(F.col("latency_s")).alias("mean_latency_s"),
-        (exact_sum(F.col("latency_s")) / 60.0).alias("total_time_min"),
+        mean(F.col("latency_s")).alias("mean_latency_s"),
+        (total(F.col("latency_s")) / 60.0).alias("total_time_min"),
         int_mean(F.col("prompt_tokens")).alias("mean_prompt_tokens"),
         int_mean(F.col("completion_tokens")).alias("mean_completion_tokens"),
         int_mean(F.col("total_tokens")).alias("mean_total_tokens"),
         F.sum("total_tokens").alias("total_tokens_used"),
-        exact_mean(F.col("tokens_per_sec")).alias("mean_tokens_per_sec"),
+        mean(F.col("tokens_per_sec")).alias("mean_tokens_per_sec"),
         (rate(F.col("finish_reason") == "stop") * 100.0).alias("stop_pct"),
         (rate(F.col("finish_reason") == "length") * 100.0).alias("truncated_pct"),
     )
@@ -363,7 +363,7 @@ def encoder_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = with_selection(df).groupBy(*by).agg(
         F.count_if(labelled).alias("total"),
         F.count_if(labelled & (F.col("predicted_index") == F.col("gold"))).alias("correct"),
-        F.coalesce(exact_mean(F.col("confidence"), 9), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(round_even(mean(F.col("confidence")), 9), F.lit(0.0)).alias("avg_confidence"),
     )
     return out.withColumn("accuracy", share(F.col("correct"), F.col("total")))
 
@@ -427,9 +427,9 @@ def speed_summary(parts: dict[str, DataFrame], training: DataFrame | None = None
     tagged = tagged.where(F.col("model").isNotNull())
     keys = ["category", "model"]
     base = tagged.groupBy(*keys).agg(
-        exact_mean(F.col("latency_s")).alias("mean_latency_s"),
-        exact_mean(F.col("tokens_per_sec")).alias("mean_tokens_per_sec"),
-        (exact_sum(F.col("latency_s")) / 60.0).alias("total_time_min"),
+        mean(F.col("latency_s")).alias("mean_latency_s"),
+        mean(F.col("tokens_per_sec")).alias("mean_tokens_per_sec"),
+        (total(F.col("latency_s")) / 60.0).alias("total_time_min"),
         F.count(F.lit(1)).alias("n_questions"),
     )
     out = _with_quantiles(

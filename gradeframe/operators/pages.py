@@ -316,7 +316,7 @@ def _with_block_choices(df: DataFrame, lines: Column, raw: Column, end: Column)
     for x in K.LABELS:
         opened = F.col(f"__at_{x}")
         closed = F.coalesce(first(F.filter(blocks, _behind(opened))), end)
-        own = strip(F.substring(at(lines, opened), 2, 1_000_000))
+        own = strip(F.substr(at(lines, opened), F.lit(2)))
         body = F.filter(lines_between(lines, opened + 1, closed), lambda t: strip_images(t) != K.ELIMINATED_LINE)
         texts[f"__text_{x}"] = strip(F.concat_ws(" ", F.nullif(own, F.lit("")), F.array_join(body, " ")))
     step = staged(step, **texts)

@@ -26,7 +26,8 @@ _OFFSET = 1100 * BUCKETS_PER_OCTAVE  # above |log2| of every double, so buckets
 
 def bucket_of(v: Column) -> Column:
     """A bucket number that never decreases when the value increases."""
-    magnitude = F.lit(_OFFSET) + F.floor(F.log2(F.abs(v)) * F.lit(float(BUCKETS_PER_OCTAVE)))
+    octave = F.when(F.abs(v) == float("inf"), F.lit(1025.0)).otherwise(F.log2(F.abs(v)))
+    magnitude = F.lit(_OFFSET) + F.floor(octave * F.lit(float(BUCKETS_PER_OCTAVE)))
     return F.when(v == 0, F.lit(0)).when(v > 0, magnitude).otherwise(-magnitude).cast("int")
 
 
@@ -45,8 +46,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles.
 
-    ``quantiles`` maps an output column to (value column, probability). Nulls are ignored; a
-    group whose values are all null has no row.
+    ``quantiles`` maps an output column to (value column, probability). Nulls and NaN are
+    ignored; a group without any other value has no row.
     """
     by = list(by)
     value_columns = sorted({column for column, _ in quantiles.values()})
@@ -60,7 +61,7 @@ def exact_quantiles(
             ])
         ).alias("__mv"),
     ).select(*by, F.col("__mv.__m").alias("__m"), F.col("__mv.__v").alias("__v"))
-    long = long.where(F.col("__v").isNotNull()).withColumn("__b", bucket_of(F.col("__v")))
+    long = long.where(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn("__b", bucket_of(F.col("__v")))
     keys = [*by, "__m"]
 
     histogram = long.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -132,7 +133,8 @@ def _between(low: Column, high: Column, fraction: Column, p: float) -> Column:
     if p == 0.5:
         return F.when(fraction == 0, low).otherwise((low + high) / 2.0)
     step = high - low
-    return F.when(fraction >= 0.5, high - step * (1.0 - fraction)).otherwise(low + step * fraction)
+    same = F.when(low == high, low)  # infinities have no step
+    return F.when(same.isNotNull(), same).when(fraction >= 0.5, high - step * (1.0 - fraction)).otherwise(low + step * fraction)
 
 
 def _holds(rank: Column, start: Column, end: Column) -> Column:

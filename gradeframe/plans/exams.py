@@ -259,7 +259,7 @@ def b8(spark, sf):
 
 
 @query("B9_B11_score_rows", f"""with {O.PREDICTIONS} select eval_split_name, model_key, count(*) filter (where correct) as correct,
-  count(gold_answer) as golds, {O.exact_sum('tokens_per_sec', 2)} as tps from predictions group by 1, 2""")
+  count(gold_answer) as golds, {O.r(O.total('tokens_per_sec'), 2)} as tps from predictions group by 1, 2""")
 def b9(spark, sf):
     raw = V.predictions(spark, sf).withColumn("answer", F.concat(F.lit(" "), F.lower("gold_answer"), F.lit("\n"))).drop(
         "gold_answer", "correct", "tokens_per_sec"
@@ -267,7 +267,7 @@ def b9(spark, sf):
     scored = M.score_rows(raw)
     return scored.groupBy("eval_split_name", "model_key").agg(
         F.count_if("correct").alias("correct"), F.count("gold_answer").alias("golds"),
-        M.exact_sum(F.col("tokens_per_sec"), 2).alias("tps"),
+        M.round_even(M.total(F.col("tokens_per_sec")), 2).alias("tps"),
     )
 
 

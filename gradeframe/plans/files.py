@@ -37,6 +37,21 @@ def a1(spark, sf):
     return R.read_mcq(spark, path).select(*COLUMNS)
 
 
+@query("A1_mixed_folder", ITEM_ROWS)
+def a1_mixed(spark, sf):
+    # one folder with files of JSON lines and files of one JSON array
+    path = work_dir(spark, "items")
+    rows = _mcq(spark, sf)
+    some = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    A.write_jsonl(rows.where(~some), path)
+    # an array per few items, its first line an opening bracket alone
+    group = F.pmod(F.xxhash64("id"), F.lit(39))
+    arrays = rows.where(some).groupBy(group).agg(F.collect_list(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("items"))
+    lines = arrays.select(F.concat(F.lit("[\n"), F.array_join("items", ",\n"), F.lit("\n]")).alias("value"), F.col("items")[0].alias("file"))
+    lines.withColumn("file", F.md5("file")).write.mode("append").partitionBy("file").text(path + "/arrays")
+    return R.read_mcq(spark, f"{path}/{{part-*,arrays/*}}").select(*COLUMNS)
+
+
 @query("A2_csv_round_trip", ITEM_ROWS)
 def a2(spark, sf):
     path = work_dir(spark, "items") + ".csv"
@@ -56,17 +71,20 @@ def b1(spark, sf):
 
 
 @query("A5_read_predictions", f"""{WITH} select eval_split_name, model_key, count(*) as n, count(pred_answer) as answered,
-  cast(sum(prompt_tokens) as bigint) as prompt_tokens, {O.exact_sum('latency_s')} as latency, count(*) filter (where correct) as correct
+  cast(sum(prompt_tokens) as bigint) as prompt_tokens, {O.r(O.total('latency_s'), 4)} as latency, count(*) filter (where correct) as correct
   from predictions group by 1, 2""")
 def a5(spark, sf):
+    # three column sets below one folder: another order, a column less, a column that is not known
     path, missing = work_dir(spark, "predictions"), work_dir(spark, "missing")
-    V.predictions(spark, sf).select(
-        "eval_split_name", "model_key", "question_id", "pred_answer", "correct", "latency_s", "prompt_tokens"
-    ).write.option("header", "true").csv(path)
-    back = R.read_predictions(spark, [path, missing])
+    columns = ["eval_split_name", "model_key", "question_id", "pred_answer", "correct", "latency_s", "prompt_tokens"]
+    rows = V.predictions(spark, sf).select(*columns, F.lit("x").alias("unknown"))
+    kind = F.col("model_key").isin("model_0", "model_1").cast("int") + (F.col("model_key") == "model_4").cast("int") * 2
+    for n, some in enumerate((columns, columns[::-1], ["unknown", *[c for c in columns if c != "prompt_tokens"]])):
+        rows.where(kind == n).select(*some).write.option("header", "true").csv(f"{path}/set{n}")
+    back = R.read_predictions(spark, [f"{path}/*", missing])
     return back.groupBy("eval_split_name", "model_key").agg(
         F.count(F.lit(1)).alias("n"), F.count("pred_answer").alias("answered"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        M.exact_sum(F.col("latency_s")).alias("latency"), F.count_if("correct").alias("correct"),
+        M.round_even(M.total(F.col("latency_s")), 4).alias("latency"), F.count_if("correct").alias("correct"),
     )
 
 

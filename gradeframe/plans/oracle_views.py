@@ -28,15 +28,12 @@ raw_predictions as (
 )"""
 
 
-def exact_mean(c: str, places: int = 6) -> str:
-    """Mean through a sum of scaled integers, as the library computes it."""
-    s = 10**places
-    return f"(cast(sum(cast(round_even({c} * {s}.0, 0) as hugeint)) as double) / {s}.0 / count({c}))"
+def mean(c: str) -> str:
+    return r(f"avg({c})", 9)
 
 
-def exact_sum(c: str, places: int = 6) -> str:
-    s = 10**places
-    return f"(cast(sum(cast(round_even({c} * {s}.0, 0) as hugeint)) as double) / {s}.0)"
+def total(c: str) -> str:
+    return r(f"sum({c})", 9)
 
 
 def r(expression: str, places: int) -> str:

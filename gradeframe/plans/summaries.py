@@ -18,13 +18,13 @@ by_split as (
     count(*) as n_questions, count(*) filter (where correct) as n_correct,
     {O.r(O.rate('correct'), 4)} as accuracy,
     {O.r(O.rate("not coalesce(pred_answer in ('A','B','C','D'), false)"), 4)} as invalid_prediction_rate,
-    {O.r(O.exact_mean('latency_s'), 4)} as mean_latency_s,
+    {O.r(O.mean('latency_s'), 4)} as mean_latency_s,
     {O.r(O.quantile('latency_s', 0.5), 4)} as median_latency_s,
     {O.r(O.quantile('latency_s', 0.9), 4)} as p90_latency_s,
     {O.mean_int('prompt_tokens')} as mean_prompt_tokens,
     {O.mean_int('completion_tokens')} as mean_completion_tokens,
     {O.mean_int('total_tokens')} as mean_total_tokens,
-    {O.exact_mean('tokens_per_sec')} as mean_tokens_per_sec,
+    {O.r(O.mean('tokens_per_sec'), 6)} as mean_tokens_per_sec,
     {O.quantile('tokens_per_sec', 0.5)} as median_tokens_per_sec,
     {O.macro()}
   from predictions group by all
@@ -45,14 +45,14 @@ def g2(spark, sf):
   select experiment_tag, model_key, model_display_name, count(distinct eval_split_name) as n_test_sets,
     cast(sum(n_questions) as bigint) as total_questions,
     {O.r('coalesce(stddev_samp(accuracy), 0)', 4)} as std_accuracy,
-    {O.r(O.exact_mean('accuracy'), 4)} as mean_accuracy,
-    {O.r(O.exact_mean('macro_precision'), 4)} as mean_macro_precision,
-    {O.r(O.exact_mean('macro_recall'), 4)} as mean_macro_recall,
-    {O.r(O.exact_mean('macro_f1'), 4)} as mean_macro_f1,
-    {O.r(O.exact_mean('invalid_prediction_rate'), 4)} as mean_invalid_prediction_rate,
-    {O.r(O.exact_mean('mean_latency_s'), 4)} as mean_latency_s,
-    {O.r(O.exact_mean('median_latency_s'), 4)} as median_latency_s,
-    {O.r(O.exact_mean('p90_latency_s'), 4)} as mean_p90_latency_s
+    {O.r(O.mean('accuracy'), 4)} as mean_accuracy,
+    {O.r(O.mean('macro_precision'), 4)} as mean_macro_precision,
+    {O.r(O.mean('macro_recall'), 4)} as mean_macro_recall,
+    {O.r(O.mean('macro_f1'), 4)} as mean_macro_f1,
+    {O.r(O.mean('invalid_prediction_rate'), 4)} as mean_invalid_prediction_rate,
+    {O.r(O.mean('mean_latency_s'), 4)} as mean_latency_s,
+    {O.r(O.mean('median_latency_s'), 4)} as median_latency_s,
+    {O.r(O.mean('p90_latency_s'), 4)} as mean_p90_latency_s
   from by_split group by all""")
 def g3(spark, sf):
     return M.summary_aggregated(M.summary_by_split(V.predictions(spark, sf), sort=False))
@@ -64,7 +64,7 @@ def g3(spark, sf):
 @query("G4_summary_by_subject", f"""{WITH}
   select experiment_tag, eval_split_name, model_key, model_display_name,
     coalesce(subject_category, 'Unknown') as subject_category, count(*) as n_questions,
-    {O.r(O.rate('correct'), 4)} as accuracy, {O.r(O.exact_mean('latency_s'), 4)} as mean_latency_s,
+    {O.r(O.rate('correct'), 4)} as accuracy, {O.r(O.mean('latency_s'), 4)} as mean_latency_s,
     {O.macro()}
   from predictions group by 1, 2, 3, 4, 5""")
 def g4(spark, sf):
@@ -75,7 +75,7 @@ def g4(spark, sf):
     select eval_split_name, model_key, model_display_name, coalesce(subject_category, 'Unknown') as subject_category,
       count(*) as n_questions, {O.r(O.rate('correct'), 4)} as accuracy
     from predictions group by 1, 2, 3, 4)
-  select model_display_name, subject_category, {O.r(O.exact_mean('accuracy'), 4)} as accuracy,
+  select model_display_name, subject_category, {O.r(O.mean('accuracy'), 4)} as accuracy,
     cast(sum(n_questions) as bigint) as n
   from s group by 1, 2""")
 def g5(spark, sf):
@@ -105,7 +105,7 @@ RUNS = f"""{WITH}, rows as (
   s as (select run, subject, count(*) as n, count(*) filter (where ok) as c,
       cast(count(*) filter (where ok) as double) / count(*) as acc from rows group by 1, 2),
   runs as (select run, cast(sum(c) as double) / cast(sum(n) as double) as overall_accuracy,
-      {O.exact_mean('acc', 12)} as macro_averaged_accuracy,
+      {O.r(O.mean('acc'), 12)} as macro_averaged_accuracy,
       cast(sum(n) as bigint) as total_samples, cast(sum(c) as bigint) as correct from s group by 1)"""
 
 
@@ -149,15 +149,15 @@ def g7(spark, sf):
 
 
 PERFORMANCE = f"""count(*) as total_questions, {O.r(O.rate('correct'), 4)} as accuracy,
-    {O.r(O.exact_mean('latency_s'), 2)} as mean_latency_s,
+    {O.r(O.mean('latency_s'), 2)} as mean_latency_s,
     {O.r(O.quantile('latency_s', 0.5), 2)} as median_latency_s,
     {O.r(O.quantile('latency_s', 0.9), 2)} as p90_latency_s,
-    {O.r(O.exact_sum('latency_s') + ' / 60.0::double', 1)} as total_time_min,
+    {O.r(O.total('latency_s') + ' / 60.0::double', 1)} as total_time_min,
     {O.r(O.mean_int('prompt_tokens'), 0)} as mean_prompt_tokens,
     {O.r(O.mean_int('completion_tokens'), 0)} as mean_completion_tokens,
     {O.r(O.mean_int('total_tokens'), 0)} as mean_total_tokens,
     cast(sum(total_tokens) as bigint) as total_tokens_used,
-    {O.r(O.exact_mean('tokens_per_sec'), 1)} as mean_tokens_per_sec,
+    {O.r(O.mean('tokens_per_sec'), 1)} as mean_tokens_per_sec,
     {O.r(O.quantile('tokens_per_sec', 0.5), 1)} as median_tokens_per_sec,
     {O.r(O.rate("finish_reason = 'stop'") + ' * 100.0::double', 1)} as stop_pct,
     {O.r(O.rate("finish_reason = 'length'") + ' * 100.0::double', 1)} as truncated_pct"""
@@ -226,9 +226,9 @@ def g19(spark, sf):
   select category, model_display_name as model,
     case when category like '%DGX8%' then 'DGX8 GB10' else 'MacBook Pro (MPS/CPU)' end as hardware,
     case when model_display_name like '%LoRA%' then 'BF16' when model_display_name like '%Q4_K_M%' then 'Q4_K_M' else 'q4_0' end as precision,
-    {O.r(O.exact_mean('latency_s'), 2)} as mean_latency_s, {O.r(O.quantile('latency_s', 0.5), 2)} as median_latency_s,
-    {O.r(O.quantile('latency_s', 0.9), 2)} as p90_latency_s, {O.r(O.exact_mean('tokens_per_sec'), 2)} as mean_tokens_per_sec,
-    {O.r(O.exact_sum('latency_s') + ' / 60.0::double', 1)} as total_time_min, count(*) as n_questions
+    {O.r(O.mean('latency_s'), 2)} as mean_latency_s, {O.r(O.quantile('latency_s', 0.5), 2)} as median_latency_s,
+    {O.r(O.quantile('latency_s', 0.9), 2)} as p90_latency_s, {O.r(O.mean('tokens_per_sec'), 2)} as mean_tokens_per_sec,
+    {O.r(O.total('latency_s') + ' / 60.0::double', 1)} as total_time_min, count(*) as n_questions
   from parts group by 1, 2, 3, 4""")
 def g17(spark, sf):
     preds = V.predictions(spark, sf)
@@ -286,7 +286,7 @@ def _box_sql(value):
     return f"""{WITH}, v as (select model_display_name, cast({value} as double) as v from predictions where {value} is not null),
       q as (select model_display_name, {O.quantile('v', 0.25)} as q1, {O.quantile('v', 0.5)} as median,
         {O.quantile('v', 0.75)} as q3 from v group by 1)
-      select model_display_name, count(*) as n, {O.r(O.exact_mean('v'), 6)} as mean, {O.r('q1', 6)} as q1,
+      select model_display_name, count(*) as n, {O.r(O.mean('v'), 6)} as mean, {O.r('q1', 6)} as q1,
         {O.r('median', 6)} as median, {O.r('q3', 6)} as q3,
         {O.r('least(min(v) filter (where v >= q1 - 1.5::double * (q3 - q1)), q1)', 6)} as whisker_low,
         {O.r('greatest(max(v) filter (where v <= q3 + 1.5::double * (q3 - q1)), q3)', 6)} as whisker_high

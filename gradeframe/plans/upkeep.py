@@ -171,8 +171,8 @@ def h7(spark, sf):
 
 
 LEADER = f"""{WITH}, {SUMMARY_BY_SPLIT}, agg as (
-  select model_display_name, {O.r(O.exact_mean('accuracy'), 4)} as mean_accuracy,
-    {O.r(O.exact_mean('macro_f1'), 4)} as mean_macro_f1, {O.r('coalesce(stddev_samp(accuracy), 0)', 4)} as std_accuracy,
+  select model_display_name, {O.r(O.mean('accuracy'), 4)} as mean_accuracy,
+    {O.r(O.mean('macro_f1'), 4)} as mean_macro_f1, {O.r('coalesce(stddev_samp(accuracy), 0)', 4)} as std_accuracy,
     cast(sum(n_questions) as bigint) as total_questions
   from by_split group by 1)"""
 

@@ -60,7 +60,7 @@ def g12(spark, sf):
 
 
 @query("G13_encoder_metrics", f"""with {SELECTOR} select count(*) filter (where gold >= 0) as total,
-  count(*) filter (where gold >= 0 and predicted_index = gold) as correct, {O.exact_mean('confidence', 9)} as avg_confidence,
+  count(*) filter (where gold >= 0 and predicted_index = gold) as correct, {O.r(O.mean('confidence'), 9)} as avg_confidence,
   cast(count(*) filter (where gold >= 0 and predicted_index = gold) as double) / count(*) filter (where gold >= 0) as accuracy from selector""")
 def g13(spark, sf):
     return M.encoder_metrics(V.selector_output(spark, sf))

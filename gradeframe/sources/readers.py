@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,26 +28,47 @@ def read_or_empty(spark: SparkSession, schema: T.StructType, load) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _is_array_file(spark: SparkSession, path: str) -> bool:
-    """Whether the first non-blank line starts a JSON array; reads one line of the file."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0]["value"].lstrip().startswith("[")
+def _file_heads(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Files by their first non-blank line, from one distributed scan; only one line per file is kept.
 
+    A file whose first line starts a JSON array is listed under "[" alone.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"),
+    )
+    value = F.when(F.ltrim("value").startswith("["), F.lit("[")).otherwise(F.col("value"))
+    heads = lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by(value, "at").alias("head"))
+    found: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        found.setdefault(row["head"], []).append(_literal_path(row["file"]))
+    return found
+
+
+def _literal_path(uri: str) -> str:
+    """A file's address as a path that is read as it stands, without patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
-def read_mcq(spark: SparkSession, path: str, schema: T.StructType = S.MCQ_ITEM) -> DataFrame:
-    """Question items from CSV with a header, JSON lines, or a JSON array.
 
-    JSON lines are split across tasks. A CSV with line breaks inside quotes and a JSON array are
-    read one task per file, so large sets of these forms come as many files.
+def read_mcq(spark: SparkSession, path: str, schema: T.StructType = S.MCQ_ITEM, multi_line: bool = True) -> DataFrame:
+    """Question items from CSV with a header, JSON lines, JSON arrays, or a folder of both JSON forms.
+
+    The first non-blank line of each JSON file tells its form. JSON lines are split across tasks; a
+    JSON array is read by one task, as is a CSV file while ``multi_line`` allows line breaks inside
+    quotes.
     """
     if path.rstrip("/").endswith(".csv"):
         return (
             spark.read.schema(schema).option("header", "true").option("enforceSchema", "false")
-            .option("multiLine", "true").option("escape", '"').csv(path)
+            .option("multiLine", str(multi_line).lower()).option("escape", '"').csv(path)
         )
-    if _is_array_file(spark, path):
-        return spark.read.schema(schema).option("multiLine", "true").json(path)
-    return spark.read.schema(schema).json(path)
+    heads = _file_heads(spark, [path])
+    arrays = heads.pop("[", [])
+    lines = [file for files in heads.values() for file in files]
+    if not arrays:
+        return spark.read.schema(schema).json(path)
+    whole = spark.read.schema(schema).option("multiLine", "true").json(arrays)
+    return whole.unionByName(spark.read.schema(schema).json(lines)) if lines else whole
 
 
 def read_mcq_lines(spark: SparkSession, path: str, required: Sequence[str] | None = None) -> DataFrame:
@@ -83,31 +107,61 @@ def _hidden(df: DataFrame) -> set[str]:
         return set()
 
 
-def read_predictions(spark: SparkSession, paths: str | Sequence[str], label: str | None = None) -> DataFrame:
+def read_predictions(
+    spark: SparkSession, paths: str | Sequence[str], label: str | None = None, multi_line: bool = True
+) -> DataFrame:
     """Prediction CSVs whose column sets differ, as one table with the full schema.
 
-    Columns are matched by header name. Give files of one column set as one path list; each is
-    a single distributed read.
+    Files, folders and patterns may be mixed. Columns are matched by the header of each file: files
+    are grouped by their header line and each group is one distributed read. Absent columns are null,
+    unknown ones are left out, paths that do not exist are skipped. ``label`` names a column for the
+    source: the folder of part files, else the file without its ending. ``multi_line=False`` lets
+    large files without line breaks inside quotes be split across tasks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    heads = _file_heads(spark, existing) if (existing := [p for p in paths if _exists(spark, p)]) else {}
     out = None
-    for path in paths:
-        one = read_or_empty(spark, S.PREDICTION, lambda path=path: _read_by_header(spark, path))
-        if label:
-            one = one.withColumn(label, F.lit(path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return spark.createDataFrame([], S.PREDICTION) if out is None else out
-
-
-def _read_by_header(spark: SparkSession, path: str) -> DataFrame:
-    """Read text columns by their header and cast them to the schema; absent ones are null."""
-    options = {"header": "true", "multiLine": "true", "escape": '"', "inferSchema": "false"}
-    raw = spark.read.options(**options).csv(path)
-    return raw.select(*[
+    for header, files in heads.items():
+        one = _read_by_header(spark, header, files, label, multi_line)
+        out = one if out is None else out.unionByName(one)
+    if out is not None:
+        return out
+    empty = T.StructType([*S.PREDICTION.fields, *([T.StructField(label, T.StringType())] if label else [])])
+    return spark.createDataFrame([], empty)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def _read_by_header(spark: SparkSession, header: str, files: Sequence[str], label: str | None, multi_line: bool) -> DataFrame:
+    """Read files with one header as text columns and cast them to the schema; absent ones are null."""
+    names = [name.strip() for name in next(csv.reader([header.lstrip("\ufeff")]))]
+    # of columns with the same name, the first counts
+    fields = [T.StructField(name if name not in names[:n] else f"__{n}", T.StringType()) for n, name in enumerate(names)]
+    options = {"header": "true", "multiLine": str(multi_line).lower(), "escape": '"'}
+    raw = spark.read.schema(T.StructType(fields)).options(**options).csv(list(files))
+    columns = [
         (blank_to_null(F.col(f"`{f.name}`")).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType))
         .alias(f.name)
         for f in S.PREDICTION.fields
-    ])
+    ]
+    if label:
+        parts = F.split("_metadata.file_path", "/")
+        name = F.when(F.element_at(parts, -1).startswith("part-"), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+        columns.append(F.regexp_replace(_decoded(name), r"\.csv$", "").alias(label))
+    return raw.select(*columns)
+
+
+def _decoded(name: Column) -> Column:
+    """A path's part without URL escapes; a plus sign stays."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*_metrics.json") -> DataFrame:
@@ -122,8 +176,8 @@ def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*_metrics.j
     empty = T.StructType([*S.RUN_METRICS.fields, T.StructField("__path", T.StringType())])
     docs = read_or_empty(spark, empty, load)
     parts = F.split("__path", "/")
-    run = F.url_decode(F.try_element_at(parts, F.lit(-2)))
-    file = F.url_decode(F.try_element_at(parts, F.lit(-1)))
+    run = _decoded(F.try_element_at(parts, F.lit(-2)))
+    file = _decoded(F.try_element_at(parts, F.lit(-1)))
     named = docs.withColumn("run", run).withColumn("__file", file)
     order = Window.partitionBy("run").orderBy(
         F.when(F.col("__file") == F.concat("run", F.lit("_metrics.json")), 0).otherwise(1), "__file"
@@ -150,7 +204,7 @@ def read_trainer_state(
     docs = read_or_empty(spark, empty, load)
     parts = F.split("__path", "/")
     named = docs.withColumn("checkpoint", F.try_element_at(parts, F.lit(-2))).withColumn(
-        "run", F.url_decode(F.try_element_at(parts, F.lit(-3)))
+        "run", _decoded(F.try_element_at(parts, F.lit(-3)))
     )
     step = F.regexp_extract("checkpoint", r"(\d+)$", 1).try_cast("bigint")
     order = Window.partitionBy("run").orderBy(*([F.desc_nulls_last(step)] if numeric_order else []), F.desc("checkpoint"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeframe.functions.numeric import exact_mean, round_even
+from gradeframe.functions.numeric import mean, round_even, total
 from gradeframe.operators import confusion as C
 from gradeframe.operators import metrics as M
 from gradeframe.operators import quantiles as Q
@@ -127,13 +127,23 @@ def test_half_even_rounding(spark):
     assert [r[0] for r in df.select(round_even(F.col("v"))).collect()] == [12.0, 38.0, 0.0, -2.0]
 
 
-def test_exact_mean_ignores_row_order(spark):
-    values = [round(random.Random(i).uniform(0, 100), 4) for i in range(2000)]
-    means = {
-        spark.createDataFrame([(v,) for v in order], "v double").repartition(n).agg(exact_mean(F.col("v"))).first()[0]
-        for order, n in ((values, 3), (values[::-1], 7), (sorted(values), 1))
-    }
-    assert len(means) == 1 and means.pop() == pytest.approx(math.fsum(values) / 2000, abs=1e-9)
+def test_sums_and_means_are_those_of_doubles(spark):
+    values = [1e-7, 3e-7, 9.5e12, None, float("nan"), 2.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = [1e-7, 3e-7, 9.5e12, 2.5]
+    row = df.agg(mean(F.col("v")), total(F.col("v"))).first()
+    assert row[0] == pytest.approx(sum(known) / 4, rel=1e-15) and row[1] == pytest.approx(sum(known), rel=1e-15)
+    small = spark.createDataFrame([(1e-7,)] * 4, "v double").agg(mean(F.col("v"))).first()
+    assert small[0] == pytest.approx(1e-7)
+    infinite = spark.createDataFrame([(1.0,), (float("inf"),)], "v double").agg(mean(F.col("v")), total(F.col("v"))).first()
+    assert infinite[0] == infinite[1] == float("inf")
+
+
+def test_quantiles_with_nan_and_infinity(spark):
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, float("nan"))] + [("b", v) for v in (1.0, float("inf"), float("inf"))] + [("c", float("-inf")), ("c", 4.0), ("c", 4.0)]
+    out = {r.g: r.m for r in Q.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], {"m": ("v", 0.5)}).collect()}
+    assert out == {"a": 2.0, "b": float("inf"), "c": 4.0}
+
 
 
 def test_calibration_buckets(spark):
