@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeframe.llm.fingerprints import mixed, shingles
@@ -19,9 +19,9 @@ from gradeframe.session import materialise
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 3  # a pair of similarity 0.8 shares a band with probability 0.9999
 SAMPLES = BANDS * ROWS
-LEAST_AGREEING = 21  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.0001
-# Texts that their leaders did not link are dealt anew, to finer buckets and by a closer estimate.
-FINE_BANDS, FINE_ROWS, FINE_AGREEING = 40, 6, 25
+LEAST_AGREEING = 25  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.006
+# Texts that their leaders did not link are dealt anew, to finer buckets in which neighbours are compared.
+FINE_BANDS, FINE_ROWS, FINE_ORDER, NEIGHBOURS = 12, 6, 6, 2
 DF_BITS = 18  # document frequencies are kept by this many bits of a shingle's hash
 IDF_SHARE = 0.25  # how much more the rarest shingle weighs than one of all documents
 CHUNK_MEMBERS = 256  # documents that one task compares with the same partner in a row
@@ -177,10 +177,10 @@ def _shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bands, materialise(texts.join(bands.select("v").distinct(), "v"), "needed")
 
 
-def _with_agreement(pairs: DataFrame, needed: DataFrame, least: int) -> DataFrame:
+def _with_agreement(pairs: DataFrame, needed: DataFrame) -> DataFrame:
     """(v, u, agreeing) of the pairs with enough equal samples."""
     pairs = pairs.join(needed.select("v", "signature"), "v").join(needed.select(F.col("v").alias("u"), F.col("signature").alias("u_signature")), "u")
-    return pairs.select("v", "u", _agreeing("signature", "u_signature").alias("agreeing")).filter(F.col("agreeing") >= least)
+    return pairs.select("v", "u", _agreeing("signature", "u_signature").alias("agreeing")).filter(F.col("agreeing") >= LEAST_AGREEING)
 
 
 def _leader_pairs(bands: DataFrame, needed: DataFrame) -> DataFrame:
@@ -197,27 +197,44 @@ def _leader_pairs(bands: DataFrame, needed: DataFrame) -> DataFrame:
     )
     chosen = rows.groupBy("bucket").agg(F.min("a")["v"].alias("a"), F.min("b")["v"].alias("b"))
     pairs = bands.join(chosen, "bucket").select("v", F.explode(F.array("a", "b")).alias("u")).filter("v != u").distinct()
-    return _with_agreement(pairs, needed, LEAST_AGREEING)
+    return _with_agreement(pairs, needed)
 
 
 def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of texts that share a bucket but are in different groups so far.
+    """Pairs of texts that share a bucket but are in different groups so far, a few for each text.
 
     Only texts of buckets that still hold several groups take part. They are dealt to ``FINE_BANDS``
-    buckets of ``FINE_ROWS`` samples, in which unlike texts rarely meet, however many share a passage
-    or stem from the same text. A pair of similarity 0.8 meets in one with a probability above 0.99.
+    buckets of ``FINE_ROWS`` samples and sorted in each by further samples, so that the texts most
+    alike come next to each other, and each is paired with the next ``NEIGHBOURS``. So a large group
+    of texts that share a passage, or stem from one text but differ too much, gives pairs in
+    proportion to its size and not to its square.
     """
     rows = bands.select("bucket", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("bucket")
     some = rows.join(open_, "bucket", "left_semi").select("v", "label").distinct().join(needed.select("v", "signature"), "v")
     rng = np.random.default_rng(11)
-    keys = F.array(*[
-        F.xxhash64(F.lit(n), *[F.substring("signature", 4 * int(k) + 1, 4) for k in rng.choice(SAMPLES, FINE_ROWS, replace=False)]) for n in range(FINE_BANDS)
-    ])
-    fine = materialise(some.select("v", "label", F.explode(keys).alias("bucket")), "fine-bands")
-    other = fine.select(F.col("bucket").alias("same"), F.col("v").alias("u"), F.col("label").alias("u_label"))
-    pairs = fine.join(other, (F.col("bucket") == F.col("same")) & (F.col("v") < F.col("u")) & (F.col("label") != F.col("u_label"))).select("v", "u").distinct()
-    return _with_agreement(pairs, needed, FINE_AGREEING)
+
+    def sample(n: int) -> F.Column:
+        return F.substring("signature", 4 * n + 1, 4)
+
+    keys = []
+    for n in range(FINE_BANDS):
+        chosen = [int(k) for k in rng.permutation(SAMPLES)[: FINE_ROWS + FINE_ORDER]]
+        bucket = F.xxhash64(F.lit(n), *map(sample, chosen[:FINE_ROWS]))
+        keys.append(F.struct(bucket.alias("bucket"), F.concat(*map(sample, chosen[FINE_ROWS:])).alias("place")))
+    fine = materialise(some.select("v", "label", F.explode(F.array(*keys)).alias("k")).select("v", "label", "k.bucket", "k.place"), "fine-bands")
+    several = fine.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    near = fine.join(several, "bucket").join(needed.select("v", "signature"), "v")
+    order = Window.partitionBy("bucket").orderBy("place", "v")
+    for n in range(1, NEIGHBOURS + 1):
+        near = near.withColumn(f"next{n}", F.lead(F.struct("v", "label", "signature"), n).over(order))
+    pairs = None
+    for n in range(1, NEIGHBOURS + 1):
+        some = near.select("v", "label", "signature", F.col(f"next{n}.v").alias("u"), F.col(f"next{n}.label").alias("u_label"), F.col(f"next{n}.signature").alias("u_signature"))
+        some = some.filter("label != u_label").withColumn("agreeing", _agreeing("signature", "u_signature")).filter(F.col("agreeing") >= LEAST_AGREEING)
+        some = some.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"), "agreeing")
+        pairs = some if pairs is None else pairs.unionByName(some)
+    return pairs.distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -229,7 +246,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
     chunks = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("chunks"))
     members = pairs.join(chunks, "u").select("v", "u", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk"), F.lit(1).alias("place"))
     partners = chunks.select(F.col("u").alias("v"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("place"))
-    schema = pa.schema([("v", pa.string()), ("u", pa.string()), ("similarity", pa.float64())])
+    schema = pa.schema([("v", pa.binary()), ("u", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, partner = None, None
@@ -246,7 +263,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
             yield record_batch(schema, **out)
 
     work = texts.join(members.unionByName(partners), "v").select("v", "u", "chunk", "place", "text")
-    return work.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "place", "v").mapInArrow(run, "v string, u string, similarity double")
+    return work.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "place", "v").mapInArrow(run, "v binary, u binary, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,7 +302,7 @@ def _link(candidates: DataFrame, tested: DataFrame | None, labels: DataFrame, te
         best = left.groupBy("v").agg(F.max(F.struct("agreeing", "u")).alias("best")).select("v", "best.u") if first else left.select("v", "u")
         best, first = materialise(best, "pairs"), False
         if best.isEmpty():
-            return (tested if tested is not None else spark.createDataFrame([], "v string, u string, similarity double")), labels
+            return (tested if tested is not None else spark.createDataFrame([], "v binary, u binary, similarity double")), labels
         found = materialise(_verified(best, texts, weights), "verified")
         tested = found if tested is None else tested.unionByName(found)
         labels = components(tested.filter(F.col("similarity") >= SIMILARITY))
@@ -303,15 +320,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows = id_and_text(docs, id_col, text_col)
     weights = learn_weights(rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             texts = part.column("text").to_pylist()
-            digests = [None if t is None else hashlib.md5(t.encode()).hexdigest() for t in texts]
+            digests = [None if t is None else hashlib.md5(t.encode()).digest() for t in texts]
             yield record_batch(schema, doc_id=part.column("doc_id"), digest=digests, signature=signatures([t or "" for t in texts], weights))
 
-    signed = materialise(rows.mapInArrow(sign, "doc_id long, digest string, signature binary"), "signatures")
+    signed = materialise(rows.mapInArrow(sign, "doc_id long, digest binary, signature binary"), "signatures")
     # Null ids come last, so that a text with any id is found by it again.
     distinct = materialise(
         signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("v")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("signature").alias("signature")),
@@ -319,7 +336,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     bands, needed = _shared(distinct)
     candidates = materialise(_leader_pairs(bands, needed), "candidates")
-    labels = rows.sparkSession.createDataFrame([], "v string, label string")
+    labels = rows.sparkSession.createDataFrame([], "v binary, label binary")
     if not candidates.isEmpty():
         texts = _texts_of_pairs(rows, needed)
         tested, labels = _link(candidates, None, labels, texts, weights)
@@ -335,14 +352,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _texts_of_pairs(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """(v, text) of every text that shares a bucket with another, once."""
-    texts = rows.filter("text IS NOT NULL").withColumn("v", F.md5("text")).join(needed.select("v", "first"), "v")
+    texts = rows.filter("text IS NOT NULL").withColumn("v", F.unhex(F.md5("text"))).join(needed.select("v", "first"), "v")
     return materialise(texts.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text").dropDuplicates(["v"]), "texts")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all columns. A document with a null text stays."""
     found = groups(docs, id_col, text_col).filter("kept AND digest IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    own = docs.withColumn("__digest", F.md5(F.col(text_col).cast("string")))
+    own = docs.withColumn("__digest", F.unhex(F.md5(F.col(text_col).cast("string"))))
     kept = own.join(found, (own["__digest"] == found["__digest"]) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     once = kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
     return once.unionByName(docs.filter(F.col(text_col).isNull()))

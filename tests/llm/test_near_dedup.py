@@ -70,7 +70,7 @@ def test_hot_group_and_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, v string, label int")
     found = nd.groups(docs).collect()
     assert len(found) == len(rows)
-    group = {(r.doc_id, r.digest): r.group_id for r in found}
+    group = {(r.doc_id, r.digest and bytes(r.digest)): r.group_id for r in found}
     by_id = defaultdict(set)
     for (doc_id, _), g in group.items():
         by_id[doc_id].add(g)
