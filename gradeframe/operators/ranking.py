@@ -86,8 +86,8 @@ def error_sample(df: DataFrame, order: Sequence[str], n: int = K.ERROR_SAMPLE_RO
 
 
 def sample_exam(bank: DataFrame, k: int = K.EXAM_QUESTIONS, seed: int = 0, id_column: str = "question_id") -> DataFrame:
-    """``k`` questions drawn by a seeded hash; a distributed top-k, not a sort."""
-    return bank.orderBy(sample_key(bank, [id_column], seed), id_column).limit(k)
+    """``k`` questions drawn by the md5 of seed and id; a distributed top-k, not a sort."""
+    return bank.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), id_column)), id_column).limit(k)
 
 
 def newest_first(df: DataFrame, ts: str, *tie: str) -> DataFrame:

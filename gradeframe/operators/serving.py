@@ -65,10 +65,11 @@ def merge_explanations(submissions: DataFrame, graded: DataFrame, recency: str =
     """Put explanations into the results array of submissions; a missing one becomes ''.
 
     The array is unfolded with its positions, joined, and folded again. It came from one row,
-    so what is collected is bounded by what that row held. The last event of a question wins.
+    so what is collected is bounded by what that row held. The last event of a question wins;
+    of events at the same time, the one whose text sorts last.
     """
     last = graded.groupBy("submission_id", "question_id").agg(
-        F.max_by("explanation", recency).alias("__explanation")
+        F.max_by("explanation", F.struct(recency, "explanation")).alias("__explanation")
     )
     rest = [c for c in submissions.columns if c not in ("results", "submission_id")]
     fields = [f for f in submissions.schema["results"].dataType.elementType.fieldNames() if f != "explanation"]

@@ -65,13 +65,15 @@ def active_sessions(df: DataFrame, now: Column, expires: str = "expires_at") ->
     return df.where(F.col(expires).isNull() | (F.col(expires) > now))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Run a stream over everything available and return its result table.
 
     The result and the checkpoint live in the shared folder. Complete and update output go
-    through foreachBatch, because the file sink only appends: each batch has its own folder and
-    the last one, or the newest row, is the result.
+    through foreachBatch, because the file sink only appends: each batch has its own folder. The
+    last batch is the result in complete mode, and the newest row per ``keys`` in update mode.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     spark = stream.sparkSession
     path, checkpoint = work_dir(spark, name), work_dir(spark, f"{name}-checkpoint")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -89,4 +91,5 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     if mode == "complete":
         last = rows.agg(F.max("batch").alias("batch"))
         return rows.join(F.broadcast(last), "batch").drop("batch")
-    return rows
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return newest.select("row.*")
