@@ -252,8 +252,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             h, n = entropies(model, texts_of(rows))
             yield pa.record_batch({"lang": rows.column("lang"), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS)
-    calibrate(model, sample.mapInArrow(score, "lang string, h array<double>, n long").filter("n > 0").toArrow())
+    # Only ids are sorted; the chosen ones are bounded by their number, and texts stay where they lie.
+    chosen = train.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS).distinct()
+    sample = train.join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    calibrate(model, sample.mapInArrow(score, "lang string, h array<double>, n long").filter("n > 0").limit(CALIBRATION_DOCS).toArrow())
     return model
 
 
