@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.fingerprints import mixed, shingles
@@ -20,8 +20,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 13, 3  # a pair of similarity 0.8 shares a band with probability 0.9999
 SAMPLES = BANDS * ROWS
 LEAST_AGREEING = 25  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.006
-# Texts that their leaders did not link are dealt anew, to finer buckets in which neighbours are compared.
-FINE_BANDS, FINE_ROWS, FINE_ORDER, NEIGHBOURS = 12, 6, 6, 2
+# Pairs that no leader linked are verified from the most agreeing down, those of a level at a time.
+LEVELS = (SAMPLES + 1, 32, 26, 0)
+BLOCK_TEXTS = 1024  # texts of a bucket that a task compares with as many others at once
 DF_BITS = 18  # document frequencies are kept by this many bits of a shingle's hash
 IDF_SHARE = 0.25  # how much more the rarest shingle weighs than one of all documents
 CHUNK_MEMBERS = 256  # documents that one task compares with the same partner in a row
@@ -162,13 +163,13 @@ def _agreeing(a: str, b: str) -> F.Column:
 
 
 def _bands(texts: DataFrame) -> DataFrame:
-    """(bucket, v): a hash of each band's samples, of each text with words."""
+    """(bucket, band, v): a hash of each band's samples, of each text with words."""
     buckets = F.array(*[F.xxhash64(F.lit(n), F.substring("signature", 4 * ROWS * n + 1, 4 * ROWS)) for n in range(BANDS)])
-    return texts.filter("signature IS NOT NULL").select("v", F.explode(buckets).alias("bucket"))
+    return texts.filter("signature IS NOT NULL").select("v", F.posexplode(buckets).alias("band", "bucket"))
 
 
 def _shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, v, n) of the buckets that hold n texts, more than one; and first id and signature of those texts.
+    """(bucket, band, v, n) of the buckets that hold n texts, more than one; and first id and signature of those texts.
 
     Most buckets hold one text. They are counted by their hash alone, before anything wider moves.
     """
@@ -200,41 +201,86 @@ def _leader_pairs(bands: DataFrame, needed: DataFrame) -> DataFrame:
     return _with_agreement(pairs, needed)
 
 
-def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of texts that share a bucket but are in different groups so far, a few for each text.
+def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame, least: int, below: int) -> DataFrame:
+    """(v, u, agreeing) of every pair that shares a bucket, is in different groups so far and agrees
+    in ``least`` or more, but fewer than ``below`` samples; each pair once.
 
-    Only texts of buckets that still hold several groups take part. They are dealt to ``FINE_BANDS``
-    buckets of ``FINE_ROWS`` samples and sorted in each by further samples, so that the texts most
-    alike come next to each other, and each is paired with the next ``NEIGHBOURS``. So a large group
-    of texts that share a passage, or stem from one text but differ too much, gives pairs in
-    proportion to its size and not to its square.
+    Texts of a bucket that still holds several groups are dealt to blocks of about ``BLOCK_TEXTS``, and
+    each block is compared with each other and with itself by a task of its own. Only signatures move;
+    pairs come into being in the task, and only those that agree leave it.
     """
-    rows = bands.select("bucket", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    open_ = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("bucket")
-    some = rows.join(open_, "bucket", "left_semi").select("v", "label").distinct().join(needed.select("v", "signature"), "v")
-    rng = np.random.default_rng(11)
-
-    def sample(n: int) -> F.Column:
-        return F.substring("signature", 4 * n + 1, 4)
-
-    keys = []
-    for n in range(FINE_BANDS):
-        chosen = [int(k) for k in rng.permutation(SAMPLES)[: FINE_ROWS + FINE_ORDER]]
-        bucket = F.xxhash64(F.lit(n), *map(sample, chosen[:FINE_ROWS]))
-        keys.append(F.struct(bucket.alias("bucket"), F.concat(*map(sample, chosen[FINE_ROWS:])).alias("place")))
-    fine = materialise(some.select("v", "label", F.explode(F.array(*keys)).alias("k")).select("v", "label", "k.bucket", "k.place"), "fine-bands")
-    several = fine.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    near = fine.join(several, "bucket").join(needed.select("v", "signature"), "v")
-    order = Window.partitionBy("bucket").orderBy("place", "v")
-    for n in range(1, NEIGHBOURS + 1):
-        near = near.withColumn(f"next{n}", F.lead(F.struct("v", "label", "signature"), n).over(order))
-    pairs = None
-    for n in range(1, NEIGHBOURS + 1):
-        some = near.select("v", "label", "signature", F.col(f"next{n}.v").alias("u"), F.col(f"next{n}.label").alias("u_label"), F.col(f"next{n}.signature").alias("u_signature"))
-        some = some.filter("label != u_label").withColumn("agreeing", _agreeing("signature", "u_signature")).filter(F.col("agreeing") >= LEAST_AGREEING)
-        some = some.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"), "agreeing")
-        pairs = some if pairs is None else pairs.unionByName(some)
-    return pairs.distinct()
+    rows = bands.select("bucket", "band", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b")
+    some = rows.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK_TEXTS).alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    some = some.select(
+        "bucket", "band", "v", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+    schema = pa.schema([("v", pa.binary()), ("u", pa.binary()), ("agreeing", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("bucket", "i", "j")):
+            side, names = rows["side"].to_numpy(), rows["v"].to_pylist()
+            label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            sample = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u4").reshape(-1, SAMPLES)
+            band = rows["band"][0].as_py()
+            for x, y, agreeing in _agreeing_in(sample, label, side, band, least, below):
+                first, second = [names[k] for k in x], [names[k] for k in y]
+                yield record_batch(schema, v=list(map(min, first, second)), u=list(map(max, first, second)), agreeing=agreeing)
+
+    work = some.join(needed.select("v", "signature"), "v").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return work.mapInArrow(run, "v binary, u binary, agreeing int")
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Consecutive rows of equal keys, one table for each run."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(starts, starts[1:]):
+            key = tuple(c[start] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _agreeing_in(
+    sample: np.ndarray, label: np.ndarray, side: np.ndarray, band: int, least: int, below: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of two blocks (sides 1 and 2), or of one block (side 0), that agree, and in how many samples.
+
+    A pair is found in the first band that it shares, so that other buckets do not give it again.
+    """
+    one = side[0] == 0
+    a = np.flatnonzero(side != 2)
+    b = a if one else np.flatnonzero(side == 2)
+    if not len(a) or not len(b):
+        return
+    step = max(1, (1 << 16) // len(b))
+    for start in range(0, len(a), step):
+        x = a[start : start + step]
+        wanted = label[x][:, None] != label[b][None, :]
+        if one:
+            wanted &= x[:, None] < b[None, :]
+        if not wanted.any():
+            continue
+        equal = sample[x][:, None, :] == sample[b][None, :, :]
+        agreeing = equal.sum(axis=2, dtype=np.uint8)
+        at = np.nonzero(wanted & (agreeing >= least) & (agreeing < below))
+        shared = equal[at].reshape(-1, BANDS, ROWS).all(axis=2)
+        own = shared.argmax(axis=1) == band
+        if own.any():
+            yield x[at[0][own]], b[at[1][own]], agreeing[at][own]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -337,11 +383,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     bands, needed = _shared(distinct)
     candidates = materialise(_leader_pairs(bands, needed), "candidates")
     labels = rows.sparkSession.createDataFrame([], "v binary, label binary")
-    if not candidates.isEmpty():
+    if not bands.isEmpty():
         texts = _texts_of_pairs(rows, needed)
         tested, labels = _link(candidates, None, labels, texts, weights)
-        rest = materialise(_cross_pairs(bands, needed, labels), "candidates")
-        tested, labels = _link(rest, tested, labels, texts, weights)
+        for below, least in zip(LEVELS, LEVELS[1:]):
+            rest = materialise(_cross_pairs(bands, needed, labels, max(least, LEAST_AGREEING), below), "candidates")
+            tested, labels = _link(rest, tested, labels, texts, weights)
     named = distinct.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     first = named.groupBy("label").agg(F.min("first").alias("group_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "v")).alias("keep"))
     by_text = named.join(first, "label").select(F.col("v").alias("digest"), "group_id", (F.col("v") == F.col("keep.v")).alias("keeps"), F.col("first"))

@@ -104,3 +104,40 @@ def test_components_of_chains(spark):
     labels = {r.v: r.label for r in nd.components(spark.createDataFrame(edges, "v string, u string")).collect()}
     assert all(labels[f"{i:03d}"] == "000" for i in range(41))
     assert labels["902"] == "900" and labels["b"] == "a"
+
+
+def test_family_without_its_base(spark):
+    # Copies of an absent text, most pairs of them below 0.8; half of them have one partner of 0.8 or more.
+    rng = np.random.default_rng(3)
+    base = list(rng.choice([f"w{i}" for i in range(5000)], 300))
+    texts = [changed(rng, base, 5) for _ in range(240)]
+    texts += [changed(rng, text.split(), 5) for text in texts[:120]]
+    docs = list(enumerate(texts))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    weights = nd.learn_weights(table)
+    vectors = [(h, weights.of(h, n)) for h, n in nd._distinct(texts)]
+    assert 0.6 < np.median([nd.similarity(a, b) for a, b in itertools.combinations(vectors, 2)]) < nd.SIMILARITY
+    expected = brute_groups(docs, weights)
+    assert 120 < len(set(expected.values())) < 300
+    found = {r.doc_id: r.group_id for r in nd.groups(table).collect()}
+    assert {i: (found[i], expected[i]) for i in found if found[i] != expected[i]} == {}
+
+
+def test_cross_pairs_are_all_pairs_of_open_buckets(spark, monkeypatch):
+    # Blocks of 16 texts: each pair comes out once, however its texts are dealt.
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 16)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, nd.SAMPLES, dtype=np.uint32)
+    drawn = np.where(rng.random((120, nd.SAMPLES)) < 0.8, base, rng.integers(0, 1 << 32, (120, nd.SAMPLES), dtype=np.uint32)).astype("<u4")
+    names = [bytes([n]) * 16 for n in range(120)]
+    rows = [(v, n, 1, bytearray(s.tobytes())) for n, (v, s) in enumerate(zip(names, drawn, strict=True))]
+    texts = spark.createDataFrame(rows, "v binary, first long, copies long, signature binary")
+    labels = spark.createDataFrame([(v, names[0]) for v in names[:20]], "v binary, label binary")
+    bands, needed = nd._shared(texts)
+    found = [(bytes(r.v), bytes(r.u), r.agreeing) for r in nd._cross_pairs(bands, needed, labels, 21, 32).collect()]
+    expected = set()
+    for a, b in itertools.combinations(range(120), 2):
+        same = drawn[a] == drawn[b]
+        if b >= 20 and 21 <= same.sum() < 32 and same.reshape(nd.BANDS, nd.ROWS).all(axis=1).any():
+            expected.add((names[a], names[b], int(same.sum())))
+    assert len(found) == len(set(found)) and set(found) == expected and expected
