@@ -19,7 +19,7 @@ from gradeframe.session import materialise
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 3  # a pair of similarity 0.8 shares a band with probability 0.9999
 SAMPLES = BANDS * ROWS
-LEAST_AGREEING = 25  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.006
+LEAST_AGREEING = 21  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.00006
 # Pairs that no leader linked are verified from the most agreeing down, those of a level at a time.
 LEVELS = (SAMPLES + 1, 32, 26, 0)
 BLOCK_TEXTS = 1024  # texts of a bucket that a task compares with as many others at once

@@ -1,6 +1,7 @@
 """Groups against a comparison of all pairs, and the estimates of the samples."""
 
 import itertools
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -99,6 +100,11 @@ def test_samples_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.03
 
 
+def test_filter_loses_under_one_link_in_ten_thousand():
+    lost = sum(math.comb(nd.SAMPLES, n) * nd.SIMILARITY**n * (1 - nd.SIMILARITY) ** (nd.SAMPLES - n) for n in range(nd.LEAST_AGREEING))
+    assert lost < 1e-4
+
+
 def test_components_of_chains(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("900", "901"), ("902", "901"), ("a", "b")]
     labels = {r.v: r.label for r in nd.components(spark.createDataFrame(edges, "v string, u string")).collect()}
