@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.fingerprints import mixed
-from gradeframe.llm.shared import held_out, id_and_text, record_batch, text_slices, texts_of
-from gradeframe.session import materialise
+from gradeframe.llm.shared import create_file, held_out, id_and_text, open_file, record_batch, text_slices, texts_of
+from gradeframe.session import materialise, work_dir
 
 ORDER = 4
-MAX_CELLS = 16_000_000  # n-grams times languages of the model; the most frequent n-grams are kept
+MAX_CELLS = 16_000_000  # n-grams times languages of a model that a task holds at once; a larger one stays in files
+SHARD_ENTRIES = 1 << 19  # of a file of such a model
+SHARDS_HELD = 16  # files that a task keeps in memory
 CALIBRATION_DOCS = 2_000  # learning rows on which rejection and score are calibrated
 REJECT_Z = 8.0
 LEAST_SPREAD = 1.0  # nats by which the cost of a single symbol varies at least
@@ -119,6 +122,62 @@ class Model:
         return out
 
 
+@dataclass
+class FileModel(Model):
+    """A model of any number of n-grams, in files of the shared folder.
+
+    ``files`` has the shards of six tables by name: ``("gram", n)`` holds what an n-gram's own count gives
+    to its probability, ``("context", n)`` what the shorter n-gram counts after a context that was met.
+    Only what a language has seen is stored. The probabilities of single symbols are held in memory.
+    """
+
+    files: dict[tuple[str, int], list[str]] = field(default_factory=dict)
+    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    single: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(keys, return_inverse=True)
+        last = distinct & np.uint64(0xFFFF)
+        at = np.minimum(np.searchsorted(self.symbols, last), len(self.symbols) - 1)
+        p = np.where((self.symbols[at] == last)[:, None], self.single[at], np.exp(self.unknown))
+        for order in range(2, ORDER + 1):
+            grams_ = distinct & np.uint64((1 << 16 * order) - 1)
+            p = self._of(("gram", order), grams_, 0.0) + self._of(("context", order), grams_ >> _16, 1.0) * p
+        return np.log(p).astype(np.float32)[where]
+
+    def _of(self, table: tuple[str, int], wanted: np.ndarray, missing: float) -> np.ndarray:
+        """Values of each key, one column per language; ``missing`` where a language has none."""
+        keys, back = np.unique(wanted, return_inverse=True)
+        out = np.full((len(keys), len(self.languages)), missing)
+        files = self.files[table]
+        shard = np.mod(keys.view(np.int64), len(files))
+        for n in np.unique(shard).tolist():
+            if files[n] is None:
+                continue
+            array, starts, languages, values = _load_shard(files[n])
+            own = np.flatnonzero(shard == n)
+            at, found = array.find(keys[own])
+            own, at = own[found], at[found]
+            sizes = starts[at + 1] - starts[at]
+            entry = np.arange(sizes.sum()) + np.repeat(starts[at] - np.cumsum(sizes) + sizes, sizes)
+            out[np.repeat(own, sizes), languages[entry]] = values[entry]
+        return out[back]
+
+
+@functools.lru_cache(maxsize=SHARDS_HELD)
+def _load_shard(uri: str) -> tuple[HashArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash array of a shard's keys, where the entries of each key begin, and languages and values of the entries."""
+    with open_file(uri) as file:
+        data = np.load(io.BytesIO(file.read()))
+        keys, language, value = data["keys"], data["language"], data["value"]
+    distinct, first, sizes = np.unique(keys, return_index=True, return_counts=True)
+    array = HashArray(distinct)
+    first, sizes = first[array.order], sizes[array.order]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    entry = np.arange(len(keys)) + np.repeat(first - starts[:-1], sizes)
+    return array, starts, language[entry], value[entry]
+
+
 def _groups(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sum of their weights (or their number)."""
     distinct, where = np.unique(keys, return_inverse=True)
@@ -181,6 +240,91 @@ def build(languages: list[str], language: np.ndarray, keys: np.ndarray, counts:
     return Model(languages, tables, backoff, unknown)
 
 
+def build_files(languages: list[str], counts: DataFrame) -> FileModel:
+    """The estimates of ``build`` from (lang, gram, n), calculated in tasks and written to the shared folder.
+
+    The driver sees counts per language and order, and those of single symbols, which the alphabet bounds.
+    """
+    spark = counts.sparkSession
+    number = spark.createDataFrame(list(enumerate(languages)), "language int, lang string")
+    level = materialise(counts.join(F.broadcast(number), "lang").select("language", "gram", "n"), "grams")
+    entries = []
+    for order in range(ORDER, 1, -1):
+        discount = F.broadcast(spark.createDataFrame(_discounts(level), "language int, discount double"))
+        seen = level.withColumn("context", F.shiftrightunsigned("gram", 16))
+        context = seen.groupBy("language", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        context = materialise(context.join(discount, "language"), "contexts")
+        own = seen.join(context, ["language", "context"]).select("language", F.col("gram").alias("key"), ((F.col("n") - F.col("discount")) / F.col("total")).alias("value"))
+        weight = context.select("language", F.col("context").alias("key"), (F.col("discount") * F.col("kinds") / F.col("total")).alias("value"))
+        entries += [(("gram", order), own), (("context", order), weight)]
+        shorter = level.withColumn("gram", F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)))
+        level = materialise(shorter.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n")), "grams")
+    files = {table: _write_shards(rows) for table, rows in entries}
+    discounts, rows = dict(_discounts(level)), level.toArrow()
+    language, gram, n = rows["language"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(float)
+    symbols = np.unique(gram)
+    single, unknown = np.zeros((len(symbols), len(languages))), np.zeros(len(languages))
+    for k in range(len(languages)):
+        own, d = language == k, discounts.get(k, 0.5)
+        total = max(n[own].sum(), 1)
+        rest = (d * own.sum() if own.any() else 1) / total / (len(symbols) + 1)
+        single[:, k] = rest
+        single[np.searchsorted(symbols, gram[own]), k] += (n[own] - d) / total
+        unknown[k] = np.log(rest)
+    return FileModel(languages, [], [], unknown, files=files, symbols=symbols, single=single)
+
+
+def _discounts(level: DataFrame) -> list[tuple[int, float]]:
+    """The absolute discount of each language, from how many n-grams were counted once and twice."""
+    ones, twos = (F.sum((F.col("n") == k).cast("long")) for k in (1, 2))
+    rows = level.groupBy("language").agg(ones.alias("ones"), twos.alias("twos")).collect()
+    return [(r.language, float(np.clip(r.ones / (r.ones + 2 * r.twos) if r.ones + r.twos else 0.5, 0.1, 0.95))) for r in rows]
+
+
+def _write_shards(entries: DataFrame) -> list[str | None]:
+    """Write (language, key, value) by ranges of the key's remainder; returns the file of each remainder.
+
+    All entries of a key are in one file. The number of files grows with the entries.
+    """
+    entries = materialise(entries, "entries")
+    shards = 2 * (entries.count() // SHARD_ENTRIES) + 1  # odd, so that every symbol of a key counts
+    folder = work_dir(entries.sparkSession, "language-model")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def write() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            file, uri = create_file(folder, ".npz")
+            with file:
+                buffer = io.BytesIO()
+                np.savez(buffer, keys=rows["key"].to_numpy().view(np.uint64), language=rows["language"].to_numpy(), value=rows["value"].to_numpy())
+                file.write(buffer.getvalue())
+            return pa.record_batch({"shard": [rows["shard"][0].as_py()], "uri": [uri]}, pa.schema([("shard", pa.int64()), ("uri", pa.string())]))
+
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            ends = [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), batch.num_rows]
+            start = 0
+            for end in ends if batch.num_rows else []:
+                if held and held[0].column("shard")[0].as_py() != shard[start]:
+                    yield write()
+                    held = []
+                held.append(batch.slice(start, end - start))
+                start = end
+        if held:
+            yield write()
+
+    dealt = entries.withColumn("shard", F.pmod("key", F.lit(shards).cast("long"))).repartition("shard").sortWithinPartitions("shard", "key")
+    found = {r.shard: r.uri for r in dealt.mapInArrow(run, "shard long, uri string").collect()}
+    return [found.get(n) for n in range(shards)]
+
+
+def _slice(model: Model | None) -> int:
+    """Bytes of text scored at once: a table has a column per language, so fewer with many languages."""
+    return SLICE * 4 // max(4, len(model.languages)) if model else SLICE
+
+
 def entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per symbol of each text in each language, and its number of symbols."""
     keys, owner = grams(texts)
@@ -231,8 +375,8 @@ def _gram_counts(train: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Models of all languages among the rows that are not held out; None if there is no such row.
 
-    N-grams are counted over all of these rows. The model keeps the most frequent ones, at most
-    ``MAX_CELLS`` over all languages, as every task holds it. Rejection and score are calibrated on at
+    N-grams are counted over all of these rows and all are kept: in memory up to ``MAX_CELLS``, in files
+    of the shared folder beyond, with the same probabilities. Rejection and score are calibrated on at
     most ``CALIBRATION_DOCS`` of the rows.
     """
     train = (
@@ -243,12 +387,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not languages:
         return None
-    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(max(1, MAX_CELLS // len(languages))).toArrow()
-    language = np.searchsorted(np.array(languages), np.array(kept["lang"].to_pylist()))
-    model = build(languages, language, kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy().astype(np.float64))
+    if counts.count() * len(languages) <= MAX_CELLS:
+        kept = counts.toArrow()
+        language = np.searchsorted(np.array(languages), np.array(kept["lang"].to_pylist()))
+        model = build(languages, language, kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy().astype(np.float64))
+    else:
+        model = build_files(languages, counts)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, SLICE):
+        for rows in text_slices(batches, _slice(model)):
             h, n = entropies(model, texts_of(rows))
             yield pa.record_batch({"lang": rows.column("lang"), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
@@ -311,7 +458,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, SLICE):
+        for rows in text_slices(batches, _slice(model)):
             lang, score, cost, rejected = _decide(model, texts_of(rows))
             yield record_batch(_PREDICTED, doc_id=rows.column("doc_id"), lang_pred=lang, score=score, cross_entropy=cost, rejected=rejected)
 
@@ -322,7 +469,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """The documents that are not rejected, with all their columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, SLICE, text_col):
+        for rows in text_slices(batches, _slice(model), text_col):
             yield rows.filter(pa.array(~_decide(model, texts_of(rows, text_col))[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -96,3 +96,19 @@ def test_edge_cases(spark):
     nothing = docs.limit(0)
     assert langid.learn(nothing) is None
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
+
+
+def test_no_ngram_is_lost_beyond_the_cells_of_a_task(spark, monkeypatch):
+    # A language of few rows among larger ones, with a model of many files: the same costs as from one table.
+    texts = {"aa": "anna ate a large apple at alma and all ", "bb": "bob both boo hobby lobby knob bobbin ", "cc": "zwölf öxte jüggeln über zäune "}
+    rows = [(i, texts["aa" if i % 2 else "bb"] * (i % 5 + 1), "aa" if i % 2 else "bb") for i in range(80)] + [(100 + i, texts["cc"], "cc") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.learn(docs)
+    monkeypatch.setattr(langid, "MAX_CELLS", 30)
+    monkeypatch.setattr(langid, "SHARD_ENTRIES", 20)
+    model = langid.learn(docs)
+    asked = [*texts.values(), "an apple über bob", "жжж"]
+    assert langid.entropies(model, asked)[0] == pytest.approx(langid.entropies(whole, asked)[0], rel=1e-4)
+    assert len(model.files["gram", 4]) > 3
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
