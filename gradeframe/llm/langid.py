@@ -20,7 +20,8 @@ ORDER = 4
 MAX_CELLS = 16_000_000  # n-grams times languages of a model that a task holds at once; a larger one stays in files
 SHARD_ENTRIES = 1 << 19  # of a file of such a model
 SHARDS_HELD = 16  # files that a task keeps in memory
-CALIBRATION_DOCS = 2_000  # learning rows on which rejection and score are calibrated
+LEAST_ROWS = 5  # of a language, to say what is unusual in it; the rows of all languages speak for one of fewer
+SHARPNESS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
 REJECT_Z = 8.0
 LEAST_SPREAD = 1.0  # nats by which the cost of a single symbol varies at least
 UNDETERMINED = "und"
@@ -376,8 +377,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Models of all languages among the rows that are not held out; None if there is no such row.
 
     N-grams are counted over all of these rows and all are kept: in memory up to ``MAX_CELLS``, in files
-    of the shared folder beyond, with the same probabilities. Rejection and score are calibrated on at
-    most ``CALIBRATION_DOCS`` of the rows.
+    of the shared folder beyond, with the same probabilities. Rejection and score are calibrated on
+    all of these rows.
     """
     train = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -394,39 +395,50 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     else:
         model = build_files(languages, counts)
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, _slice(model)):
-            h, n = entropies(model, texts_of(rows))
-            yield pa.record_batch({"lang": rows.column("lang"), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
-
-    # Only ids are sorted; the chosen ones are bounded by their number, and texts stay where they lie.
-    chosen = train.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS).distinct()
-    sample = train.join(F.broadcast(chosen), "doc_id").select("lang", "text")
-    calibrate(model, sample.mapInArrow(score, "lang string, h array<double>, n long").filter("n > 0").limit(CALIBRATION_DOCS).toArrow())
+    calibrate(model, train)
     return model
 
 
-def calibrate(model: Model, sample: pa.Table) -> None:
-    """Set what a usual text of each language costs, and how sharply costs tell languages apart."""
-    h, n = np.array(sample["h"].to_pylist(), float).reshape(-1, len(model.languages)), sample["n"].to_numpy().astype(float)
-    truth = np.searchsorted(np.array(model.languages), np.array(sample["lang"].to_pylist(), str))
-    model.mean, model.spread, model.spread_per_symbol = (np.zeros(len(model.languages)) for _ in range(3))
-    for k in range(len(model.languages)):
-        own = truth == k
-        costs, sizes = h[own, k], n[own]
-        if len(costs) < 5:
-            # Too few to say what is unusual: nothing is rejected as this language.
+def calibrate(model: Model, train: DataFrame) -> None:
+    """Set what a usual text of each language costs, and how sharply costs tell languages apart.
+
+    Both come from all rows (lang, text); tasks add them up, and a few numbers per language reach the driver.
+    """
+    sums = ["rows", "cost", "square", "symbols", "symbols_cost", "symbols_square", *(f"fit{n}" for n in range(len(SHARPNESS)))]
+    schema = pa.schema([("lang", pa.string()), *((name, pa.float64()) for name in sums)])
+    languages = np.array(model.languages)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(languages), len(sums)))
+        for rows in text_slices(batches, _slice(model)):
+            h, n = entropies(model, texts_of(rows))
+            some = n > 0
+            h, n = h[some], n[some].astype(float)
+            truth = np.searchsorted(languages, np.array(rows.column("lang").to_pylist(), str)[some])
+            at = np.arange(len(h))
+            cost = h[at, truth]
+            # Costs above the best, so that no exponential overflows.
+            beyond = h - h.min(axis=1, keepdims=True)
+            fits = [np.log(np.exp(-x * beyond[at, truth]) / np.exp(-x * beyond).sum(axis=1) + 1e-12) for x in SHARPNESS]
+            np.add.at(totals, truth, np.stack([np.ones(len(h)), cost, cost**2, n, n * cost, n * cost**2, *fits], axis=1))
+        yield record_batch(schema, lang=model.languages, **dict(zip(sums, totals.T, strict=True)))
+
+    counted = train.select("lang", "text").mapInArrow(run, ", ".join(["lang string", *(f"{name} double" for name in sums)]))
+    got = {r.lang: list(r)[1:] for r in counted.groupBy("lang").agg(*[F.sum(name) for name in sums]).collect()}
+    totals = np.array([got.get(lang, [0.0] * len(sums)) for lang in model.languages])
+    pooled = totals.sum(axis=0)
+    model.mean, model.spread, model.spread_per_symbol = (np.zeros(len(languages)) for _ in range(3))
+    for k, own in enumerate(totals):
+        rows, cost, square, symbols, symbols_cost, symbols_square = (own if own[0] >= LEAST_ROWS else pooled)[:6]
+        if not rows:
+            # No text has a letter: nothing is rejected for its cost.
             model.mean[k] = np.inf
             continue
-        model.mean[k] = np.average(costs, weights=sizes)
-        model.spread[k] = costs.std()
-        model.spread_per_symbol[k] = max(LEAST_SPREAD, np.sqrt(np.mean((costs - model.mean[k]) ** 2 * sizes)))
-    if len(h):
-        best = h.min(axis=1, keepdims=True)
-        fits = {}
-        for sharp in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0):
-            likelihood = np.exp(-sharp * (h - best))
-            fits[sharp] = np.log(likelihood[np.arange(len(h)), truth] / likelihood.sum(axis=1) + 1e-12).mean()
+        mean = model.mean[k] = symbols_cost / symbols
+        model.spread[k] = np.sqrt(max(square / rows - (cost / rows) ** 2, 0.0))
+        model.spread_per_symbol[k] = max(LEAST_SPREAD, np.sqrt(max((symbols_square - 2 * mean * symbols_cost + mean**2 * symbols) / rows, 0.0)))
+    if pooled[0]:
+        fits = dict(zip(SHARPNESS, pooled[6:] / pooled[0], strict=True))
         model.sharpness = max(fits, key=lambda s: (round(fits[s], 6), -s))
 
 

@@ -112,3 +112,22 @@ def test_no_ngram_is_lost_beyond_the_cells_of_a_task(spark, monkeypatch):
     assert len(model.files["gram", 4]) > 3
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
     assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_rejection_in_a_rare_language(spark):
+    # 12 of 6,018 texts are "cc"; nonsense whose cheapest language is "cc" is rejected all the same.
+    texts = {"aa": "anna ate a large apple at alma and all ", "bb": "bob both boo hobby lobby knob bobbin ", "cc": "жук жужжит над лужей ", "dd": "ξένος λόγος "}
+    rows = [(i, texts["aa" if i % 2 else "bb"] * (i % 3 + 1), "aa" if i % 2 else "bb") for i in range(6000)]
+    rows += [(7000 + i, texts["cc"] * (i % 3 + 1), "cc") for i in range(12)] + [(8000 + 4 * i, texts["dd"], "dd") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert np.isfinite(model.mean).all()
+    strange = spark.createDataFrame([(1, "жщуэ дфыж лщъу кзжн " * 40), (2, texts["cc"] * 2)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(strange, model).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "cc"
+    assert got[1].rejected and not got[2].rejected
+    # The statistics are those of all learning rows of the language.
+    own = [t for d, t, lang in rows if lang == "cc" and zlib.crc32(str(d).encode()) % 4 != 2]
+    h, n = langid.entropies(model, own)
+    k = model.languages.index("cc")
+    assert model.mean[k] == pytest.approx(np.average(h[:, k], weights=n)) and model.spread[k] == pytest.approx(h[:, k].std(), abs=1e-6)
