@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontaminate, fingerprints, langid, near_dedup, packing, quality, secret_scan, token_files, viterbi, warc
+from gradeframe.llm import (
+    decontaminate, fingerprints, langid, near_dedup, packing, piece_bpe, quality, secret_scan, token_files, viterbi, warc,
+)
 from gradeframe.llm.shared import held_out
 from gradeframe.plans.registry import Query
 
@@ -118,3 +120,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return token_files.read(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    found = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
