@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm import (
-    decontaminate, fingerprints, langid, near_dedup, packing, piece_bpe, quality, secret_scan, token_files, viterbi, warc,
+    alignment, conversation, decontaminate, fingerprints, langid, near_dedup, packing, piece_bpe, quality, secret_scan, token_files, viterbi, warc,
 )
 from gradeframe.llm.shared import held_out
 from gradeframe.plans.registry import Query
@@ -122,6 +122,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation.damaged(table(spark, sf_dir, "conversations"))
+    return conversation.with_digest(rows, conversation.report(rows))
+
+
 @_query
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
