@@ -58,7 +58,7 @@ class _PlainBpe(ByteBpe):
     """The byte-level tokenizer, for which the strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, limit=50_000)
         self.tokenizer.encode_special_tokens = True
         self.added = []
 
@@ -90,8 +90,9 @@ class Links:
 class Aligner:
     """Both tokenizers and the tokens of units met before, in a table of bounded size."""
 
-    def __init__(self, byte_path: str, piece_path: str, limit: int = 6_000_000):
-        self.a, self.b = _PlainBpe(byte_path), PieceBpe(piece_path)
+    def __init__(self, byte_path: str, piece_path: str, limit: int = 3_000_000):
+        # units are remembered here, so the tables of their words stay small
+        self.a, self.b = _PlainBpe(byte_path), PieceBpe(piece_path, limit // 8)
         self.a_bytes, self.b_bytes = self.a.entry_bytes(), self.b.surfaces
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
