@@ -9,12 +9,12 @@ counts up, verifying the key at each index.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm import perfect_hash
-from gradeframe.llm.bpe import ByteBpe
-from gradeframe.llm.piece_bpe import PieceBpe
+from gradeframe.llm.bpe import PLAIN, WORD, ByteBpe
+from gradeframe.llm.piece_bpe import PairMerges, PieceBpe
 from gradeframe.llm.shared import create_file, id_and_text, open_file, record_batch, text_slices, texts_of
 from gradeframe.session import materialise, work_dir
 
@@ -54,22 +54,69 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return (perfect_hash.mix(keys, -2) >> np.uint64(1)).astype(np.int64)
 
 
-class _PlainBpe(ByteBpe):
-    """The byte-level tokenizer, for which the strings of special tokens are plain text."""
+class ByteSide:
+    """The byte-level tokenizer on units, by merge rounds. Strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path, limit=50_000)
-        self.tokenizer.encode_special_tokens = True
-        self.added = []
-
-    def entry_bytes(self) -> list[bytes]:
-        """The bytes of each entry: printable bytes stand for themselves, the others for the letters from 256 on."""
+        bpe = ByteBpe(path, limit=1)
+        self.split_words = bpe.split_words
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary = model["vocab"]
+        # printable bytes stand for themselves, the others for the letters from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(hidden)}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        entries = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        return [bytes(byte[c] for c in e) if all(c in byte for c in e) else e.encode() for e in entries]
+        size = bpe.tokenizer.get_vocab_size(with_added_tokens=True)
+        entries = [bpe.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.bytes = [bytes(byte[c] for c in e) if all(c in byte for c in e) else e.encode() for e in entries]
+        self.letter = np.zeros(256, np.int64)
+        self.letter[list(byte.values())] = [vocabulary[c] for c in byte]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocabulary[x] * size + vocabulary[y] for x, y in pairs], np.int64)
+        order = np.argsort(keys)
+        joined = np.array([vocabulary[x + y] for x, y in pairs], np.int64)
+        self.merges = PairMerges(keys[order], order.astype(np.int64), joined[order], size)
+
+    def _words(self, text: str) -> np.ndarray:
+        """Numbers of letters of the words of a text, as the library cuts it."""
+        if PLAIN.fullmatch(text):
+            return np.fromiter(map(len, WORD.findall(text)), np.int64)
+        spans = [end - start for _, (start, end) in self.split_words(text)]
+        if sum(spans) != len(text):
+            raise ValueError("the tokenizer leaves letters out")
+        return np.array(spans, np.int64)
+
+    def merged(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in order, and the number of the unit of each.
+
+        Units are cut into words together. One that begins with a letter gets a line break before it,
+        as it has in its text, whose token is dropped. Units of white space alone, which are few, would
+        grow together with their neighbours and are cut one by one.
+        """
+        blank = [u.isspace() for u in units]
+        solid, rest = ([n for n, b in enumerate(blank) if b is which] for which in (False, True))
+        bare = [not units[n][0].isspace() for n in solid]
+        chunks = ["\n" + units[n] if b else units[n] for n, b in zip(solid, bare, strict=True)]
+        lengths = [self._words("".join(chunks)), *(self._words(units[n]) for n in rest)]
+        chunks += [units[n] for n in rest]
+        letters = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        if not len(letters):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lengths = np.concatenate(lengths)
+        chunk_lengths = np.fromiter(map(len, chunks), np.int64)
+        chunk_ends = np.cumsum(chunk_lengths)
+        word_starts = np.cumsum(lengths) - lengths
+        owner = np.searchsorted(chunk_ends, word_starts, "right")
+        begins = word_starts == (chunk_ends - chunk_lengths)[owner]
+        added = np.array(bare + [False] * len(rest), bool)
+        unit = np.where(begins & added[owner], -1, np.array([*solid, *rest])[owner])
+        bytes_of = 1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000)
+        words = np.repeat(np.repeat(np.arange(len(lengths)), lengths), bytes_of)
+        ids, words = self.merges.rounds(self.letter[np.frombuffer("".join(chunks).encode(), np.uint8)], words)
+        unit = unit[words]
+        order = np.argsort(unit[unit >= 0], kind="stable") if rest else slice(None)
+        return ids[unit >= 0][order], unit[unit >= 0][order]
 
 
 @dataclass
@@ -88,57 +135,43 @@ class Links:
 
 
 class Aligner:
-    """Both tokenizers and the tokens of units met before, in a table of bounded size."""
+    """Both tokenizers, on the different units of some texts at once."""
 
-    def __init__(self, byte_path: str, piece_path: str, limit: int = 3_000_000):
-        # units are remembered here, so the tables of their words stay small
-        self.a, self.b = _PlainBpe(byte_path), PieceBpe(piece_path, limit // 8)
-        self.a_bytes, self.b_bytes = self.a.entry_bytes(), self.b.surfaces
+    def __init__(self, byte_path: str, piece_path: str):
+        self.a, self.b = ByteSide(byte_path), PieceBpe(piece_path)
+        self.a_bytes, self.b_bytes = self.a.bytes, self.b.surfaces
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
         self.cut = UNIT.findall if self.b.by_word else lambda t: [t]
-        self.tokens: dict[str, tuple[bytes, bytes] | None] = {}
-        self.limit, self.held = limit, 0
         self.a_texts = [np.array([f"{i}{end}" for i in range(len(self.a_bytes))], object) for end in ",|"]
         self.b_texts = [np.array([f"{i}{end}" for i in range(self.width)], object) for end in ",;"]
 
-    def _tokenise(self, units: list[str]) -> None:
-        """Ids of both sides of each unit; None if the bytes of either are not those of the unit."""
-        new = [u for u in units if u not in self.tokens]
-        words = [self.b.words_of(u.replace("▁", " ")) for u in new]
-        self.b.encode_words(chain.from_iterable(words))
-        for unit, parts in zip(new, words, strict=True):
-            a, b = self.a.encode(unit), b"".join(map(self.b.table.__getitem__, parts))
-            same = all(
-                b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())) == unit.encode()
-                for ids, table in ((a, self.a_bytes), (b, self.b_bytes))
-            )
-            self.tokens[unit] = (a, b) if same else None
-            self.held += len(unit)
-        self.b.turn()
+    @staticmethod
+    def _same(data: list[bytes], size: np.ndarray, tables: tuple, ids: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each unit's tokens are those of the unit."""
+        sizes = np.bincount(unit, size[ids], minlength=len(data)).astype(np.int64)
+        same = sizes == np.array([len(d) for d in data])
+        fits = same[unit]
+        if b"".join(map(tables.__getitem__, ids[fits].tolist())) == b"".join(d for d, s in zip(data, same.tolist(), strict=True) if s):
+            return same
+        bounds = np.searchsorted(unit, np.arange(len(data) + 1)).tolist()
+        flat = ids.tolist()
+        return np.array([b"".join(map(tables.__getitem__, flat[s:e])) == d for d, s, e in zip(data, bounds[:-1], bounds[1:], strict=True)], bool)
 
     def links(self, units: list[str]) -> tuple[Links, np.ndarray]:
-        """All links of different units, and which units have tokens at all."""
-        self._tokenise(units)
-        found = [self.tokens[u] for u in units]
-        if self.held > self.limit:
-            self.tokens.clear()
-            self.held = 0
-        good = np.array([f is not None for f in found], bool)
-        sides = [[f[s] if f else b"" for f in found] for s in (0, 1)]
-        a, b = (np.frombuffer(b"".join(s), "<u4").astype(np.int64) for s in sides)
-        n_a, n_b = (np.array([len(x) // 4 for x in s], np.int64) for s in sides)
+        """All links of different units, and which units have tokens: those whose bytes both sides give back."""
+        data = [u.encode() for u in units]
+        (a, a_unit), (b, b_unit) = self.a.merged(units), self.b.merged(units)
+        good = self._same(data, self.a_size, self.a_bytes, a, a_unit) & self._same(data, self.b_size, self.b_bytes, b, b_unit)
+        a, a_unit, b, b_unit = a[good[a_unit]], a_unit[good[a_unit]], b[good[b_unit]], b_unit[good[b_unit]]
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")
         ends = ends[np.append(True, np.diff(ends) > 0)[: len(ends)]]
         # Between two neighbouring ends lies one token of each side, and any two that overlap share one such gap.
         at_a, at_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        a_unit = np.repeat(np.arange(len(units)), n_a)
         a_closes, b_closes = (_among(x, y) for x, y in ((a_end, b_end), (b_end, a_end)))
-        return Links(
-            a[at_a] * self.width + b[at_b], a_unit[at_a], a, b, a_closes, b_closes, n_a, n_b,
-            np.bincount(a_unit[a_closes], minlength=len(units)),
-        ), good
+        n_a, n_b, n_groups = (np.bincount(u, minlength=len(units)) for u in (a_unit, b_unit, a_unit[a_closes]))
+        return Links(a[at_a] * self.width + b[at_b], a_unit[at_a], a, b, a_closes, b_closes, n_a, n_b, n_groups), good
 
     def group_texts(self, links: Links) -> list[str]:
         """``a1,a2|b1;`` for the groups of each unit."""
@@ -172,18 +205,19 @@ class _Slice:
     """Texts as numbers of different units; ``stops`` are the ends of documents in ``flat``."""
 
     units: list[str]
-    split: list[list[str]]
     flat: np.ndarray
     stops: np.ndarray
 
     @classmethod
     def of(cls, aligner: Aligner, texts: list[str]) -> _Slice:
-        split = [aligner.cut(" " + t) if t else [] for t in texts]
-        units = list(dict.fromkeys(chain.from_iterable(split)))
-        number = dict(zip(units, range(len(units)), strict=True))
-        stops = np.cumsum([len(s) for s in split])
-        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(stops[-1]))
-        return cls(units, split, flat, stops)
+        number: dict[str, int] = {}
+        numbers = []
+        for text in texts:
+            units = aligner.cut(" " + text) if text else []
+            new = [u for u in dict.fromkeys(units) if u not in number]
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            numbers.append(np.fromiter(map(number.__getitem__, units), np.int64, len(units)))
+        return cls(list(number), np.concatenate(numbers), np.cumsum([len(n) for n in numbers]))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of the units' values over each document."""
@@ -408,8 +442,11 @@ def aligned(docs: DataFrame, table: CountTable, byte_path: str, piece_path: str,
             bounds = np.searchsorted(links.unit[here], np.arange(len(part.units) + 1))
             for name, values in (("n_links", np.ones(len(back), np.int64)), ("n_best", best[back]), ("count_sum", counts[back])):
                 stats[name] = np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[bounds])
-            texts = dict(zip(part.units, aligner.group_texts(links), strict=True))
-            groups = ["".join(map(texts.__getitem__, u))[:-1] if w else "" for u, w in zip(part.split, whole.tolist(), strict=True)]
+            texts, bounds, flat = aligner.group_texts(links), [0, *part.stops.tolist()], part.flat.tolist()
+            groups = [
+                "".join(map(texts.__getitem__, flat[s:e]))[:-1] if w else ""
+                for s, e, w in zip(bounds[:-1], bounds[1:], whole.tolist(), strict=True)
+            ]
             yield record_batch(
                 _ROWS, doc_id=rows.column("doc_id"), groups=groups,
                 **{name: np.where(whole, part.sums(stats[name]), 0) for name in _STATS},

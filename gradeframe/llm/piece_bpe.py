@@ -30,19 +30,121 @@ def _one_replacement_a_byte(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("gradeframe-byte", _one_replacement_a_byte)
 
 
+class PairMerges:
+    """Merge rounds over many words at once.
+
+    ``keys`` are the pairs that can be joined, left id times ``stride`` plus right id, with the rank and the
+    joined id of each. In a round, each word's least rank is found and all leftmost pairs of that rank that
+    do not overlap are merged at once. That equals one merge after another unless a merge brings up a pair
+    of the same or a lesser rank; such a word merges only its first pair in that round. Words without a
+    pair leave the arrays, and only pairs beside a merge are looked up again.
+    """
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray, joined: np.ndarray, stride: int):
+        self.stride = stride
+        # a hash table with at most one place in eight taken; a key that finds its place taken goes to the next
+        self.shift = np.uint64(64 - max(4, int(8 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.ranks, self.joined = np.full(self.mask + 1, NO_PAIR, np.int64), np.zeros(self.mask + 1, np.int64)
+        self.steps, at = 0, self._place(keys)
+        while len(keys):
+            self.steps += 1
+            free = self.keys[at] == -1
+            _, first = np.unique(at, return_index=True)
+            mine = np.zeros(len(keys), bool)
+            mine[first] = True
+            mine &= free
+            self.keys[at[mine]], self.ranks[at[mine]], self.joined[at[mine]] = keys[mine], ranks[mine], joined[mine]
+            keys, ranks, joined, at = keys[~mine], ranks[~mine], joined[~mine], (at[~mine] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and joined id of each pair; ``NO_PAIR`` where the two can't be joined."""
+        key = left * self.stride + right
+        at = self._place(key)
+        found = self.keys[at]
+        again = np.flatnonzero((found != key) & (found != -1))
+        for _ in range(1, self.steps):
+            if not len(again):
+                break
+            at[again] = (at[again] + 1) & self.mask
+            found[again] = self.keys[at[again]]
+            again = again[(found[again] != key[again]) & (found[again] != -1)]
+        return np.where(found == key, self.ranks[at], NO_PAIR), self.joined[at]
+
+    def _set(self, symbols: np.ndarray, words: np.ndarray, rank: np.ndarray, joined: np.ndarray, at: np.ndarray) -> None:
+        """Look up the pairs that begin at some places; the last symbol of a word begins none."""
+        at = at[(at >= 0) & (at < len(symbols))]
+        right = np.minimum(at + 1, len(symbols) - 1)
+        inside = (at + 1 < len(symbols)) & (words[at] == words[right])
+        rank[at] = NO_PAIR
+        at, right = at[inside], right[inside]
+        rank[at], joined[at] = self.pairs(symbols[at], symbols[right])
+
+    def rounds(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all words until no pair remains; ``words`` numbers each symbol's word in ascending order."""
+        done = []
+        rank, joined = self.pairs(symbols[:-1], symbols[1:])
+        rank = np.append(np.where(words[:-1] == words[1:], rank, NO_PAIR), NO_PAIR)[: len(symbols)]
+        joined = np.append(joined, 0)[: len(symbols)]
+        while len(symbols):
+            starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            lengths = np.diff(np.append(starts, len(words)))
+            least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+            going = least != NO_PAIR
+            if not going.all():
+                done.append((symbols[~going], words[~going]))
+                symbols, words, rank, joined, least = (x[going] for x in (symbols, words, rank, joined, least))
+                if not len(symbols):
+                    break
+            at = self._leftmost(np.flatnonzero(rank == least))
+            at = self._in_turn(symbols, words, rank, joined, at)
+            symbols[at] = joined[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places once the right symbols of the merges before are gone
+            symbols, words, rank, joined = (x[keep] for x in (symbols, words, rank, joined))
+            self._set(symbols, words, rank, joined, np.concatenate([at - 1, at]))
+        if not done:
+            return symbols, words
+        symbols, words = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(words, kind="stable")
+        return symbols[order], words[order]
+
+    @staticmethod
+    def _leftmost(at: np.ndarray) -> np.ndarray:
+        """Every second pair of a run of overlapping ones, from its first."""
+        place = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(np.append(True, np.diff(at) != 1), place, 0))
+        return at[(place - first) % 2 == 0]
+
+    def _in_turn(self, symbols: np.ndarray, words: np.ndarray, rank: np.ndarray, joined: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leave only the first merge of words where a merge brings up a pair that must go before the next."""
+        again = np.append(False, words[at[1:]] == words[at[:-1]])
+        if not again.any():
+            return at
+        size = len(symbols)
+        new = joined[at]
+        after = symbols.copy()
+        after[at + 1] = new  # the symbol on the left of any later one, once all merges are made
+        right, left = np.minimum(at + 2, size - 1), np.maximum(at - 1, 0)
+        right_rank = np.where((at + 2 < size) & (words[right] == words[at]), self.pairs(new, symbols[right])[0], NO_PAIR)
+        left_rank = np.where((at > 0) & (words[left] == words[at]), self.pairs(after[left], new)[0], NO_PAIR)
+        early = words[at[np.minimum(right_rank, left_rank) <= rank[at]]]
+        return at[~again | ~np.isin(words[at], early)] if len(early) else at
+
+
 class PieceBpe:
     """Exactly the ids of the sentencepiece library for a byte-fallback BPE model, without sampling.
 
-    The merge of a pair has the rank of the joined piece. In a round, each word's least rank is found
-    and all leftmost pairs of that rank that do not overlap are merged at once. That equals one merge
-    after another unless a merge brings up a pair of the same or a lesser rank; such a word merges only
-    its first pair in that round. Words without a pair leave the arrays.
-
-    A word ends wherever no piece holds the two letters side by side, so a merge can't pass there. Ids
+    The merge of a pair has the rank of the joined piece (see ``PairMerges``). A word ends wherever no piece holds the two letters side by side, so a merge can't pass there. Ids
     of words are remembered in a table of bounded size, as most words of a text are met again.
     """
 
-    def __init__(self, path: str, limit: int = 6_000_000):
+    def __init__(self, path: str, limit: int = 2_500_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -83,83 +185,32 @@ class PieceBpe:
                 left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * (self.size + CODES) + right] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.joined = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.ranks = order[self.joined].astype(np.int64)
+        keys = np.array(sorted(pairs), np.int64)
+        joined = np.array([pairs[k] for k in keys.tolist()], np.int64)
+        self.merges = PairMerges(keys, order[joined].astype(np.int64), joined, self.size + CODES)
         self.beside = np.array(sorted(beside), np.int64)
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and joined id of each pair; ``NO_PAIR`` where the two can't be joined."""
-        key = left * (self.size + CODES) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NO_PAIR), self.joined[at]
-
-    def _rounds(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge all words until no pair remains; ``words`` numbers each symbol's word in ascending order."""
-        done = []
-        while len(symbols):
-            rank, joined = self._pairs(symbols[:-1], symbols[1:])
-            rank = np.append(np.where(words[:-1] == words[1:], rank, NO_PAIR), NO_PAIR)
-            starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-            lengths = np.diff(np.append(starts, len(words)))
-            least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
-            ended = least == NO_PAIR
-            if ended.any():
-                done.append((symbols[ended], words[ended]))
-                joined = np.append(joined, 0)[~ended]
-                symbols, words, rank, least = (x[~ended] for x in (symbols, words, rank, least))
-                if not len(symbols):
-                    break
-            at = self._leftmost(np.flatnonzero(rank == least))
-            at = self._in_turn(symbols, words, rank, joined, at)
-            symbols[at] = joined[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            symbols, words = symbols[keep], words[keep]
-        if not done:
-            return symbols, words
-        symbols, words = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(words, kind="stable")
-        return symbols[order], words[order]
-
-    @staticmethod
-    def _leftmost(at: np.ndarray) -> np.ndarray:
-        """Every second pair of a run of overlapping ones, from its first."""
-        place = np.arange(len(at))
-        first = np.maximum.accumulate(np.where(np.append(True, np.diff(at) != 1), place, 0))
-        return at[(place - first) % 2 == 0]
-
-    def _in_turn(self, symbols: np.ndarray, words: np.ndarray, rank: np.ndarray, joined: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Leave only the first merge of words where a merge brings up a pair that must go before the next."""
-        again = np.append(False, words[at[1:]] == words[at[:-1]])
-        if not again.any():
-            return at
-        size = len(symbols)
-        new = joined[at]
-        after = symbols.copy()
-        after[at + 1] = new  # the symbol on the left of any later one, once all merges are made
-        right, left = np.minimum(at + 2, size - 1), np.maximum(at - 1, 0)
-        right_rank = np.where((at + 2 < size) & (words[right] == words[at]), self._pairs(new, symbols[right])[0], NO_PAIR)
-        left_rank = np.where((at > 0) & (words[left] == words[at]), self._pairs(after[left], new)[0], NO_PAIR)
-        early = words[at[np.minimum(right_rank, left_rank) <= rank[at]]]
-        return at[~again | ~np.isin(words[at], early)] if len(early) else at
-
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and the number of the word of each."""
         letters = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), "<u4").astype(np.int64)
+        if not len(letters):
+            return letters, letters
         ends = np.cumsum([len(w) for w in words])
         pair = letters[:-1] * CODES + letters[1:]
         at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
         cut = np.append(True, self.beside[at] != pair)
         cut[ends[:-1]] = True
-        symbols, parts = self._rounds(self.letter[letters], np.cumsum(cut))
+        symbols, parts = self.merges.rounds(self.letter[letters], np.cumsum(cut))
         # A part lies in one word; its number is that of the word's parts.
         word_of_part = np.searchsorted(ends, np.flatnonzero(cut), "right")
-        word = word_of_part[parts - 1]
-        flat, word = self._with_bytes(symbols, word)
+        return self._with_bytes(symbols, word_of_part[parts - 1])
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        flat, word = self.merged(words)
         data = flat.astype("<u4").tobytes()
-        stops = 4 * np.searchsorted(word, np.arange(len(words)), "right")
-        return [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        bounds = (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _with_bytes(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters that are no piece become the pieces of their UTF-8 bytes."""
@@ -221,11 +272,14 @@ def id_lists(encoded: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
-def encode(docs: DataFrame, model: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, model: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+) -> DataFrame:
     """doc_id and the ids of every whole text; ``end_id`` closes each text unless it is None.
 
-    A null text is empty and has the end id alone. Each row gives a row, so repeated rows and null ids
-    stay; other columns are not read. An empty table gives an empty one.
+    ``with_text`` adds ``text``, decoded again from the ids. A null text is empty and has the end id
+    alone. Each row gives a row, so repeated rows and null ids stay; other columns are not read. An
+    empty table gives an empty one.
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
@@ -233,9 +287,12 @@ def encode(docs: DataFrame, model: str, end_id: int | None = 2, id_col: str = "d
         bpe = piece_bpe(model)
         for rows in text_slices(batches):
             encoded = [ids + end for ids in bpe.encode(texts_of(rows))]
-            yield record_batch(_IDS, doc_id=rows.column("doc_id"), ids=id_lists(encoded))
+            columns = {"doc_id": rows.column("doc_id"), "ids": id_lists(encoded)}
+            if with_text:
+                columns["text"] = [bpe.decode(np.frombuffer(ids, "<u4")) for ids in encoded]
+            yield record_batch(_TEXTS if with_text else _IDS, **columns)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * with_text)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

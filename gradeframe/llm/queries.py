@@ -137,8 +137,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path(PIECES)
-    found = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    found = piece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_text=True)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -56,7 +56,7 @@ def one_by_one(bpe, symbols):
     """The plain rule: the pair of least rank, the leftmost of several, one merge at a time."""
     symbols = list(symbols)
     while len(symbols) > 1:
-        rank, joined = bpe._pairs(np.array(symbols[:-1]), np.array(symbols[1:]))
+        rank, joined = bpe.merges.pairs(np.array(symbols[:-1]), np.array(symbols[1:]))
         at = int(np.argmin(rank))
         if rank[at] == piece_bpe.NO_PAIR:
             break
