@@ -31,7 +31,7 @@ from gradeframe.session import materialise, work_dir
 # A unit is a word with the white space before it. Both tokenizers end a token at its end: the letter
 # before a single space or line break is no white space to either, and no token goes on over one.
 UNIT = re.compile(r"\n(?=\S)|\s*\S+|\s+")
-SLICE = 8 << 20
+SLICE = 3 << 20
 KEPT_PAIRS = 1 << 20  # distinct pairs that a task of pass 1 holds before it puts them out
 SHARD_KEYS = 1 << 14  # distinct pairs of a shard
 VECTOR_ROWS = 1 << 16  # rows that are added into one dense vector

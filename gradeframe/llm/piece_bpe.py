@@ -42,8 +42,8 @@ class PairMerges:
 
     def __init__(self, keys: np.ndarray, ranks: np.ndarray, joined: np.ndarray, stride: int):
         self.stride = stride
-        # a hash table with at most one place in eight taken; a key that finds its place taken goes to the next
-        self.shift = np.uint64(64 - max(4, int(8 * len(keys)).bit_length()))
+        # a hash table with at most one place in four taken; a key that finds its place taken goes to the next
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
         self.mask = (1 << (64 - int(self.shift))) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.ranks, self.joined = np.full(self.mask + 1, NO_PAIR, np.int64), np.zeros(self.mask + 1, np.int64)
