@@ -11,7 +11,6 @@ from gradeframe import constants as K
 from gradeframe.functions.labels import is_valid_letter
 from gradeframe.functions.numeric import mean, rate, round_even
 from gradeframe.operators.quantiles import exact_quantiles, join_on
-from gradeframe.session import bounded_local
 
 
 def confusion(df: DataFrame, by: Sequence[str] = (), none_col: bool = False) -> DataFrame:
@@ -101,9 +100,8 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ("model_display_nam
     quartiles = exact_quantiles(
         rows, by, {"q1": ("__v", 0.25), "median": ("__v", 0.5), "q3": ("__v", 0.75)}
     )
-    fences = bounded_local(
-        quartiles.withColumn("__low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
-        .withColumn("__high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    fences = quartiles.withColumn("__low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
+        "__high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     )
     inside = join_on(rows, fences, by, "inner")
     stats = inside.groupBy(*by, "q1", "median", "q3").agg(

@@ -15,8 +15,18 @@ from gradeframe.functions.numeric import int_mean, mean, rate, round_even, share
 from gradeframe.functions.options import argmax_option
 from gradeframe.operators.quantiles import approx_quantiles, exact_quantiles, join_on
 
-SPLIT_KEYS = ["experiment_tag", "eval_split_name", "model_key", "model_display_name"]
-MODEL_KEYS = ["experiment_tag", "model_key", "model_display_name"]
+# Two configurations of one model are two rows.
+SPLIT_KEYS = [
+    "experiment_tag", "eval_split_name", "model_key", "model_display_name",
+    "server_model_id", "hf_repo", "hf_file", "temperature", "max_tokens",
+]
+MODEL_KEYS = ["experiment_tag", "model_key", "model_display_name", "hf_repo", "hf_file"]
+SUBJECT_KEYS = ["experiment_tag", "eval_split_name", "model_key", "model_display_name"]
+
+
+def present(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The keys that a table has; tables of older runs lack those of the configuration."""
+    return [k for k in keys if k in df.columns]
 
 
 def score_rows(df: DataFrame, answer: str = "answer", pred: str = "pred_answer") -> DataFrame:
@@ -84,14 +94,15 @@ def _with_quantiles(
 
 
 def summary_by_split(
-    df: DataFrame, by: Sequence[str] = tuple(SPLIT_KEYS), quantiles: str = "exact", sort: bool = True
+    df: DataFrame, by: Sequence[str] | None = None, quantiles: str = "exact", sort: bool = True
 ) -> DataFrame:
     """Accuracy, invalid rate, latency, token and macro metrics per split and model.
 
-    Null keys form groups. Token and throughput columns are null for a group without any.
-    ``quantiles`` is "exact", "approx" (bounded sketches in one pass) or "none" (null columns).
+    ``by`` are the keys of ``SPLIT_KEYS`` that the table has, unless given. Null keys form groups. Token
+    and throughput columns are null for a group without any. ``quantiles`` is "exact", "approx" (bounded
+    sketches in one pass) or "none" (null columns).
     """
-    by = list(by)
+    by = present(df, SPLIT_KEYS) if by is None else list(by)
     base = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_questions"),
         F.count_if(F.col("correct")).alias("n_correct"),
@@ -132,8 +143,12 @@ def summary_by_split(
     )
 
 
-def summary_aggregated(by_split: DataFrame, by: Sequence[str] = tuple(MODEL_KEYS)) -> DataFrame:
-    """Mean over splits of already rounded split metrics; one split has deviation 0."""
+def summary_aggregated(by_split: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Mean over splits of already rounded split metrics; one split has deviation 0.
+
+    ``by`` are the keys of ``MODEL_KEYS`` that the table has, unless given; rows with a null key are left out.
+    """
+    by = present(by_split, MODEL_KEYS) if by is None else list(by)
     means = {
         "mean_accuracy": "accuracy",
         "mean_macro_precision": "macro_precision",
@@ -165,7 +180,7 @@ def _all_present(columns: Sequence[str]) -> Column:
     return condition
 
 
-def summary_by_subject(df: DataFrame, by: Sequence[str] = tuple(SPLIT_KEYS)) -> DataFrame:
+def summary_by_subject(df: DataFrame, by: Sequence[str] = tuple(SUBJECT_KEYS)) -> DataFrame:
     """Metrics per split, model and subject; a missing subject counts as its own."""
     known = df.withColumn(
         "subject_category", F.coalesce(F.col("subject_category"), F.lit(K.UNKNOWN_SUBJECT))

@@ -1,14 +1,17 @@
 """Exact interpolated quantiles per group without gathering a group.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here two passes over the
-group and value columns replace it:
-
-1. a histogram of monotone buckets (64 per power of two, so their number is bounded by the
-   range of a double and not by the rows) tells which bucket holds each wanted rank;
-2. only rows in those buckets are kept, pre-aggregated by value and ranked inside the bucket.
-
-Neither pass shuffles raw rows: the first shuffles bucket counts, the second the distinct
-values of a few narrow buckets.
+``percentile`` keeps every distinct value of a group in one buffer. Here the distinct values of all
+groups are counted once, dealt by value, and the wanted ranks are found by splitting the range of
+values again and again:
+
+1. monotone buckets, ``BUCKETS_PER_OCTAVE`` per power of two, tell which bucket holds each wanted rank;
+2. such a bucket is split into ``PARTS`` equal parts between its least and its greatest value, which
+   tell the part;
+3. the values of that part are ranked. A bucket spans at most 2^40 neighbouring doubles, so a part has
+   at most some 2^19 different values whatever the data.
+
+So every window has a bounded number of rows. All of it is one plan: nothing runs before an action,
+and the three steps read the same shuffled counts.
 """
 
 from __future__ import annotations
@@ -18,9 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeframe.session import bounded_local
-
-BUCKETS_PER_OCTAVE = 64
+BUCKETS_PER_OCTAVE = 1 << 12
+PARTS = 1 << 21
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE  # above |log2| of every double, so buckets keep their sign
 
 
@@ -40,7 +42,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], quantiles: dict[str, tuple[str, float]]
 ) -> DataFrame:
@@ -51,7 +52,8 @@ def exact_quantiles(
     """
     by = list(by)
     value_columns = sorted({column for column, _ in quantiles.values()})
-    # long form: one row per (group, measure, value), so several measures share both passes
+    wanted = [(out, value_columns.index(column), p) for out, (column, p) in quantiles.items()]
+    # long form: one row per (group, measure, value), so several measures share the passes
     long = df.select(
         *by,
         F.explode(
@@ -60,39 +62,43 @@ def exact_quantiles(
                 for i, c in enumerate(value_columns)
             ])
         ).alias("__mv"),
-    ).select(*by, F.col("__mv.__m").alias("__m"), F.col("__mv.__v").alias("__v"))
-    long = long.where(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn("__b", bucket_of(F.col("__v")))
+    ).select(*by, F.col("__mv.__m").alias("__m"), (F.col("__mv.__v") + F.lit(0.0)).alias("__v"))
     keys = [*by, "__m"]
+    counts = long.where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
 
-    histogram = long.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    running = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    def holds_wanted(start: Column, end: Column) -> Column:
+        hit = F.lit(False)
+        for _, m, p in wanted:
+            low, high = _ranks(F.col("__n"), p)
+            hit = hit | ((F.col("__m") == m) & (_holds(low, start, end) | _holds(high, start, end)))
+        return hit
+
+    whole = Window.partitionBy(*keys)
     buckets = (
-        histogram.withColumn("__end", F.sum("__c").over(running))
-        .withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+        counts.groupBy(*keys, bucket_of(F.col("__v")).alias("__b"))
+        .agg(F.sum("__c").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        .withColumn("__n", F.sum("__c").over(whole))
+        .withColumn("__end", F.sum("__c").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("__start", F.col("__end") - F.col("__c"))
+        .where(holds_wanted(F.col("__start"), F.col("__end")))
+        .select(*keys, "__b", "__start", "__n", "__least", "__most")
     )
-    wanted = [
-        (out, value_columns.index(column), p) for out, (column, p) in quantiles.items()
-    ]
-    hit = F.lit(False)
-    for _, m, p in wanted:
-        low, high = _ranks(F.col("__n"), p)
-        hit = hit | (
-            (F.col("__m") == m)
-            & (_holds(low, F.col("__start"), F.col("__end")) | _holds(high, F.col("__start"), F.col("__end")))
-        )
-    targets = bounded_local(buckets.where(hit).select(*keys, "__b", "__start", "__n"))
-
-    values = (
-        join_on(long, targets, [*keys, "__b"], "inner")
-        .groupBy(*keys, "__b", "__start", "__n", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    span = F.col("__most") - F.col("__least")
+    part = F.when(F.col("__most") > F.col("__least"), F.floor((F.col("__v") - F.col("__least")) / span * F.lit(float(PARTS)))).otherwise(F.lit(0)).cast("int")
+    bucket = Window.partitionBy(*keys, "__b")
+    parts = (
+        join_on(counts.withColumn("__b", bucket_of(F.col("__v"))), buckets, [*keys, "__b"], "inner")
+        .groupBy(*keys, "__b", "__start", "__n", part.alias("__p"))
+        .agg(F.sum("__c").alias("__c"), F.collect_list(F.struct("__v", "__c")).alias("__values"))
+        .withColumn("__end", F.col("__start") + F.sum("__c").over(bucket.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("__start", F.col("__end") - F.col("__c"))
+        .where(holds_wanted(F.col("__start"), F.col("__end")))
     )
-    ranked = values.withColumn("__to", F.col("__start") + F.sum("__c").over(inside)).withColumn(
-        "__from", F.col("__to") - F.col("__c")
+    inside = Window.partitionBy(*keys, "__b", "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        parts.select(*keys, "__b", "__p", "__start", "__n", F.inline("__values"))
+        .withColumn("__to", F.col("__start") + F.sum("__c").over(inside))
+        .withColumn("__from", F.col("__to") - F.col("__c"))
     )
     picks = []
     for out, m, p in wanted:

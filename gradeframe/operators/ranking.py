@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 from gradeframe import constants as K
 from gradeframe.functions.numeric import round_even
 from gradeframe.operators.quantiles import join_on
-from gradeframe.session import bounded_local
-
-# Up to this rank Spark limits each group before the shuffle; beyond it a hot group would be
-# sorted by one task, so the histogram path below takes over.
-WINDOW_LIMIT = 1000
-_HASH_BUCKETS = 1 << 16
-
 
 def sample_key(df: DataFrame, id_columns: Sequence[str], seed: int) -> Column:
-    """A hash of the row's id and the seed: a shuffle order that no partitioning can change."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in id_columns])
+    """The md5 of the seed and the row's id: a shuffle order that no partitioning and no engine can change."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_columns]))
 
 
 def stratified_cap(
@@ -28,17 +21,13 @@ def stratified_cap(
 ) -> DataFrame:
     """At most ``n`` rows per stratum, drawn by a seeded hash; a null stratum is its own.
 
-    Small caps use a window whose limit Spark applies before the shuffle. Large caps count rows
-    per (stratum, slice of the hash range) first: slices wholly below the cut are kept without
-    ranking and only the slice that holds the cut is ranked, so no task sees a whole stratum.
+    The rows of each (stratum, slice of the hash range) are counted first. Slices wholly below the cut
+    are kept, and rows are ranked only within their slice, so no task sees a whole stratum whatever ``n``
+    is. Rows above the cut are dropped where they are read.
     """
     by, ids = list(by), list(id_columns)
     keyed = df.withColumn("__h", sample_key(df, ids, seed))
-    if n <= WINDOW_LIMIT:
-        order = Window.partitionBy(*by).orderBy("__h", *ids)
-        return keyed.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n).drop("__h", "__rn")
-
-    sliced = keyed.withColumn("__b", F.floor(F.col("__h") / F.lit(float(2**64 // _HASH_BUCKETS))).cast("int"))
+    sliced = keyed.withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
     running = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
         sliced.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -50,16 +39,10 @@ def stratified_cap(
             F.max_by(F.lit(n) - (F.col("__end") - F.col("__c")), "__b").alias("__room"),
         )
     )
-    # one row per stratum: broadcast by its known size, so a hot stratum is never shuffled
-    joined = join_on(sliced, bounded_local(cuts), by, "inner").where(F.col("__b") <= F.col("__cut"))
-    below = joined.where(F.col("__b") < F.col("__cut"))
-    order = Window.partitionBy(*by).orderBy("__h", *ids)
-    at_cut = (
-        joined.where(F.col("__b") == F.col("__cut"))
-        .withColumn("__rn", F.row_number().over(order))
-        .where(F.col("__rn") <= F.col("__room"))
-    )
-    return below.unionByName(at_cut, allowMissingColumns=True).select(*df.columns)
+    joined = join_on(sliced, cuts, by, "inner").where(F.col("__b") <= F.col("__cut"))
+    order = Window.partitionBy(*by, "__b").orderBy("__h", *ids)
+    ranked = joined.withColumn("__rn", F.row_number().over(order))
+    return ranked.where((F.col("__b") < F.col("__cut")) | (F.col("__rn") <= F.col("__room"))).select(*df.columns)
 
 
 def shuffled(df: DataFrame, seed: int = 42, id_columns: Sequence[str] = ("id",)) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,102 +17,185 @@ from pyspark.sql import types as T
 from gradeframe.constants import RETRIEVED_CONTEXTS
 from gradeframe.functions.labels import letter_at
 from gradeframe.functions.options import argmax_index
+from gradeframe.session import materialise, work_dir
+from gradeframe.sources.blobs import read_blob, write_blob
 
 SCORE_PLACES = 6
-BLOCK_ROWS = 2048  # queries per block: 2048 x 1024 doubles are 16 MB
-CHUNK_ROWS = 16384  # vectors per chunk
-SLICE_ROWS = 256  # queries per product: with 16384 vectors one score matrix is 32 MB
+PIVOTS = 64  # vectors that the others are dealt around
+BLOCK_ROWS = 4096  # vectors per block: 4096 x 1024 doubles are 32 MB
+QUERY_ROWS = 1024  # queries that a task scores against a block at once
 
+RESULT = "query_id bigint, vec_id bigint, score double"
+PAIRS = "uri string, query_id bigint, embedding array<double>"
 
-def retrieve_topk(
-    queries: DataFrame, vectors: DataFrame, k: int = RETRIEVED_CONTEXTS, score_places: int = SCORE_PLACES,
-    block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """The k vectors with the largest inner product for each query (query_id, embedding).
 
-    Scores are rounded before ranking, ties go to the smaller id. Up to one block of queries is
-    sent to the executors and the vectors are scanned where they lie. More queries are dealt to
-    blocks and the vectors to chunks by a hash of their ids; each (block, chunk) pair is one
-    bounded matrix product. Either way a task emits only its k best per query and the k best of
-    those are taken at the end, so no pair table ever exists.
+@dataclass(frozen=True)
+class VectorIndex:
+    """Blocks of neighbouring vectors as files, and what bounds the scores of each block.
+
+    ``blocks`` has one row per block: uri, number of vectors, centre, radius (the largest distance of
+    a vector from the centre). It is written in files whose addresses are ``listed``.
     """
-    queries = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
-    vectors = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
-    head = queries.limit(block_rows + 1).toPandas()
-    if len(head) <= block_rows:
-        candidates = _scan_block(head, vectors, k, score_places)
-    else:
-        candidates = _block_pairs(queries, vectors, k, score_places, block_rows, chunk_rows)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+    blocks: DataFrame
+    listed: tuple[str, ...]
 
-RESULT = "query_id bigint, vec_id bigint, score double"
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def build_index(vectors: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> VectorIndex:
+    """Deal vectors (vec_id, embedding) to blocks around pivots; the only time that vectors are shuffled.
+
+    Pivots are the vectors whose ids have the smallest hashes. A pivot near which very many vectors
+    lie, copies of one among them, has as many blocks as their number asks for.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL")
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").toPandas()
+    centres = _stacked(chosen["embedding"]) if len(chosen) else np.zeros((1, 1))
+    folder = work_dir(spark, "vector-blocks")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths = (centres**2).sum(axis=1)
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(pivot=(lengths - 2 * _stacked(batch["embedding"]) @ centres.T).argmin(axis=1))
+
+    dealt = vectors.mapInPandas(near, "vec_id bigint, embedding array<double>, pivot int")
+    dealt = materialise(dealt, "dealt-vectors")
+    sizes = {r.pivot: r["count"] for r in dealt.groupBy("pivot").count().collect()}
+    parts = F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, math.ceil(n / block_rows))]) if sizes else F.lit(None)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("pivot")] if sizes else F.lit(1)))
+
+    def write(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("vec_id", kind="stable")
+        matrix = _stacked(block["embedding"])
+        centre = matrix.mean(axis=0)
+        out = io.BytesIO()
+        np.savez(out, ids=block["vec_id"].to_numpy(np.int64), matrix=matrix)
+        radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1).max()))
+        return pd.DataFrame({"uri": [write_blob(folder, out.getvalue())], "n": [len(block)], "centre": [centre], "radius": [radius]})
+
+    blocks = dealt.groupBy("pivot", "part").applyInPandas(write, "uri string, n bigint, centre array<double>, radius double")
+    blocks = materialise(blocks, "vector-index")
+    return VectorIndex(blocks, tuple(sorted(blocks.inputFiles())))
+
+
+def _slack(bounds: np.ndarray, places: int) -> np.ndarray:
+    """Bounds of rounded scores, beyond what the arithmetic can be off by."""
+    return bounds + np.abs(bounds) * 1e-9 + 10.0**-places
+
+
+def _bounds(listed: tuple[str, ...], queries: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Address and number of vectors of some blocks with the most that each query can score in them.
+
+    q.v = q.c + q.(v - c), and the last term is at most |q| times the radius. The list of blocks is
+    read file by file, so it need not fit in memory.
+    """
+    length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
+    for uri in listed:
+        for rows in pq.ParquetFile(io.BytesIO(read_blob(uri))).iter_batches():
+            if rows.num_rows:
+                centres = np.stack([np.asarray(c, np.float64) for c in rows.column("centre").to_pylist()])
+                radius = np.asarray(rows.column("radius"))
+                yield np.array(rows.column("uri").to_pylist(), object), np.asarray(rows.column("n")), _slack(queries @ centres.T + length * radius, places)
+
+
+def _first_blocks(listed: tuple[str, ...], queries: np.ndarray, k: int, places: int) -> list[list[str]]:
+    """For each query the blocks of the highest bounds that hold k vectors together."""
+    best: list[list[tuple[float, str, int]]] = [[] for _ in queries]
+    for uris, n, bounds in _bounds(listed, queries, places):
+        top = np.argsort(-bounds, axis=1, kind="stable")[:, : k]
+        for held, row, order in zip(best, bounds, top, strict=True):
+            held += zip(row[order].tolist(), uris[order].tolist(), n[order].tolist(), strict=True)
+            held.sort(key=lambda b: (-b[0], b[1]))
+            seen = np.cumsum([b[2] for b in held])
+            del held[int(np.searchsorted(seen, k)) + 1 :]
+    return [[uri for _, uri, _ in held] for held in best]
+
+
+def candidate_blocks(index: VectorIndex, queries: DataFrame, k: int, places: int = SCORE_PLACES, floors: DataFrame | None = None) -> DataFrame:
+    """(uri, query_id, embedding) for each block that a query must look into.
+
+    Without ``floors`` these are the blocks of the highest bounds. With (query_id, floor), the k-th score
+    that was found in those, they are the others whose bound reaches it: all that can hold a better vector.
+    """
+    listed = index.listed
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), QUERY_ROWS):
+                part = batch[start : start + QUERY_ROWS]
+                queries = _stacked(part["embedding"])
+                first = _first_blocks(listed, queries, k, places)
+                if "floor" not in part:
+                    chosen = [(uri, row) for row, uris in enumerate(first) for uri in uris]
+                else:
+                    done, floor = [set(uris) for uris in first], part["floor"].to_numpy()
+                    chosen = [
+                        (uris[column], row) for uris, _, bounds in _bounds(listed, queries, places)
+                        for row, column in zip(*np.nonzero(bounds >= floor[:, None]), strict=True) if uris[column] not in done[row]
+                    ]
+                rows = part.iloc[[row for _, row in chosen]]
+                yield pd.DataFrame({"uri": [uri for uri, _ in chosen], "query_id": rows["query_id"].to_numpy(), "embedding": rows["embedding"].to_numpy()})
+
+    if floors is not None:
+        queries = queries.join(floors, "query_id", "left").na.fill(float("-inf"), ["floor"])
+    return queries.mapInPandas(choose, PAIRS)
+
+
+def _scored(pairs: DataFrame, k: int, places: int, groups: int) -> DataFrame:
+    """The k best vectors of each block for each query that looks into it."""
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        with np.load(io.BytesIO(read_blob(rows["uri"].iloc[0]))) as block:
+            ids, matrix = block["ids"], block["matrix"]
+        return _best(ids, matrix, _stacked(rows["embedding"]), rows["query_id"].to_numpy(), k, places)
+
+    # queries that all look into one block are dealt to tasks of bounded size
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+    return dealt.groupBy("uri", "deal").applyInPandas(score, RESULT)
 
 
 def _best(ids: np.ndarray, matrix: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, places: int) -> pd.DataFrame:
-    """The k best vectors of one batch for each query; equal scores go to the smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, matrix = ids[by_id], matrix[by_id]
+    """The k best vectors of a block for each query; ids ascend, so equal scores go to the smaller id."""
     k = min(k, len(ids))
     parts = []
-    for start in range(0, len(query_ids), SLICE_ROWS):
-        scores = np.rint((queries[start:start + SLICE_ROWS] @ matrix.T) * 10.0**places) / 10.0**places
+    for start in range(0, len(query_ids), QUERY_ROWS):
+        scores = np.rint((queries[start : start + QUERY_ROWS] @ matrix.T) * 10.0**places) / 10.0**places
         limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
         above, equal = scores > limit, scores == limit
         room = k - above.sum(axis=1, keepdims=True)
         row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
         parts.append(pd.DataFrame({
-            "query_id": query_ids[start:start + SLICE_ROWS][row], "vec_id": ids[column], "score": scores[row, column],
+            "query_id": query_ids[start : start + QUERY_ROWS][row], "vec_id": ids[column], "score": scores[row, column],
         }))
     return pd.concat(parts, ignore_index=True)
 
 
-def _scan_block(head: pd.DataFrame, vectors: DataFrame, k: int, places: int) -> DataFrame:
-    spark = vectors.sparkSession
-    if head.empty:
-        return spark.createDataFrame([], RESULT)
-    shared = spark.sparkContext.broadcast((head["query_id"].to_numpy(), np.stack(head["embedding"].to_numpy())))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = shared.value
-        for batch in batches:
-            if len(batch):
-                yield _best(
-                    batch["vec_id"].to_numpy(), np.stack(batch["embedding"].to_numpy()), matrix, query_ids, k, places
-                )
-
-    return vectors.mapInPandas(score, RESULT)
+def search(index: VectorIndex, queries: DataFrame, k: int = RETRIEVED_CONTEXTS, places: int = SCORE_PLACES) -> DataFrame:
+    """The k vectors with the largest inner product for each query (query_id, embedding): query_id, vec_id, score, rank.
 
+    Scores are rounded before ranking, ties go to the smaller id. Each query first looks into the blocks
+    of the highest bounds; its k-th score there is the floor below which no other block is opened. The
+    result is that of a comparison with all vectors.
+    """
+    queries = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL")
+    groups = max(1, math.ceil(queries.count() / QUERY_ROWS))
+    first = materialise(_scored(candidate_blocks(index, queries, k, places), k, places, groups), "first-blocks")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = _scored(candidate_blocks(index, queries, k, places, floors), k, places, groups)
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def _block_pairs(queries, vectors, k, places, block_rows, chunk_rows) -> DataFrame:
-    # counts choose the number of blocks; the hash spreads rows evenly whatever the ids are
-    blocks = max(1, math.ceil(queries.count() / (block_rows / 2)))
-    chunks = max(1, math.ceil(vectors.count() / (chunk_rows / 2)))
-    dealt_queries = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-        "query_id", F.col("embedding").alias("q"),
-    )
-    dealt_vectors = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"),
-        "vec_id", F.col("embedding").alias("v"),
-    )
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(
-            right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), np.stack(left["q"].to_numpy()),
-            left["query_id"].to_numpy(), k, places,
-        )
-
-    return (
-        dealt_queries.groupBy("block", "chunk")
-        .cogroup(dealt_vectors.groupBy("block", "chunk"))
-        .applyInPandas(score, RESULT)
-    )
+def retrieve_topk(
+    queries: DataFrame, vectors: DataFrame, k: int = RETRIEVED_CONTEXTS, score_places: int = SCORE_PLACES,
+    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``search`` over an index made for this call; keep the index of ``build_index`` for many calls."""
+    return search(build_index(vectors, pivots, block_rows), queries, k, score_places)
 
 
 def question_contexts(questions: DataFrame, contexts: DataFrame, on: str = "query_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gradeframe.constants import PREDICTION_KEYS, UPDATABLE_QUESTION_FIELDS
@@ -15,6 +17,7 @@ from gradeframe.session import work_dir
 from gradeframe.streaming import changes as M5
 from gradeframe.streaming import flows as M
 from gradeframe.streaming import lifecycle as ML
+from gradeframe.streaming import sessions as MS
 
 
 def stream_of(spark, sf, name):
@@ -23,9 +26,18 @@ def stream_of(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def in_batches(df, name, batches=3):
+    """A table as a stream of several micro-batches: its files, of which each batch takes a share."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    files = len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
+    stream = df.sparkSession.readStream.schema(df.schema)
+    return stream.option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(path)
+
+
 @query("M1_stream_upsert", f"{WITH}, {NEWEST} select {KEPT} from newest")
 def m1(spark, sf):
-    stream = V.predictions(spark, sf, stream_of(spark, sf, "lineitem"))
+    stream = V.predictions(spark, sf, in_batches(V.table(spark, sf, "lineitem"), "lineitem"))
     current = M.stream_upsert(
         stream, work_dir(spark, "predictions"), work_dir(spark, "predictions-checkpoint"),
         keys=PREDICTION_KEYS, recency=V.RECENCY,
@@ -62,9 +74,25 @@ def m2(spark, sf):
     return done.select("submission_id", "status", "expected", "graded", F.unix_micros("finished_at").alias("finished_us"))
 
 
-@query("M3_submission_timeout", f"""with {FIRST} select submission_id, cast(2 as int) as expected, cast(count(*) filter (where seen <= day + interval 12 hour) as int) as graded,
-  case when count(*) filter (where seen <= day + interval 12 hour) >= 2 then 'COMPLETE' else 'TIMED_OUT' end as status from first group by 1""")
+@query("M3_submission_timeout", """with first as (
+    select concat(user_id, '/', strftime(ts, '%Y-%m-%d')) as submission_id, date_trunc('day', ts) as day, event_type, min(ts) as seen
+    from events group by 1, 2, 3),
+  found as (select submission_id, day, count(*) filter (where seen <= day + interval 12 hour) as n,
+    coalesce(string_agg(event_type, ',' order by event_type) filter (where seen > day + interval 12 hour), '') as late_answers
+    from first group by 1, 2)
+  select submission_id, case when n >= 2 then 'COMPLETE' else 'TIMED_OUT' end as status, cast(2 as int) as expected,
+    cast(least(n, 2) as int) as graded, late_answers
+  from found where n >= 2 or day + interval 12 hour < (select max(ts) from events) - interval 1 day""")
 def m3(spark, sf):
+    # the watermark passes the deadlines of all submissions but those of the last day
+    out = ML.track_submissions(_lifecycle(stream_of(spark, sf, "events")), "12 hours", "1 day")
+    done = M.run_to_table(out, "submissions")
+    return done.select("submission_id", "status", "expected", "graded", F.array_join("late_answers", ",").alias("late_answers"))
+
+
+@query("M3_status_in_batch", f"""with {FIRST} select submission_id, cast(2 as int) as expected, cast(count(*) filter (where seen <= day + interval 12 hour) as int) as graded,
+  case when count(*) filter (where seen <= day + interval 12 hour) >= 2 then 'COMPLETE' else 'TIMED_OUT' end as status from first group by 1""")
+def m3_batch(spark, sf):
     events = _lifecycle(V.table(spark, sf, "events"))
     started = events.where(F.col("question_id").isNull()).select(
         "submission_id", F.col("expected").alias("total_questions"), F.col("event_time").alias("submitted_at")
@@ -158,13 +186,12 @@ def m5(spark, sf):
 
 @query("M5_apply_changes_stream", _m5_sql())
 def m5_stream(spark, sf):
-    log = _log(spark, sf, stream_of(spark, sf, "lineitem"))
-    whole = M5.snapshot_as_log(_snapshot(spark, sf), COLUMNS)
-    # the snapshot joins the stream as its oldest entries
-    path = work_dir(spark, "bank-log")
-    whole.write.parquet(path)
-    entries = spark.readStream.schema(whole.schema).parquet(path)
-    return M.run_to_table(M5.fold_changes(entries.unionByName(log), COLUMNS), "bank", "complete")
+    bank = M5.Bank(spark, work_dir(spark, "bank"), tuple(COLUMNS), buckets=8, most=2)
+    # the snapshot comes in as the oldest entries, the log after it in several batches
+    bank.add(M5.snapshot_as_log(_snapshot(spark, sf), COLUMNS), "snapshot", 0)
+    log = _log(spark, sf, in_batches(V.table(spark, sf, "lineitem"), "changes"))
+    bank.follow(log, work_dir(spark, "bank-checkpoint")).awaitTermination()
+    return bank.current(log)
 
 
 @query("M5_replace_rows", """with l as (select concat('q', p_partkey) as question_id, p_name as question, p_brand as subject, cast(p_size as bigint) as seq,
@@ -192,6 +219,14 @@ def m6(spark, sf):
     return M.active_sessions(sessions, F.lit("2024-01-20").cast("timestamp")).select("event_id", "user_id")
 
 
+@query("M6_session_stream", """select user_id, epoch_us(min(ts)) as opened_us, epoch_us(max(ts)) as last_seen_us, count(*) as events
+  from events group by user_id""")
+def m6_stream(spark, sf):
+    events = stream_of(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("event_time"))
+    out = M.run_to_table(MS.track_sessions(events, "user_id", ttl="1 day"), "sessions", "update", keys=["user_id"], once=True)
+    return out.select("user_id", F.unix_micros("opened").alias("opened_us"), F.unix_micros("last_seen").alias("last_seen_us"), "events")
+
+
 @query("M7_dedup_events", """select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all""")
 def m7(spark, sf):
     stream = stream_of(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"))

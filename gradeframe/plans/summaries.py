@@ -12,9 +12,7 @@ from gradeframe.plans.registry import query
 
 WITH = "with " + O.PREDICTIONS
 
-SUMMARY_BY_SPLIT = f"""
-by_split as (
-  select experiment_tag, eval_split_name, model_key, model_display_name,
+MEASURES = f"""
     count(*) as n_questions, count(*) filter (where correct) as n_correct,
     {O.r(O.rate('correct'), 4)} as accuracy,
     {O.r(O.rate("not coalesce(pred_answer in ('A','B','C','D'), false)"), 4)} as invalid_prediction_rate,
@@ -26,8 +24,25 @@ by_split as (
     {O.mean_int('total_tokens')} as mean_total_tokens,
     {O.r(O.mean('tokens_per_sec'), 6)} as mean_tokens_per_sec,
     {O.quantile('tokens_per_sec', 0.5)} as median_tokens_per_sec,
-    {O.macro()}
-  from predictions group by all
+    {O.macro()}"""
+
+SUMMARY_BY_SPLIT = f"""
+by_split as (
+  select experiment_tag, eval_split_name, model_key, model_display_name, {MEASURES} from predictions group by all
+)"""
+
+# The configuration of ``views.configured``.
+CONFIGURED = """configured as (select *,
+    concat('srv-', l_suppkey % 5, case when second then '-q8' else '' end) as server_model_id,
+    concat('org/m', l_suppkey % 5) as hf_repo,
+    case when l_suppkey % 5 <> 3 then concat('m', l_suppkey % 5, case when second then '-q8' else '-q4' end, '.gguf') end as hf_file,
+    case when second then 0.7::double else 0.0::double end as temperature,
+    cast(case when l_suppkey % 5 = 2 then 512 else 1024 end as int) as max_tokens
+  from (select *, l_suppkey % 5 = 1 and l_orderkey % 2 = 1 as second from predictions))"""
+
+CONFIGURED_BY_SPLIT = f"""{CONFIGURED}, by_split as (
+  select experiment_tag, eval_split_name, model_key, model_display_name, server_model_id, hf_repo, hf_file, temperature, max_tokens,
+    {MEASURES} from configured group by all
 )"""
 
 
@@ -36,13 +51,13 @@ def g1(spark, sf):
     return M.macro_metrics(V.predictions(spark, sf), ["model_key"], places=4)
 
 
-@query("G2_summary_by_split", f"{WITH}, {SUMMARY_BY_SPLIT} select * from by_split")
+@query("G2_summary_by_split", f"{WITH}, {CONFIGURED_BY_SPLIT} select * from by_split")
 def g2(spark, sf):
-    return M.summary_by_split(V.predictions(spark, sf))
+    return M.summary_by_split(V.configured(V.predictions(spark, sf)))
 
 
-@query("G3_summary_aggregated", f"""{WITH}, {SUMMARY_BY_SPLIT}
-  select experiment_tag, model_key, model_display_name, count(distinct eval_split_name) as n_test_sets,
+@query("G3_summary_aggregated", f"""{WITH}, {CONFIGURED_BY_SPLIT}
+  select experiment_tag, model_key, model_display_name, hf_repo, hf_file, count(distinct eval_split_name) as n_test_sets,
     cast(sum(n_questions) as bigint) as total_questions,
     {O.r('coalesce(stddev_samp(accuracy), 0)', 4)} as std_accuracy,
     {O.r(O.mean('accuracy'), 4)} as mean_accuracy,
@@ -53,9 +68,9 @@ def g2(spark, sf):
     {O.r(O.mean('mean_latency_s'), 4)} as mean_latency_s,
     {O.r(O.mean('median_latency_s'), 4)} as median_latency_s,
     {O.r(O.mean('p90_latency_s'), 4)} as mean_p90_latency_s
-  from by_split group by all""")
+  from by_split where hf_file is not null group by all""")
 def g3(spark, sf):
-    return M.summary_aggregated(M.summary_by_split(V.predictions(spark, sf), sort=False))
+    return M.summary_aggregated(M.summary_by_split(V.configured(V.predictions(spark, sf)), sort=False))
 
 
 # --- further summaries -------------------------------------------------------------------

@@ -122,22 +122,28 @@ def f6(spark, sf):
     })
 
 
-@query("H1_stratified_cap", f"""{WITH} select subject_category, least(count(*), 800) as n,
-  least(count(*), 800) as n_ids from (select distinct subject_category, question_id, l_partkey, l_suppkey, l_shipdate, l_extendedprice
-  from predictions) group by 1""")
+# Which rows are drawn, in the order of the md5 of seed and id.
+DRAWN = """rows as (select *, concat_ws('|', question_id, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as row_id from predictions),
+  drawn as (select {by}, row_id, row_number() over (partition by {by} order by md5(concat('42|', row_id)), row_id) as rn from rows)
+  select {by}, row_id from drawn where rn <= {n}"""
+
+
+def _drawn(spark, sf, by, n):
+    rows = V.predictions(spark, sf).withColumn("row_id", F.concat_ws(
+        "|", "question_id", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
+    ))
+    return H.stratified_cap(rows, [by], n, id_columns=["row_id"]).select(by, "row_id")
+
+
+@query("H1_stratified_cap", f"{WITH}, {DRAWN.format(by='subject_category', n=800)}")
 def h1(spark, sf):
-    ids = ["question_id", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    kept = H.stratified_cap(V.predictions(spark, sf), ["subject_category"], 800, id_columns=ids)
-    return kept.groupBy("subject_category").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(c) for c in ids]).alias("n_ids")
-    )
+    return _drawn(spark, sf, "subject_category", 800)
 
 
-@query("H1_stratified_cap_large", f"""{WITH} select eval_split_name, least(count(*), 5000) as n from predictions group by 1""")
+@query("H1_stratified_cap_large", f"{WITH}, {DRAWN.format(by='eval_split_name', n=5000)}")
 def h1_large(spark, sf):
-    ids = ["question_id", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    kept = H.stratified_cap(V.predictions(spark, sf), ["eval_split_name"], 5000, id_columns=ids)
-    return kept.groupBy("eval_split_name").agg(F.count(F.lit(1)).alias("n"))
+    return _drawn(spark, sf, "eval_split_name", 5000)
 
 
 RECENT = "l_shipdate, l_extendedprice, l_partkey, l_suppkey, question_id"

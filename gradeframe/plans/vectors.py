@@ -148,7 +148,7 @@ def k1(spark, sf):
 
 @query("K1_retrieve_topk_blocks", f"with {TOPK} select * from topk")
 def k1_blocks(spark, sf):
-    return _topk(spark, sf, block_rows=256, chunk_rows=512)
+    return _topk(spark, sf, block_rows=64, pivots=16)
 
 
 @query("F8_question_contexts", f"with {TOPK} select query_id, e.label as question_label, rank, topk.vec_id from topk join embeddings e on e.vec_id = query_id")

@@ -74,6 +74,18 @@ def predictions(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = N
     )
 
 
+def configured(df: DataFrame) -> DataFrame:
+    """Predictions with the configuration they were made with; model_1 ran with two, model_3 names no file."""
+    model, second = F.col("l_suppkey") % 5, (F.col("l_suppkey") % 5 == 1) & (F.col("l_orderkey") % 2 == 1)
+    return df.withColumns({
+        "server_model_id": F.concat(F.lit("srv-"), model.cast("string"), F.when(second, "-q8").otherwise("")),
+        "hf_repo": F.concat(F.lit("org/m"), model.cast("string")),
+        "hf_file": F.when(model != 3, F.concat(F.lit("m"), model.cast("string"), F.when(second, "-q8").otherwise("-q4"), F.lit(".gguf"))),
+        "temperature": F.when(second, 0.7).otherwise(0.0),
+        "max_tokens": F.when(model == 2, 512).otherwise(1024).cast("int"),
+    })
+
+
 RECENCY = ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey"]
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: building a session, the shared work folder, bounded local tables."""
+"""Session helpers: building a session, the shared work folder, tables in it, the state store."""
 
 from __future__ import annotations
 
@@ -9,10 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-# Largest table that may pass through the driver and be broadcast. Every caller holds one
-# row per (group, target bucket) or per query vector, so this is a few MB at most.
-MAX_LOCAL_ROWS = 100_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def get_spark(app: str = "gradeframe", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -62,15 +60,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_local(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """Turn a small result into a local table whose exact size the optimizer knows.
+def with_rocksdb(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, unless the session names a store of its own.
 
-    At most ``max_rows + 1`` rows reach the driver. Below the bound they come back as a local
-    relation, which the optimizer broadcasts when its size is under the broadcast threshold;
-    above it the distributed table is returned unchanged and Spark joins by shuffle, so the
-    result is whole either way.
+    State with several variables and timers needs it; a running stream and the checkpoint of an
+    earlier one keep the store they have.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    if (spark.conf.get(STATE_STORE, None) or "HDFSBackedStateStoreProvider").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(STATE_STORE, ROCKSDB)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradeframe import constants as K
+from gradeframe.functions.predicates import is_any_of
 from gradeframe.operators.maintenance import merge_batch
-from gradeframe.session import bounded_local, materialise
+from gradeframe.session import materialise
 from gradeframe.sources.readers import read_or_empty
 
 
@@ -38,21 +40,29 @@ def write_predictions(df: DataFrame, path: str) -> None:
     )
 
 
+PARTITIONS = ("eval_split_name", "model_key")
+
+
+def partitions_of(spark: SparkSession, path: str, schema: StructType, touched: Iterable[Sequence]) -> DataFrame:
+    """Rows of some (split, model) partitions of a table on disk; the folders of others are not listed for reading."""
+    table = read_or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
+    return table.where(is_any_of(touched, PARTITIONS))
+
+
 def upsert_table(
     batch: DataFrame, path: str, keys: Sequence[str] = tuple(K.PREDICTION_KEYS), recency: Sequence[str] = ("run_seq",)
 ) -> None:
     """Upsert a batch into a partitioned prediction table on disk.
 
-    Only the (split, model) partitions that the batch touches are read, merged and replaced. The
-    merged rows are written to the shared folder first, because a table cannot be overwritten
-    while it is read.
+    The batch is computed once. The (split, model) pairs that it touches become a literal predicate,
+    so only their partitions are read, merged and replaced. The merged rows are written to the shared
+    folder first, because a table cannot be overwritten while it is read. An empty split or model is
+    stored as null, as folders can't tell them apart.
     """
     spark = batch.sparkSession
-    parts = ["eval_split_name", "model_key"]
-    touched = bounded_local(batch.select(*[F.col(c).alias(f"__t_{c}") for c in parts]).distinct())
-    same = F.col(parts[0]).eqNullSafe(F.col(f"__t_{parts[0]}")) & F.col(parts[1]).eqNullSafe(F.col(f"__t_{parts[1]}"))
-    table = read_or_empty(spark, batch.schema, lambda: spark.read.schema(batch.schema).parquet(path))
-    existing = table.join(touched, same, "left_semi")
+    batch = materialise(batch.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in PARTITIONS}), "batch")
+    touched = [tuple(r) for r in batch.select(*PARTITIONS).distinct().collect()]
+    existing = partitions_of(spark, path, batch.schema, touched)
     write_predictions(materialise(merge_batch(existing, batch, keys, recency), "merged"), path)
 
 

@@ -12,36 +12,41 @@ from pyspark.sql.streaming import StreamingQuery
 from gradeframe.constants import PREDICTION_KEYS
 from gradeframe.functions.numeric import round_even
 from gradeframe.functions.text import short_name
-from gradeframe.operators.maintenance import newest
+from gradeframe.operators.maintenance import merge_batch
 from gradeframe.session import work_dir
+from gradeframe.streaming.ledger import Entry, LedgerTable, stream_id
 
 
-def append_predictions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append micro-batches of predictions to a log partitioned by split and model.
+PREDICTION_PARTS = ("eval_split_name", "model_key")
 
-    The file sink commits each batch once, so a restart neither loses nor repeats rows. The
-    upserted table is what ``current_predictions`` reads.
+
+def prediction_table(spark: SparkSession, path: str, schema: T.StructType) -> LedgerTable:
+    """The upserted table below ``path``, partitioned by split and model."""
+    return LedgerTable(spark, path, schema, PREDICTION_PARTS)
+
+
+def upsert_predictions(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
+                       recency: Sequence[str] = ("run_seq",)) -> StreamingQuery:
+    """Upsert each micro-batch into the table: only partitions that it touches are read, merged and replaced.
+
+    A batch counts once, by the ledger of the table, also when it comes again after a restart.
     """
-    return (
-        stream.writeStream.outputMode("append").partitionBy("eval_split_name", "model_key")
-        .format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    table = prediction_table(stream.sparkSession, path, stream.schema)
+
+    def merged(batch: DataFrame, touched: list[tuple], entry: Entry) -> tuple[DataFrame, bool]:
+        return merge_batch(table.read(touched, entry).drop("version"), batch, keys, recency), True
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.apply(stream_id(batch), batch_id, batch, merged)
 
-def current_predictions(
-    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = tuple(PREDICTION_KEYS),
-    recency: Sequence[str] = ("run_seq",),
-) -> DataFrame:
-    """Newest row per key over all committed batches; filters on split and model prune folders."""
-    return newest(spark.read.schema(schema).parquet(path), keys, recency)
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
                   recency: Sequence[str] = ("run_seq",)) -> DataFrame:
-    """Append everything available and return the upserted table."""
-    append_predictions(stream, path, checkpoint).awaitTermination()
-    return current_predictions(stream.sparkSession, path, stream.schema, keys, recency)
+    """Upsert everything available and return the table: one row per key."""
+    upsert_predictions(stream, path, checkpoint, keys, recency).awaitTermination()
+    return prediction_table(stream.sparkSession, path, stream.schema).read().drop("version")
 
 
 def dedup_events(stream: DataFrame, keys: Sequence[str], ts: str = "event_time", delay: str = "30 minutes") -> DataFrame:
@@ -65,9 +70,11 @@ def active_sessions(df: DataFrame, now: Column, expires: str = "expires_at") ->
     return df.where(F.col(expires).isNull() | (F.col(expires) > now))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = (), once: bool = False) -> DataFrame:
     """Run a stream over everything available and return its result table.
 
+    ``once`` takes it as one batch: a stream whose state expires by the clock would else wait for that.
+
     The result and the checkpoint live in the shared folder. Complete and update output go
     through foreachBatch, because the file sink only appends: each batch has its own folder. The
     last batch is the result in complete mode, and the newest row per ``keys`` in update mode.
@@ -76,7 +83,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: Seque
         raise ValueError("update mode needs the keys of a row")
     spark = stream.sparkSession
     path, checkpoint = work_dir(spark, name), work_dir(spark, f"{name}-checkpoint")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(once=True) if once else writer.trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
     else:

@@ -8,17 +8,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gradeframe.constants import PIPELINE_TIMEOUT
+from gradeframe.session import with_rocksdb
 
 OUTPUT = (
-    "submission_id string, status string, expected int, graded int, scores string, finished_at timestamp"
+    "submission_id string, status string, expected int, graded int, scores string, finished_at timestamp, late_answers array<string>"
 )
-STATE = "expected int, started bigint, answers string, done boolean"
+HEAD = "expected int, started bigint, graded int, done boolean, due bigint"
+NO_HEAD = (-1, -1, 0, False, -1)
 
 
-def _millis(text: str) -> int:
+def millis(text: str) -> int:
+    """Milliseconds of an amount and a unit, as "30 minutes"."""
     amount, unit = text.split()
     return int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000
 
@@ -36,48 +39,96 @@ def lifecycle_events(submissions: DataFrame, graded: DataFrame) -> DataFrame:
     return started.unionByName(marked)
 
 
-def track_submissions(events: DataFrame, timeout: str = PIPELINE_TIMEOUT, delay: str = "10 minutes") -> DataFrame:
-    """One row per submission when every expected question is graded or the time is up.
+class Submission(StatefulProcessor):
+    """State of one submission: its head, and the earliest event of each graded question.
 
-    State holds the earliest event of each graded question of one submission, so repeated events
-    change nothing and a restart continues from the checkpoint. The timer runs on event time; a
-    graded event behind the deadline does not count.
+    Each question has an entry of its own, so a batch reads and writes only the questions that it
+    has events of. One timer is armed at a time: the deadline, or for answers without a start event
+    the time after which their start can't come any more. Whatever it finds is put out and freed.
     """
-    limit = _millis(timeout) * 1000  # event times are kept in microseconds
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, started, answers, done = state.get if state.exists else (-1, -1, "{}", False)
-        first = json.loads(answers)  # question id -> [time, model answers]
-        if not state.hasTimedOut:
-            for row in (r for batch in batches for r in batch.itertuples(index=False)):
-                at = row.event_time.value // 1000
-                if pd.isna(row.question_id):
-                    expected, started = int(row.expected), at
-                elif row.question_id not in first or at < first[row.question_id][0]:
-                    first[row.question_id] = [at, row.answers]
-        counted = sorted((at, q, a) for q, (at, a) in first.items() if started < 0 or at <= started + limit)
-        if state.hasTimedOut:
-            if not done:
-                yield _result(key[0], "TIMED_OUT", expected, counted, started + limit)
-            state.remove()
-            return
-        if not done and started >= 0 and len(counted) >= expected:
+
+    def __init__(self, limit: int):
+        self.limit = limit  # microseconds, like all event times here
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD)
+        self.questions = handle.getMapState("questions", "question_id string", "at bigint, answers string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        expected, started, graded, done, due = self.head.get() if self.head.exists() else NO_HEAD
+        seen: dict[str, tuple[int, str]] = {}
+        began, newest = started, -1
+        for row in (r for batch in rows for r in batch.itertuples(index=False)):
+            at = row.event_time.value // 1000
+            newest = max(newest, at)
+            if pd.isna(row.question_id):
+                expected, began = int(row.expected), at
+            elif row.question_id not in seen or at < seen[row.question_id][0]:
+                seen[row.question_id] = (at, row.answers)
+        for question, (at, answers) in seen.items():
+            old = self.questions.getValue((question,))
+            if old is None or at < old[0]:
+                self.questions.updateValue((question,), (at, answers))
+                graded += began < 0 or at <= began + self.limit
+                graded -= old is not None and (began < 0 or old[0] <= began + self.limit)
+        if began != started:  # only now it is known which answers came in time
+            graded = sum(value[0] <= began + self.limit for _, value in self.questions.iterator())
+        if not done and began >= 0 and graded >= expected:
+            counted, late = self._split(began)
             counted = counted[:expected]
-            yield _result(key[0], "COMPLETE", expected, counted, counted[-1][0] if counted else started)
+            yield _result(key[0], "COMPLETE", expected, counted, counted[-1][0] if counted else began, late)
             done = True
-        state.update((expected, started, json.dumps(first), done))
-        if started >= 0:
+        if began >= 0:
             # a finished submission stays until its deadline, so repeated events are recognised
-            state.setTimeoutTimestamp(max((started + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            when = (began + self.limit) // 1000 + 1
+        else:
+            when = max(due, (newest + self.limit) // 1000 + 1)
+        when = max(when, timerValues.getCurrentWatermarkInMs() + 1)
+        if when != due:
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(when)
+        self.head.update((expected, began, graded, done, when))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expected, started, _, done, _ = self.head.get()
+        counted, late = self._split(started)
+        if started < 0:
+            yield _result(key[0], "LATE", None, [], None, sorted(q for _, q, _ in counted))
+        elif not done:
+            yield _result(key[0], "TIMED_OUT", expected, counted, started + self.limit, late)
+        self.head.clear()
+        self.questions.clear()
+
+    def close(self) -> None:
+        pass
+
+    def _split(self, started: int) -> tuple[list[tuple[int, str, str]], list[str]]:
+        """Answers in time by time and question, and the questions answered behind the deadline."""
+        rows = sorted((value[0], question[0], value[1]) for question, value in self.questions.iterator())
+        in_time = [r for r in rows if started < 0 or r[0] <= started + self.limit]
+        return in_time, sorted(q for at, q, _ in rows if started >= 0 and at > started + self.limit)
+
 
+def track_submissions(events: DataFrame, timeout: str = PIPELINE_TIMEOUT, delay: str = "10 minutes") -> DataFrame:
+    """One row per submission when every expected question is graded or the time is up.
+
+    State holds the earliest event of each graded question of one submission, so repeated events
+    change nothing and a restart continues from the checkpoint. The timer runs on event time; a
+    graded event behind the deadline does not count and is named in ``late_answers``. Answers that
+    no open submission waits for come out as a row with the status LATE, and their state is freed.
+    The state is kept in RocksDB, so it need not fit in memory.
+    """
+    with_rocksdb(events.sparkSession)
     return (
         events.withWatermark("event_time", delay)
         .groupBy("submission_id")
-        .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Submission(millis(timeout) * 1000), OUTPUT, "append", "EventTime")
     )
 
 
-def _result(submission_id: str, status: str, expected: int, counted: list, at: int) -> pd.DataFrame:
+def _result(submission_id: str, status: str, expected: int | None, counted: list, at: int | None, late: list[str]) -> pd.DataFrame:
     """One output row with the scoreboard of the counted questions."""
     tallies: dict[str, list[int]] = {}
     for _, _, answers in counted:
@@ -91,14 +142,15 @@ def _result(submission_id: str, status: str, expected: int, counted: list, at: i
     ]
     board.sort(key=lambda x: (-x["accuracy_pct"], x["model"]))
     return pd.DataFrame({
-        "submission_id": [submission_id], "status": [status], "expected": [expected], "graded": [len(counted)],
-        "scores": [json.dumps(board)], "finished_at": [pd.Timestamp(at, unit="us")],
+        "submission_id": [submission_id], "status": [status], "expected": pd.array([expected], "Int32"), "graded": [len(counted)],
+        "scores": [json.dumps(board)], "finished_at": pd.Series([pd.NaT if at is None else pd.Timestamp(at, unit="us")], dtype="datetime64[ns]"),
+        "late_answers": [late],
     })
 
 
 def submission_status(submissions: DataFrame, graded: DataFrame, timeout: str = PIPELINE_TIMEOUT) -> DataFrame:
     """The same outcome from complete tables, in batch: one row per submission."""
-    seconds = _millis(timeout) // 1000
+    seconds = millis(timeout) // 1000
     started = submissions.select(
         "submission_id", F.col("total_questions").cast("int").alias("expected"), "submitted_at"
     )

@@ -11,6 +11,7 @@ from gradeframe.functions.numeric import mean, round_even, total
 from gradeframe.operators import confusion as C
 from gradeframe.operators import metrics as M
 from gradeframe.operators import quantiles as Q
+from gradeframe.operators import ranking as H
 
 SIX = [("A", "A"), ("A", "B"), ("B", "B"), ("C", None), ("D", "D"), (None, "A")]
 SCHEMA = (
@@ -102,10 +103,60 @@ def test_buckets_are_monotone(spark):
     assert got == sorted(got)
 
 
-def test_targets_are_broadcast_and_rows_are_not_shuffled(spark):
+def test_a_million_values_in_one_bucket_equal_percentile(spark):
+    narrow = spark.range(0, 1_000_000, 1, 8).select(
+        F.lit("hot").alias("g"), (F.lit(1.0) + F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 1e12).alias("v")
+    )
+    wide = spark.range(0, 1000).select(F.lit("wide").alias("g"), F.exp((F.col("id") - 500) / 3.0).alias("v"))
+    df = narrow.unionByName(wide)
+    wanted = {"q1": ("v", 0.01), "q50": ("v", 0.5), "q90": ("v", 0.9)}
+    out = {r.g: r for r in Q.exact_quantiles(df, ["g"], wanted).collect()}
+    assert narrow.select(Q.bucket_of(F.col("v")).alias("b")).distinct().count() == 1
+    same = df.groupBy("g").agg(*[F.percentile("v", p).alias(name) for name, (_, p) in wanted.items()])
+    for r in same.collect():
+        for name in wanted:
+            assert out[r.g][name] == pytest.approx(r[name], rel=1e-15)
+
+
+def test_neighbouring_doubles_are_told_apart(spark):
+    values = [1.0]
+    for _ in range(200):
+        values.append(float(np.nextafter(values[-1], 2)))
+    values += [5e-324 * n for n in range(50)] + [-v for v in values] + [float("inf"), 1.7e308, -1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    wanted = {f"q{i}": ("v", i / (len(values) - 1)) for i in range(0, len(values), 7)}
+    row = Q.exact_quantiles(df.withColumn("g", F.lit(1)), ["g"], wanted).first()
+    ordered = sorted(values)
+    for i in range(0, len(values), 7):
+        assert ordered[max(0, i - 1)] <= row[f"q{i}"] <= ordered[min(len(values) - 1, i + 1)]
+
+
+def test_nothing_runs_before_an_action(spark):
+    df = spark.range(0, 10000).select((F.col("id") % 3).alias("g"), (F.col("id") / 7.0).alias("v"))
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    Q.exact_quantiles(df, ["g"], {"m": ("v", 0.5)})
+    C.box_stats(df, "v", ["g"])
+    H.stratified_cap(df, ["g"], 10, id_columns=["v"])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == []
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_the_counts_are_shuffled_once(spark):
     df = spark.range(0, 10000).select((F.col("id") % 3).alias("g"), (F.col("id") / 7.0).alias("v"))
-    plan = Q.exact_quantiles(df, ["g"], {"m": ("v", 0.5)})._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    out = Q.exact_quantiles(df, ["g"], {"m": ("v", 0.5)})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Range (0, 10000") == 1 and "ReusedExchange" in plan
+
+
+def test_two_configurations_of_a_model_are_two_rows(spark):
+    df = spark.createDataFrame(rows(SIX), SCHEMA).withColumns({"hf_repo": F.lit("r"), "temperature": F.lit(0.0), "hf_file": F.lit("f")})
+    warm = df.withColumn("temperature", F.lit(0.7))
+    none = df.withColumn("temperature", F.lit(None).cast("double")).withColumn("hf_file", F.lit(None).cast("string"))
+    by_split = M.summary_by_split(df.unionByName(warm).unionByName(none))
+    assert [r.n_questions for r in by_split.collect()] == [6, 6, 6] and "max_tokens" not in by_split.columns
+    out = M.summary_aggregated(by_split).collect()
+    assert [(r.hf_file, r.total_questions) for r in out] == [("f", 12)]
 
 
 def test_one_exchange_for_macro_metrics(spark):

@@ -50,8 +50,10 @@ def test_large_cap_equals_ranking_by_hash(skewed):
     assert got == set(hot[:1500])
 
 
-def test_small_cap_limits_before_the_shuffle(skewed):
-    assert physical(H.stratified_cap(skewed, ["g"], 50)).count("WindowGroupLimit") == 2
+def test_a_stratum_is_ranked_slice_by_slice(skewed):
+    plan = physical(H.stratified_cap(skewed, ["g"], 50))
+    ranking = next(x for x in plan.splitlines() if "row_number()" in x and "Window" in x)
+    assert "__b" in ranking.split("], [")[1]
 
 
 def test_early_stop_and_best_epoch(spark):
@@ -235,7 +237,7 @@ def test_argmax_and_softmax(spark):
     assert (r.choice, r.context) == (1, 10)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16, "chunk_rows": 32}])
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 16, "pivots": 5}, {"block_rows": 1, "pivots": 1}])
 def test_topk_with_hot_copies_matches_brute_force(spark, sizes):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 8))
