@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import io
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -60,7 +61,7 @@ def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, id_col: str = "ite
             buffer = io.BytesIO()
             lengths = [len(w) for w in words]
             flat = [x for w in words for x in w]
-            np.savez(buffer, names="\n".join(names).encode(), words=b" ".join(flat), lengths=lengths, window=window)
+            np.savez(buffer, names=json.dumps(names).encode(), words=b" ".join(flat), lengths=lengths, window=window)
             file.write(buffer.getvalue())
         blocks.append(uri)
 
@@ -68,7 +69,7 @@ def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, id_col: str = "ite
     for row in rows.filter(F.col("text").isNotNull()).toLocalIterator():
         found = words_of(row.text)
         if found:
-            names.append(row.id.replace("\n", " "))
+            names.append(row.id)
             words.append(found)
             total += len(found)
         if total >= BLOCK_WORDS:
@@ -88,7 +89,7 @@ def load_phrases(uri: str) -> Phrases:
     flat = data["words"].item().split(b" ")
     symbols: dict[bytes, int] = {}
     ids = np.array([symbols.setdefault(w, len(symbols) + 2) for w in flat], np.int64)
-    names = data["names"].item().decode().split("\n")
+    names = json.loads(data["names"].item())
     items = sorted(set(names))
     number = {name: n for n, name in enumerate(items)}
     found: dict[int, dict[tuple[int, ...], set[int]]] = {}

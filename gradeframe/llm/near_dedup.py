@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.fingerprints import mixed, shingles
-from gradeframe.llm.shared import id_and_text, record_batch, text_slices, texts_of
+from gradeframe.llm.shared import id_and_text, numbered, record_batch, text_slices, texts_of
 from gradeframe.session import materialise
 
 SIMILARITY = 0.8
@@ -404,9 +404,10 @@ def _texts_of_pairs(rows: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all columns. A document with a null text stays."""
-    found = groups(docs, id_col, text_col).filter("kept AND digest IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    own = docs.withColumn("__digest", F.unhex(F.md5(F.col(text_col).cast("string"))))
-    kept = own.join(found, (own["__digest"] == found["__digest"]) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    once = kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
-    return once.unionByName(docs.filter(F.col(text_col).isNull()))
+    """One document of each group, with all columns under their names. A document with a null text stays."""
+    found = groups(docs, id_col, text_col).filter("kept AND digest IS NOT NULL").select("doc_id", "digest").distinct()
+    safe, (safe_id, safe_text) = numbered(docs, id_col, text_col)
+    own = safe.withColumn("own_digest", F.unhex(F.md5(F.col(safe_text).cast("string"))))
+    kept = own.join(found, (F.col("own_digest") == F.col("digest")) & F.col(safe_id).eqNullSafe(F.col("doc_id")), "left_semi")
+    once = kept.dropDuplicates([safe_id, "own_digest"]).drop("own_digest")
+    return once.unionByName(safe.filter(F.col(safe_text).isNull())).toDF(*docs.columns)

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.shared import id_and_text
+from gradeframe.llm.shared import id_and_text, numbered
 from gradeframe.llm.trigram_query import Query, trigram_query
 from gradeframe.session import materialise
 
@@ -182,7 +182,15 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every secret in their texts replaced by ``REDACTED``; spans that touch become one."""
+    """The documents with every secret in their texts replaced by ``REDACTED``; spans that touch become one.
+
+    All columns come back under their names, whatever these are.
+    """
+    safe, (safe_id, safe_text) = numbered(docs, id_col, text_col)
+    return _redacted(safe, safe_id, safe_text).toDF(*docs.columns)
+
+
+def _redacted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = with_spans(docs, id_col, text_col)
     span = "array<struct<start:bigint,end:bigint>>"
 

@@ -22,6 +22,16 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """A table whose columns have names that no operator uses, and the new names of some of them.
+
+    An operator that adds columns of its own to whole documents works on this form and gives the
+    columns back under their own names, so that none can clash.
+    """
+    new = [f"column_{n}" for n in range(len(docs.columns))]
+    return docs.toDF(*new), [new[docs.columns.index(name)] for name in names]
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
