@@ -29,6 +29,32 @@ def per_subject_long(runs: DataFrame, run: str = "run") -> DataFrame:
     )
 
 
+def per_subject_of_documents(docs: DataFrame) -> DataFrame:
+    """The per-subject table of run documents (run, document variant) whatever their shape.
+
+    The entry may be named per_subject_accuracy, per_subject or subject_accuracy, and be an object by
+    subject or an array of objects that name it (subject or subject_name). Each entry is a plain number
+    or an object with the share (accuracy or acc) and the count (n, count or total). Other keys of a
+    document are passed over, and entries without a share are left out.
+    """
+    def first(value: str, names: Sequence[str], kind: str) -> str:
+        return "coalesce(" + ", ".join(f"try_variant_get({value}, '$.{n}', '{kind}')" for n in names) + ")"
+
+    return docs.sparkSession.sql(
+        f"""with entries as (
+          select d.run, p.value as entry, p.key as subject_key
+          from {{docs}} d, lateral variant_explode(d.document) as t(pos, name, section), lateral variant_explode(t.section) as p(pos, key, value)
+          where t.name in ('per_subject_accuracy', 'per_subject', 'subject_accuracy')
+        ), read as (
+          select run as model, coalesce(subject_key, {first("entry", ("subject", "subject_name"), "string")}) as subject,
+            coalesce(try_variant_get(entry, '$', 'double'), {first("entry", ("accuracy", "acc"), "double")}) as share,
+            {first("entry", ("n", "count", "total"), "bigint")} as n
+          from entries)
+        select * from read where share is not null""",
+        docs=docs,
+    ).select("model", "subject", pct(F.col("share")).alias("accuracy_pct"), "n")
+
+
 def run_summary(runs: DataFrame, run: str = "run") -> DataFrame:
     """Run documents as percentages, best first."""
     return runs.select(

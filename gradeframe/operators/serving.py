@@ -100,18 +100,19 @@ def merge_explanation_rows(marked: DataFrame, graded: DataFrame, recency: Column
     )
 
 
-def model_scoreboard(graded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Correct, total and whole percent per model over graded questions, best first."""
+def model_scoreboard(graded: DataFrame, by: Sequence[str] = (), sort: bool = True) -> DataFrame:
+    """Correct, total and whole percent per model over graded questions, best first unless not to be sorted."""
     answers = graded.select(*by, F.inline("model_answers")).where(
         F.coalesce(F.col("model"), F.lit("")) != ""
     )
     out = answers.groupBy(*by, "model").agg(
         F.count_if("is_correct").alias("correct"), F.count(F.lit(1)).alias("total")
     )
-    return out.select(
+    board = out.select(
         *by, "model", short_name(F.col("model")).alias("short_name"), "correct", "total",
         round_even(F.lit(100.0) * F.col("correct") / F.col("total")).cast("int").alias("accuracy_pct"),
-    ).orderBy(*by, F.desc("accuracy_pct"), "model")
+    )
+    return board.orderBy(*by, F.desc("accuracy_pct"), "model") if sort else board
 
 
 def scoreboard_with_student(scores: DataFrame, submissions: DataFrame, label: str = "You") -> DataFrame:
@@ -187,11 +188,15 @@ def users_with_group(users: DataFrame, groups: DataFrame) -> DataFrame:
     return users.join(groups.select("group_id", F.col("name").alias("group_name")), "group_id", "left")
 
 
+def _topics(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    return df.select(*by, column).where(F.nullif(column, F.lit("")).isNotNull()).distinct()
+
+
 def topics(df: DataFrame, column: str = "subject", by: Sequence[str] = ()) -> DataFrame:
     """Sorted distinct non-empty values per group, one row each."""
-    return df.select(*by, column).where(F.nullif(column, F.lit("")).isNotNull()).distinct().orderBy(*by, column)
+    return _topics(df, column, by).orderBy(*by, column)
 
 
 def topic_array(df: DataFrame, column: str = "subject", by: Sequence[str] = ()) -> DataFrame:
-    """The same as an array per group; the distinct values are formed before collecting."""
-    return topics(df, column, by).groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("topics"))
+    """The same as an array per group; the distinct values are formed before collecting, and only arrays are sorted."""
+    return _topics(df, column, by).groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("topics"))

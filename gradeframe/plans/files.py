@@ -16,6 +16,7 @@ from gradeframe.plans.texts import ITEMS, _items
 from gradeframe.plans.upkeep import STATES
 from gradeframe.plans.vectors import SELECTOR
 from gradeframe.session import work_dir
+from gradeframe.sources.blobs import write_text
 from gradeframe.sources import readers as R
 from gradeframe.sources import writers as A
 
@@ -115,16 +116,14 @@ def a11(spark, sf):
     return spark.read.schema("model_key string, n bigint").option("header", "true").csv([f"{path}/{x}" for x in written])
 
 
-@query("A12_write_predictions", f"""{WITH} select question_id, pred_answer, latency_s from predictions
-  where eval_split_name = 'test_set_03' and model_key = 'model_2'""")
+@query("A12_write_predictions", f"""{WITH} select eval_split_name, model_key, question_id, pred_answer, latency_s from predictions""")
 def a12(spark, sf):
     path = work_dir(spark, "table")
     rows = V.predictions(spark, sf)
+    A.write_predictions(rows.where("correct"), path)
+    # partitions that are there are replaced as a whole, and all are read back
     A.write_predictions(rows, path)
-    # only this partition is rewritten, and only this one is read
-    one = (F.col("eval_split_name") == "test_set_03") & (F.col("model_key") == "model_2")
-    A.write_predictions(rows.where(one), path)
-    return spark.read.schema(rows.schema).parquet(path).where(one).select("question_id", "pred_answer", "latency_s")
+    return spark.read.schema(rows.schema).parquet(path).select("eval_split_name", "model_key", "question_id", "pred_answer", "latency_s")
 
 
 @query("A14_submission_file", f"""with {SELECTOR} select id, cast(predicted_index + 1 as int) as "Prediction (correct option)" from selector""")
@@ -173,6 +172,60 @@ def a6(spark, sf):
     )
 
 
+@query("A6_run_metrics_by_file", f"""{RUNS} select run, overall_accuracy, total_samples, correct from runs""")
+def a6_by_file(spark, sf):
+    path = work_dir(spark, "runs")
+    docs = M.run_metrics(_run_rows(spark, sf)).select("run", F.to_json(F.struct("overall_accuracy", "total_samples", "correct")).alias("value"))
+    _put_documents(docs, path)
+    return R.read_run_metrics(spark, path, by_file=True).select("run", "overall_accuracy", "total_samples", "correct")
+
+
+def _put_documents(docs, path):
+    """Write (run, value) rows as files <run>_metrics.json in folders of several depths, each by the task that has it."""
+    def put(batches):
+        for batch in batches:
+            for run, value in zip(batch["run"], batch["value"], strict=True):
+                write_text(f"{path}/{run[-1]}/deeper/{run}_metrics.json", value)
+            yield batch[["run"]]
+
+    docs.mapInPandas(put, "run string").write.format("noop").mode("overwrite").save()
+
+
+@query("L5_documents_of_any_shape", f"""{RUNS}
+  select run as model, subject, {O.r('acc * 100', 2)} as accuracy_pct, n from s""")
+def l5_documents(spark, sf):
+    path = work_dir(spark, "documents")
+    runs = M.run_metrics(_run_rows(spark, sf))
+    entries = F.map_entries("per_subject_accuracy")
+    listed = F.transform(entries, lambda e: F.struct(e["key"].alias("subject_name"), e["value"]["accuracy"].alias("acc"), e["value"]["n"].alias("count")))
+    short = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.struct(e["value"]["accuracy"].alias("acc"), e["value"]["n"].alias("total")))))
+    shape = F.substring("run", -1, 1).cast("int") % 3
+    value = (
+        F.when(shape == 0, F.to_json(F.struct("overall_accuracy", "per_subject_accuracy")))
+        .when(shape == 1, F.to_json(F.struct(F.lit("extra").alias("note"), listed.alias("per_subject"))))
+        .otherwise(F.to_json(F.struct(short.alias("subject_accuracy"), F.array(F.lit(1)).alias("history"))))
+    )
+    _put_documents(runs.select("run", value.alias("value")), path)
+    return J.per_subject_of_documents(R.read_metrics_documents(spark, path))
+
+
+@query("G7_subject_accuracy_folders", f"""with {SELECTOR} select concat('m', l_partkey % 3) as model,
+    case when l_orderkey % 2 = 0 then 'dev' else 'test' end as file_type, subject_name,
+    cast(count(*) filter (where cop = predictions) as double) / count(*) as acc
+  from selector where subject_name is not null and (l_partkey % 3 <> 2 or l_orderkey % 2 = 0) group by 1, 2, 3""")
+def g7_folders(spark, sf):
+    path = work_dir(spark, "models")
+    key, order = F.split("id", "-")[0].cast("bigint"), F.col("order")
+    rows = V.selector_output(spark, sf).select("id", "subject_name", "cop", "predictions", "part").withColumn("order", key)
+    for model in range(3):
+        for name, rest in (("dev", 0), ("test", 1)):
+            if (model, rest) != (2, 1):  # one model has no test file
+                part = rows.where((F.col("part") % 3 == model) & (order % 2 == rest)).drop("part", "order")
+                columns = ["predictions", "subject_name", "cop", "id"] if model == 1 else ["id", "subject_name", "cop", "predictions"]
+                part.select(*columns).write.option("header", "true").csv(f"{path}/m{model}/{name}_results.csv")
+    return M.subject_accuracy(R.read_result_files(spark, path), by=["model", "file_type"])
+
+
 @query("A7_read_trainer_state", f"""{STATES}, c as (select l_suppkey % 10 as r, l_linenumber * 100 as step, count(*) as n from lineitem group by 1, 2)
   select concat('run=', r) as run, 'step=checkpoint-700' as checkpoint, cast(700 as bigint) as global_step, n as max_steps from c where step = 700""")
 def a7(spark, sf):

@@ -13,8 +13,12 @@ from gradeframe.plans import oracle_views as O
 from gradeframe.plans import views as V
 from gradeframe.plans.registry import query
 from gradeframe.session import work_dir
+from gradeframe.constants import PREDICTION_KEYS
+from gradeframe.operators.incremental import renew, summary_of, summary_state
+from gradeframe.plans.summaries import MEASURES, RUNS, SUMMARY_BY_SPLIT, WITH, _run_rows
+from gradeframe.sources.buckets import write_bucketed
 from gradeframe.sources.writers import upsert_table
-from gradeframe.plans.summaries import RUNS, SUMMARY_BY_SPLIT, WITH, _run_rows
+from gradeframe.streaming.flows import prediction_table, upsert_batch
 
 NEWEST = """newest as (select * exclude (rn) from (
     select *, row_number() over (partition by experiment_tag, eval_split_name, model_key, question_id
@@ -63,6 +67,35 @@ def f4(spark, sf):
     return U.pending_questions(samples, done)
 
 
+@query("F4_pending_bucketed", f"""{WITH}, done as (select question_id from predictions where l_shipdate < timestamp '1998-01-01')
+  select distinct question_id from predictions where question_id not in (select question_id from done)""")
+def f4_bucketed(spark, sf):
+    rows = V.predictions(spark, sf).select("question_id", "l_shipdate")
+    done = rows.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp"))
+    kept = [write_bucketed(t, work_dir(spark, "bucketed"), ["question_id"], 8) for t in (rows, done)]
+    # neither side is shuffled
+    return U.pending_questions(kept[0].select("question_id").distinct(), kept[1])
+
+
+@query("H2_newest_bucketed", f"{WITH}, {NEWEST} select {KEPT} from newest")
+def h2_bucketed(spark, sf):
+    table = write_bucketed(V.predictions(spark, sf), work_dir(spark, "bucketed"), PREDICTION_KEYS, 8)
+    return U.newest(table, recency=V.RECENCY).select(*KEPT_COLUMNS)
+
+
+@query("G2_incremental", f"""{WITH}, {NEWEST} select experiment_tag, eval_split_name, model_key, model_display_name, {MEASURES} from newest group by all"""
+       .replace(f"    {O.r(O.quantile('latency_s', 0.5), 4)} as median_latency_s,\n", "").replace(f"    {O.r(O.quantile('latency_s', 0.9), 4)} as p90_latency_s,\n", "")
+       .replace(f"    {O.quantile('tokens_per_sec', 0.5)} as median_tokens_per_sec,\n", ""))
+def g2_incremental(spark, sf):
+    rows, old = _old(spark, sf)
+    table = prediction_table(spark, work_dir(spark, "predictions"), rows.schema)
+    states = prediction_table(spark, work_dir(spark, "states"), summary_state(rows).schema)
+    for n, batch in enumerate((rows.where(old), rows.where(~old))):
+        touched = upsert_batch(table, batch, "batches", n, recency=V.RECENCY)
+        renew(states, table, "batches", n, touched)
+    return summary_of(states.read()).drop("median_latency_s", "p90_latency_s", "median_tokens_per_sec")
+
+
 @query("G9_completed", f"""{WITH} select eval_split_name, model_key, count(*) as n from predictions
   group by 1, 2 having count(*) >= 225""")
 def g9(spark, sf):
@@ -314,14 +347,13 @@ def j1(spark, sf):
     )
 
 
-@query("J2_label_union", f"""{WITH} select 'a' as model, question_id, pred_answer, latency_s, null::varchar as subject_category from predictions
-    where model_key = 'model_1'
-  union all select 'b', question_id, pred_answer, null, subject_category from predictions where model_key = 'model_2'""")
+@query("J2_label_union", f"""{WITH} select model_key as model, question_id, pred_answer, case when model_key in ('model_0', 'model_2', 'model_4') then latency_s end as latency_s,
+    case when model_key in ('model_1', 'model_3') then subject_category end as subject_category from predictions""")
 def j2(spark, sf):
     rows = V.predictions(spark, sf)
+    own = {0: "latency_s", 1: "subject_category"}
     return J.label_union({
-        "a": rows.where("model_key = 'model_1'").select("question_id", "pred_answer", "latency_s"),
-        "b": rows.where("model_key = 'model_2'").select("question_id", "pred_answer", "subject_category"),
+        m: rows.where(F.col("model_key") == m).select("question_id", "pred_answer", own[i % 2]) for i, m in enumerate(V.MODELS)
     })
 
 

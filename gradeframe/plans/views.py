@@ -188,7 +188,7 @@ def selector_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i in range(4)
     ])
     return li.join(part, key == F.col("p_partkey")).select(
-        F.concat(order, F.lit("-"), line).alias("id"),
+        F.concat(order, F.lit("-"), line).alias("id"), key.alias("part"),
         probs.alias("probs"),
         F.when(key % 53 == 0, -1).otherwise(key % 4).cast("int").alias("gold"),
         F.when(F.col("p_size") % 17 != 0, F.col("p_brand")).alias("subject_name"),

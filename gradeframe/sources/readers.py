@@ -164,8 +164,11 @@ def _decoded(name: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*_metrics.json") -> DataFrame:
-    """One metrics document per run folder: the file named after the folder, else the first other."""
+def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*_metrics.json", by_file: bool = False) -> DataFrame:
+    """One metrics document per run folder: the file named after the folder, else the first other.
+
+    ``by_file`` takes every file at any depth as a run of its own, named by the file without "_metrics".
+    """
     def load():
         return (
             spark.read.schema(S.RUN_METRICS).option("multiLine", "true").option("recursiveFileLookup", "true")
@@ -175,15 +178,65 @@ def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*_metrics.j
 
     empty = T.StructType([*S.RUN_METRICS.fields, T.StructField("__path", T.StringType())])
     docs = read_or_empty(spark, empty, load)
+    columns = [f.name for f in S.RUN_METRICS.fields]
     parts = F.split("__path", "/")
-    run = _decoded(F.try_element_at(parts, F.lit(-2)))
     file = _decoded(F.try_element_at(parts, F.lit(-1)))
-    named = docs.withColumn("run", run).withColumn("__file", file)
+    if by_file:
+        return docs.select(_run_of_file(file).alias("run"), *columns)
+    named = docs.withColumn("run", _decoded(F.try_element_at(parts, F.lit(-2)))).withColumn("__file", file)
     order = Window.partitionBy("run").orderBy(
         F.when(F.col("__file") == F.concat("run", F.lit("_metrics.json")), 0).otherwise(1), "__file"
     )
     kept = named.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") == 1)
-    return kept.select("run", *[f.name for f in S.RUN_METRICS.fields])
+    return kept.select("run", *columns)
+
+
+def _run_of_file(file: Column) -> Column:
+    return F.replace(F.regexp_replace(file, r"\.[^.]*$", ""), F.lit("_metrics"), F.lit(""))
+
+
+def read_metrics_documents(spark: SparkSession, root: str, pattern: str = "*_metrics.json") -> DataFrame:
+    """Every metrics document below a folder as it stands: run (by its file) and a variant.
+
+    Nothing is assumed of the keys. A file that is no JSON has a null document.
+    """
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("__path", T.StringType())])
+
+    def load():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+        return files.select(F.col("content").cast("string").alias("value"), F.col("_metadata.file_path").alias("__path"))
+
+    file = _decoded(F.try_element_at(F.split("__path", "/"), F.lit(-1)))
+    return read_or_empty(spark, schema, load).select(_run_of_file(file).alias("run"), F.try_parse_json("value").alias("document"))
+
+
+RESULT_FILES = ("dev_results.csv", "test_results.csv")
+
+
+def read_result_files(spark: SparkSession, root: str, names: Sequence[str] = RESULT_FILES) -> DataFrame:
+    """Rows of the result files of all model folders: model, file_type (the name up to "_"), subject_name, cop, predictions.
+
+    A folder may lack any of the files, and a file may be a folder of part files. Columns are matched by
+    the header, so their order is free.
+    """
+    wanted = T.StructType([T.StructField(c, T.StringType()) for c in ("subject_name", "cop", "predictions")])
+    files = _file_heads(spark, found) if (found := [p for n in names for p in (f"{root}/*/{n}",) if _exists(spark, p)]) else {}
+    out = spark.createDataFrame([], T.StructType([*wanted.fields, T.StructField("__path", T.StringType())]))
+    for header, paths in files.items():
+        columns = [c.strip() for c in next(csv.reader([header.lstrip("\ufeff")]))]
+        raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+        rows = raw.option("header", "true").option("multiLine", "true").option("escape", '"').csv(paths)
+        out = out.unionByName(rows.select(
+            *[F.col(f"`{f.name}`") if f.name in columns else F.lit(None).cast("string").alias(f.name) for f in wanted.fields],
+            F.col("_metadata.file_path").alias("__path"),
+        ))
+    parts = F.split("__path", "/")
+    at = F.when(F.try_element_at(parts, F.lit(-1)).startswith("part-"), -2).otherwise(-1)
+    return out.select(
+        _decoded(F.try_element_at(parts, at - 1)).alias("model"),
+        F.regexp_extract(_decoded(F.try_element_at(parts, at)), "^([^_]*)_", 1).alias("file_type"),
+        "subject_name", F.col("cop").try_cast("int").alias("cop"), F.col("predictions").try_cast("int").alias("predictions"),
+    )
 
 
 def read_trainer_state(

@@ -25,6 +25,19 @@ def prediction_table(spark: SparkSession, path: str, schema: T.StructType) -> Le
     return LedgerTable(spark, path, schema, PREDICTION_PARTS)
 
 
+def upsert_batch(table: LedgerTable, batch: DataFrame, stream: str, number: int, keys: Sequence[str] = tuple(PREDICTION_KEYS),
+                 recency: Sequence[str] = ("run_seq",)) -> list[tuple]:
+    """Upsert a batch into the table; the partitions that it touched, none if it counts already."""
+    seen: list[tuple] = []
+
+    def merged(rows: DataFrame, touched: list[tuple], entry: Entry) -> tuple[DataFrame, bool]:
+        seen.extend(touched)
+        return merge_batch(table.read(touched, entry).drop("version"), rows, keys, recency), True
+
+    table.apply(stream, number, batch, merged)
+    return seen
+
+
 def upsert_predictions(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = tuple(PREDICTION_KEYS),
                        recency: Sequence[str] = ("run_seq",)) -> StreamingQuery:
     """Upsert each micro-batch into the table: only partitions that it touches are read, merged and replaced.
@@ -33,11 +46,8 @@ def upsert_predictions(stream: DataFrame, path: str, checkpoint: str, keys: Sequ
     """
     table = prediction_table(stream.sparkSession, path, stream.schema)
 
-    def merged(batch: DataFrame, touched: list[tuple], entry: Entry) -> tuple[DataFrame, bool]:
-        return merge_batch(table.read(touched, entry).drop("version"), batch, keys, recency), True
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.apply(stream_id(batch), batch_id, batch, merged)
+        upsert_batch(table, batch, stream_id(batch), batch_id, keys, recency)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
