@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -394,9 +395,16 @@ def _with_rationales(df: DataFrame) -> DataFrame:
     })
 
 
-def _names(letter: str) -> str:
-    """Pattern of a sentence that names a choice."""
-    return rf"(?iU)\({letter}\)|(?:choice|option|answer)\s+{letter}" + K.NO_WORD_AFTER
+def _names(letters: str) -> str:
+    """Pattern of a sentence that names a choice: a letter, or a class of letters for any of them."""
+    return rf"(?iU)\({letters}\)|(?:choice|option|answer)\s+{letters}" + K.NO_WORD_AFTER
+
+
+def _named(sentence: Column) -> Column:
+    """The sentence with a bit per choice that it names; the letters are told apart only if it names any."""
+    bits = reduce(add, [F.when(sentence.rlike(_names(x)), 1 << i).otherwise(0) for i, x in enumerate(K.LABELS)])
+    any_of = "[" + "".join(K.LABELS) + "]"
+    return F.struct(sentence.alias("text"), F.when(sentence.rlike(_names(any_of)), bits).otherwise(0).alias("letters"))
 
 
 def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
@@ -414,28 +422,32 @@ def eliminate(df: DataFrame, folder: str = "folder") -> DataFrame:
         & F.coalesce(*[F.col(f"__opt_{x}") for x in K.LABELS]).isNotNull(),
         __offset=F.when(F.size(parts) == n, 0).when(F.size(parts) == n + 1, 1),
         __letters=F.array_sort(F.map_keys("choices")),
-        __sentences=F.split(F.array_join(parts, " "), K.SENTENCE_END),
     )
-    step = staged(step, **{
-        f"__is_wrong_{x}": F.array_contains("__letters", x) & ~F.coalesce(F.col("correct_answer") == x, F.lit(False))
-        for x in K.LABELS
-    })
-
-    def names_wrong(s):
-        return _any([F.col(f"__is_wrong_{x}") & s.rlike(_names(x)) for x in K.LABELS])
-
+    step = staged(
+        step,
+        # sentences count only where neither blocks nor paragraphs do
+        __sentences=F.when(
+            ~F.col("__explicit") & F.col("__offset").isNull() & F.col("__letters").isNotNull(), F.transform(F.split(F.array_join(parts, " "), K.SENTENCE_END), _named)
+        ),
+        **{
+            f"__is_wrong_{x}": F.array_contains("__letters", x) & ~F.coalesce(F.col("correct_answer") == x, F.lit(False))
+            for x in K.LABELS
+        },
+    )
+    wrong = reduce(add, [F.when(F.col(f"__is_wrong_{x}"), 1 << i).otherwise(0) for i, x in enumerate(K.LABELS)])
     kept = F.filter(
-        F.transform(F.filter("__sentences", lambda s: ~names_wrong(s)), strip),
+        F.transform(F.filter("__sentences", lambda s: s["letters"].bitwiseAND(F.col("__wrong")) == 0), lambda s: strip(s["text"])),
         lambda s: (s != "") & ~_any([s.rlike(p) for p in K.STOCK_SENTENCES]),
     )
+
+    def naming(bit: int) -> Column:
+        found = F.filter("__sentences", lambda s: s["letters"].bitwiseAND(F.lit(bit)) != 0)
+        return F.array_join(F.transform(found, lambda s: s["text"]), " ")
+
+    step = staged(step, __wrong=wrong)
     step = staged(
         step, __kept=F.array_join(kept, " "),
-        **{
-            f"__wrong_{x}": F.when(
-                F.col(f"__is_wrong_{x}"), F.array_join(F.filter("__sentences", _matches(_names(x))), " ")
-            )
-            for x in K.LABELS
-        },
+        **{f"__wrong_{x}": F.when(F.col(f"__is_wrong_{x}"), naming(1 << i)) for i, x in enumerate(K.LABELS)},
     )
     values = {}
     for x in K.LABELS:
