@@ -12,7 +12,7 @@ import functools
 import json
 import math
 import re
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,8 +30,8 @@ from gradeframe.session import materialise, work_dir
 
 # A unit is a word with the white space before it. Both tokenizers end a token at its end: the letter
 # before a single space or line break is no white space to either, and no token goes on over one.
-UNIT = re.compile(r"\n(?=\S)|\s*\S+|\s+")
-SLICE = 3 << 20
+UNIT = re.compile(r"\n(?=\S)| ?\S+|\s+\S*")
+SLICE = 5 << 20
 KEPT_PAIRS = 1 << 20  # distinct pairs that a task of pass 1 holds before it puts them out
 SHARD_KEYS = 1 << 14  # distinct pairs of a shard
 VECTOR_ROWS = 1 << 16  # rows that are added into one dense vector
@@ -139,30 +139,40 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteSide(byte_path), PieceBpe(piece_path)
-        self.a_bytes, self.b_bytes = self.a.bytes, self.b.surfaces
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.width = len(self.b_bytes)
+        self.a_table, self.b_table = self._table(self.a.bytes), self._table(self.b.surfaces)
+        self.a_size, self.b_size = self.a_table[0], self.b_table[0]
+        self.width = len(self.b_size)
         self.cut = UNIT.findall if self.b.by_word else lambda t: [t]
-        self.a_texts = [np.array([f"{i}{end}" for i in range(len(self.a_bytes))], object) for end in ",|"]
+        self.a_texts = [np.array([f"{i}{end}" for i in range(len(self.a_size))], object) for end in ",|"]
         self.b_texts = [np.array([f"{i}{end}" for i in range(self.width)], object) for end in ",;"]
 
     @staticmethod
-    def _same(data: list[bytes], size: np.ndarray, tables: tuple, ids: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Whether the bytes of each unit's tokens are those of the unit."""
-        sizes = np.bincount(unit, size[ids], minlength=len(data)).astype(np.int64)
-        same = sizes == np.array([len(d) for d in data])
-        fits = same[unit]
-        if b"".join(map(tables.__getitem__, ids[fits].tolist())) == b"".join(d for d, s in zip(data, same.tolist(), strict=True) if s):
-            return same
-        bounds = np.searchsorted(unit, np.arange(len(data) + 1)).tolist()
-        flat = ids.tolist()
-        return np.array([b"".join(map(tables.__getitem__, flat[s:e])) == d for d, s, e in zip(data, bounds[:-1], bounds[1:], strict=True)], bool)
+    def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of bytes of each entry, where they begin, and all bytes."""
+        size = np.array([len(x) for x in entries], np.int64)
+        return size, np.cumsum(size) - size, np.frombuffer(b"".join(entries), np.uint8)
+
+    @staticmethod
+    def _same(data: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, ...], ids: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each unit's tokens are those of the unit; ``data`` holds the units, which end at ``ends``."""
+        size, start, flat = table
+        sizes = np.bincount(unit, size[ids], minlength=len(ends)).astype(np.int64)
+        lengths = np.diff(np.append(0, ends))
+        same = sizes == lengths
+        ids = ids[same[unit]]
+        n = size[ids]
+        joined = flat[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        owner = np.repeat(np.arange(len(ends)), lengths)
+        fits = same[owner]
+        same[owner[fits][joined != data[fits]]] = False
+        return same
 
     def links(self, units: list[str]) -> tuple[Links, np.ndarray]:
         """All links of different units, and which units have tokens: those whose bytes both sides give back."""
-        data = [u.encode() for u in units]
+        data = np.frombuffer("".join(units).encode(), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, units)), np.int64, len(units)))
         (a, a_unit), (b, b_unit) = self.a.merged(units), self.b.merged(units)
-        good = self._same(data, self.a_size, self.a_bytes, a, a_unit) & self._same(data, self.b_size, self.b_bytes, b, b_unit)
+        good = self._same(data, ends, self.a_table, a, a_unit) & self._same(data, ends, self.b_table, b, b_unit)
         a, a_unit, b, b_unit = a[good[a_unit]], a_unit[good[a_unit]], b[good[b_unit]], b_unit[good[b_unit]]
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")
@@ -210,12 +220,11 @@ class _Slice:
 
     @classmethod
     def of(cls, aligner: Aligner, texts: list[str]) -> _Slice:
-        number: dict[str, int] = {}
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__  # a new unit gets the next number
         numbers = []
         for text in texts:
             units = aligner.cut(" " + text) if text else []
-            new = [u for u in dict.fromkeys(units) if u not in number]
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
             numbers.append(np.fromiter(map(number.__getitem__, units), np.int64, len(units)))
         return cls(list(number), np.concatenate(numbers), np.cumsum([len(n) for n in numbers]))
 

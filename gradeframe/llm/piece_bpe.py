@@ -16,7 +16,7 @@ from gradeframe.llm.shared import id_and_text, record_batch, text_slices, texts_
 
 SPACE = "▁"
 CODES = 0x110000  # code points of Unicode
-NO_PAIR = np.iinfo(np.int64).max
+NO_PAIR = np.iinfo(np.int32).max
 UNKNOWN_SURFACE = " ⁇ "  # fixed value: what the library decodes an unknown id to
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -46,7 +46,7 @@ class PairMerges:
         self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
         self.mask = (1 << (64 - int(self.shift))) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
-        self.ranks, self.joined = np.full(self.mask + 1, NO_PAIR, np.int64), np.zeros(self.mask + 1, np.int64)
+        self.ranks, self.joined = np.full(self.mask + 1, NO_PAIR, np.int32), np.zeros(self.mask + 1, np.int32)
         self.steps, at = 0, self._place(keys)
         while len(keys):
             self.steps += 1
@@ -63,7 +63,7 @@ class PairMerges:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and joined id of each pair; ``NO_PAIR`` where the two can't be joined."""
-        key = left * self.stride + right
+        key = left.astype(np.int64) * self.stride + right
         at = self._place(key)
         found = self.keys[at]
         again = np.flatnonzero((found != key) & (found != -1))
@@ -73,7 +73,7 @@ class PairMerges:
             at[again] = (at[again] + 1) & self.mask
             found[again] = self.keys[at[again]]
             again = again[(found[again] != key[again]) & (found[again] != -1)]
-        return np.where(found == key, self.ranks[at], NO_PAIR), self.joined[at]
+        return np.where(found == key, self.ranks[at], np.int32(NO_PAIR)), self.joined[at]
 
     def _set(self, symbols: np.ndarray, words: np.ndarray, rank: np.ndarray, joined: np.ndarray, at: np.ndarray) -> None:
         """Look up the pairs that begin at some places; the last symbol of a word begins none."""
@@ -87,21 +87,24 @@ class PairMerges:
     def rounds(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge all words until no pair remains; ``words`` numbers each symbol's word in ascending order."""
         done = []
+        symbols, words = symbols.astype(np.int32), words.astype(np.int32)
         rank, joined = self.pairs(symbols[:-1], symbols[1:])
-        rank = np.append(np.where(words[:-1] == words[1:], rank, NO_PAIR), NO_PAIR)[: len(symbols)]
-        joined = np.append(joined, 0)[: len(symbols)]
+        rank = np.append(np.where(words[:-1] == words[1:], rank, np.int32(NO_PAIR)), np.int32(NO_PAIR))[: len(symbols)]
+        joined = np.append(joined, np.int32(0))[: len(symbols)]
         while len(symbols):
             starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
             lengths = np.diff(np.append(starts, len(words)))
-            least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
-            going = least != NO_PAIR
-            if not going.all():
-                done.append((symbols[~going], words[~going]))
-                symbols, words, rank, joined, least = (x[going] for x in (symbols, words, rank, joined, least))
-                if not len(symbols):
+            least = np.minimum.reduceat(rank, starts)
+            ended = least == NO_PAIR
+            if 4 * int(ended.sum()) >= len(ended):  # words without a pair leave when they are many
+                over = np.repeat(ended, lengths)
+                done.append((symbols[over], words[over]))
+                if ended.all():
                     break
-            at = self._leftmost(np.flatnonzero(rank == least))
-            at = self._in_turn(symbols, words, rank, joined, at)
+                symbols, words, rank, joined = (x[~over] for x in (symbols, words, rank, joined))
+                least, lengths = least[~ended], lengths[~ended]
+            at = np.flatnonzero((rank == np.repeat(least, lengths)) & (rank != NO_PAIR))
+            at = self._in_turn(symbols, words, rank, joined, self._leftmost(at))
             symbols[at] = joined[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -109,10 +112,10 @@ class PairMerges:
             symbols, words, rank, joined = (x[keep] for x in (symbols, words, rank, joined))
             self._set(symbols, words, rank, joined, np.concatenate([at - 1, at]))
         if not done:
-            return symbols, words
+            return symbols.astype(np.int64), words
         symbols, words = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(words, kind="stable")
-        return symbols[order], words[order]
+        return symbols[order].astype(np.int64), words[order]
 
     @staticmethod
     def _leftmost(at: np.ndarray) -> np.ndarray:
