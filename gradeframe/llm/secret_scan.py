@@ -48,6 +48,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 REDACTED = "[SECRET]"
+_CHUNK = 128  # matches whose spans are appended one by one
 _MASK_BITS = 60  # trigrams per integer of a text's set
 
 
@@ -114,11 +115,37 @@ def _long_enough(groups: Column, least: int) -> Column:
     return F.transform(groups, lambda g: F.length(g) >= least)
 
 
+def _chunks(size: Column) -> Column:
+    """Numbers of the chunks of so many elements."""
+    return F.sequence(F.lit(0), F.floor((size - 1) / F.lit(_CHUNK)).cast("int"))
+
+
+def _members(chunk: Column, size: Column) -> Column:
+    """Numbers of the elements of a chunk."""
+    return F.sequence(chunk * _CHUNK, F.least(size, (chunk + 1) * _CHUNK) - 1)
+
+
 def _spans(rule: int) -> Column:
-    """(start, rule, end) of the matches of one rule, from its matches and the pieces between them."""
+    """(start, rule, end) of the matches of one rule, from its matches and the pieces between them.
+
+    Matches are taken in chunks: a chunk begins where the lengths of all chunks before it end, and only
+    within a chunk are spans appended one by one. So a text with very many matches costs little more
+    than its matches.
+    """
     found, pieces, kept = f"__found{rule}", f"__pieces{rule}", f"__kept{rule}"
-    steps = F.sequence(F.lit(0), F.size(found) - 1)
+    size = F.size(found)
     empty = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
+    chunks = _chunks(size)
+
+    def members(chunk: Column) -> Column:
+        return _members(chunk, size)
+
+    def length(chunk: Column) -> Column:
+        return F.aggregate(members(chunk), F.lit(0).cast("long"), lambda sum_, n: sum_ + F.length(F.get(pieces, n)) + F.length(F.get(found, n)))
+
+    begins = F.aggregate(
+        F.transform(chunks, length), F.array(F.lit(0).cast("long")), lambda all_, n: F.concat(all_, F.array(F.element_at(all_, -1) + n))
+    )
 
     def add(state: Column, n: Column) -> Column:
         start = state["at"] + F.length(F.get(pieces, n))
@@ -127,8 +154,12 @@ def _spans(rule: int) -> Column:
         spans = F.when(F.get(kept, n), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, begin, add, lambda state: state["spans"])).otherwise(empty)
+    def chunk_spans(at: Column, chunk: Column) -> Column:
+        return F.aggregate(members(chunk), F.struct(at.alias("at"), empty.alias("spans")), add, lambda state: state["spans"])
+
+    # the last entry of the begins is the end of the text's last match
+    per_chunk = F.zip_with(F.slice(begins, F.lit(1), F.size(chunks)), chunks, chunk_spans)
+    return F.when(size > 0, F.flatten(per_chunk)).otherwise(empty)
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -191,20 +222,53 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _redacted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = with_spans(docs, id_col, text_col)
-    span = "array<struct<start:bigint,end:bigint>>"
-
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"])
-        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(own)))
-
-    merged = found.withColumn("__merged", F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", F.array().cast(span), merge)))
-    gaps = F.zip_with(
-        F.concat(F.array(F.lit(0).cast("long")), F.col("__merged.end")), F.concat(F.col("__merged.start"), F.array(F.length(text_col).cast("long"))),
-        lambda a, b: F.substr(F.col(text_col), (a + 1).cast("int"), (b - a).cast("int")),
+    """Spans are united where a start lies behind all ends before it, and the text between them is cut out.
+
+    Both go by chunks, as ends before and places in a text are else looked for from the beginning each time.
+    """
+    spans, long = F.col("secret_spans"), "array<bigint>"
+    size = F.size(spans)
+    mark = "array<struct<start:bigint,until:bigint>>"
+
+    def furthest(chunk: Column) -> Column:
+        return F.array_max(F.transform(_members(chunk, size), lambda n: F.get(spans, n)["end"]))
+
+    until = F.aggregate(
+        F.transform(_chunks(size), furthest), F.array(F.lit(-1).cast("long")),
+        lambda all_, end: F.concat(all_, F.array(F.greatest(F.element_at(all_, -1), end))),
     )
-    text = F.when(F.col("__merged").isNotNull(), F.array_join(gaps, REDACTED)).otherwise(F.col(text_col))
-    return merged.withColumn(text_col, text).select(docs.columns)
+
+    def add(state: Column, n: Column) -> Column:
+        span = F.get(spans, n)
+        marks = F.concat(state["marks"], F.array(F.struct(span["start"].alias("start"), state["at"].alias("until"))))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), marks.alias("marks"))
+
+    def chunk_marks(at: Column, chunk: Column) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast(mark).alias("marks"))
+        return F.aggregate(_members(chunk, size), begin, add, lambda state: state["marks"])
+
+    some = F.size("secret_spans") > 0
+    found = with_spans(docs, id_col, text_col).withColumn("until", F.when(some, until))
+    marks = F.flatten(F.zip_with(F.slice("until", F.lit(1), F.size("until") - 1), _chunks(size), chunk_marks))
+    found = found.withColumn("opens", F.when(some, F.filter(marks, lambda m: m["start"] > m["until"])))
+    ends = F.concat(F.slice(F.col("opens.until"), F.lit(2), F.size("opens")), F.array(F.element_at("until", -1)))
+    found = found.withColumns({
+        "froms": F.concat(F.array(F.lit(0).cast("long")), ends).cast(long),
+        "tos": F.concat(F.col("opens.start"), F.array(F.length(text_col).cast("long"))).cast(long),
+    })
+    n_gaps = F.size("froms")
+
+    def gaps(chunk: Column) -> Column:
+        first, last = chunk * _CHUNK, F.least(n_gaps, (chunk + 1) * _CHUNK) - 1
+        base = F.get("froms", first)
+        part = F.substr(F.col(text_col), (base + 1).cast("int"), (F.get("tos", last) - base).cast("int"))
+
+        def cut(part: Column) -> Column:
+            return F.transform(_members(chunk, n_gaps), lambda n: F.substr(
+                part, (F.get("froms", n) - base + 1).cast("int"), (F.get("tos", n) - F.get("froms", n)).cast("int")
+            ))
+
+        return F.flatten(F.transform(F.array(part), cut))  # the part is made once
+
+    text = F.when(some, F.array_join(F.flatten(F.transform(_chunks(n_gaps), gaps)), REDACTED)).otherwise(F.col(text_col))
+    return found.withColumn(text_col, text).select(docs.columns)

@@ -98,3 +98,39 @@ def test_redaction(spark, texts):
         hidden = {i for a, b in spans for i in range(a, b)}
         runs = "".join("\0" if i in hidden else c for i, c in enumerate(text))
         assert row.text == re.sub("\0+", ss.REDACTED, runs)
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Spans of a text with more matches than a chunk holds, and at a cost that does not grow with their square."""
+    import time
+
+    text = "".join(f"token={i:08d} x{'é' if i % 3 else '🎉'} " for i in range(20_000))
+    frame = spark.createDataFrame([(1, text), (2, "token=" + "a" * 9)], "doc_id long, text string")
+    begin = time.time()
+    rows = {r.doc_id: r for r in ss.secrets(frame).collect()}
+    assert time.time() - begin < 60
+    spans = []
+    for m in re.finditer(r"token=\d{8}", text):
+        spans.append(f"assign:{m.start()}:{m.end()}")
+    assert rows[1].n_assign == 20_000 and rows[2].n_assign == 1
+    assert rows[1].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def test_redaction_of_many_spans_that_meet_and_overlap(spark):
+    rng = random.Random(5)
+    parts = ["token=", "0123456789abcdef" * 2, " ", "é", "AKIA" + "Q" * 20, "🎉 word ", "secret: ", "x" * 7, "f" * 24]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (0, 1, 5, 40, 700, 3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in ss.secrets(frame).collect()}
+    for r in ss.redacted(frame).collect():
+        merged = []
+        for s in sorted(tuple(map(int, x.split(":")[1:])) for x in spans[r.doc_id].split(",") if x):
+            if merged and merged[-1][1] >= s[0]:
+                merged[-1][1] = max(merged[-1][1], s[1])
+            else:
+                merged.append(list(s))
+        text, out, at = texts[r.doc_id], [], 0
+        for start, end in merged:
+            out += [text[at:start], ss.REDACTED]
+            at = end
+        assert r.text == "".join(out) + text[at:]
