@@ -1,13 +1,14 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then BENCH_RUNS times; the median is reported. The timed
-part builds the plan and consumes every row without moving rows to the driver.
+Each query runs once to warm up and then BENCH_RUNS times; the median is reported, with the number of
+exchanges in the plan. The timed part builds the plan and consumes every row without moving rows to the driver.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import statistics
 import sys
 import time
@@ -28,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark("bench", cpus)
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,14 +39,19 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
+    def exchanges(name: str) -> int:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        return len(re.findall(r"(?<!Reused)Exchange ", plan))
+
+    seconds, shuffles = {}, {}
     for name in names:
         once(name)
+        shuffles[name] = exchanges(name)
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
-        "cpus": cpus,
+        "cpus": cpus, "runs": runs, "exchanges": shuffles,
     }))
 
 
