@@ -64,4 +64,6 @@ def track_sessions(events: DataFrame, key: str, ttl: str) -> DataFrame:
 def live_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The sessions that have not expired, read from the state of a stream of ``track_sessions``."""
     state = spark.read.format("statestore").option("stateVarName", "session").load(checkpoint)
-    return state.select("key.*", "value.*")
+    # a value that has expired may still lie in the store until it is compacted
+    alive = F.col("value.ttlExpirationMs") > F.unix_millis(F.current_timestamp())
+    return state.where(alive).select("key.*", "value.value.*")

@@ -217,26 +217,35 @@ def test_bank_follows_a_stream(spark, tmp_path):
     assert rows_of(bank.current(spark.createDataFrame([], LOG)), ["question_id", "question", "correct_answer"]) == [("q1", "a", "D")]
 
 
-def test_sessions_expire_without_a_scan_and_survive_a_restart(spark, tmp_path):
-    schema = "user string, event_time timestamp"
-    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
-    seen = []
+def session_steps(spark, folder, ttl, *batches, wait=0):
+    """Run the sessions over batches, with a restart before each; the rows put out, and the checkpoint."""
+    schema, seen = "user string, event_time timestamp", []
+    source, checkpoint = f"{folder}/in", f"{folder}/cp"
+
+    def write(df, n):
+        seen.append(sorted(tuple(r) for r in df.select("user", "events", "resumed").collect()))
 
-    def step(rows, ttl):
+    for n, rows in enumerate(batches):
+        time.sleep(wait if n else 0)
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         out = S.track_sessions(spark.readStream.schema(schema).parquet(source), "user", ttl)
-        def write(df, n):
-            seen.extend(tuple(r) for r in df.select("user", "events", "resumed").collect())
-        out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(once=True).foreachBatch(write).start().awaitTermination()
-
-    step([("a", at(1)), ("a", at(0)), ("b", at(2)), (None, at(3)), ("c", None)], "20 seconds")
-    step([("a", at(5))], "20 seconds")
-    assert sorted(seen) == [("a", 2, False), ("a", 3, True), ("b", 1, False)]
-    assert {r.user: (r.events, r.opened // 60_000_000 % 60) for r in S.live_sessions(spark, checkpoint).collect()}["a"] == (3, 0)
-    time.sleep(21)
-    step([("a", at(9))], "20 seconds")
-    assert seen[-1] == ("a", 1, False)
-    assert [r.user for r in S.live_sessions(spark, checkpoint).collect()] == ["a"]
+        writer = out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(once=True)
+        assert writer.foreachBatch(write).start().awaitTermination(120)
+    return seen, checkpoint
+
+
+def test_sessions_go_on_after_a_restart(spark, tmp_path):
+    first, second = [("a", at(1)), ("a", at(0)), ("b", at(2)), (None, at(3)), ("c", None)], [("a", at(5))]
+    seen, checkpoint = session_steps(spark, tmp_path, "1 day", first, second)
+    assert seen == [[("a", 2, False), ("b", 1, False)], [("a", 3, True)]]
+    live = {r.user: (r.events, r.last_seen - r.opened) for r in S.live_sessions(spark, checkpoint).collect()}
+    assert live == {"a": (3, 300_000_000), "b": (1, 0)}
+
+
+def test_sessions_expire_without_a_scan(spark, tmp_path):
+    seen, checkpoint = session_steps(spark, tmp_path, "2 seconds", [("a", at(1)), ("b", at(2))], [("a", at(5))], wait=3)
+    assert seen == [[("a", 1, False), ("b", 1, False)], [("a", 1, False)]]
+    assert "b" not in [r.user for r in S.live_sessions(spark, checkpoint).collect()]
 
 
 @pytest.mark.parametrize("text, expected", [("30 minutes", 1_800_000), ("1 day", 86_400_000), ("2 seconds", 2000)])
