@@ -7,8 +7,8 @@ values again and again:
 1. monotone buckets, ``BUCKETS_PER_OCTAVE`` per power of two, tell which bucket holds each wanted rank;
 2. such a bucket is split into ``PARTS`` equal parts between its least and its greatest value, which
    tell the part;
-3. the values of that part are ranked. A bucket spans at most 2^40 neighbouring doubles, so a part has
-   at most some 2^19 different values whatever the data.
+3. the values of that part are ranked. A bucket spans at most 2^44 neighbouring doubles, so a part has
+   at most some 2^23 different values whatever the data.
 
 So every window has a bounded number of rows. All of it is one plan: nothing runs before an action,
 and the three steps read the same shuffled counts.
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 1 << 12
+BUCKETS_PER_OCTAVE = 1 << 8
 PARTS = 1 << 21
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE  # above |log2| of every double, so buckets keep their sign
 
