@@ -75,3 +75,36 @@ def test_fit_equals_plain_gradient_descent():
     assert np.abs(ranking.weights - w).max() < 0.02
     scores = np.sort(x @ ranking.weights)
     assert scores[59] < ranking.cut < scores[60]
+
+
+def test_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows of one label join several small groups; sums, pairs and cut cover all rows, whatever their number."""
+    monkeypatch.setattr(quality, "GROUP_ROWS", 64)
+    monkeypatch.setattr(quality, "GROUP_PARTNERS", 4)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(12_000):
+        good = i % 10 < 9
+        words = ["".join(rng.choice(list("abcdefgh" if good else "aBc1$#/."), 5)) for _ in range(6)]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 < 9)) for i, _ in rows], "doc_id long, quality int")
+    ranking = quality.learn(docs, labels)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    known = np.array([int(i % 10 < 9) for i, _ in used])
+    all_features = quality.features([t for _, t in used]).astype(np.float64)
+    np.testing.assert_allclose(ranking.middle, all_features.mean(axis=0), atol=1e-6)
+    np.testing.assert_allclose(ranking.scale, np.maximum(all_features.std(axis=0), 1e-3), rtol=1e-4)
+    scores = np.sort((all_features - ranking.middle) / ranking.scale @ ranking.weights)
+    below = round((known == 0).mean() * len(used))
+    assert abs(ranking.cut - scores[below - 1 : below + 1].mean()) < 1e-4
+    predicted = {r.doc_id: r.predicted for r in quality.score(docs, ranking).collect()}
+    assert np.mean([predicted[i] == int(i % 10 < 9) for i, _ in rows]) > 0.99
+
+
+def test_each_row_is_paired_once_and_lent_rows_only_as_partners():
+    labels, own = np.array([1, 1, 0, 0, 1]), np.array([True, True, True, False, True])
+    first, second = quality._partners(labels, own, np.random.default_rng(0))
+    n = quality.PAIRS_PER_ROW
+    assert len(first) == 4 * n and set(labels[first]) == {1} and set(labels[second]) == {0}
+    assert np.array_equal(first[: 3 * n], np.repeat([0, 1, 4], n)) and np.array_equal(second[3 * n :], [2] * n)
