@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(Remembered):
     """64-bit hash of each word, in a table of bounded size."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__(xxhash.xxh3_64_intdigest, limit)
 
 

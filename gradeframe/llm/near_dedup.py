@@ -20,12 +20,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 13, 3  # a pair of similarity 0.8 shares a band with probability 0.9999
 SAMPLES = BANDS * ROWS
 LEAST_AGREEING = 21  # of the samples; a pair of similarity 0.8 has 31, and fewer than this with probability 0.00006
-# Pairs that no leader linked are verified from the most agreeing down, those of a level at a time.
-LEVELS = (SAMPLES + 1, 32, 26, 0)
+SLICE = 1 << 20  # bytes of text cut into shingles at once
 BLOCK_TEXTS = 1024  # texts of a bucket that a task compares with as many others at once
 DF_BITS = 18  # document frequencies are kept by this many bits of a shingle's hash
 IDF_SHARE = 0.25  # how much more the rarest shingle weighs than one of all documents
+DF_PART = 1 << 10  # buckets of document frequencies that are added up together
 CHUNK_MEMBERS = 256  # documents that one task compares with the same partner in a row
+KNOWN_SHINGLES = 1 << 21  # of the texts that a task of a block keeps for its next pairs
 _BLOCK = 1 << 16  # shingles sampled at once
 
 
@@ -59,23 +60,28 @@ def learn_weights(docs: DataFrame) -> Weights:
     corpus. A bucket also counts other shingles that fall into it; the mean of all buckets is taken off
     for them, so that shingles of many documents stand out.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("numbers", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(1 << DF_BITS, np.int64), 0
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, SLICE):
             found = [h for h, _ in _distinct(texts_of(rows))]
             n += len(found)
             buckets = (np.concatenate(found) >> np.uint64(64 - DF_BITS)).astype(np.int64)
             counts += np.bincount(buckets, minlength=1 << DF_BITS)
-        some = np.flatnonzero(counts)
-        yield record_batch(schema, bucket=np.concatenate([[-1], some]), n=np.concatenate([[n], counts[some]]))
-
-    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    n_docs = max(2, int(n[bucket == -1].sum()))
-    counts = np.zeros(1 << DF_BITS)
-    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+        if n:
+            parts = [np.array([n], "<i8"), *counts.astype("<i8").reshape(-1, DF_PART)]
+            yield record_batch(schema, part=range(-1, len(parts) - 1), numbers=[x.tobytes() for x in parts])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<i8") for x in part["numbers"].to_pylist())
+        return pa.Table.from_arrays([part["part"][:1], pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    types = "part int, numbers binary"
+    got = docs.select("text").mapInArrow(run, types).groupBy("part").applyInArrow(add, types).toArrow().sort_by("part")
+    numbers = np.frombuffer(b"".join(got["numbers"].to_pylist()), "<i8")
+    n_docs = max(2, int(numbers[:1].sum()))
+    counts = numbers[1:].astype(np.float64) if len(numbers) else np.zeros(1 << DF_BITS)
     frequency = np.clip(counts - counts.mean(), 1, n_docs)
     return Weights((1 + IDF_SHARE * np.log(n_docs / frequency) / np.log(n_docs)).astype(np.float32))
 
@@ -151,6 +157,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / union) if union else 1.0
 
 
+def _packed(text: str) -> bytes:
+    """A text compressed, after its number of bytes: texts move several times before they are compared."""
+    data = text.encode()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> str:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).decode()
+
+
 # ---- links ---------------------------------------------------------------------------------------
 
 
@@ -201,13 +217,11 @@ def _leader_pairs(bands: DataFrame, needed: DataFrame) -> DataFrame:
     return _with_agreement(pairs, needed)
 
 
-def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame, least: int, below: int) -> DataFrame:
-    """(v, u, agreeing) of every pair that shares a bucket, is in different groups so far and agrees
-    in ``least`` or more, but fewer than ``below`` samples; each pair once.
+def _cross_blocks(bands: DataFrame, needed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, band, v, label, i, j, side, signature) of the texts of each bucket that still holds several groups.
 
-    Texts of a bucket that still holds several groups are dealt to blocks of about ``BLOCK_TEXTS``, and
-    each block is compared with each other and with itself by a task of its own. Only signatures move;
-    pairs come into being in the task, and only those that agree leave it.
+    The texts are dealt to blocks of about ``BLOCK_TEXTS``, and each block is compared with each other and
+    with itself: the rows of equal (bucket, i, j) come one after the other, for one task to compare.
     """
     rows = bands.select("bucket", "band", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b")
@@ -217,20 +231,109 @@ def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame, least:
         "bucket", "band", "v", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
+    return _by_block(some.join(needed.select("v", "signature"), "v"))
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _compared(rows: pa.Table, least: int, below: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_agreeing_in`` of the rows of one block with another."""
+    side = rows["side"].to_numpy()
+    label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    sample = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u4").reshape(-1, SAMPLES)
+    return _agreeing_in(sample, label, side, rows["band"][0].as_py(), least, below)
+
+
+def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame, least: int, below: int) -> DataFrame:
+    """(v, u, agreeing) of every pair that shares a bucket, is in different groups so far and agrees
+    in ``least`` or more, but fewer than ``below`` samples; each pair once."""
     schema = pa.schema([("v", pa.binary()), ("u", pa.binary()), ("agreeing", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, ("bucket", "i", "j")):
-            side, names = rows["side"].to_numpy(), rows["v"].to_pylist()
-            label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-            sample = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u4").reshape(-1, SAMPLES)
-            band = rows["band"][0].as_py()
-            for x, y, agreeing in _agreeing_in(sample, label, side, band, least, below):
+            names = rows["v"].to_pylist()
+            for x, y, agreeing in _compared(rows, least, below):
                 first, second = [names[k] for k in x], [names[k] for k in y]
                 yield record_batch(schema, v=list(map(min, first, second)), u=list(map(max, first, second)), agreeing=agreeing)
 
-    work = some.join(needed.select("v", "signature"), "v").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return work.mapInArrow(run, "v binary, u binary, agreeing int")
+    return _cross_blocks(bands, needed, labels).mapInArrow(run, "v binary, u binary, agreeing int")
+
+
+def _cross_links(bands: DataFrame, needed: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """(v, u, similarity) of links that join all texts joined by any link of ``_cross_pairs``.
+
+    Pairs are never rows: they come into being and are verified in the task of their block, from the most
+    agreeing down, and a pair that the block's links or the groups so far have joined needs no test. So a
+    block gives fewer links than it has texts. First, by signatures alone, each block names the texts
+    that are in any of its pairs; only these move, with their texts, to the second comparison.
+    """
+    found = pa.schema([("v", pa.binary()), ("u", pa.binary()), ("similarity", pa.float64())])
+    blocks = _cross_blocks(bands, needed, labels)
+    schema = pa.schema([
+        ("bucket", pa.int64()), ("band", pa.int32()), ("v", pa.binary()), ("label", pa.binary()),
+        ("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("signature", pa.binary()),
+    ])
+
+    def involved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("bucket", "i", "j")):
+            some = np.zeros(len(rows), bool)
+            for x, y, _ in _compared(rows, LEAST_AGREEING, SAMPLES + 1):
+                some[x] = some[y] = True
+            if some.any():
+                yield from rows.filter(pa.array(some)).select(schema.names).cast(schema).to_batches()
+
+    types = "bucket long, band int, v binary, label binary, i long, j long, side int, signature binary"
+    chosen = materialise(blocks.select(*schema.names).mapInArrow(involved, types), "open-blocks")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("bucket", "i", "j")):
+            parts = list(_compared(rows, LEAST_AGREEING, SAMPLES + 1))
+            if parts:
+                x, y, agreeing = (np.concatenate(c) for c in zip(*parts))
+                order = np.lexsort((y, x, -agreeing.astype(np.int16)))
+                yield _links_in(rows, x[order], y[order], weights, found)
+
+    return _by_block(chosen.join(texts, "v")).mapInArrow(verify, "v binary, u binary, similarity double")
+
+
+def _links_in(rows: pa.Table, x: np.ndarray, y: np.ndarray, weights: Weights, schema: pa.Schema) -> pa.RecordBatch:
+    """Links among these pairs of rows, tested in order, without those between rows that are joined by then."""
+    names, packed = rows["v"].to_pylist(), rows["packed"]
+    # A text may be on both sides under one label; labels are joined, rows are not.
+    parent = {label: label for label in rows["label"].to_pylist()}
+    label = rows["label"].to_pylist()
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    held = 0
+
+    def root(of: bytes) -> bytes:
+        while parent[of] != of:
+            parent[of] = of = parent[parent[of]]
+        return of
+
+    def vector(n: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal held
+        if n not in known:
+            if held > KNOWN_SHINGLES:
+                known.clear()
+                held = 0
+            ((hashes, counts),) = _distinct([_unpacked(packed[n].as_py())])
+            known[n] = hashes, weights.of(hashes, counts)
+            held += len(hashes)
+        return known[n]
+
+    out: dict[str, list] = {"v": [], "u": [], "similarity": []}
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        one, other = root(label[a]), root(label[b])
+        if one == other:
+            continue
+        alike = similarity(vector(a), vector(b))
+        if alike >= SIMILARITY:
+            parent[one] = other
+            for name, value in zip(out, (min(names[a], names[b]), max(names[a], names[b]), alike), strict=True):
+                out[name].append(value)
+    return record_batch(schema, **out)
 
 
 def _runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -296,8 +399,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, partner = None, None
-        for rows in text_slices(batches):
-            found = ((h, weights.of(h, n)) for h, n in _distinct(texts_of(rows)))
+        for rows in _packed_slices(batches):
+            found = ((h, weights.of(h, n)) for h, n in _distinct(list(map(_unpacked, rows.column("packed").to_pylist()))))
             out: dict[str, list] = {"v": [], "u": [], "similarity": []}
             keys = zip(*(rows.column(c).to_pylist() for c in ("v", "u", "chunk", "place")), strict=True)
             for (v, u, chunk, place), vector in zip(keys, found, strict=True):
@@ -308,10 +411,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
                         out[name].append(value)
             yield record_batch(schema, **out)
 
-    work = texts.join(members.unionByName(partners), "v").select("v", "u", "chunk", "place", "text")
+    work = texts.join(members.unionByName(partners), "v").select("v", "u", "chunk", "place", "packed")
     return work.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "place", "v").mapInArrow(run, "v binary, u binary, similarity double")
 
 
+def _packed_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each slice have at most ``SLICE`` bytes unpacked, or are one."""
+    for batch in batches:
+        sizes = [int.from_bytes(p.as_buffer()[:8].to_pybytes(), "little") for p in batch.column("packed")]
+        start = held = 0
+        for n, size in enumerate(sizes):
+            if n > start and held + size > SLICE:
+                yield batch.slice(start, n - start)
+                start, held = n, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest name in the connected component of every end of an edge (v, u).
 
@@ -330,28 +447,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _link(candidates: DataFrame, tested: DataFrame | None, labels: DataFrame, texts: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
-    """Verify candidate pairs until each is tested or joins texts that are linked already.
+def _link(candidates: DataFrame, texts: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
+    """Links among candidate pairs, and the groups that they join, which any other of these links would join too.
 
     At first each text is compared with the partner that it agrees with most; most of the other pairs
     then join texts of one group, and the rest is compared in a second round.
     """
-    spark = candidates.sparkSession
-    first = True
-    while True:
-        groups = labels.select("v", "label")
-        left = candidates.join(groups, "v", "left").withColumn("a", F.coalesce("label", "v")).drop("label")
-        left = left.join(groups.select(F.col("v").alias("u"), F.col("label").alias("b")), "u", "left").withColumn("b", F.coalesce("b", "u"))
-        left = left.filter("a != b")
-        if tested is not None:
-            left = left.join(tested.select("v", "u"), ["v", "u"], "left_anti")
-        best = left.groupBy("v").agg(F.max(F.struct("agreeing", "u")).alias("best")).select("v", "best.u") if first else left.select("v", "u")
-        best, first = materialise(best, "pairs"), False
-        if best.isEmpty():
-            return (tested if tested is not None else spark.createDataFrame([], "v binary, u binary, similarity double")), labels
-        found = materialise(_verified(best, texts, weights), "verified")
-        tested = found if tested is None else tested.unionByName(found)
+    best = materialise(candidates.groupBy("v").agg(F.max(F.struct("agreeing", "u")).alias("best")).select("v", "best.u"), "pairs")
+    tested = materialise(_verified(best, texts, weights), "verified")
+    labels = components(tested.filter(F.col("similarity") >= SIMILARITY))
+    left = candidates.join(labels, "v", "left").withColumn("a", F.coalesce("label", "v")).drop("label")
+    left = left.join(labels.select(F.col("v").alias("u"), F.col("label").alias("b")), "u", "left").withColumn("b", F.coalesce("b", "u"))
+    left = materialise(left.filter("a != b").join(tested.select("v", "u"), ["v", "u"], "left_anti").select("v", "u"), "pairs")
+    if not left.isEmpty():
+        tested = tested.unionByName(materialise(_verified(left, texts, weights), "verified"))
         labels = components(tested.filter(F.col("similarity") >= SIMILARITY))
+    return tested.filter(F.col("similarity") >= SIMILARITY), labels
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,15 +477,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows = id_and_text(docs, id_col, text_col)
     weights = learn_weights(rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("packed", pa.binary())])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, SLICE):
             texts = part.column("text").to_pylist()
             digests = [None if t is None else hashlib.md5(t.encode()).digest() for t in texts]
-            yield record_batch(schema, doc_id=part.column("doc_id"), digest=digests, signature=signatures([t or "" for t in texts], weights))
+            found = signatures([t or "" for t in texts], weights)
+            # A text without words has no bucket, so nothing is compared with it.
+            packed = [None if s is None else _packed(t) for t, s in zip(texts, found, strict=True)]
+            yield record_batch(schema, doc_id=part.column("doc_id"), digest=digests, signature=found, packed=packed)
 
-    signed = materialise(rows.mapInArrow(sign, "doc_id long, digest binary, signature binary"), "signatures")
+    signed = materialise(rows.mapInArrow(sign, "doc_id long, digest binary, signature binary, packed binary"), "signatures")
     # Null ids come last, so that a text with any id is found by it again.
     distinct = materialise(
         signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("v")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("signature").alias("signature")),
@@ -384,11 +498,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     candidates = materialise(_leader_pairs(bands, needed), "candidates")
     labels = rows.sparkSession.createDataFrame([], "v binary, label binary")
     if not bands.isEmpty():
-        texts = _texts_of_pairs(rows, needed)
-        tested, labels = _link(candidates, None, labels, texts, weights)
-        for below, least in zip(LEVELS, LEVELS[1:]):
-            rest = materialise(_cross_pairs(bands, needed, labels, max(least, LEAST_AGREEING), below), "candidates")
-            tested, labels = _link(rest, tested, labels, texts, weights)
+        texts = _texts_of_pairs(signed, needed)
+        links, labels = _link(candidates, texts, weights)
+        more = materialise(_cross_links(bands, needed, labels, texts, weights), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     named = distinct.select("v", "first").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     first = named.groupBy("label").agg(F.min("first").alias("group_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "v")).alias("keep"))
     by_text = named.join(first, "label").select(F.col("v").alias("digest"), "group_id", (F.col("v") == F.col("keep.v")).alias("keeps"), F.col("first"))
@@ -397,10 +511,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return joined.select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), kept.alias("kept"))
 
 
-def _texts_of_pairs(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(v, text) of every text that shares a bucket with another, once."""
-    texts = rows.filter("text IS NOT NULL").withColumn("v", F.unhex(F.md5("text"))).join(needed.select("v", "first"), "v")
-    return materialise(texts.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text").dropDuplicates(["v"]), "texts")
+def _texts_of_pairs(signed: DataFrame, needed: DataFrame) -> DataFrame:
+    """(v, packed) of every text that shares a bucket with another, once."""
+    texts = signed.filter("packed IS NOT NULL").select("doc_id", F.col("digest").alias("v"), "packed").join(needed.select("v", "first"), "v")
+    return materialise(texts.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "packed").dropDuplicates(["v"]), "texts")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

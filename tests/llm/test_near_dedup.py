@@ -1,10 +1,12 @@
 """Groups against a comparison of all pairs, and the estimates of the samples."""
 
+import hashlib
 import itertools
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from gradeframe.llm import near_dedup as nd
 from gradeframe.llm.queries import op6_near_dedup
@@ -147,3 +149,41 @@ def test_cross_pairs_are_all_pairs_of_open_buckets(spark, monkeypatch):
         if b >= 20 and 21 <= same.sum() < 32 and same.reshape(nd.BANDS, nd.ROWS).all(axis=1).any():
             expected.add((names[a], names[b], int(same.sum())))
     assert len(found) == len(set(found)) and set(found) == expected and expected
+
+
+def test_cross_links_stay_few_and_join_what_all_pairs_join(spark, monkeypatch):
+    # A family whose pairs are around 0.8: thousands of pairs agree, and no pair but a link leaves its task.
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 32)
+    monkeypatch.setattr(nd, "KNOWN_SHINGLES", 3000)
+    rng = np.random.default_rng(8)
+    base = list(rng.choice([f"w{i}" for i in range(5000)], 300))
+    docs = list(enumerate(changed(rng, base, 4) for _ in range(150)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    weights = nd.learn_weights(table)
+    by_name = {hashlib.md5(t.encode()).digest(): t for _, t in docs}
+    rows = [(v, n, 1, s, nd._packed(t)) for n, ((v, t), s) in enumerate(zip(by_name.items(), nd.signatures(list(by_name.values()), weights), strict=True))]
+    texts = spark.createDataFrame(rows, "v binary, first long, copies long, signature binary, packed binary")
+    labels = spark.createDataFrame([], "v binary, label binary")
+    bands, needed = nd._shared(texts.drop("packed"))
+    found = [(bytes(r.v), bytes(r.u)) for r in nd._cross_links(bands, needed, labels, texts.select("v", "packed"), weights).collect()]
+    pairs = [(bytes(r.v), bytes(r.u)) for r in nd._cross_pairs(bands, needed, labels, nd.LEAST_AGREEING, nd.SAMPLES + 1).collect()]
+    vectors = {v: (h, weights.of(h, n)) for v, (h, n) in zip(by_name, nd._distinct(list(by_name.values())), strict=True)}
+    linked = [(v, u) for v, u in pairs if nd.similarity(vectors[v], vectors[u]) >= nd.SIMILARITY]
+
+    def joined(edges):
+        of = {v: v for v in by_name}
+        for v, u in edges:
+            a, b = of[v], of[u]
+            of = {k: min(a, b) if x in (a, b) else x for k, x in of.items()}
+        return of
+
+    assert joined(found) == joined(linked) and set(found) <= set(linked)
+    assert len(pairs) > 4000 and len(found) < len(pairs) / 3
+
+
+def test_packed_texts_come_back():
+    texts = ["", "a", "ünïcode \U0001f600 " * 1000, "x" * 3_000_000, "b"]
+    assert [nd._unpacked(nd._packed(t)) for t in texts] == texts
+    batch = pa.RecordBatch.from_pydict({"packed": [nd._packed(t) for t in texts]})
+    slices = [s.num_rows for s in nd._packed_slices([batch, batch.slice(0, 0)])]
+    assert slices == [3, 1, 1]
