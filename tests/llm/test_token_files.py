@@ -23,6 +23,16 @@ def test_coder_round_trip(n, high):
     assert len(coded.checksums) == -(-n // range_coder.BLOCK_IDS)
 
 
+def test_coder_format_stays():
+    # Words that the coder wrote before its steps kept to one type per array.
+    ids = (np.random.default_rng(5).zipf(1.3, 30_000).clip(0, 5000) % 701).astype(np.uint32)
+    coded = range_coder.encode(ids)
+    assert (len(coded.words), zlib.crc32(coded.words.astype("<u4").tobytes())) == (5657, 1315472450)
+    assert (range_coder.decode(coded) == ids).all()
+    model = range_coder.Model(3)
+    assert {x.dtype for x in (model.base, *model.tables, model.weights, *model.last, model.weight)} == {np.dtype(np.uint32)}
+
+
 def test_coder_learns_contexts():
     ids = np.tile(np.random.default_rng(0).integers(0, 5000, 200), 60).astype(np.uint32)
     coded = range_coder.encode(ids)
