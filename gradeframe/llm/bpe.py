@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
 from collections.abc import Callable
 
+from gradeframe.llm.shared import worker_table
+
 # Texts of these letters only are cut into words by one pattern, which says for them what the
 # library's pre-tokenizer says for all letters. Other texts go through the pre-tokenizer itself.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -83,7 +84,7 @@ class Remembered(dict):
             self.clear()
 
 
-@functools.lru_cache(maxsize=2)
+@worker_table(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """The tokenizer of a Python worker; one for all its tasks."""
     return ByteBpe(path)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import io
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.fm_index import FmIndex
-from gradeframe.llm.shared import create_file, id_and_text, open_file, text_slices, texts_of
+from gradeframe.llm.shared import create_file, id_and_text, lean, open_file, text_slices, texts_of, worker_table
 from gradeframe.session import work_dir
 
 WINDOW = 10
@@ -80,7 +80,7 @@ def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, id_col: str = "ite
     return blocks
 
 
-@functools.lru_cache(maxsize=2)
+@worker_table(maxsize=2)
 def load_phrases(uri: str) -> Phrases:
     """A block, as a task uses it."""
     with open_file(uri) as file:
@@ -113,7 +113,30 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-def _occurrences(words: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Words:
+    """The words of a shard's documents, as numbers of its different words."""
+
+    different: list[bytes]
+    lengths: np.ndarray  # words of each document
+    numbers: np.ndarray  # of all documents, one after the other
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__  # a new word gets the next number
+        numbers = []
+        for text in texts:
+            words = words_of(text)
+            numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        return cls(list(number), np.array([len(n) for n in numbers], np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.int32))
+
+    def base(self) -> np.ndarray:
+        """Where each document begins if one place after each stays empty."""
+        return np.cumsum(self.lengths + 1) - self.lengths - 1
+
+
+def _occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, first word, length and window number of every occurrence in a shard.
 
     A word that no item has cannot be part of an occurrence, so only unbroken runs of benchmark words
@@ -121,11 +144,10 @@ def _occurrences(words: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray
     """
     get = phrases.symbols.get
     shortest = min(phrases.windows)
-    lengths = np.array([len(w) for w in words], np.int64)
-    base = np.cumsum(lengths + 1) - lengths - 1  # one place after each document stays empty
-    symbols = np.zeros(int((lengths + 1).sum()), np.int64)
-    for at, found in zip(base.tolist(), words, strict=True):
-        symbols[at : at + len(found)] = np.fromiter(map(get, found, repeat(0)), np.int64, len(found))
+    base = words.base()
+    symbol = np.fromiter(map(get, words.different, repeat(0)), np.int64, len(words.different))
+    symbols = np.zeros(int((words.lengths + 1).sum()), np.int64)
+    symbols[_ranges(base, words.lengths)] = symbol[words.numbers]
     known = np.concatenate([[False], symbols > 0])
     edges = np.flatnonzero(known[1:] != known[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -165,9 +187,8 @@ class Found:
 
 def search(texts: list[str], blocks: list[str]) -> Found:
     """Occurrences of all windows of all blocks in a shard."""
-    words = [words_of(t) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    base = np.cumsum(lengths + 1) - lengths - 1
+    words = Words.of(texts)
+    lengths, base = words.lengths, words.base()
     depth = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
     for uri in blocks:
@@ -221,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             })
 
     ddl = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: bigint, end: bigint>>"
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, ddl)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run, load_phrases), ddl)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -240,4 +261,4 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     texts[n] = "".join(texts[n][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             yield rows.set_column(at, text_col, pa.array(texts, rows.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, load_phrases), schema)

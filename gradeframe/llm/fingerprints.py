@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeframe.llm.bpe import Remembered
-from gradeframe.llm.shared import id_and_text, record_batch, text_slices, texts_of
+from gradeframe.llm.shared import id_and_text, record_batch, text_slices, texts_of, worker_table
 from gradeframe.session import materialise
 
 WORDS = 5  # of a shingle
@@ -38,7 +38,7 @@ class WordHashes(Remembered):
         super().__init__(xxhash.xxh3_64_intdigest, limit)
 
 
-@functools.lru_cache(maxsize=1)
+@worker_table(maxsize=1)
 def word_hashes() -> WordHashes:
     """The table of a Python worker; one for all its tasks."""
     return WordHashes()

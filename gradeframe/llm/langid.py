@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.fingerprints import mixed
-from gradeframe.llm.shared import create_file, held_out, id_and_text, open_file, record_batch, text_slices, texts_of
+from gradeframe.llm.shared import create_file, held_out, id_and_text, lean, open_file, record_batch, text_slices, texts_of, worker_table
 from gradeframe.session import materialise, work_dir
 
 ORDER = 4
@@ -165,7 +165,7 @@ class FileModel(Model):
         return out[back]
 
 
-@functools.lru_cache(maxsize=SHARDS_HELD)
+@worker_table(maxsize=SHARDS_HELD)
 def _load_shard(uri: str) -> tuple[HashArray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash array of a shard's keys, where the entries of each key begin, and languages and values of the entries."""
     with open_file(uri) as file:
@@ -370,7 +370,7 @@ def _gram_counts(train: DataFrame) -> DataFrame:
         merged()
         yield from listed()
 
-    return train.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return train.select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -423,7 +423,7 @@ def calibrate(model: Model, train: DataFrame) -> None:
             np.add.at(totals, truth, np.stack([np.ones(len(h)), cost, cost**2, n, n * cost, n * cost**2, *fits], axis=1))
         yield record_batch(schema, lang=model.languages, **dict(zip(sums, totals.T, strict=True)))
 
-    counted = train.select("lang", "text").mapInArrow(run, ", ".join(["lang string", *(f"{name} double" for name in sums)]))
+    counted = train.select("lang", "text").mapInArrow(lean(run, _load_shard), ", ".join(["lang string", *(f"{name} double" for name in sums)]))
     got = {r.lang: list(r)[1:] for r in counted.groupBy("lang").agg(*[F.sum(name) for name in sums]).collect()}
     totals = np.array([got.get(lang, [0.0] * len(sums)) for lang in model.languages])
     pooled = totals.sum(axis=0)
@@ -474,7 +474,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             lang, score, cost, rejected = _decide(model, texts_of(rows))
             yield record_batch(_PREDICTED, doc_id=rows.column("doc_id"), lang_pred=lang, score=score, cross_entropy=cost, rejected=rejected)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run, _load_shard), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -484,4 +484,4 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         for rows in text_slices(batches, _slice(model), text_col):
             yield rows.filter(pa.array(~_decide(model, texts_of(rows, text_col))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, _load_shard), docs.schema)

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.fingerprints import mixed, shingles
-from gradeframe.llm.shared import id_and_text, numbered, record_batch, text_slices, texts_of
+from gradeframe.llm.fingerprints import mixed, shingles, word_hashes
+from gradeframe.llm.shared import id_and_text, lean, numbered, record_batch, text_slices, texts_of
 from gradeframe.session import materialise
 
 SIMILARITY = 0.8
@@ -27,6 +27,7 @@ IDF_SHARE = 0.25  # how much more the rarest shingle weighs than one of all docu
 DF_PART = 1 << 10  # buckets of document frequencies that are added up together
 CHUNK_MEMBERS = 256  # documents that one task compares with the same partner in a row
 KNOWN_SHINGLES = 1 << 21  # of the texts that a task of a block keeps for its next pairs
+PAIRS_AT_ONCE = 1 << 14  # of a block, as Python numbers
 _BLOCK = 1 << 16  # shingles sampled at once
 
 
@@ -78,7 +79,7 @@ def learn_weights(docs: DataFrame) -> Weights:
         return pa.Table.from_arrays([part["part"][:1], pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     types = "part int, numbers binary"
-    got = docs.select("text").mapInArrow(run, types).groupBy("part").applyInArrow(add, types).toArrow().sort_by("part")
+    got = docs.select("text").mapInArrow(lean(run, word_hashes), types).groupBy("part").applyInArrow(add, types).toArrow().sort_by("part")
     numbers = np.frombuffer(b"".join(got["numbers"].to_pylist()), "<i8")
     n_docs = max(2, int(numbers[:1].sum()))
     counts = numbers[1:].astype(np.float64) if len(numbers) else np.zeros(1 << DF_BITS)
@@ -258,7 +259,7 @@ def _cross_pairs(bands: DataFrame, needed: DataFrame, labels: DataFrame, least:
                 first, second = [names[k] for k in x], [names[k] for k in y]
                 yield record_batch(schema, v=list(map(min, first, second)), u=list(map(max, first, second)), agreeing=agreeing)
 
-    return _cross_blocks(bands, needed, labels).mapInArrow(run, "v binary, u binary, agreeing int")
+    return _cross_blocks(bands, needed, labels).mapInArrow(lean(run, word_hashes), "v binary, u binary, agreeing int")
 
 
 def _cross_links(bands: DataFrame, needed: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -285,17 +286,19 @@ def _cross_links(bands: DataFrame, needed: DataFrame, labels: DataFrame, texts:
                 yield from rows.filter(pa.array(some)).select(schema.names).cast(schema).to_batches()
 
     types = "bucket long, band int, v binary, label binary, i long, j long, side int, signature binary"
-    chosen = materialise(blocks.select(*schema.names).mapInArrow(involved, types), "open-blocks")
+    chosen = materialise(blocks.select(*schema.names).mapInArrow(lean(involved, word_hashes), types), "open-blocks")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, ("bucket", "i", "j")):
-            parts = list(_compared(rows, LEAST_AGREEING, SAMPLES + 1))
+            # A block may have a million pairs, so their rows are short numbers.
+            parts = [(x.astype(np.int32), y.astype(np.int32), n) for x, y, n in _compared(rows, LEAST_AGREEING, SAMPLES + 1)]
             if parts:
                 x, y, agreeing = (np.concatenate(c) for c in zip(*parts))
-                order = np.lexsort((y, x, -agreeing.astype(np.int16)))
+                del parts
+                order = np.lexsort((y, x, -agreeing.astype(np.int8)))
                 yield _links_in(rows, x[order], y[order], weights, found)
 
-    return _by_block(chosen.join(texts, "v")).mapInArrow(verify, "v binary, u binary, similarity double")
+    return _by_block(chosen.join(texts, "v")).mapInArrow(lean(verify, word_hashes), "v binary, u binary, similarity double")
 
 
 def _links_in(rows: pa.Table, x: np.ndarray, y: np.ndarray, weights: Weights, schema: pa.Schema) -> pa.RecordBatch:
@@ -324,7 +327,8 @@ def _links_in(rows: pa.Table, x: np.ndarray, y: np.ndarray, weights: Weights, sc
         return known[n]
 
     out: dict[str, list] = {"v": [], "u": [], "similarity": []}
-    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+    pairs = (pair for n in range(0, len(x), PAIRS_AT_ONCE) for pair in zip(x[n : n + PAIRS_AT_ONCE].tolist(), y[n : n + PAIRS_AT_ONCE].tolist(), strict=True))
+    for a, b in pairs:
         one, other = root(label[a]), root(label[b])
         if one == other:
             continue
@@ -412,7 +416,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
             yield record_batch(schema, **out)
 
     work = texts.join(members.unionByName(partners), "v").select("v", "u", "chunk", "place", "packed")
-    return work.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "place", "v").mapInArrow(run, "v binary, u binary, similarity double")
+    return work.repartition("u", "chunk").sortWithinPartitions("u", "chunk", "place", "v").mapInArrow(lean(run, word_hashes), "v binary, u binary, similarity double")
 
 
 def _packed_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,7 +492,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             packed = [None if s is None else _packed(t) for t, s in zip(texts, found, strict=True)]
             yield record_batch(schema, doc_id=part.column("doc_id"), digest=digests, signature=found, packed=packed)
 
-    signed = materialise(rows.mapInArrow(sign, "doc_id long, digest binary, signature binary, packed binary"), "signatures")
+    signed = materialise(rows.mapInArrow(lean(sign, word_hashes), "doc_id long, digest binary, signature binary, packed binary"), "signatures")
     # Null ids come last, so that a text with any id is found by it again.
     distinct = materialise(
         signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("v")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("signature").alias("signature")),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeframe.llm.bpe import byte_bpe
-from gradeframe.llm.shared import id_and_text, record_batch, text_slices, texts_of
+from gradeframe.llm.shared import id_and_text, lean, record_batch, text_slices, texts_of
 from gradeframe.session import materialise
 
 # Pieces that one task packs together; and how many such groups hand their loose ends to one group
@@ -47,7 +47,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
                         out[name].append(value)
             yield record_batch(_PIECES, **out)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run, byte_bpe), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

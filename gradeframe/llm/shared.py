@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -32,6 +34,50 @@ def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*new), [new[docs.columns.index(name)] for name in names]
 
 
+_HELD: list[Any] = []  # tables of the operators whose modules this Python worker has loaded
+
+
+def worker_table(maxsize: int) -> Callable[[Callable], Any]:
+    """``functools.lru_cache`` of tables that a Python worker keeps, until a task that does not name them begins."""
+
+    def cached(make: Callable) -> Any:
+        _HELD.append(functools.lru_cache(maxsize)(make))
+        return _HELD[-1]
+
+    return cached
+
+
+def drop_tables(keep: tuple[Any, ...]) -> None:
+    for table in _HELD:
+        if all(table is not k for k in keep):
+            table.cache_clear()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], *keep: Any) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for tasks that keep only these worker tables and give back what they have freed.
+
+    Spark uses a Python worker again for other operators and lets it idle between their tasks, so what
+    one operator leaves in it would count beside all that the next ones need.
+    """
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables(keep)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
