@@ -23,10 +23,13 @@ from gradeframe.sources.blobs import read_blob, write_blob
 SCORE_PLACES = 6
 PIVOTS = 64  # vectors that the others are dealt around
 BLOCK_ROWS = 4096  # vectors per block: 4096 x 1024 doubles are 32 MB
-QUERY_ROWS = 1024  # queries that a task scores against a block at once
+QUERY_ROWS = 8192  # queries that a task compares with the blocks
+QUERY_CELLS = 1 << 20  # numbers of the queries that are looked at together: 8 MB
+SCORE_CELLS = 1 << 19  # scores that are held at once: 4 MB
+BOUND_ROWS = 256  # blocks whose bounds are held at once
+TASKS_PER_CORE = 2  # at least, if there are enough queries
 
 RESULT = "query_id bigint, vec_id bigint, score double"
-PAIRS = "uri string, query_id bigint, embedding array<double>"
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,24 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _numbers(vectors: DataFrame) -> str:
+    """Type of the numbers of an embedding: floats stay floats, which doubles hold exactly."""
+    return "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "double"
+
+
+def _pack(ids: np.ndarray, matrix: np.ndarray) -> bytes:
+    head = np.array([*matrix.shape, matrix.dtype.itemsize], np.int64)
+    return head.tobytes() + ids.astype(np.int64).tobytes() + matrix.tobytes()
+
+
+def _unpack(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, the vectors as doubles."""
+    data = read_blob(uri)
+    n, dims, size = np.frombuffer(data, np.int64, 3)
+    matrix = np.frombuffer(data, f"f{size}", n * dims, offset=24 + 8 * n)
+    return np.frombuffer(data, np.int64, n, offset=24), matrix.reshape(n, dims).astype(np.float64, copy=False)
+
+
 def build_index(vectors: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> VectorIndex:
     """Deal vectors (vec_id, embedding) to blocks around pivots; the only time that vectors are shuffled.
 
@@ -52,7 +73,8 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOC
     lie, copies of one among them, has as many blocks as their number asks for.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL")
+    kind = _numbers(vectors)
+    vectors = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(f"array<{kind}>")).where("embedding IS NOT NULL")
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").toPandas()
     centres = _stacked(chosen["embedding"]) if len(chosen) else np.zeros((1, 1))
     folder = work_dir(spark, "vector-blocks")
@@ -63,8 +85,8 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOC
             if len(batch):
                 yield batch.assign(pivot=(lengths - 2 * _stacked(batch["embedding"]) @ centres.T).argmin(axis=1))
 
-    dealt = vectors.mapInPandas(near, "vec_id bigint, embedding array<double>, pivot int")
-    dealt = materialise(dealt, "dealt-vectors")
+    # dealt twice, for the sizes and for the blocks, and not kept: that is cheaper than a copy on disk
+    dealt = vectors.mapInPandas(near, f"vec_id bigint, embedding array<{kind}>, pivot int")
     sizes = {r.pivot: r["count"] for r in dealt.groupBy("pivot").count().collect()}
     parts = F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, math.ceil(n / block_rows))]) if sizes else F.lit(None)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("pivot")] if sizes else F.lit(1)))
@@ -73,10 +95,9 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOC
         block = block.sort_values("vec_id", kind="stable")
         matrix = _stacked(block["embedding"])
         centre = matrix.mean(axis=0)
-        out = io.BytesIO()
-        np.savez(out, ids=block["vec_id"].to_numpy(np.int64), matrix=matrix)
         radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1).max()))
-        return pd.DataFrame({"uri": [write_blob(folder, out.getvalue())], "n": [len(block)], "centre": [centre], "radius": [radius]})
+        data = _pack(block["vec_id"].to_numpy(), matrix.astype(np.float32 if kind == "float" else np.float64))
+        return pd.DataFrame({"uri": [write_blob(folder, data)], "n": [len(block)], "centre": [centre], "radius": [radius]})
 
     blocks = dealt.groupBy("pivot", "part").applyInPandas(write, "uri string, n bigint, centre array<double>, radius double")
     blocks = materialise(blocks, "vector-index")
@@ -96,98 +117,144 @@ def _bounds(listed: tuple[str, ...], queries: np.ndarray, places: int) -> Iterat
     """
     length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
     for uri in listed:
-        for rows in pq.ParquetFile(io.BytesIO(read_blob(uri))).iter_batches():
+        for rows in pq.ParquetFile(io.BytesIO(read_blob(uri))).iter_batches(batch_size=BOUND_ROWS):
             if rows.num_rows:
-                centres = np.stack([np.asarray(c, np.float64) for c in rows.column("centre").to_pylist()])
+                centres = np.asarray(rows.column("centre").flatten()).reshape(rows.num_rows, queries.shape[1])
                 radius = np.asarray(rows.column("radius"))
                 yield np.array(rows.column("uri").to_pylist(), object), np.asarray(rows.column("n")), _slack(queries @ centres.T + length * radius, places)
 
 
-def _first_blocks(listed: tuple[str, ...], queries: np.ndarray, k: int, places: int) -> list[list[str]]:
-    """For each query the blocks of the highest bounds that hold k vectors together."""
-    best: list[list[tuple[float, str, int]]] = [[] for _ in queries]
+def _first_blocks(listed: tuple[str, ...], queries: np.ndarray, k: int, places: int) -> dict[str, np.ndarray]:
+    """The blocks of the highest bounds that hold k vectors together for a query, with the rows of these queries."""
+    names: list[str] = []
+    held, which, size = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0), np.int64)
     for uris, n, bounds in _bounds(listed, queries, places):
-        top = np.argsort(-bounds, axis=1, kind="stable")[:, : k]
-        for held, row, order in zip(best, bounds, top, strict=True):
-            held += zip(row[order].tolist(), uris[order].tolist(), n[order].tolist(), strict=True)
-            held.sort(key=lambda b: (-b[0], b[1]))
-            seen = np.cumsum([b[2] for b in held])
-            del held[int(np.searchsorted(seen, k)) + 1 :]
-    return [[uri for _, uri, _ in held] for held in best]
-
-
-def candidate_blocks(index: VectorIndex, queries: DataFrame, k: int, places: int = SCORE_PLACES, floors: DataFrame | None = None) -> DataFrame:
-    """(uri, query_id, embedding) for each block that a query must look into.
-
-    Without ``floors`` these are the blocks of the highest bounds. With (query_id, floor), the k-th score
-    that was found in those, they are the others whose bound reaches it: all that can hold a better vector.
+        number = np.broadcast_to(len(names) + np.arange(len(uris)), bounds.shape)
+        held, which, size = (np.hstack(x) for x in ((held, -bounds), (which, number), (size, np.broadcast_to(n, bounds.shape))))
+        if held.shape[1] > k:  # a block holds one vector at least
+            top = np.argpartition(held, k - 1, axis=1)[:, :k]
+            held, which, size = (np.take_along_axis(x, top, axis=1) for x in (held, which, size))
+        names += uris.tolist()
+    order = np.argsort(held, axis=1, kind="stable")
+    which, size = np.take_along_axis(which, order, axis=1), np.take_along_axis(size, order, axis=1)
+    row, column = np.nonzero(np.cumsum(size, axis=1) - size < k)
+    chosen = which[row, column]
+    order = np.argsort(chosen, kind="stable")
+    blocks, starts = np.unique(chosen[order], return_index=True)
+    return {names[b]: rows for b, rows in zip(blocks, np.split(row[order], starts[1:]), strict=False)}
+
+
+class _Nearest:
+    """The best vectors that were found so far for some queries, and the score that a better one must reach."""
+
+    def __init__(self, queries: np.ndarray, k: int, places: int):
+        self.queries, self.k, self.places = queries, k, places
+        self.floor = np.full(len(queries), -np.inf)
+        self.row, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def look(self, uri: str, rows: np.ndarray) -> None:
+        """Compare some queries, given by their ascending rows, with a block."""
+        ids, matrix = _unpack(uri)
+        step = max(1, SCORE_CELLS // len(ids))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            scores = self.queries[part] @ matrix.T
+            if np.isneginf(self.floor[part]).any():
+                row, column, found = _best(scores, self.k, self.places)
+            else:
+                # rounding moves a score by half a place at most
+                row, column = np.divmod(np.flatnonzero(scores >= (self.floor[part] - 10.0**-self.places)[:, None]), len(ids))
+                found = _rounded(scores[row, column], self.places)
+            self._add(part[row], ids[column], found)
+
+    def _add(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        kept = scores >= self.floor[row]
+        self.more.append((row[kept], ids[kept], scores[kept]))
+        self.waiting += int(kept.sum())
+        if self.waiting > max(4 * self.k, len(self.queries) * self.k):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the k best of each query, equal scores by the smaller id, and raise the floors to the k-th."""
+        row, ids, scores = (np.concatenate(x) for x in zip((self.row, self.ids, self.scores), *self.more, strict=True))
+        order = np.lexsort((ids, -scores, row))
+        row = row[order]
+        first = np.searchsorted(row, np.arange(len(self.queries)))
+        kept = np.arange(len(row)) - first[row] < self.k
+        self.row, self.ids, self.scores = row[kept], ids[order][kept], scores[order][kept]
+        ends = np.cumsum(np.bincount(self.row, minlength=len(self.queries)))
+        full = np.diff(ends, prepend=0) == self.k
+        self.floor[full] = self.scores[ends[full] - 1]
+        self.more, self.waiting = [], 0
+
+
+def _rounded(scores: np.ndarray, places: int) -> np.ndarray:
+    return np.rint(scores * 10.0**places) / 10.0**places
+
+
+def _best(scores: np.ndarray, k: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best vectors of a block for each query; ids ascend, so equal scores go to the smaller id."""
+    scores = _rounded(scores, places)
+    n = scores.shape[1]
+    k = min(k, n)
+    limit = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    above, equal = scores > limit, scores == limit
+    room = k - above.sum(axis=1, keepdims=True)
+    row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+    return row, column, scores[row, column]
+
+
+def _nearest(listed: tuple[str, ...], queries: np.ndarray, k: int, places: int) -> _Nearest:
+    """The k best vectors of all blocks for each query.
+
+    Each query first looks into the blocks of the highest bounds that hold k vectors; its k-th score there is
+    the floor below which no other block is opened. Floors rise as better vectors are found.
     """
-    listed = index.listed
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), QUERY_ROWS):
-                part = batch[start : start + QUERY_ROWS]
-                queries = _stacked(part["embedding"])
-                first = _first_blocks(listed, queries, k, places)
-                if "floor" not in part:
-                    chosen = [(uri, row) for row, uris in enumerate(first) for uri in uris]
-                else:
-                    done, floor = [set(uris) for uris in first], part["floor"].to_numpy()
-                    chosen = [
-                        (uris[column], row) for uris, _, bounds in _bounds(listed, queries, places)
-                        for row, column in zip(*np.nonzero(bounds >= floor[:, None]), strict=True) if uris[column] not in done[row]
-                    ]
-                rows = part.iloc[[row for _, row in chosen]]
-                yield pd.DataFrame({"uri": [uri for uri, _ in chosen], "query_id": rows["query_id"].to_numpy(), "embedding": rows["embedding"].to_numpy()})
-
-    if floors is not None:
-        queries = queries.join(floors, "query_id", "left").na.fill(float("-inf"), ["floor"])
-    return queries.mapInPandas(choose, PAIRS)
-
-
-def _scored(pairs: DataFrame, k: int, places: int, groups: int) -> DataFrame:
-    """The k best vectors of each block for each query that looks into it."""
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        with np.load(io.BytesIO(read_blob(rows["uri"].iloc[0]))) as block:
-            ids, matrix = block["ids"], block["matrix"]
-        return _best(ids, matrix, _stacked(rows["embedding"]), rows["query_id"].to_numpy(), k, places)
-
-    # queries that all look into one block are dealt to tasks of bounded size
-    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    return dealt.groupBy("uri", "deal").applyInPandas(score, RESULT)
-
-
-def _best(ids: np.ndarray, matrix: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, places: int) -> pd.DataFrame:
-    """The k best vectors of a block for each query; ids ascend, so equal scores go to the smaller id."""
-    k = min(k, len(ids))
-    parts = []
-    for start in range(0, len(query_ids), QUERY_ROWS):
-        scores = np.rint((queries[start : start + QUERY_ROWS] @ matrix.T) * 10.0**places) / 10.0**places
-        limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
-        above, equal = scores > limit, scores == limit
-        room = k - above.sum(axis=1, keepdims=True)
-        row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
-        parts.append(pd.DataFrame({
-            "query_id": query_ids[start : start + QUERY_ROWS][row], "vec_id": ids[column], "score": scores[row, column],
-        }))
-    return pd.concat(parts, ignore_index=True)
+    found = _Nearest(queries, k, places)
+    first = _first_blocks(listed, queries, k, places)
+    for uri, rows in first.items():
+        found.look(uri, rows)
+    found.settle()
+    for uris, _, bounds in _bounds(listed, queries, places):
+        for column, uri in enumerate(uris):
+            open_to = bounds[:, column] >= found.floor
+            if uri in first:
+                open_to[first[uri]] = False
+            if open_to.any():
+                found.look(uri, np.flatnonzero(open_to))
+    found.settle()
+    return found
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = RETRIEVED_CONTEXTS, places: int = SCORE_PLACES) -> DataFrame:
     """The k vectors with the largest inner product for each query (query_id, embedding): query_id, vec_id, score, rank.
 
-    Scores are rounded before ranking, ties go to the smaller id. Each query first looks into the blocks
-    of the highest bounds; its k-th score there is the floor below which no other block is opened. The
-    result is that of a comparison with all vectors.
+    Scores are rounded before ranking, ties go to the smaller id. The result is that of a comparison with
+    all vectors. Queries are dealt once to tasks of bounded size; a task reads the blocks that any of its
+    queries must look into one after the other, so neither pairs of queries and blocks nor vectors are
+    shuffled, and what leaves it are k rows of each query.
     """
-    queries = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")).where("embedding IS NOT NULL")
-    groups = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    first = materialise(_scored(candidate_blocks(index, queries, k, places), k, places, groups), "first-blocks")
+    listed = index.listed
+    kind = _numbers(queries)
+    queries = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast(f"array<{kind}>")).where("embedding IS NOT NULL")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            step = max(1, QUERY_CELLS // max(1, len(batch["embedding"].iloc[0]))) if len(batch) else 1
+            for start in range(0, len(batch), step):
+                part = batch[start : start + step]
+                found = _nearest(listed, _stacked(part["embedding"]), k, places)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[found.row], "vec_id": found.ids, "score": found.scores})
+
+    n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    waves = max(TASKS_PER_CORE, math.ceil(n / (QUERY_ROWS * cores)))
+    tasks = max(1, min(waves * cores, math.ceil(n / 1024)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    rest = _scored(candidate_blocks(index, queries, k, places, floors), k, places, groups)
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = queries.repartition(tasks).mapInPandas(compare, RESULT)
+    # an id that several queries share has the best of all of them
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def retrieve_topk(

@@ -254,6 +254,40 @@ def test_topk_with_hot_copies_matches_brute_force(spark, sizes):
         assert got[q] == order[:7]
 
 
+def test_search_shuffles_queries_once_and_only_their_best(spark):
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id bigint, embedding array<float>")
+    index = R.build_index(table, pivots=3, block_rows=2)
+    assert len(index.blocks.collect()) >= 17
+    out = R.search(index, table.withColumnRenamed("vec_id", "query_id"), k=3)
+    plan = physical(out)
+    # no rows of (block, query) that carry the query's vector: it goes to its task, the best of it to the ranking
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInPandas") == 1 and plan.count("Exchange ") <= 2
+    assert {(r.query_id, r.rank): r.vec_id for r in out.collect()} == {(q, i): 50 - i if q else i - 1 for q in range(50) for i in (1, 2, 3)}
+
+
+def test_queries_of_one_id_share_its_places(spark):
+    table = spark.createDataFrame([(i, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [-1.0, 0.0]])] * 2, "vec_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, -1.0]), (3, None)], "query_id bigint, embedding array<double>")
+    out = R.retrieve_topk(queries, table, k=3, pivots=2, block_rows=2)
+    assert [(r.query_id, r.vec_id, r.score) for r in out.orderBy("query_id", "rank").collect()] == [
+        (1, 1, 2.0), (1, 1, 2.0), (1, 2, 1.6), (2, 0, 0.0), (2, 0, 0.0), (2, 3, 0.0),
+    ]
+
+
+def test_blocks_are_compared_in_pieces_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, size=(90, 4)).astype(float)  # many equal scores
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    listed = R.build_index(table, pivots=4, block_rows=9).listed
+    scores = vectors[:30] @ vectors.T
+    for cells, rows in ((1, 1), (7, 2), (10_000, 100)):
+        monkeypatch.setattr(R, "SCORE_CELLS", cells)
+        monkeypatch.setattr(R, "BOUND_ROWS", rows)
+        found = R._nearest(listed, vectors[:30], 5, 6)
+        for q in range(30):
+            assert found.ids[found.row == q].tolist() == sorted(range(90), key=lambda i: (-scores[q, i], i))[:5]
+
+
 def test_joint_argmax_first_of_equals(spark):
     df = spark.createDataFrame([(1, 0, [0.1, 0.9, 0.9, 0.0]), (1, 1, [0.9, 0.0, 0.0, 0.0])], "query_id int, rank int, scores array<double>")
     r = R.joint_argmax(df).first()
