@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,8 +16,11 @@ from gradeframe.session import with_rocksdb
 OUTPUT = (
     "submission_id string, status string, expected int, graded int, scores string, finished_at timestamp, late_answers array<string>"
 )
-HEAD = "expected int, started bigint, graded int, done boolean, due bigint"
-NO_HEAD = (-1, -1, 0, False, -1)
+HEAD = "expected int, started bigint, graded int, done boolean, due bigint, few string, more boolean"
+NO_HEAD = (-1, -1, 0, False, -1, "{}", False)
+FEW = 16  # graded questions that the head of a submission holds itself
+NO_TIME = -(2**63) // 1000  # of an event without one
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def millis(text: str) -> int:
@@ -42,9 +45,11 @@ def lifecycle_events(submissions: DataFrame, graded: DataFrame) -> DataFrame:
 class Submission(StatefulProcessor):
     """State of one submission: its head, and the earliest event of each graded question.
 
-    Each question has an entry of its own, so a batch reads and writes only the questions that it
-    has events of. One timer is armed at a time: the deadline, or for answers without a start event
-    the time after which their start can't come any more. Whatever it finds is put out and freed.
+    Every call of the state goes to another process, so the first few questions lie in the head: a
+    submission of few questions takes one read and one write a batch. Each question beyond them has an
+    entry of its own, so a batch reads and writes only the questions that it has events of. One timer is
+    armed at a time: the deadline, or for answers without a start event the time after which their start
+    can't come any more. Whatever it finds is put out and freed.
     """
 
     def __init__(self, limit: int):
@@ -55,27 +60,34 @@ class Submission(StatefulProcessor):
         self.head = handle.getValueState("head", HEAD)
         self.questions = handle.getMapState("questions", "question_id string", "at bigint, answers string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expected, started, graded, done, due = self.head.get() if self.head.exists() else NO_HEAD
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        head = self.head.get() or NO_HEAD
+        expected, started, graded, done, due, text, more = head
+        few = json.loads(text)
         seen: dict[str, tuple[int, str]] = {}
         began, newest = started, -1
-        for row in (r for batch in rows for r in batch.itertuples(index=False)):
-            at = row.event_time.value // 1000
+        for row in rows:
+            at, question = row.at, row.question_id
+            at = NO_TIME if at is None else at
             newest = max(newest, at)
-            if pd.isna(row.question_id):
+            if question is None:
                 expected, began = int(row.expected), at
-            elif row.question_id not in seen or at < seen[row.question_id][0]:
-                seen[row.question_id] = (at, row.answers)
-        for question, (at, answers) in seen.items():
-            old = self.questions.getValue((question,))
-            if old is None or at < old[0]:
-                self.questions.updateValue((question,), (at, answers))
-                graded += began < 0 or at <= began + self.limit
+            elif question not in seen or at < seen[question][0]:
+                seen[question] = (at, row.answers)
+        for question, value in seen.items():
+            old = few.get(question) or (self.questions.getValue((question,)) if more else None)
+            if old is None or value[0] < old[0]:
+                if question in few or len(few) < FEW:
+                    few[question] = value
+                else:
+                    self.questions.updateValue((question,), value)
+                    more = True
+                graded += began < 0 or value[0] <= began + self.limit
                 graded -= old is not None and (began < 0 or old[0] <= began + self.limit)
         if began != started:  # only now it is known which answers came in time
-            graded = sum(value[0] <= began + self.limit for _, value in self.questions.iterator())
+            graded = sum(at <= began + self.limit for at, _, _ in self._answers(few, more))
         if not done and began >= 0 and graded >= expected:
-            counted, late = self._split(began)
+            counted, late = self._split(began, few, more)
             counted = counted[:expected]
             yield _result(key[0], "COMPLETE", expected, counted, counted[-1][0] if counted else began, late)
             done = True
@@ -89,24 +101,34 @@ class Submission(StatefulProcessor):
             if due >= 0:
                 self.handle.deleteTimer(due)
             self.handle.registerTimer(when)
-        self.head.update((expected, began, graded, done, when))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expected, started, _, done, _ = self.head.get()
-        counted, late = self._split(started)
-        if started < 0:
-            yield _result(key[0], "LATE", None, [], None, sorted(q for _, q, _ in counted))
-        elif not done:
-            yield _result(key[0], "TIMED_OUT", expected, counted, started + self.limit, late)
+        new = (expected, began, graded, done, when, json.dumps(few), more)
+        if new != head:
+            self.head.update(new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        expected, started, _, done, _, text, more = self.head.get()
+        if not done or started < 0:
+            counted, late = self._split(started, json.loads(text), more)
+            if started < 0:
+                yield _result(key[0], "LATE", None, [], None, sorted(q for _, q, _ in counted))
+            else:
+                yield _result(key[0], "TIMED_OUT", expected, counted, started + self.limit, late)
         self.head.clear()
-        self.questions.clear()
+        if more:
+            self.questions.clear()
 
     def close(self) -> None:
         pass
 
-    def _split(self, started: int) -> tuple[list[tuple[int, str, str]], list[str]]:
+    def _answers(self, few: dict, more: bool) -> Iterator[tuple[int, str, str]]:
+        """Time, question and answers of each graded question."""
+        yield from ((at, question, answers) for question, (at, answers) in few.items())
+        if more:
+            yield from ((value[0], question[0], value[1]) for question, value in self.questions.iterator())
+
+    def _split(self, started: int, few: dict, more: bool) -> tuple[list[tuple[int, str, str]], list[str]]:
         """Answers in time by time and question, and the questions answered behind the deadline."""
-        rows = sorted((value[0], question[0], value[1]) for question, value in self.questions.iterator())
+        rows = sorted(self._answers(few, more), key=lambda r: r[:2])
         in_time = [r for r in rows if started < 0 or r[0] <= started + self.limit]
         return in_time, sorted(q for at, q, _ in rows if started >= 0 and at > started + self.limit)
 
@@ -122,13 +144,13 @@ def track_submissions(events: DataFrame, timeout: str = PIPELINE_TIMEOUT, delay:
     """
     with_rocksdb(events.sparkSession)
     return (
-        events.withWatermark("event_time", delay)
+        events.withColumn("at", F.unix_micros(F.col("event_time").cast("timestamp"))).withWatermark("event_time", delay)
         .groupBy("submission_id")
-        .transformWithStateInPandas(Submission(millis(timeout) * 1000), OUTPUT, "append", "EventTime")
+        .transformWithState(Submission(millis(timeout) * 1000), OUTPUT, "append", "EventTime")
     )
 
 
-def _result(submission_id: str, status: str, expected: int | None, counted: list, at: int | None, late: list[str]) -> pd.DataFrame:
+def _result(submission_id: str, status: str, expected: int | None, counted: list, at: int | None, late: list[str]) -> Row:
     """One output row with the scoreboard of the counted questions."""
     tallies: dict[str, list[int]] = {}
     for _, _, answers in counted:
@@ -141,11 +163,11 @@ def _result(submission_id: str, status: str, expected: int | None, counted: list
         {"model": m, "correct": c, "total": t, "accuracy_pct": round(100 * c / t)} for m, (c, t) in tallies.items()
     ]
     board.sort(key=lambda x: (-x["accuracy_pct"], x["model"]))
-    return pd.DataFrame({
-        "submission_id": [submission_id], "status": [status], "expected": pd.array([expected], "Int32"), "graded": [len(counted)],
-        "scores": [json.dumps(board)], "finished_at": pd.Series([pd.NaT if at is None else pd.Timestamp(at, unit="us")], dtype="datetime64[ns]"),
-        "late_answers": [late],
-    })
+    finished = None if at is None else EPOCH + dt.timedelta(microseconds=at)
+    return Row(
+        submission_id=submission_id, status=status, expected=expected, graded=len(counted), scores=json.dumps(board),
+        finished_at=finished, late_answers=late,
+    )
 
 
 def submission_status(submissions: DataFrame, graded: DataFrame, timeout: str = PIPELINE_TIMEOUT) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gradeframe.operators import maintenance as U
@@ -165,6 +166,59 @@ def test_an_earlier_copy_brings_an_answer_back_in_time(spark, tmp_path):
     assert rows == [("a", "COMPLETE", 1, 1, [])]
 
 
+class Kept:
+    """State variables and timers of one key, and how often each was called."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.calls = None, {}, set(), []
+
+    def getValueState(self, *names):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        does = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "getValue": lambda k: self.entries.get(k), "updateValue": self.entries.__setitem__, "iterator": lambda: iter(list(self.entries.items())),
+            "registerTimer": self.timers.add, "deleteTimer": self.timers.discard, "getCurrentWatermarkInMs": lambda: 0,
+            "clear": lambda: (setattr(self, "value", None), self.entries.clear()),
+        }[name]
+        return lambda *a: self.calls.append(name) or does(*a)
+
+
+def answered(question, minute):
+    return Row(at=minute * 60_000_000, expected=None, question_id=question, answers=GOOD)
+
+
+def test_a_small_submission_takes_one_read_and_one_write(spark):
+    kept, processor = Kept(), ML.Submission(30 * 60_000_000)
+    processor.init(kept)
+    start = Row(at=0, expected=3, question_id=None, answers=None)
+    assert not list(processor.handleInputRows(("a",), iter([start, answered("q1", 1), answered("q2", 2), start]), kept))
+    assert sorted(c for c in kept.calls if c != "getCurrentWatermarkInMs") == ["get", "registerTimer", "update"]
+    kept.calls.clear()
+    assert not list(processor.handleInputRows(("a",), iter([answered("q1", 5), start]), kept))  # copies change nothing
+    assert [c for c in kept.calls if c != "getCurrentWatermarkInMs"] == ["get"]
+
+
+def test_a_large_submission_keeps_its_questions_apart(spark):
+    kept, processor, n = Kept(), ML.Submission(30 * 60_000_000), 2 * ML.FEW
+    processor.init(kept)
+    out = []
+    for q in range(n):
+        out += processor.handleInputRows(("a",), iter([answered(f"q{q:02}", 29 if q % 2 else 31)]), kept)
+    assert len(kept.entries) == n - ML.FEW and not out
+    # an earlier copy of an answer that was late, in the head and apart; then the start
+    for q in (0, n - 2):
+        out += processor.handleInputRows(("a",), iter([answered(f"q{q:02}", 3)]), kept)
+    out += processor.handleInputRows(("a",), iter([Row(at=0, expected=n, question_id=None, answers=None)]), kept)
+    assert not out and kept.value[2] == n // 2 + 2
+    row, = processor.handleExpiredTimer(("a",), kept, None)
+    assert (row.status, row.graded, row.late_answers) == ("TIMED_OUT", n // 2 + 2, [f"q{q:02}" for q in range(2, n - 2, 2)])
+    assert kept.value is None and not kept.entries
+
+
 LOG = "question_id string, seq bigint, op string, changes map<string,string>, changed_at timestamp"
 
 
