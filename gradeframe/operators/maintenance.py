@@ -36,19 +36,16 @@ def merge_batch(
     The wide rows of the table are not shuffled when the batch's keys fit a broadcast: they are
     only tested against the newest batch row of their key. Equal recency goes to the batch.
     """
-    winners = newest(batch, keys, recency)
-    marks = winners.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(*recency).alias("__newest"), F.lit(True).alias("__hit")
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    # the keys as one struct, in which nulls are equal: what the newest rows were found by also joins them
+    key = F.struct(*keys)
+    winners = newest(batch.withColumn("__key", key), ["__key"], recency)
+    marks = winners.select(F.col("__key").alias("__k"), F.struct(*recency).alias("__newest"), F.lit(True).alias("__hit"))
+    table = existing.withColumn("__key", key)
+    same = F.col("__key") == F.col("__k")
     stays = F.col("__hit").isNull() | (F.struct(*recency) > F.col("__newest"))
-    kept = existing.join(marks, same, "left").where(stays).select(*existing.columns)
-    newer = existing.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in recency]).join(marks, same).where(
-        F.struct(*[F.col(f"__old_{c}") for c in recency]) > F.col("__newest")
-    ).select(*[F.col(f"__k_{k}") for k in keys])
-    entering = winners.join(newer, same, "left_anti")
+    kept = table.join(marks, same, "left").where(stays).select(*existing.columns)
+    newer = table.select("__key", F.struct(*recency).alias("__old")).join(marks, same).where(F.col("__old") > F.col("__newest")).select("__k")
+    entering = winners.join(newer, same, "left_anti").drop("__key")
     return kept.unionByName(entering, allowMissingColumns=True)
 
 

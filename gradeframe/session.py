@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder with what lies below it; False if it is not there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of ended jobs, which else lie there until the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def materialised(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``materialise`` for as long as the block runs; nothing that outlives it may read the table."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    try:
+        df.write.parquet(path)
+        free_shuffles(spark)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_folder(spark, path)
+        free_shuffles(spark)
+
+
 def with_rocksdb(spark: SparkSession) -> None:
     """Streams started from now on keep their state in RocksDB, unless the session names a store of its own.
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from gradeframe import constants as K
 from gradeframe.functions.predicates import is_any_of
 from gradeframe.operators.maintenance import merge_batch
-from gradeframe.session import materialise
+from gradeframe.session import materialised
 from gradeframe.sources.readers import read_or_empty
 
 
@@ -55,15 +55,15 @@ def upsert_table(
     """Upsert a batch into a partitioned prediction table on disk.
 
     The batch is computed once. The (split, model) pairs that it touches become a literal predicate,
-    so only their partitions are read, merged and replaced. The merged rows are written to the shared
-    folder first, because a table cannot be overwritten while it is read. An empty split or model is
-    stored as null, as folders can't tell them apart.
+    so only their partitions are read, merged and replaced. The merged rows are written to a staging folder
+    of the table, and take the place of the partitions that they were made of when the whole job has ended.
+    An empty split or model is stored as null, as folders can't tell them apart.
     """
     spark = batch.sparkSession
-    batch = materialise(batch.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in PARTITIONS}), "batch")
-    touched = [tuple(r) for r in batch.select(*PARTITIONS).distinct().collect()]
-    existing = partitions_of(spark, path, batch.schema, touched)
-    write_predictions(materialise(merge_batch(existing, batch, keys, recency), "merged"), path)
+    with materialised(batch.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in PARTITIONS}), "batch") as rows:
+        touched = [tuple(r) for r in rows.select(*PARTITIONS).distinct().collect()]
+        existing = partitions_of(spark, path, rows.schema, touched)
+        write_predictions(merge_batch(existing, rows, keys, recency), path)
 
 
 def export_questions(df: DataFrame, columns: Sequence[str] = tuple(K.QUESTION_EXPORT_COLUMNS)) -> DataFrame:

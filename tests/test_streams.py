@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gradeframe import session
 from gradeframe.operators import maintenance as U
 from gradeframe.sources import writers as W
 from gradeframe.streaming import changes as C
@@ -305,3 +306,19 @@ def test_sessions_expire_without_a_scan(spark, tmp_path):
 @pytest.mark.parametrize("text, expected", [("30 minutes", 1_800_000), ("1 day", 86_400_000), ("2 seconds", 2000)])
 def test_durations(text, expected):
     assert ML.millis(text) == expected
+
+
+def test_an_upsert_leaves_no_copies_of_its_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_local_root", lambda: str(tmp_path / "work"))
+    path = str(tmp_path / "table")
+    for n in range(2):
+        W.upsert_table(spark.createDataFrame([("t", "s1", "m", f"q{i}", n, "a") for i in range(3)], PRED), path)
+    assert rows_of(spark.read.schema(PRED).parquet(path)) == [("t", "s1", "m", f"q{i}", 1, "a") for i in range(3)]
+    assert not list((tmp_path / "work").glob("*"))
+
+
+def test_a_committed_batch_leaves_no_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_local_root", lambda: str(tmp_path / "work"))
+    table = table_at(spark, tmp_path)
+    assert put(table, 0, [("t", "s1", "m", "q1", 1, "a")]) and put(table, 1, [("t", "s1", "m", "q1", 2, "b")])
+    assert rows_of(table.read()) == [("t", "s1", "m", "q1", 2, "b")] and not list((tmp_path / "work").glob("*"))
