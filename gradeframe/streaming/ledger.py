@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeframe.functions.predicates import is_any_of
-from gradeframe.session import materialise
+from gradeframe.session import delete_folder, materialised
 
 KEEP_ENTRIES = 2  # entries whose files stay, so that a reader of the last but one is not disturbed
 
@@ -103,10 +103,10 @@ class LedgerTable:
         if batch <= entry.batches.get(stream, -1):
             return False
         texts = [p for p in self.parts if isinstance(self.schema[p].dataType, T.StringType)]
-        rows = materialise(rows.withColumns({p: F.nullif(F.col(p), F.lit("")) for p in texts}), "batch")
-        touched = [tuple(r) for r in rows.select(*self.parts).distinct().collect()]
-        new, replaces = change(rows, touched, entry)
-        self._commit(entry, new, touched, replaces, {**entry.batches, stream: batch})
+        with materialised(rows.withColumns({p: F.nullif(F.col(p), F.lit("")) for p in texts}), "batch") as kept:
+            touched = [tuple(r) for r in kept.select(*self.parts).distinct().collect()]
+            new, replaces = change(kept, touched, entry)
+            self._commit(entry, new, touched, replaces, {**entry.batches, stream: batch})
         return True
 
     def rewrite(self, entry: Entry, rows: DataFrame, touched: list[tuple]) -> None:
@@ -155,8 +155,7 @@ class LedgerTable:
         return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _delete(self, path: str) -> bool:
-        hadoop, files = self._files_of(path)
-        return files.delete(hadoop, True)
+        return delete_folder(self.spark, path)
 
     def _listed_versions(self) -> list[int]:
         hadoop, files = self._files_of(f"{self.path}/data")
